@@ -49,7 +49,7 @@ class Chunk:
         self.buf, self.off, self.row, self.n = buf, off, row, len(off) - 1
 
 
-def chunks(texts: pa.Array, lower: str = "", max_bytes: int = 1 << 20, max_docs: int = 1024) -> Iterator[Chunk]:
+def chunks(texts: pa.Array, lower: str = "", max_bytes: int = 1 << 20, max_docs: int = 1000) -> Iterator[Chunk]:
     """lower: "unicode", "ascii" (A-Z only) or "". Nulls count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -127,7 +127,7 @@ def ngrams(words: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
 
 def by_doc(doc: np.ndarray, keys: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys of each document, sorted: keys (their top 54 bits), offsets of documents, counts."""
-    assert n_docs <= 1024
+    assert n_docs < 1024
     x = np.sort((doc.astype(U64) << U64(54)) | (keys >> U64(10)))
     first = np.ones(len(x), bool)
     first[1:] = x[1:] != x[:-1]
