@@ -7,6 +7,7 @@ from importlib import import_module
 
 QUERIES = {
     "op1_ngram_jaccard_join": ("jaccard_join", "op1"),
+    "op2_decontamination": ("decontaminate", "op2"),
 }
 ORACLE_SQL: dict[str, str] = {}
 
