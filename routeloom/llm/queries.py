@@ -8,6 +8,7 @@ from importlib import import_module
 QUERIES = {
     "op1_ngram_jaccard_join": ("jaccard_join", "op1"),
     "op2_decontamination": ("decontaminate", "op2"),
+    "op3_kneser_ney": ("kneser_ney", "op3"),
 }
 ORACLE_SQL: dict[str, str] = {}
 
