@@ -9,6 +9,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": ("jaccard_join", "op1"),
     "op2_decontamination": ("decontaminate", "op2"),
     "op3_kneser_ney": ("kneser_ney", "op3"),
+    "op4_secret_links": ("secrets", "op4"),
 }
 ORACLE_SQL: dict[str, str] = {}
 
