@@ -10,6 +10,7 @@ QUERIES = {
     "op2_decontamination": ("decontaminate", "op2"),
     "op3_kneser_ney": ("kneser_ney", "op3"),
     "op4_secret_links": ("secrets", "op4"),
+    "op5_nb_svm_quality": ("quality", "op5"),
 }
 ORACLE_SQL: dict[str, str] = {}
 
