@@ -11,6 +11,7 @@ QUERIES = {
     "op3_kneser_ney": ("kneser_ney", "op3"),
     "op4_secret_links": ("secrets", "op4"),
     "op5_nb_svm_quality": ("quality", "op5"),
+    "op9_word_backoff_language": ("language_id", "op9"),
 }
 ORACLE_SQL: dict[str, str] = {}
 
