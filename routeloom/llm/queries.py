@@ -13,8 +13,8 @@ QUERIES = {
     "op5_nb_svm_quality": ("quality", "op5"),
     "op9_word_backoff_language": ("language_id", "op9"),
     "op10_line_dedup": ("line_dedup", "op10"),
+    "op6_sentencepiece_fst": ("sentencepiece_fst", "op6"),
 }
-ORACLE_SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable]:
@@ -22,4 +22,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    from . import licenses
+
+    return {"op7_license_dice": licenses.oracle()}
