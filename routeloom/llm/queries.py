@@ -14,6 +14,7 @@ QUERIES = {
     "op9_word_backoff_language": ("language_id", "op9"),
     "op10_line_dedup": ("line_dedup", "op10"),
     "op6_sentencepiece_fst": ("sentencepiece_fst", "op6"),
+    "op7_license_dice": ("licenses", "op7"),
 }
 
 
