@@ -62,7 +62,7 @@ def bigrams(text: str) -> list[str]:
 def key_words(pairs: list[str], least: float) -> list[str]:
     """Words, uncommon ones first, that touch so many bigrams that no match can lack them all."""
     spare, left, out = len(pairs) * (1 - least / (2 - least)), set(pairs), []
-    while len(pairs) - len(left) <= spare and left:
+    while len(pairs) - len(left) <= spare + 1e-9 and left:
         counts: dict[str, int] = {}
         for x in left:
             for w in set(x.split()):
