@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from .code_text import line, mask
+from .code_text import mask, split
 from .rows import fact
 
 # The actions of resources.
@@ -26,6 +26,12 @@ def names(source: str | None) -> list[str]:
     return words[1].split() if words else re.findall(r":(\w+)|['\"]([^'\"]*)['\"]", source) and [a or b for a, b in re.findall(r":(\w+)|['\"]([^'\"]*)['\"]", source)]
 
 
+def positional(source: str) -> list[str]:
+    """Names given before and between the options."""
+    masked = mask(source, "ruby")
+    return [x for a, b in split(masked, 0, len(masked)) if not re.search(r"^\s*\(?\s*\w+:\s|=>", source[a:b]) for x in names(source[a:b])]
+
+
 def option(source: str, key: str) -> str | None:
     m = re.search(rf"(?:\b{key}:|:{key}\s*=>)\s*(%[iw]\[[^\]]*\]|\[[^\]]*\]|:\w+|'[^']*'|\"[^\"]*\"|\w+)", source)
     return m[1] if m else None
@@ -92,7 +98,7 @@ def walk(lines, scope: Scope, concerns: dict, seen=()):
             where = one(rest, "path") or (arg if arg and not re.match(r"\s*\(?\s*\w+:", rest) else "")
             yield from walk(body, Scope(path(scope.path, where), one(rest, "controller") or scope.controller, scope.kind, scope.resource, scope.member, "/".join(filter(None, [scope.module, one(rest, "module")]))), concerns, seen)
         elif word in ("resources", "resource") and first:
-            for name in [x for part in rest.split(",") if not re.search(r"\w+:\s|=>", part) for x in names(part)] or first:
+            for name in positional(rest) or first:
                 plural = word == "resources"
                 param = one(rest, "param") or "id"
                 controller = "/".join(filter(None, [scope.module, one(rest, "controller") or (name if plural else name + "s")]))
@@ -127,7 +133,7 @@ def walk(lines, scope: Scope, concerns: dict, seen=()):
             verbs = [word.upper()] if word in VERBS else [v.upper() for v in names(option(rest, "via")) if v in VERBS] or ["GET", "POST"]
             rocket = re.search(r"['\"]([^'\"]+)['\"]\s*=>\s*['\"]([^'\"]+)['\"]", rest)
             target = one(rest, "to") or (rocket[2] if rocket else None)
-            for name in [rocket[1]] if rocket else [x for part in rest.split(",") if not re.search(r"\w+:\s|=>", part) for x in names(part)]:
+            for name in [rocket[1]] if rocket else positional(rest):
                 action = one(rest, "action") or name.strip("/").split("/")[-1]
                 goal = ("/".join(filter(None, [scope.module, target])) if target and "#" in target else f"{scope.controller or '/'.join(filter(None, [scope.module, one(rest, 'controller')]))}#{target or action}" if scope.controller or one(rest, "controller") else "/".join(filter(None, [scope.module, name.strip("/").replace("/", "#", 1) if name.strip("/").count("/") == 1 else ""])))
                 at = getattr(scope, "on_member", scope.path) if one(rest, "on") == "member" else scope.member if scope.kind == "resources" and one(rest, "on") != "collection" else scope.path
