@@ -116,13 +116,13 @@ def _groups(batch: pa.RecordBatch, column: str):
 
 
 def _labels(near: np.ndarray) -> np.ndarray:
-    """Component of each node of a symmetric adjacency matrix, as its lowest index."""
-    n = len(near)
-    lab = np.arange(n)
+    """Component of each node of symmetric adjacency matrices (the last two axes), as its lowest index."""
+    n = near.shape[-1]
+    lab = np.broadcast_to(np.arange(n), near.shape[:-1])
     at = near | np.eye(n, dtype=bool)
     while True:
-        new = np.where(at, lab[None, :], n).min(1)
-        new = new[new]
+        new = np.where(at, lab[..., None, :], n).min(-1)
+        new = np.take_along_axis(new, new, -1)
         if (new == lab).all():
             return lab
         lab = new
@@ -141,19 +141,24 @@ def _near(similarity: float):
     def run(batches):
         for b in batches:
             off, f = _groups(b, "members")
-            ids, n = f["rep"].to_numpy(), f["n"].to_numpy()
-            s = np.stack([f["s0"].to_numpy(), f["s1"].to_numpy()], 1).view(np.uint64)
             size = np.diff(off)
+            # In order of ids, so that components of all buckets take the same lowest member as their hub.
+            order = np.lexsort((f["rep"].to_numpy(), np.repeat(np.arange(len(size)), size)))
+            ids, n = f["rep"].to_numpy()[order], f["n"].to_numpy()[order]
+            s = np.stack([f["s0"].to_numpy()[order], f["s1"].to_numpy()[order]], 1).view(np.uint64)
             u, v = [], []
             for m in np.unique(size[(size > 1) & (size <= 24)]):
                 first = off[:-1][size == m]
                 a, c = np.triu_indices(m, 1)
                 for k in range(0, len(first), max(1, 200_000 // len(a))):
                     at = first[k : k + max(1, 200_000 // len(a)), None]
-                    i, j = (at + a).ravel(), (at + c).ravel()
-                    ok = similar(n, s, i, j)
-                    u.append(ids[i[ok]])
-                    v.append(ids[j[ok]])
+                    ok = similar(n, s, at + a, at + c)
+                    near = np.zeros((len(at), m, m), bool)
+                    near[:, a, c] = near[:, c, a] = ok
+                    lab = _labels(near)
+                    g, own = np.nonzero(lab != np.arange(m))
+                    u.append(ids[at[g, 0] + own])
+                    v.append(ids[at[g, 0] + lab[g, own]])
             for k in np.flatnonzero(size > 24):
                 at = np.arange(off[k], off[k + 1])
                 near = np.zeros((len(at), len(at)), bool)
