@@ -6,14 +6,17 @@ compared to each template by 2 |A n B| / (|A| + |B|) of the sets of bigrams.
 
 Two bounds prune before bigrams are built, and lose nothing at a coefficient of
 ``least``: the sizes must satisfy |A| <= |B| (2 - least) / least and the other way
-round; and as more than ``least / (2 - least)`` of a template's bigrams must
-occur, a unit without any of the template's key words, which touch all the
-bigrams but that share, cannot match. Nothing is shuffled.
+round; and as ``least / (2 - least)`` of a template's bigrams must occur, a unit
+without any of a few pieces of words, which touch more than the rest of each
+template's bigrams, cannot match. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,17 +62,21 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
-def key_words(pairs: list[str], least: float) -> list[str]:
-    """Words, uncommon ones first, that touch so many bigrams that no match can lack them all."""
-    spare, left, out = len(pairs) * (1 - least / (2 - least)), set(pairs), []
-    while len(pairs) - len(left) <= spare + 1e-9 and left:
-        counts: dict[str, int] = {}
-        for x in left:
-            for w in set(x.split()):
-                counts[w] = counts.get(w, 0) + 1
-        best = max(sorted(counts), key=lambda w: (w not in _COMMON and len(w) > 1, counts[w], len(w)))
-        out.append(best)
-        left = {x for x in left if best not in x.split()}
+def stems(pairs: list[list[str]], least: float) -> list[str]:
+    """Pieces of words, long uncommon ones first, then digits, that touch so many bigrams of each template that no match can lack them all."""
+    out: list[str] = []
+    for p in pairs:
+        spare = len(p) * (1 - least / (2 - least)) + 1e-9
+        left = {x for x in p if not any(k in x for k in out)}
+        while len(p) - len(left) <= spare and left:
+            counts: dict[str, int] = {}
+            for x in left:
+                for w in set(x.split()):
+                    k = w[:6] if w not in _COMMON else w
+                    counts[k] = counts.get(k, 0) + 1
+            best = max(sorted(counts), key=lambda k: (2 * (k not in _COMMON and len(k) > 4) or k.isdigit(), k not in _COMMON, counts[k], len(k)))
+            out.append(best)
+            left = {x for x in left if best not in x}
     return out
 
 
@@ -82,26 +89,27 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     rows. Other columns are ignored.
     """
     pairs = [bigrams(t) for _, t in templates]
-    keys = sorted({w for p in pairs for w in key_words(p, least)})
+    keys = stems(pairs, least)
     reach = (2 - least) / least
     low, high = min(map(len, pairs)) / reach, max(map(len, pairs)) * reach
-    text = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("place"), x.alias("body")))
-    blocks = F.filter(F.transform(F.split("text", "\n[ \t\r]*\n", -1), lambda x, i: F.struct(F.lit("block").alias("unit"), i.alias("place"), x.alias("body"))), lambda x: F.instr(x["body"], "\n") > 0)
-    # Bytes of a unit that can match: a cheap test before the expressions below. Every key word is found in the lower-cased text.
-    some = F.lower("text").rlike("|".join(re.escape(k) for k in keys))
-    units = text.where(some).select("doc_id", F.explode(F.concat(lines, blocks)).alias("u")).select("doc_id", "u.*")
-    units = units.where(F.lower("body").rlike("|".join(re.escape(k) for k in keys)))
-    plain = F.trim(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "))
-    units = units.select("doc_id", "unit", "place", F.split(plain, " ").alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, keys))))
+    has = lambda c: reduce(or_, (F.contains(c, F.lit(k)) for k in keys))
+    # A generator keeps a value as a column of its own; else it would be computed again at every mention of it.
+    held = lambda c: F.explode(F.array(c))
+    text = docs.select(F.col("doc_id").cast("long"), held(F.lower("text")).alias("text")).where(has(F.col("text")))
+    kinds = F.array(F.struct(F.lit("line").alias("unit"), F.split("text", "\n", -1).alias("parts")), F.struct(F.lit("block").alias("unit"), F.split("text", "\n[ \t\r]*\n", -1).alias("parts")))
+    units = text.select("doc_id", F.explode(kinds).alias("k")).select("doc_id", F.col("k.unit").alias("unit"), F.posexplode("k.parts").alias("place", "body"))
+    units = units.where(has(F.col("body")) & ((F.col("unit") == "line") | F.contains("body", F.lit("\n"))))
+    plain = F.trim(F.regexp_replace("body", r"[^\p{L}\p{N}]+", " "))
+    units = units.select("doc_id", "unit", "place", held(F.split(plain, " ")).alias("w"))
     units = units.where(F.size("w") > low)
     two = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b)))
-    units = units.select("doc_id", "unit", "place", two.alias("a")).where((F.size("a") >= low) & (F.size("a") <= high))
-    known = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(k).alias("template"), F.lit(len(p)).alias("n"), F.array(*map(F.lit, p)).alias("b")) for k, ((name, _), p) in enumerate(zip(templates, pairs))))
+    units = units.select("doc_id", "unit", "place", held(two).alias("a")).where((F.size("a") >= low) & (F.size("a") <= high))
+    # One literal: an array built of a thousand would be planned literal by literal.
+    known = F.from_json(F.lit(json.dumps([{"license": name, "template": k, "n": len(p), "b": p} for k, ((name, _), p) in enumerate(zip(templates, pairs))])), "array<struct<license:string,template:int,n:int,b:array<string>>>")
     fits = F.filter(known, lambda t: (F.size("a") <= t["n"] * reach) & (t["n"] <= F.size("a") * reach))
     scored = F.transform(fits, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), (F.lit(2.0) * F.size(F.array_intersect(F.col("a"), t["b"])) / (F.size("a") + t["n"])).alias("dice")))
     best = F.filter(scored, lambda t: t["dice"] >= least)
-    out = units.select("doc_id", "unit", "place", best.alias("m")).where(F.size("m") > 0)
+    out = units.select("doc_id", "unit", "place", held(best).alias("m")).where(F.size("m") > 0)
     first = F.reduce("m", F.col("m")[0], lambda x, y: F.when((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["template"] < x["template"])), y).otherwise(x))
     return out.select("doc_id", "unit", "place", first.alias("t")).select("doc_id", "unit", "place", "t.license", "t.template", "t.dice")
 

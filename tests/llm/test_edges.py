@@ -9,7 +9,7 @@ def test_jaccard_join(spark):
     got = sorted((r.doc_id, r.class_id, r.n_links, r.n_class_links) for r in jaccard_join.jaccard_join(awkward(spark)).collect())
     by = {g[0]: g for g in got}
     assert len(got) == 15  # the null id is left out
-    assert by[1] == (1, 1, 3, 1) and by[2] == (2, 1, 3, 1) and by[3] == (3, 1, 3, 1)
+    assert all(by[k][1:] == (1, 4, 2) for k in (1, 2, 3, 13))  # three rows of one class, a near copy, a text that repeats it
     assert all(by[k][1:] == (k, 0, 0) for k in (4, 5, 6, 7, 8, 9, 10, 11, 12))
     assert jaccard_join.jaccard_join(empty(spark)).count() == 0
 
