@@ -30,7 +30,7 @@ from . import textkit as tk
 from .components import components
 from .shared import forget, written
 
-WORDS, SIMILARITY, RUNS, LEVELS, SPREAD, SMALL = 5, 0.8, 8, 3, 0.4, 1024
+WORDS, SIMILARITY, RUNS, LEVELS, SPREAD, SMALL = 5, 0.8, 8, 3, 0.4, 4096
 SKETCH_BITS, TILE, TILE_TOKENS = 128, 512, 400_000
 _RNG = np.random.default_rng(20240117)
 _A = _RNG.integers(1 << 31, 1 << 32, SKETCH_BITS, dtype=np.uint32) | np.uint32(1)
@@ -118,11 +118,12 @@ def _groups(batch: pa.RecordBatch, column: str):
 def _labels(near: np.ndarray) -> np.ndarray:
     """Component of each node of symmetric adjacency matrices (the last two axes), as its lowest index."""
     n = near.shape[-1]
-    lab = np.broadcast_to(np.arange(n), near.shape[:-1])
-    at = near | np.eye(n, dtype=bool)
+    lab = np.broadcast_to(np.arange(n, dtype=np.int32), near.shape[:-1])
     while True:
-        new = np.where(at, lab[..., None, :], n).min(-1)
-        new = np.take_along_axis(new, new, -1)
+        # In strips of rows, so that a large matrix needs no second one of integers.
+        new = np.concatenate([np.where(near[..., r : r + 256, :], lab[..., None, :], n).min(-1) for r in range(0, n, 256)], -1)
+        new = np.minimum(new, lab)
+        new = np.take_along_axis(new, new.astype(np.int64), -1)
         if (new == lab).all():
             return lab
         lab = new
@@ -169,7 +170,8 @@ def _near(similarity: float):
                 u.append(ids[at[own]])
                 v.append(ids[at[lab[own]]])
             if u:
-                yield pa.record_batch({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
+                pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], 1), axis=0)
+                yield pa.record_batch({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
@@ -256,7 +258,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     for level in range(1, levels + 1):
         paths = written(paths, "paths")
         made.append(paths)
-        many = paths.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+        # As a table, so that adaptive execution may split the join where a key is frequent.
+        many = written(paths.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        made.append(many)
         full = paths.join(many, "key")
         if level == levels:
             buckets.append(full)
