@@ -5,8 +5,13 @@ estimated from product codes of four bits for every two dimensions, chosen to
 minimise |r|^2 + (eta - 1) (r.x)^2 / |x|^2, r the residual: errors along x, which
 move its score, weigh eta times as much. The norms stay exact. Tables of a
 query's products with all code words, eight-bit entries for pairs of codes,
-are scanned over all codes; the best ``rerank`` rows of every block of rows are
-compared exactly, in double precision on the original vectors.
+are scanned over all codes. The best ``rerank`` rows of every block of rows are
+compared exactly, in double precision on the original vectors; so is every other
+row that may still belong to the nearest. With x' the decoded vector,
+|q - x| >= |q - x'| - |x - x'|, and the tables give |q - x'| up to the rounding of
+their entries; a row whose bound exceeds the query's current last distance is
+left out, nothing else is. So the result is that of comparing all rows, however
+dense they lie; dense groups cost comparisons, not neighbours.
 
 The code book is fitted on at most about ``fit_rows`` vectors (taken by hash);
 every vector is encoded and scanned. Queries are broadcast in blocks of at most
@@ -90,6 +95,11 @@ class CodeBook:
         """Two codes in a byte."""
         return (codes[:, 0::2] | (codes[:, 1::2] << 4)).astype(np.uint8)
 
+    def decode(self, packed: np.ndarray) -> np.ndarray:
+        """The (padded) vectors that packed codes stand for."""
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)
+        return self.words[np.arange(codes.shape[1])[None, :], codes].reshape(len(packed), -1)
+
     def tables(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Eight-bit products of queries with pairs of code words (bytes, queries, 256), and each query's scale and offset."""
         q = self._pad(queries.astype(np.float32)).reshape(len(queries), -1, 2)
@@ -109,6 +119,16 @@ def _search(book: CodeBook, ids: np.ndarray, vectors: np.ndarray, nearest: int,
             return
         best_d = np.full((size, nearest), np.inf)
         best_i = np.full((size, nearest), np.iinfo(np.int64).max)
+
+        def merge(k, d, i, own):
+            """Rows i at distances d join the nearest of the queries from k on."""
+            to = slice(k, k + len(own))
+            d = np.where(i == own[:, None], np.inf, d)
+            d = np.concatenate([best_d[to], d], 1)
+            i = np.concatenate([best_i[to], np.where(np.isinf(d[:, nearest:]), np.iinfo(np.int64).max, i)], 1)
+            o = np.lexsort((i, d))[:, :nearest]
+            best_d[to], best_i[to] = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+
         for b in batches:
             rows = b.column("vec_id").to_numpy()
             order = np.argsort(rows, kind="stable")
@@ -121,13 +141,16 @@ def _search(book: CodeBook, ids: np.ndarray, vectors: np.ndarray, nearest: int,
             for s in range(0, len(rows), ROWS):
                 r, v, c, h = (a[s : s + ROWS] for a in (rows, x, codes, half))
                 keep = min(len(r), rerank)
+                y = book.decode(c).astype(np.float64)
+                norm, gap = (y * y).sum(1), np.sqrt(((np.pad(v, ((0, 0), (0, y.shape[1] - v.shape[1]))) - y) ** 2).sum(1))
                 for k in range(0, size, 256):
                     q, own = vectors[k : k + 256], ids[k : k + 256]
                     t, scale, low = book.tables(q)
                     acc = np.zeros((len(q), len(r)), np.uint16)
                     for j in range(c.shape[1]):
                         acc += np.take(t[j], c[:, j], axis=1)
-                    far = h[None, :] - (acc * scale[:, None] + low[:, None])
+                    product = acc * scale[:, None] + low[:, None]
+                    far = h[None, :] - product
                     # Ties go to smaller ids: rows are in their order, and so are equal keys of a stable cut.
                     if keep < len(r):
                         edge = np.partition(far, keep - 1, axis=1)[:, keep - 1 : keep]
@@ -136,12 +159,28 @@ def _search(book: CodeBook, ids: np.ndarray, vectors: np.ndarray, nearest: int,
                     else:
                         cand = np.broadcast_to(np.arange(len(r)), (len(q), len(r)))
                     d = np.sqrt(((v[cand] - q[:, None, :]) ** 2).sum(2))
-                    i = r[cand]
-                    d = np.where(i == own[:, None], np.inf, d)
-                    d = np.concatenate([best_d[k : k + 256], d], 1)
-                    i = np.concatenate([best_i[k : k + 256], np.where(np.isinf(d[:, nearest:]), np.iinfo(np.int64).max, i)], 1)
-                    o = np.lexsort((i, d))[:, :nearest]
-                    best_d[k : k + 256], best_i[k : k + 256] = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+                    merge(k, d, r[cand], own)
+                    if keep == len(r):
+                        continue
+                    # Every other row that the bound does not rule out. Roundings: half a step for each table entry,
+                    # and what single precision in the tables and the sums below may lose.
+                    qq = (q * q).sum(1)
+                    length, longest = np.sqrt(qq), np.sqrt(norm)
+                    lost = y.shape[1] / 4 * scale[:, None] + 1e-5 * (length[:, None] * longest[None, :] + np.abs(low)[:, None] + 255 * c.shape[1] * scale[:, None])
+                    least = np.sqrt(np.maximum(qq[:, None] + norm[None, :] - 2 * (product + lost), 0)) - gap[None, :]
+                    last = best_d[k : k + 256, -1]
+                    may = least <= last[:, None] + 1e-9 * (length[:, None] + np.sqrt(2 * h)[None, :])
+                    np.put_along_axis(may, cand, False, axis=1)
+                    at = np.flatnonzero(may.any(0))
+                    if not len(at):
+                        continue
+                    # Squared distances by one product, whose rounding is allowed for; then the exact ones of what is left.
+                    x2, h2 = v[at], 2 * h[at]
+                    sq = qq[:, None] + h2[None, :] - 2 * (q @ x2.T)
+                    may = may[:, at] & (sq <= last[:, None] ** 2 + 1e-12 * (qq[:, None] + h2[None, :]))
+                    for n in np.flatnonzero(may.any(1)):
+                        near = at[may[n]]
+                        merge(k + n, np.sqrt(((v[near] - q[n]) ** 2).sum(1))[None, :], r[near][None, :], own[n : n + 1])
         some = np.isfinite(best_d)
         yield pa.record_batch({"query_id": pa.array(np.repeat(ids, some.sum(1))), "vec_id": pa.array(best_i[some]), "score": pa.array(best_d[some])})
 

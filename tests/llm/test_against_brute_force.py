@@ -300,3 +300,28 @@ def test_line_dedup(spark, sf, docs):
         want[k] = ("".join(out), gone)
     got = {r.doc_id: (r.kept_text, [tuple(s) for s in r.removed]) for r in line_dedup.op10(spark, sf).collect()}
     assert got == want and any(g for _, g in want.values())
+
+
+def test_nearest_in_dense_group(spark):
+    """A full block in which near copies of one vector hold a third of the rows: no neighbour is lost, inside or outside."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    group = r.permutation(8192)[:2731]
+    x[group] = x[group[0]] + 0.002 * r.normal(size=(2731, 64))
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    try:
+        rows = anisotropic.nearest(df).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = defaultdict(set)
+    for row in rows:
+        got[row.query_id].add(row.vec_id)
+    inside, outside = [], []
+    for q in range(0, 8192, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        (inside if q in set(group) else outside).append(len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+    print("recall", len(inside), np.mean(inside), len(outside), np.mean(outside))
+    assert len(inside) > 10 and np.mean(inside) == 1 and np.mean(outside) == 1
