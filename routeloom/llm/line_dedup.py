@@ -5,6 +5,14 @@ its lower-cased words joined by single spaces; units of fewer than
 ``min_words`` words are left alone. Of equal units the occurrence with the
 lowest (doc_id, offset) stays; the others are removed. Offsets are code points
 of the original text, ends exclusive; a removed unit takes its line break along.
+
+Passages that repeat across documents but not as units (in the middle of longer
+lines, or broken otherwise) are found by runs of ``passage`` words, line breaks
+aside: every word of such a run goes if a document of lower id has the run too.
+Not all runs are grouped. Words are first sampled by the least hash of half-runs
+in every run (winnowing), so equal runs share a sample; only runs around samples
+that two documents share, and that lines did not remove already, are digested
+and grouped like units. This loses no run.
 """
 
 from __future__ import annotations
@@ -17,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import table, written
 
-MIN_WORDS = 5
+MIN_WORDS, PASSAGE = 5, 50
 _UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64())])
 
 
@@ -68,12 +76,131 @@ def _units(min_words: int, paragraphs: bool):
     return run
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False) -> DataFrame:
+_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
+_SAMPLES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("at", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("h", pa.int64())])
+
+
+def _words(batch):
+    """Chunks of a batch with what runs need: folded words, documents of words, and code-point spans in the original."""
+    for c in tk.chunks(batch.column("text"), "unicode"):
+        w = tk.Words(c)
+        plain = next(tk.chunks(batch.column("text").slice(c.row, c.n), "", 1 << 62, 1 << 30))
+        own = w if len(plain.buf) == len(c.buf) else tk.Words(plain)
+        if own.n != w.n:
+            raise AssertionError("lower-casing changed words")
+        doc = w.doc()
+        points = np.concatenate([[0], np.cumsum((plain.buf & 0xC0) != 0x80)])
+        base = points[plain.off[doc]]
+        yield c, w, doc, points[own.start] - base, points[own.end] - base
+
+
+def _runs(w: tk.Words, n: int, salt: int) -> np.ndarray:
+    """Hashes of n words from each word on (wherever they end)."""
+    up, down = tk.powers(w.n + 1)
+    s = np.zeros(w.n + 1, tk.U64)
+    np.cumsum(tk.mix(w.hash + tk.U64(salt)) * up[: w.n], out=s[1:])
+    return tk.mix((s[n:] - s[:-n]) * down[: w.n + 1 - n])
+
+
+def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
+    """least (np.minimum or np.maximum) of n values from each place on."""
+    size, out = 1, x
+    while size * 2 <= n:
+        out, size = least(out[:-size], out[size:]), size * 2
+    return least(out[: len(x) - n + 1], out[n - size : len(x) - size + 1]) if size < n else out
+
+
+def _samples(passage: int):
+    half = (passage + 1) // 2
+    span = passage - half + 1
+
+    def run(batches):
+        for b in batches:
+            ids, versions = (b.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "version"))
+            for c, w, doc, start, end in _words(b):
+                if w.n < passage:
+                    continue
+                g = _runs(w, half, _SALTS[0])
+                inside = doc[: w.n - passage + 1] == doc[passage - 1 :]
+                low = np.where(inside, _slide(g, span, np.minimum), tk.U64(0))
+                none = np.zeros(span - 1, tk.U64)
+                at = np.flatnonzero((_slide(np.concatenate([none, low, none]), span, np.maximum) == g) & (doc[: len(g)] == doc[half - 1 :]))
+                if not len(at):
+                    continue
+                d = doc[at]
+                first, last = np.maximum(at - span + 1, w.off[d]), np.minimum(at + passage, w.off[d + 1]) - 1
+                yield tk.rows_to_batch({"doc_id": ids[c.row + d].astype(np.int64), "version": versions[c.row + d], "at": (at - w.off[d]).astype(np.int32), "start": start[first].astype(np.int32), "end": end[last].astype(np.int32), "h": g[at].view(np.int64)}, _SAMPLES)
+
+    return run
+
+
+def _around(passage: int):
+    """Runs that hold one of the samples ``places`` of their document."""
+    span = passage - (passage + 1) // 2 + 1
+
+    def run(batches):
+        for b in batches:
+            ids, versions = (b.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "version"))
+            places = b.column("places").to_pylist()
+            for c, w, doc, start, end in _words(b):
+                if w.n < passage:
+                    continue
+                edge = np.zeros(w.n + 1, np.int64)
+                for k in range(c.n):
+                    at = np.array(places[c.row + k], np.int64)
+                    np.add.at(edge, np.maximum(at - span + 1, 0) + w.off[k], 1)
+                    np.add.at(edge, at + 1 + w.off[k], -1)
+                inside = doc[: w.n - passage + 1] == doc[passage - 1 :]
+                i = np.flatnonzero(inside & (np.cumsum(edge)[: len(inside)] > 0))
+                h = [_runs(w, passage, salt)[i].view(np.int64) for salt in _SALTS]
+                yield tk.rows_to_batch({"doc_id": ids[c.row + doc[i]].astype(np.int64), "version": versions[c.row + doc[i]], "start": start[i].astype(np.int32), "end": end[i + passage - 1].astype(np.int32), "h0": h[0], "h1": h[1]}, _UNITS)
+
+    return run
+
+
+def _merged(batches):
+    """Overlapping spans of a document as one."""
+    for b in batches:
+        lists = b.column("removed")
+        spans, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        start, end = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        doc = np.repeat(np.arange(b.num_rows), size)
+        key = doc << 32
+        reach = np.maximum.accumulate(key + end) if len(end) else end
+        new = np.ones(len(start), bool)
+        new[1:] = (key + start)[1:] >= reach[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(start))[: len(first)] - 1
+        off = np.searchsorted(doc[first], np.arange(b.num_rows + 1))
+        pairs = pa.StructArray.from_arrays([pa.array(start[first].astype(np.int32)), pa.array((reach - key)[last].astype(np.int32))], ["start", "end"])
+        yield pa.record_batch([b.column("doc_id"), b.column("version"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pairs)], ["doc_id", "version", "removed"])
+
+
+def _passages(rows: DataFrame, lines: DataFrame, passage: int) -> DataFrame:
+    """rows (doc_id, text, version), lines (doc_id, version, removed) -> doc_id, version, removed with repeated passages too."""
+    doc = F.struct("doc_id", "version")
+    samples = written(rows.mapInArrow(_samples(passage), "doc_id long, version long, at int, start int, end int, h long"), "samples")
+    twice = samples.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h", "first")
+    hits = written(samples.join(twice, "h"), "hits")
+    # Samples whose later surroundings went with their lines need no digests.
+    gone = F.aggregate("removed", F.lit(0), lambda n, x: n + F.greatest(F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start")), F.lit(0)))
+    live = hits.where(doc > F.col("first")).join(lines, ["doc_id", "version"], "left").where(F.coalesce(gone, F.lit(0)) < F.col("end") - F.col("start")).select("h").distinct()
+    places = hits.join(live, "h", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("at").alias("places"))
+    runs = written(rows.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(_around(passage), "doc_id long, version long, start int, end int, h0 long, h1 long"), "runs")
+    first = runs.groupBy("h0", "h1").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h0", "h1", "first")
+    late = runs.join(first, ["h0", "h1"]).where(doc > F.col("first")).select("doc_id", "version", F.struct("start", "end").alias("x"))
+    both = late.unionByName(lines.select("doc_id", "version", F.explode("removed").alias("x")))
+    spans = both.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("x")).alias("removed"))
+    return spans.mapInArrow(_merged, "doc_id long, version long, removed array<struct<start:int,end:int>>")
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False, passage: int = PASSAGE) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text (what stays), removed: array of (start, end), n_removed.
 
     One row per input row. Null ids, null and empty texts pass unchanged (null
     text stays null). Rows that repeat both id and text are one occurrence: they
-    keep or lose the same units. Other columns are ignored.
+    keep or lose the same units. Other columns are ignored. ``passage`` 0 leaves
+    passages alone.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("version", F.xxhash64("text"))
     units = written(docs.where("doc_id is not null and text is not null").mapInArrow(_units(min_words, paragraphs), "doc_id long, version long, start int, end int, h0 long, h1 long"), "units")
@@ -81,6 +208,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     first = written(units.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h0", "h1", "first"), "firsts")
     gone = units.join(first, ["h0", "h1"]).where(place > F.col("first"))
     spans = written(gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")), "spans")
+    if passage:
+        spans = written(_passages(docs.where("doc_id is not null and text is not null"), spans, passage), "passages")
     out = docs.join(spans, ["doc_id", "version"], "left")
     before = F.transform("removed", lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.get("removed", i - 1)["end"]))
     kept = F.zip_with("removed", before, lambda x, s: F.col("text").substr(s + 1, x["start"] - s))
@@ -89,6 +218,16 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     return out.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail)).alias("text"), F.coalesce("removed", nothing).alias("removed"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
 
 
-def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"))
+def _query(spark: SparkSession, sf_dir: str, passage: int) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), passage=passage)
     return out.select("doc_id", "n_removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"), "removed", F.col("text").alias("kept_text"))
+
+
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines alone."""
+    return _query(spark, sf_dir, 0)
+
+
+def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, and passages within them."""
+    return _query(spark, sf_dir, PASSAGE)

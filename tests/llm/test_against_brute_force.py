@@ -325,3 +325,33 @@ def test_nearest_in_dense_group(spark):
         (inside if q in set(group) else outside).append(len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
     print("recall", len(inside), np.mean(inside), len(outside), np.mean(outside))
     assert len(inside) > 10 and np.mean(inside) == 1 and np.mean(outside) == 1
+
+
+def test_passage_dedup(spark):
+    """A 60-word passage in the middle of lines that are otherwise different, and the registered query against all runs."""
+    planted = prose(900, 60)
+    texts = {k: prose(910 + k, 30 + 7 * k) + " " + (planted if k < 4 else planted.upper().replace(" ", "\n", 9)) + f" É{k} " + prose(950 + k, 40) for k in range(6)}
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0
+    for k in range(1, 6):
+        s = len(prose(910 + k, 30 + 7 * k)) + 1
+        assert [tuple(x) for x in got[k].removed] == [(s, s + len(planted))] and got[k].text == texts[k][:s] + texts[k][s + len(planted) :]
+
+
+def test_passage_dedup_whole(spark, sf, docs):
+    from routeloom.llm import queries
+
+    lines = {r.doc_id: [tuple(x) for x in r.removed] for r in line_dedup.op10(spark, sf).collect()}
+    got = {r.doc_id: r for r in queries.queries()["op10_line_dedup"](spark, sf).collect()}
+    seen, more = set(), 0
+    for k in sorted(docs):
+        text = docs[k].text
+        words = [m.span() for m in re.finditer(r"[^ \t\n\r\f\v]+", text)]
+        folded = [text[a:b].lower() for a, b in words]
+        gone, runs = set(), [tuple(folded[i : i + 50]) for i in range(len(words) - 49)]
+        for a, b in lines[k] + [(words[i][0], words[i + 49][1]) for i, x in enumerate(runs) if x in seen]:
+            gone.update(range(a, b))
+        seen.update(runs)
+        more += len(gone) > sum(b - a for a, b in lines[k])
+        assert got[k].kept_text == "".join(c for i, c in enumerate(text) if i not in gone), k
+    assert more > 0
