@@ -328,6 +328,13 @@ def reference_closure(spark, sf_dir):
     return closure.transitive(spark.range(1).select(F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("node")), e).select("root", "node")
 
 
+@query()
+def reference_closure_whole(spark, sf_dir):
+    """Every order as a root, all lineitem edges on real keys; a result of roots times reachable nodes is too large for recursive SQL."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return closure.transitive(e.select(F.col("src").alias("root"), F.col("src").alias("node")), e).select("root", "node")
+
+
 @query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * 7) // 11 AS dst FROM customer WHERE c_custkey % 3 <> 0 AND (c_custkey * 7) // 11 <> c_custkey),
 c AS (SELECT c_custkey AS key, c_custkey AS node FROM customer UNION ALL SELECT c.key, e.dst FROM c JOIN e ON e.src = c.node)
 SELECT key, min(node) AS node FROM c GROUP BY key""")
@@ -337,12 +344,27 @@ def alias_chase(spark, sf_dir):
     return closure.chase(c.select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("node")), e).select("key", "node")
 
 
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * 7) // 11 AS dst FROM customer WHERE (c_custkey * 7) // 11 <> c_custkey),
+c AS (SELECT c_custkey AS key, c_custkey AS node FROM customer UNION ALL SELECT c.key, e.dst FROM c JOIN e ON e.src = c.node)
+SELECT key, min(node) AS node FROM c GROUP BY key""")
+def alias_chase_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    e = c.select(F.col("c_custkey").alias("src"), F.expr("(c_custkey * 7) div 11").alias("dst")).where("dst <> src")
+    return closure.chase(c.select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("node")), e).select("key", "node")
+
+
 @query("""SELECT o_orderkey, coalesce(n, '-') AS prefix FROM orders LEFT JOIN (SELECT DISTINCT c_custkey, n_name AS n FROM customer JOIN nation ON c_nationkey % 5 = n_regionkey WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey""")
 def mount_fan_out(spark, sf_dir):
     mounts = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey % 5 = n_regionkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("prefix"))
     return joins.fan_out(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), mounts, "o_custkey", "prefix").select("o_orderkey", F.coalesce("prefix", F.lit("-")).alias("prefix"))
 
 
+@query("""SELECT o_orderkey, coalesce(n, '-') AS prefix FROM orders LEFT JOIN (SELECT DISTINCT c_custkey, n_name AS n FROM customer JOIN nation ON c_nationkey % 5 = n_regionkey) ON o_custkey = c_custkey""")
+def mount_fan_out_whole(spark, sf_dir):
+    mounts = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey % 5 = n_regionkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("prefix"))
+    return joins.fan_out(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), mounts, "o_custkey", "prefix").select("o_orderkey", F.coalesce("prefix", F.lit("-")).alias("prefix"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, o_orderkey AS hit FROM lineitem LEFT JOIN (SELECT o_custkey, arg_min(o_orderkey, (o_orderpriority, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = l_suppkey""")
 def ranked_lookup(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("l_suppkey"), "o_orderpriority", F.col("o_orderkey").alias("hit"))

@@ -59,3 +59,21 @@ def test_packing_across_blocks(spark):
                 number, now = number + 1, []
             now.append((o, c))
     assert small == want
+
+
+def test_reference_closure_whole(spark, sf):
+    """Every root over all edges, against a plain search."""
+    edges = {}
+    for r in catalog.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").collect():
+        edges.setdefault(r[0], set()).add(r[1])
+    want = set()
+    for root in edges:
+        seen, todo = {root}, [root]
+        while todo:
+            for n in edges.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        want |= {(root, n) for n in seen}
+    got = [tuple(r) for r in catalog.QUERIES["reference_closure_whole"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
