@@ -9,15 +9,23 @@ Two bounds prune before bigrams are built, and lose nothing at a coefficient of
 round; and as ``least / (2 - least)`` of a template's bigrams must occur, a unit
 without any of a few pieces of words, which touch more than the rest of each
 template's bigrams, cannot match. Nothing is shuffled.
+
+``windows`` looks inside units: each template is compared to every run of as many
+words of a text, wherever lines and blocks break (comment marks are no words), so
+a notice is found with words around it, wrapped, or in a comment. It also knows
+full texts and SPDX tags. It runs on Arrow batches, without a shuffle.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +58,14 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# For windows only: full texts, and SPDX tags.
+FULL = [
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")),
+]
 _COMMON = set("a an and any are as at be by can for if in is it its may not of on or that the this to use was with work you".split())
 
 
@@ -114,6 +130,67 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
     return out.select("doc_id", "unit", "place", first.alias("t")).select("doc_id", "unit", "place", "t.license", "t.template", "t.dice")
 
 
+class _Windows:
+    """Templates as sets of bigram numbers, to be compared to every run of as many words as each has."""
+
+    def __init__(self, templates: list[tuple[str, str]], least: float):
+        self.least, self.names = least, [name for name, _ in templates]
+        self.sizes = [len(words(t)) for _, t in templates]
+        self.sets = [bigrams(t) for _, t in templates]
+        self.known = {x: k for k, x in enumerate(sorted(set().union(*self.sets)))}
+        self.member = np.zeros((len(templates), len(self.known) + 1), bool)
+        for row, b in zip(self.member, self.sets):
+            row[[self.known[x] for x in b]] = True
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int, float]]:
+        """(start, end, template, dice): of overlapping windows the best, then the longer, then the first."""
+        spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]
+        w = [text[a:b].lower() for a, b in spans]
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        number = np.array([self.known.get(x, len(self.known)) for x in pairs], np.int64)
+        if not (number < len(self.known)).any():
+            return
+        found = []
+        for t, (size, b) in enumerate(zip(self.sizes, self.sets)):
+            n = min(size - 1, len(pairs))  # a text shorter than the template is one window
+            if not n:
+                continue
+            count = np.concatenate([[0], np.cumsum(self.member[t][number])])
+            # 2 s >= least (|A| + |B|) and |A| >= s leave s >= least / (2 - least) |B|.
+            for i in np.flatnonzero(count[n:] - count[:-n] >= self.least / (2 - self.least) * len(b) - 1e-9):
+                a = set(pairs[i : i + n])
+                dice = 2.0 * len(a.intersection(b)) / (len(a) + len(b))
+                if dice >= self.least:
+                    found.append((-dice, -n, int(i), t))
+        taken = np.zeros(len(w), bool)
+        best = []
+        for dice, n, i, t in sorted(found):
+            if not taken[i : i - n + 1].any():
+                taken[i : i - n + 1] = True
+                best.append((spans[i][0], spans[i - n][1], t, -dice))
+        yield from sorted(best)
+
+
+def windows(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + FULL, least: float = LEAST) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, start, end (code points), license, template (from 0), dice: windows at ``least`` or above.
+
+    Windows of a text do not overlap. Null and empty texts have none; null ids
+    keep their rows. Other columns are ignored.
+    """
+    finder = _Windows(templates, least)
+    keys = stems(finder.sets, least)
+    kind = "doc_id long, start int, end int, license string, template int, dice double"
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, s, e, finder.names[t], t, d) for i, x in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, e, t, d in finder.find(x)]
+            cols = list(zip(*rows)) or [()] * 6
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.float64()))], ["doc_id", "start", "end", "license", "template", "dice"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where(reduce(or_, (F.contains(F.lower("text"), F.lit(k)) for k in keys)))
+    return rows.mapInArrow(run, kind)
+
+
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> str:
     """The same by comparing every unit to every template."""
     rows = ",\n  ".join("('{}', {}, [{}])".format(name, k, ", ".join(f"'{p}'" for p in bigrams(t))) for k, (name, t) in enumerate(templates))
@@ -132,3 +209,7 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, unit, place ORDER BY dice DESC,
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def op7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": ("line_dedup", "op10_whole"),
     "op6_sentencepiece_fst": ("sentencepiece_fst", "op6"),
     "op7_license_dice": ("licenses", "op7"),
+    "op7_license_windows": ("licenses", "op7_windows"),
     "op8_anisotropic_ann": ("anisotropic", "op8"),
 }
 

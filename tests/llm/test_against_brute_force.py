@@ -355,3 +355,24 @@ def test_passage_dedup_whole(spark, sf, docs):
         more += len(gone) > sum(b - a for a, b in lines[k])
         assert got[k].kept_text == "".join(c for i, c in enumerate(text) if i not in gone), k
     assert more > 0
+
+
+def test_license_windows(spark):
+    """Notices that their line or block holds with other words: full texts in comments, words around, wrapped headers, tags."""
+    import textwrap
+
+    full = licenses.FULL[0][1]
+    comment = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 60))
+    texts = {
+        1: "# Copyright (c) 2020 Someone\n#\n" + comment(full, "# ") + "\nimport os\n" + prose(970, 50),
+        2: "Released under the MIT License. See LICENSE for details.",
+        3: "/*\n" + comment(licenses.FULL[2][1], " * ") + "\n */ int main",
+        4: comment("Copyright Someone. " + licenses.TEMPLATES[11][1], "// ") + "\n" + prose(971, 30),
+        5: "x = 1  # SPDX-License-Identifier: Apache-2.0 and more words",
+        6: prose(972, 200),
+        7: prose(973, 80) + " " + full + " " + prose(974, 80),
+    }
+    df = spark.createDataFrame([*texts.items(), (8, None), (9, "")], "doc_id long, text string")
+    got = [(r.doc_id, r.license) for r in licenses.windows(df).collect()]
+    assert sorted(got) == [(1, "MIT"), (2, "MIT"), (3, "BSD-3-Clause"), (4, "GPL-3.0"), (5, "Apache-2.0"), (7, "MIT")]
+    assert not {r.doc_id for r in licenses.scan(df).collect()} & {2, 3, 4, 5, 7}
