@@ -10,7 +10,10 @@ from routeloom.llm import decontaminate, jaccard_join, language_id, secrets, sen
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; texts without a letter (``und``) go."""
-    rows = language_id.predict(docs, language_id.fit(language_id.learnable(docs)))
+    model = language_id.fit(language_id.learnable(docs))
+    if model is None:  # nothing to learn from: no text can be told, and those with a letter stay
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    rows = language_id.predict(docs, model)
     return rows.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 

@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from routeloom.llm import secrets, sentencepiece_fst
 from routeloom.llm.shared import table
@@ -40,3 +42,11 @@ def test_stages_keep_columns(spark, sf):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns, name
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_no_language_known(spark, sf):
+    """Where no row has a language, only texts without a letter go."""
+    docs = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = corpus_pipeline.identify_language(spark, docs, sf)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in got.collect()) == [0, 1, 2, 2, 3, 7, 8, 9, 10, 11, 13, 14]
