@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .closure import settled
+
 # The prompt budget and what one batch may hold.
 BUDGET, RESERVE, MAX_ITEMS, HANDLER_TOKENS, SEPARATOR = 6000, 64, 10, 2000, 2
 EFFECTIVE = BUDGET - RESERVE
@@ -26,115 +28,113 @@ def fit_context(df: DataFrame, group: str, order: str, cost: str, budget: int =
     return total.join(kept, group, "left").select(group, F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), (F.col("_all") - F.coalesce("kept", F.lit(0))).alias("dropped"))
 
 
+def _walk(costs: list[int], count: int, used: int, max_items: int, budget: int) -> tuple[list[int], int, int]:
+    """Batch number of each row (0: the batch open before them), then items and tokens of the batch left open."""
+    number, out = 0, []
+    for c in costs:
+        if count and (count >= max_items or used + c > budget):
+            number, count, used = number + 1, 0, 0
+        count, used = count + 1, used + c
+        out.append(number)
+    return out, count, used
+
+
+def _pieces(parts):
+    """(block, group, costs, orders) of each group in each block, from sorted rows (b, g, o, c) in batches of any size."""
+    held = None
+    for p in parts:
+        for (b, g), q in p.groupby(["b", "g"], sort=False, dropna=False):
+            key = (int(b), None if pd.isna(g) else g)
+            if held is not None and held[0] != key:
+                yield *held[0], held[1], held[2]
+                held = None
+            if held is None:
+                held = (key, [], [])
+            held[1].extend(q["c"].tolist())
+            held[2].extend(q["o"].tolist())
+    if held is not None:
+        yield *held[0], held[1], held[2]
+
+
 def pack_batches(df: DataFrame, group: str, order: str, cost: str, max_items: int = MAX_ITEMS, budget: int = EFFECTIVE, rows_per_block: int = 200_000) -> DataFrame:
     """Greedy batches in order within each group: group, batch (from 0), n_docs, tokens, first (the batch's first order value).
 
     A batch closes when it holds ``max_items`` rows or the next would pass the
-    budget; a row above the budget is a batch of its own. Groups may be of any
-    size: rows are range-partitioned into blocks, and as a batch that is open
-    at a block's start began at most ``max_items`` rows before it, each
-    block is walked once from each of those few states. The walks are linked on
-    the driver (``max_items`` numbers a block and group), then each block emits
-    the batches that begin in it.
+    budget; a row above the budget is a batch of its own; null costs count as 0.
+    Groups may be of any size: rows are range-partitioned into blocks of about
+    ``rows_per_block`` rows, whose numbers are written down once. Only the first
+    group of a block can have begun in an earlier one. A batch open at the
+    block's start then holds one of the few runs of up to ``max_items`` rows
+    before it, and that group is walked once from each. The driver links these
+    walks (at most ``max_items`` + 3 numbers a block), then all blocks emit
+    their batches.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(cost).cast("long").alias("c"))
-    n = max(1, min(2000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    total = rows.count()
-    n = max(1, min(n, -(-total // rows_per_block)))
-    blocks = rows.repartitionByRange(n, "g", "o").sortWithinPartitions("g", "o").withColumn("b", F.spark_partition_id())
-
-    def tails(parts):
-        """The last max_items rows of each group in each block, and its number of rows."""
-        last: dict = {}
-        size: dict = {}
-        b = None
-        for p in parts:
-            for g, q in p.groupby("g", sort=False, dropna=False):
-                g = None if pd.isna(g) else g
-                b = int(q["b"].iloc[0])
-                last[g] = (last.get(g, []) + q["c"].tail(max_items).tolist())[-max_items:]
-                size[g] = size.get(g, 0) + len(q)
-        if b is not None:
-            yield pd.DataFrame({"b": b, "g": list(last), "size": list(size.values()), "tail": [list(map(int, x)) for x in last.values()]})
-
-    edges = {}
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("c"))
+    n = max(1, -(-rows.count() // rows_per_block))
     if n > 1:
-        for r in blocks.mapInPandas(tails, "b int, g string, size long, tail array<long>").collect():
-            edges[(r.b, r.g)] = r
-    before: dict = {}
-    seen: dict = {}
-    for b, g in sorted(edges, key=lambda x: x[0]):
-        before[(b, g)] = seen.get(g, [])
-        seen[g] = (seen.get(g, []) + list(edges[(b, g)].tail))[-max_items:]
-
-    def walk(costs, head):
-        """Begins of batches (places in costs) with their items and tokens; head: the rows of the open batch."""
-        out, count, used, first = [], len(head), sum(head), -1
-        for k, c in enumerate(costs):
-            if count and (count >= max_items or used + c > budget):
-                out.append((first, count, used))
-                count, used, first = 0, 0, k
-            elif not count:
-                first = k
-            count, used = count + 1, used + c
-        return out, (count, used, first)
-
-    def exits(parts):
-        for b, g, costs in gathered(parts):
-            tail = before.get((b, g), [])
-            for j in range(len(tail) + 1):
-                out, (count, _, _) = walk(costs, tail[len(tail) - j :])
-                yield pd.DataFrame({"b": [b], "g": [g], "j": [j], "batches": [len(out)], "open": [count]})
-
-    def gathered(parts):
-        held = None
-        for p in parts:
-            for g, q in p.groupby("g", sort=False, dropna=False):
-                g = None if pd.isna(g) else g
-                if held is not None and held[1] != g:
-                    yield held
-                    held = None
-                held = (int(q["b"].iloc[0]), g, q["c"].tolist()) if held is None else (held[0], g, held[2] + q["c"].tolist())
-        if held is not None:
-            yield held
-
-    state: dict = {}
-    done: dict = {}
+        rows = settled(rows.repartitionByRange(n, "g", "o").withColumn("b", F.spark_partition_id()))
+    else:
+        rows = rows.withColumn("b", F.lit(0))
+    blocks = rows.repartition(n, "b").sortWithinPartitions("b", "g", "o", "c")
+
+    def border(parts):
+        """Of each block: number, first and last group, whether they are one, and the last ``max_items`` costs."""
+        now = None
+        for b, g, costs, _ in _pieces(parts):
+            if now is not None and now[0] != b:
+                yield pd.DataFrame([now], columns=["b", "first", "last", "tail"])
+                now = None
+            now = [b, g, g, costs[-max_items:]] if now is None else [b, now[1], g, costs[-max_items:]]
+        if now is not None:
+            yield pd.DataFrame([now], columns=["b", "first", "last", "tail"])
+
+    heads: dict[int, list[int]] = {}  # the costs before a block that belong to its first group
+    state: dict[int, tuple[int, int]] = {}  # batches of that group begun before the block, and items of the open one
     if n > 1:
-        step = {(r.b, r.g, r.j): (r.batches, r.open) for r in blocks.mapInPandas(exits, "b int, g string, j int, batches long, open int").collect()}
-        now: dict = {}
-        for b, g in sorted({(b, g) for b, g, _ in step}, key=lambda x: x[0]):
-            j, count = now.get(g, (0, 0))
-            state[(b, g)], done[(b, g)] = j, count
-            closed, open_ = step[(b, g, j)]
-            now[g] = (open_, count + closed)
-    following = {}
-    for (b, g), j in state.items():
-        later = sorted(x for x, y in state if y == g and x > b)
-        following[(b, g)] = later[0] if later else None
+        edge = sorted(blocks.mapInPandas(border, "b int, first string, last string, tail array<long>").collect(), key=lambda r: r.b)
+        for k, r in enumerate(edge[1:], 1):
+            if edge[k - 1]["last"] == r["first"]:
+                whole = edge[k - 1]["first"] == edge[k - 1]["last"]  # the block before may hold the end of a yet earlier one
+                heads[r.b] = ((heads.get(edge[k - 1].b, []) if whole else []) + list(edge[k - 1].tail))[-max_items:]
+
+        def exits(parts):
+            """Of the first and the last group of each block: batches begun and items left open, from each state of the first."""
+            seen, last = None, None
+            for b, g, costs, _ in _pieces(parts):
+                if seen != b:
+                    if last is not None:
+                        yield pd.DataFrame([last], columns=["b", "j", "begun", "open"])
+                    seen, last, head = b, None, heads.get(b, [])
+                    out = []
+                    for j in range(len(head) + 1):
+                        number, count, _ = _walk(costs, j, sum(head[len(head) - j :]), max_items, budget)
+                        out.append((b, j, number[-1] + (j == 0), count))
+                    yield pd.DataFrame(out, columns=["b", "j", "begun", "open"])
+                else:
+                    number, count, _ = _walk(costs, 0, 0, max_items, budget)
+                    last = (b, -1, number[-1] + 1, count)
+            if last is not None:
+                yield pd.DataFrame([last], columns=["b", "j", "begun", "open"])
+
+        step = {(r.b, r.j): (r.begun, r.open) for r in blocks.mapInPandas(exits, "b int, j int, begun long, open int").collect()}
+        before, left = 0, 0
+        for r in edge:
+            before, left = (before, left) if r.b in heads else (0, 0)
+            state[r.b] = (before, left)
+            begun, open_ = step[(r.b, left)]
+            before, left = (before + begun, open_) if r["first"] == r["last"] else step[(r.b, -1)]
 
     def emit(parts):
-        """Partial batches: (group, batch number, items, tokens); a batch that crosses blocks is summed afterwards."""
-        held = None
-        for p in parts:
-            for (g, b), q in p.groupby(["g", "b"], sort=False, dropna=False):
-                g, b = None if pd.isna(g) else g, int(b)
-                costs, orders = q["c"].tolist(), q["o"].tolist()
-                if held is None or held[0] != g:
-                    tail = before.get((b, g), [])
-                    j = state.get((b, g), 0)
-                    held = [g, done.get((b, g), 0), j, sum(tail[len(tail) - j :]) if j else 0]
-                number, count, used, out = held[1], held[2], held[3], []
-                for c, o in zip(costs, orders):
-                    new = not count
-                    if count and (count >= max_items or used + c > budget):
-                        number, count, used, new = number + 1, 0, 0, True
-                    count, used = count + 1, used + c
-                    out.append((g, number, 1, c, o if new else None))
-                held[1:] = [number, count, used]
-                d = pd.DataFrame(out, columns=["g", "batch", "n", "c", "first"])
-                yield d.groupby("batch", as_index=False).agg({"n": "sum", "c": "sum", "first": "first"}).assign(g=g)[["g", "batch", "n", "c", "first"]]
+        """Rows of batches; a batch that crosses blocks is summed afterwards."""
+        seen = None
+        for b, g, costs, orders in _pieces(parts):
+            begun, j = state.get(b, (0, 0)) if seen != b else (0, 0)
+            seen, head = b, heads.get(b, [])
+            number, _, _ = _walk(costs, j, sum(head[len(head) - j :]) if j else 0, max_items, budget)
+            base = begun - 1 if j else begun
+            d = pd.DataFrame({"batch": [base + k for k in number], "n": 1, "c": costs, "first": orders})
+            yield d.groupby("batch", as_index=False).agg({"n": "sum", "c": "sum", "first": "first"}).assign(g=g)[["g", "batch", "n", "c", "first"]]
 
     kind = f"g string, batch long, n long, c long, first {df.schema[order].dataType.simpleString()}"
     parts = blocks.mapInPandas(emit, kind)

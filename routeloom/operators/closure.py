@@ -13,16 +13,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names (one of our own, where it is unset)."""
+    """df as a table in the folder that spark.checkpoint.dir names; where it is unset and all run on this machine, in one of our own."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="routeloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="routeloom-")
+        where = _own[app]
     path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``settled`` wrote, once nothing reads it any more."""
+    path = getattr(df, "_settled_path", None)
+    if path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def transitive(roots: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:
@@ -45,18 +62,25 @@ def transitive(roots: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame
     return seen
 
 
-def chase(start: DataFrame, edges: DataFrame, most: int = 128) -> DataFrame:
+def chase(start: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Single out-edge chains: start (key, node) -> (key, node, error): where each chain ends; ``cycle`` where it does not.
 
-    Pointer doubling: rounds are logarithmic in the longest chain.
+    Pointer doubling: after k rounds a pointer spans 2^k edges, and rounds stop
+    when no pointer moves among nodes that are not known to end. A chain that
+    is longer than the table has rows is a cycle, so the number of rounds is
+    the logarithm of the table's size, whatever the chains' lengths.
     """
     jump = settled(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    for _ in range(max(1, most.bit_length())):
+    stuck = edges.select(F.col("src").alias("_s")).distinct()
+    for _ in range(max(1, min(most_rounds, int(jump.count()).bit_length()))):
         far = jump.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        new = settled(jump.join(far, "b", "left").select("a", F.coalesce("c", "b").alias("b")))
-        jump = new
+        new = settled(jump.join(far, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")))
+        forget(jump)
+        jump = new.drop("moved")
+        jump._settled_path = new._settled_path
+        if new.where("moved").isEmpty():
+            break
     ends = start.join(jump, start["node"] == jump["a"], "left").select("key", F.coalesce("b", "node").alias("node"))
-    stuck = edges.select(F.col("src").alias("_s")).distinct()
     return ends.join(stuck, ends["node"] == stuck["_s"], "left").select("key", F.when(F.col("_s").isNull(), F.col("node")).alias("node"), F.when(F.col("_s").isNotNull(), "cycle").alias("error"))
 
 

@@ -61,6 +61,28 @@ def test_packing_across_blocks(spark):
     assert small == want
 
 
+def test_packing_shuffled_blocks(spark):
+    """More rows than range partitioning samples, dealt at random, in many blocks: three groups, one of them a third and one null."""
+    import random
+
+    from routeloom.operators.budget import pack_batches
+
+    r = random.Random(2)
+    rows = [(r.choice(["a", "b", None]) if k % 3 else "a", k, r.choice([1, 50, 400, 6500])) for k in range(60_000)]
+    want = {}
+    for g, o, c in rows:
+        b = want.setdefault(g, [])
+        if not b or b[-1][0] >= 10 or b[-1][1] + c > 5936:
+            b.append([0, 0, o])
+        b[-1][0] += 1
+        b[-1][1] += c
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o long, c long").repartition(7)
+    got = pack_batches(df, "g", "o", "c", rows_per_block=2000).collect()
+    assert len(got) == sum(map(len, want.values()))
+    assert {tuple(x) for x in got} == {(g, k, *x) for g, b in want.items() for k, x in enumerate(b)}
+
+
 def test_reference_closure_whole(spark, sf):
     """Every root over all edges, against a plain search."""
     edges = {}
