@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import remainder, table
+from .shared import remainder, table, without
 
 FIT_CHARS, MAX_LANGUAGES, LONGEST, PENALTY, UNDETERMINED = 16_000_000, 500, 5, 7.0, "und"
 _letters: list[np.ndarray] = []
@@ -185,10 +185,14 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model | None:
     return Model(langs, rows / rows.sum(), tables)
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs, all columns, with lang_pred string and score double; ``und`` and 0 for texts that are null or without a letter."""
+def predict(docs: DataFrame, model: Model | None, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs, all columns, with ``label`` string and ``score`` double; ``und`` and 0 for texts that are null or without a letter.
+
+    Columns of docs that already have one of these names, in any case, are replaced.
+    """
+    docs = without(docs, label, score)
     if model is None:
-        return docs.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
+        return docs.withColumn(label, F.lit(UNDETERMINED)).withColumn(score, F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -199,9 +203,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 x, y = shared.value.predict(c)
                 langs += x
                 scores.append(y)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*b.schema.names, label, score])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(label, T.StringType()), T.StructField(score, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

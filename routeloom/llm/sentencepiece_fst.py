@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .shared import table
+from .shared import table, without
 
 MODEL, BLANK, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 0x2581, 200_000
 NORMAL, UNKNOWN, BYTE, USER, UNUSED = 1, 2, 6, 4, 5
@@ -386,7 +386,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     Null and empty texts have no ids and round_trip true. ``model`` is read once
     on the driver; a vocabulary file's size bounds what is broadcast. Texts that
     hold U+2581, or blanks that the model removes, do not come back unchanged.
+    Columns of docs that already have one of the three names are replaced.
     """
+    docs = without(docs, "ids", "n_pieces", "round_trip")
     place = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(_model_bytes(model))
 
@@ -414,7 +416,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
-    """rows, all columns but ids, with decoded: the text of ``ids`` (empty for null)."""
+    """rows, all columns but ids, with decoded (which replaces a column of that name): the text of ``ids`` (empty for null)."""
+    rows = without(rows, "decoded")
     place = rows.columns.index("ids")
     shared = rows.sparkSession.sparkContext.broadcast(_model_bytes(model))
 
