@@ -3,8 +3,12 @@
 A unit is a line (or a paragraph: lines between blank ones). It is normalised to
 its lower-cased words joined by single spaces; units of fewer than
 ``min_words`` words are left alone. Of equal units the occurrence with the
-lowest (doc_id, offset) stays; the others are removed. Offsets are code points
-of the original text, ends exclusive; a removed unit takes its line break along.
+lowest (doc_id, offset) stays; the others are repeats. Repeats are removed where
+they stand together: in a run of consecutive repeats (units under ``min_words``
+neither count nor interrupt) of at least ``run_words`` words. So a repeated
+passage goes and a customary line that many documents share by itself stays;
+``run_words`` 0 removes every repeat. Offsets are code points of the original
+text, ends exclusive; a removed unit takes its line break along.
 
 Passages that repeat across documents but not as units (in the middle of longer
 lines, or broken otherwise) are found by runs of ``passage`` words, line breaks
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import table, written
 
-MIN_WORDS, PASSAGE = 5, 50
+MIN_WORDS, RUN_WORDS, PASSAGE = 5, 50, 50
+_LINES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("words", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64())])
 _UNITS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64())])
 
 
@@ -71,7 +76,8 @@ def _units(min_words: int, paragraphs: bool):
                 points = np.concatenate([[0], np.cumsum((plain.buf & 0xC0) != 0x80)])
                 doc = np.searchsorted(plain.off, start[full], "right") - 1
                 base = points[plain.off[doc]]
-                yield tk.rows_to_batch({"doc_id": ids[c.row + doc].astype(np.int64), "version": versions[c.row + doc], "start": (points[start[full]] - base).astype(np.int32), "end": (points[end[full]] - base).astype(np.int32), "h0": h[0], "h1": h[1]}, _UNITS)
+                place = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                yield tk.rows_to_batch({"doc_id": ids[c.row + doc].astype(np.int64), "version": versions[c.row + doc], "start": (points[start[full]] - base).astype(np.int32), "end": (points[end[full]] - base).astype(np.int32), "place": place.astype(np.int32), "words": (last - first)[full].astype(np.int32), "h0": h[0], "h1": h[1]}, _LINES)
 
     return run
 
@@ -176,25 +182,47 @@ def _merged(batches):
         yield pa.record_batch([b.column("doc_id"), b.column("version"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pairs)], ["doc_id", "version", "removed"])
 
 
+def _together(run_words: int):
+    """Repeats of a document (start, end, place, words), in order: those in runs of consecutive places of ``run_words`` words."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("removed")
+            spans, size = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+            start, end, place, words = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
+            doc = np.repeat(np.arange(b.num_rows), size)
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)
+            group = np.cumsum(new) - 1
+            keep = np.bincount(group, words)[group] >= run_words if len(group) else new
+            off = np.searchsorted(doc[keep], np.arange(b.num_rows + 1))
+            pairs = pa.StructArray.from_arrays([pa.array(start[keep].astype(np.int32)), pa.array(end[keep].astype(np.int32))], ["start", "end"])
+            out = pa.record_batch([b.column("doc_id"), b.column("version"), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pairs)], ["doc_id", "version", "removed"])
+            yield out.filter(pa.array(np.diff(off) > 0))
+
+    return run
+
+
 def _passages(rows: DataFrame, lines: DataFrame, passage: int) -> DataFrame:
     """rows (doc_id, text, version), lines (doc_id, version, removed) -> doc_id, version, removed with repeated passages too."""
     doc = F.struct("doc_id", "version")
     samples = written(rows.mapInArrow(_samples(passage), "doc_id long, version long, at int, start int, end int, h long"), "samples")
-    twice = samples.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h", "first")
+    # As tables, so that adaptive execution may split the joins where a sample or a run is frequent.
+    twice = written(samples.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h", "first"), "twice")
     hits = written(samples.join(twice, "h"), "hits")
     # Samples whose later surroundings went with their lines need no digests.
     gone = F.aggregate("removed", F.lit(0), lambda n, x: n + F.greatest(F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start")), F.lit(0)))
     live = hits.where(doc > F.col("first")).join(lines, ["doc_id", "version"], "left").where(F.coalesce(gone, F.lit(0)) < F.col("end") - F.col("start")).select("h").distinct()
     places = hits.join(live, "h", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("at").alias("places"))
     runs = written(rows.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(_around(passage), "doc_id long, version long, start int, end int, h0 long, h1 long"), "runs")
-    first = runs.groupBy("h0", "h1").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h0", "h1", "first")
+    first = written(runs.groupBy("h0", "h1").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h0", "h1", "first"), "first")
     late = runs.join(first, ["h0", "h1"]).where(doc > F.col("first")).select("doc_id", "version", F.struct("start", "end").alias("x"))
     both = late.unionByName(lines.select("doc_id", "version", F.explode("removed").alias("x")))
     spans = both.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("x")).alias("removed"))
     return spans.mapInArrow(_merged, "doc_id long, version long, removed array<struct<start:int,end:int>>")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False, passage: int = PASSAGE) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False, passage: int = PASSAGE, run_words: int = RUN_WORDS) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text (what stays), removed: array of (start, end), n_removed.
 
     One row per input row. Null ids, null and empty texts pass unchanged (null
@@ -203,11 +231,12 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     passages alone.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("version", F.xxhash64("text"))
-    units = written(docs.where("doc_id is not null and text is not null").mapInArrow(_units(min_words, paragraphs), "doc_id long, version long, start int, end int, h0 long, h1 long"), "units")
-    place = F.struct("doc_id", "version", "start")
-    first = written(units.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h0", "h1", "first"), "firsts")
-    gone = units.join(first, ["h0", "h1"]).where(place > F.col("first"))
-    spans = written(gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("removed")), "spans")
+    units = written(docs.where("doc_id is not null and text is not null").mapInArrow(_units(min_words, paragraphs), "doc_id long, version long, start int, end int, place int, words int, h0 long, h1 long"), "units")
+    at = F.struct("doc_id", "version", "start")
+    first = written(units.groupBy("h0", "h1").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("h0", "h1", "first"), "firsts")
+    gone = units.join(first, ["h0", "h1"]).where(at > F.col("first"))
+    spans = gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end", "place", "words"))).alias("removed"))
+    spans = written(spans.mapInArrow(_together(run_words), "doc_id long, version long, removed array<struct<start:int,end:int>>"), "spans")
     if passage:
         spans = written(_passages(docs.where("doc_id is not null and text is not null"), spans, passage), "passages")
     out = docs.join(spans, ["doc_id", "version"], "left")
@@ -218,16 +247,21 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     return out.select("doc_id", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), tail)).alias("text"), F.coalesce("removed", nothing).alias("removed"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"))
 
 
-def _query(spark: SparkSession, sf_dir: str, passage: int) -> DataFrame:
-    out = line_dedup(table(spark, sf_dir, "documents"), passage=passage)
+def _query(spark: SparkSession, sf_dir: str, passage: int, run_words: int) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"), passage=passage, run_words=run_words)
     return out.select("doc_id", "n_removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"), "removed", F.col("text").alias("kept_text"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines alone."""
-    return _query(spark, sf_dir, 0)
+    """Every repeated line, and nothing else."""
+    return _query(spark, sf_dir, 0, 0)
 
 
 def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines, and passages within them."""
-    return _query(spark, sf_dir, PASSAGE)
+    """Every repeated line, and passages within lines."""
+    return _query(spark, sf_dir, PASSAGE, 0)
+
+
+def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated lines of fifty words or more, and passages within lines."""
+    return _query(spark, sf_dir, PASSAGE, RUN_WORDS)

@@ -12,7 +12,7 @@ QUERIES = {
     "op4_secret_links": ("secrets", "op4"),
     "op5_nb_svm_quality": ("quality", "op5"),
     "op9_word_backoff_language": ("language_id", "op9"),
-    "op10_line_dedup": ("line_dedup", "op10_whole"),
+    "op10_line_dedup": ("line_dedup", "op10_runs"),
     "op6_sentencepiece_fst": ("sentencepiece_fst", "op6"),
     "op7_license_dice": ("licenses", "op7"),
     "op7_license_windows": ("licenses", "op7_windows"),

@@ -63,6 +63,30 @@ def test_jaccard_join_splits_buckets_and_tiles_components(spark, monkeypatch):
     assert all(got[k].class_id == k for k in range(90, 200))
 
 
+def test_jaccard_join_repeated_ids(spark):
+    """One id with two texts, each with a near copy under another id; classes and links by rows, not by ids."""
+    a, b = prose(31, 80).split(" "), prose(32, 80).split(" ")
+    near = lambda w: " ".join([*w[:40], "changed", *w[41:]])
+    rows = [(1, " ".join(a)), (2, near(a)), (2, " ".join(b)), (3, near(b)), (2, " ".join(b)), (4, prose(33, 80))]
+    df = spark.createDataFrame([(*x, "e") for x in rows], "doc_id long, text string, class_id string")
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.n_class_links) for r in jaccard_join.jaccard_join(df).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (2, 2, 2, 1), (2, 2, 2, 1), (3, 2, 2, 1), (4, 4, 0, 0)]
+    kept = jaccard_join.keep_first(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([rows[0], rows[2], rows[5]])
+
+
+def test_jaccard_join_loose_chains(spark, monkeypatch):
+    """A chain of sets, each at about 0.6 of the next, with a few true links: wide sketches part it, nothing is lost."""
+    r = random.Random(12)
+    words = [f"w{k}" for k in range(1400)]
+    texts = {k: " ".join(words[6 * k : 6 * k + 30]) for k in range(200)}
+    texts |= {1000 + k: texts[k] + f" more{k}" for k in r.sample(range(200), 30)}
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    got = {x.doc_id: x for x in jaccard_join.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    want = links(texts)
+    assert {k: len(want[k]) for k in texts} == {k: x.n_links for k, x in got.items()} and sum(map(len, want.values())) >= 60
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(1000, 1000 + k) for k in range(1, 300)] + [(r.randrange(2000, 2100), r.randrange(2000, 2100)) for _ in range(60)]
@@ -338,11 +362,66 @@ def test_passage_dedup(spark):
         assert [tuple(x) for x in got[k].removed] == [(s, s + len(planted))] and got[k].text == texts[k][:s] + texts[k][s + len(planted) :]
 
 
-def test_passage_dedup_whole(spark, sf, docs):
+def test_line_runs(spark, sf, docs):
+    """The registered query: runs of repeated lines of fifty words, in place of every repeated line; then passages."""
     from routeloom.llm import queries
 
-    lines = {r.doc_id: [tuple(x) for x in r.removed] for r in line_dedup.op10(spark, sf).collect()}
+    lines = {r.doc_id: {tuple(x) for x in r.removed} for r in line_dedup.op10(spark, sf).collect()}
     got = {r.doc_id: r for r in queries.queries()["op10_line_dedup"](spark, sf).collect()}
+    seen, some = set(), 0
+    for k in sorted(docs):
+        text, at, runs = docs[k].text, 0, [[0, []]]
+        for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
+            span, n = (at, at + len(line)), len(line.split())
+            if span in lines[k]:
+                runs[-1][0] += n
+                runs[-1][1].append(span)
+            elif n >= line_dedup.MIN_WORDS:
+                runs.append([0, []])
+            at += len(line)
+        spans = [x for n, part in runs if n >= 50 for x in part]
+        some += bool(spans)
+        words = [m.span() for m in re.finditer(r"[^ \t\n\r\f\v]+", text)]
+        folded = [text[a:b].lower() for a, b in words]
+        parts = [tuple(folded[i : i + 50]) for i in range(len(words) - 49)]
+        gone = set()
+        for a, b in spans + [(words[i][0], words[i + 49][1]) for i, x in enumerate(parts) if x in seen]:
+            gone.update(range(a, b))
+        seen.update(parts)
+        assert got[k].kept_text == "".join(c for i, c in enumerate(text) if i not in gone), k
+    assert some > 0
+
+
+def test_line_runs_small(spark):
+    """Lines in runs, with short lines between; a customary line alone; the same run twice in one text; paragraphs."""
+    lines = [prose(60 + k, 20) for k in range(9)]
+    first = "\n".join(lines[:3]) + "\n" + lines[5] + "\n"
+    rows = [(1, first), (2, lines[5] + "\n" + prose(70, 20)), (3, lines[2] + "\n\nshort\n" + lines[0].upper() + "\n" + lines[5] + "\n" + lines[6]), (4, lines[7] + " " + lines[8] + " x\n\n" + prose(71, 9) + "\n\n" + lines[7] + "\n" + lines[8] + " X\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r.doc_id: r.text for r in line_dedup.line_dedup(df, passage=0).collect()}
+    assert plain == {1: rows[0][1], 2: rows[1][1], 3: "\nshort\n" + lines[6], 4: rows[3][1]}
+    every = {r.doc_id: r.text for r in line_dedup.line_dedup(df, passage=0, run_words=0).collect()}
+    assert every == plain | {2: prose(70, 20)}
+    blocks = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(df, passage=0, paragraphs=True, run_words=30).collect()}
+    assert blocks == {1: 0, 2: 0, 3: 0, 4: 1}
+
+
+def test_paragraphs(spark, sf, docs):
+    first = {}
+    got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, sf, "documents"), paragraphs=True, passage=0, run_words=0).collect()}
+    for k in sorted(docs):
+        text, out, at = docs[k].text, [], 0
+        for m in re.finditer(r"(?:[^\n]*\n)*?[^\n]*\n(?:[ \t\r\f\v]*\n)+|(?:.|\n)+$", text):
+            w = tuple(m[0].lower().split())
+            if not (len(w) >= line_dedup.MIN_WORDS and first.setdefault(w, (k, at)) != (k, at)):
+                out.append(m[0])
+            at = m.end()
+        assert got[k].text == "".join(out), k
+
+
+def test_passage_dedup_whole(spark, sf, docs):
+    lines = {r.doc_id: [tuple(x) for x in r.removed] for r in line_dedup.op10(spark, sf).collect()}
+    got = {r.doc_id: r for r in line_dedup.op10_whole(spark, sf).collect()}
     seen, more = set(), 0
     for k in sorted(docs):
         text = docs[k].text
