@@ -20,9 +20,9 @@ def _state(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """edges (u, v) of longs -> (node, label): each node that has an edge, with the lowest node it reaches.
 
-    Every step is an aggregation with map-side combine and one join, so a hub
-    of any degree is a row per partition, and the join is one that adaptive
-    execution may split. The number of steps grows with the logarithm of the
+    Every step is an aggregation with map-side combine and one join. The lowest
+    neighbours are written before they are joined, so both sides of the join are
+    plain exchanges, which adaptive execution splits where a hub has many rows. The number of steps grows with the logarithm of the
     diameter; it raises if ``most_rounds`` do not suffice.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
@@ -30,12 +30,13 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     before = _state(now)
     for _ in range(most_rounds):
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = written(sym.join(_lowest(sym), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = _lowest(large)  # the lowest of each node's lower neighbours
+        least = written(_lowest(sym), "least")
+        large = written(sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(_lowest(large), "low")  # the lowest of each node's lower neighbours
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        forget(now)
-        forget(large)
+        for x in (now, least, large, low):
+            forget(x)
         now, after = new, _state(new)
         if after == before:
             break

@@ -4,23 +4,30 @@ Documents are sets of word five-grams (a text of one to four words is one
 shingle of all its words; a null or blank text has none and links to nothing).
 Words are lower-cased runs between ASCII white space.
 
-1. Equal sets form a class; the lowest doc_id represents it.
-2. Each of ``runs`` runs samples about 1/``spread`` shingles of every
-   representative by hash threshold; representatives that sampled the same
-   shingle meet in a bucket. A bucket above ``small`` is split again on the next
-   level's sampled shingles (its members' paths grow by one), up to ``levels``.
+1. Equal sets form a class, which the row of lowest (doc_id, hash of the text)
+   represents. Classes get numbers of their own, so ids may repeat.
+2. Each run samples about 1/``spread`` shingles of every representative by hash
+   threshold; representatives that sampled the same shingle meet in a bucket. A
+   bucket above ``small`` is split again on the next level's sampled shingles
+   (its members' paths grow by one), up to ``levels``. There are as many runs as
+   the target ``recall`` takes.
 3. Buckets are brute-forced on 128-bit one-bit minwise sketches, large ones in
-   tiles of bounded size. What may be similar is joined to components.
+   tiles of bounded size. What may be similar is joined to components. Members
+   of components that do not fit one tile are compared again in their buckets
+   on 1024-bit sketches, so that chains of loosely similar sets fall apart.
 4. Inside a component every pair is compared by exact Jaccard, in tiles; a pair
    that no run had brought together is found here too. Tiles give each member
    its number of links and the lowest member it reaches, never a row per pair.
 
 A pair at similarity 0.8 is missed by one run with probability of at most 0.14
-(two shared samples expected), by eight with 1e-7; in split buckets with 1e-4.
+(two shared samples expected), by the eight runs of the default recall with
+1e-7; in split buckets with 1e-4.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,15 +35,16 @@ from pyspark.sql import functions as F
 
 from . import textkit as tk
 from .components import components
-from .shared import forget, written
+from .shared import forget, unused, written
 
-WORDS, SIMILARITY, RUNS, LEVELS, SPREAD, SMALL = 5, 0.8, 8, 3, 0.4, 4096
-SKETCH_BITS, TILE, TILE_TOKENS = 128, 512, 400_000
+WORDS, SIMILARITY, RECALL, LEVELS, SPREAD, SMALL = 5, 0.8, 1 - 2e-7, 3, 0.4, 4096
+MISS, MOST_RUNS = 0.14, 16  # of one run, at the similarity; the run is four bits of a key
+SKETCH_BITS, WIDE_BITS, TILE, TILE_TOKENS = 128, 1024, 512, 400_000
 _RNG = np.random.default_rng(20240117)
-_A = _RNG.integers(1 << 31, 1 << 32, SKETCH_BITS, dtype=np.uint32) | np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, SKETCH_BITS, dtype=np.uint32)
-_S = _RNG.integers(0, 1 << 63, (16, 8), dtype=np.uint64)
-_FEATURES = "doc_id long, d0 long, d1 long, n int, s0 long, s1 long, l1 array<long>, l2 array<long>, l3 array<long>"
+_A = _RNG.integers(1 << 31, 1 << 32, WIDE_BITS, dtype=np.uint32) | np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, WIDE_BITS, dtype=np.uint32)
+_S = _RNG.integers(0, 1 << 63, (MOST_RUNS, 8), dtype=np.uint64)
+_FEATURES = "doc_id long, version long, d0 long, d1 long, n int, s0 long, s1 long, l1 array<long>, l2 array<long>, l3 array<long>"
 _MASK = tk.U64((1 << 60) - 1)
 
 
@@ -74,23 +82,23 @@ def _sample(x: np.ndarray, off: np.ndarray, runs: int, level: int, spread: float
     return keys[order].view(np.int64), np.searchsorted(docs[order], np.arange(len(size) + 1))
 
 
-def _sketch(x: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """(n, 2) words of one-bit minwise sketches; zeros for empty sets."""
+def _sketch(x: np.ndarray, off: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """(n, bits / 64) words of one-bit minwise sketches; zeros for empty sets."""
     size = np.diff(off)
     full = np.flatnonzero(size)
-    out = np.zeros((len(size), SKETCH_BITS), bool)
+    out = np.zeros((len(size), bits), bool)
     if len(full):
         low = (x ^ (x >> tk.U64(23))).astype(np.uint32)
-        for k in range(SKETCH_BITS):
+        for k in range(bits):
             t = low * _A[k]
             t += _B[k]
             t ^= t >> np.uint32(16)
             out[full, k] = (np.minimum.reduceat(t, off[:-1][full]) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(out, axis=1).view(np.int64).reshape(-1, 2)
+    return np.packbits(out, axis=1).view(np.int64).reshape(-1, bits // 64)
 
 
 def _features(runs: int, spread: float, words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), *((f"l{k}", pa.list_(pa.int64())) for k in (1, 2, 3))])
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), *((f"l{k}", pa.list_(pa.int64())) for k in (1, 2, 3))])
 
     def run(batches):
         for b in batches:
@@ -102,7 +110,7 @@ def _features(runs: int, spread: float, words: int):
                     np.cumsum(tk.mix(x + tk.U64(k * 0x51ED27 + 77)), out=h[k, 1:])
                 d = tk.mix(h[:, off[1:]] - h[:, off[:-1]] + size.astype(tk.U64)).view(np.int64)
                 s = _sketch(x, off)
-                yield tk.rows_to_batch({"doc_id": b.column("doc_id").slice(c.row, c.n), "d0": d[0], "d1": d[1], "n": size.astype(np.int32), "s0": np.ascontiguousarray(s[:, 0]), "s1": np.ascontiguousarray(s[:, 1]), **{f"l{k}": tk.lists(*_sample(x, off, runs, k, spread)) for k in (1, 2, 3)}}, schema)
+                yield tk.rows_to_batch({"doc_id": b.column("doc_id").slice(c.row, c.n), "version": b.column("version").slice(c.row, c.n), "d0": d[0], "d1": d[1], "n": size.astype(np.int32), "s0": np.ascontiguousarray(s[:, 0]), "s1": np.ascontiguousarray(s[:, 1]), **{f"l{k}": tk.lists(*_sample(x, off, runs, k, spread)) for k in (1, 2, 3)}}, schema)
 
     return run
 
@@ -129,15 +137,15 @@ def _labels(near: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _near(similarity: float):
+def _near(similarity: float, bits: int = SKETCH_BITS):
     """Brute force on sketches over bucket tiles: edges (u, v) that join what may be similar."""
     # Agreement of one-bit sketches has mean (1 + J) / 2; six deviations are left below it.
     p = (1 + similarity) / 2
-    least = int(SKETCH_BITS * p - 6 * (SKETCH_BITS * p * (1 - p)) ** 0.5)
+    least = int(bits * p - 6 * (bits * p * (1 - p)) ** 0.5)
 
     def similar(n, s, i, j):
-        differ = np.bitwise_count(s[..., 0][i] ^ s[..., 0][j]).astype(np.int32) + np.bitwise_count(s[..., 1][i] ^ s[..., 1][j])
-        return (differ <= SKETCH_BITS - least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
+        differ = sum(np.bitwise_count(s[..., k][i] ^ s[..., k][j]).astype(np.int32) for k in range(bits // 64))
+        return (differ <= bits - least) & (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9)
 
     def run(batches):
         for b in batches:
@@ -146,7 +154,11 @@ def _near(similarity: float):
             # In order of ids, so that components of all buckets take the same lowest member as their hub.
             order = np.lexsort((f["rep"].to_numpy(), np.repeat(np.arange(len(size)), size)))
             ids, n = f["rep"].to_numpy()[order], f["n"].to_numpy()[order]
-            s = np.stack([f["s0"].to_numpy()[order], f["s1"].to_numpy()[order]], 1).view(np.uint64)
+            if bits == SKETCH_BITS:
+                s = np.stack([f["s0"].to_numpy()[order], f["s1"].to_numpy()[order]], 1).view(np.uint64)
+            else:
+                wide = f["s"]
+                s = np.frombuffer(b"".join(wide.to_pylist()), np.uint64).reshape(len(wide), -1)[order]
             u, v = [], []
             for m in np.unique(size[(size > 1) & (size <= 24)]):
                 first = off[:-1][size == m]
@@ -238,22 +250,9 @@ def _exact(similarity: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, runs: int = RUNS, levels: int = LEVELS, spread: float = SPREAD, small: int = SMALL) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, class_id, n_links, n_class_links; a row per row with a doc_id.
-
-    class_id: the lowest doc_id of its connected group of links (its own, if it
-    has none); n_links: other rows at or above ``similarity``, copies counted
-    each; n_class_links: other distinct sets. Null ids are left out. Rows that
-    repeat an id count as documents of their own. Other columns are ignored.
-    """
-    assert runs <= 16 and levels <= 3
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
-    feats = written(docs.mapInArrow(_features(runs, spread, words), _FEATURES), "features")
-    classes = written(feats.where("n > 0").groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = feats.join(classes.select("d0", "d1", F.col("rep").alias("doc_id"), "copies"), ["doc_id", "d0", "d1"])
-    reps = written(reps.groupBy("doc_id", "d0", "d1").agg(*(F.first(c).alias(c) for c in ("copies", "n", "s0", "s1", "l1", "l2", "l3"))).withColumnRenamed("doc_id", "rep").drop("d0", "d1"), "reps")
-
-    buckets, made = [], []
+def _meetings(reps: DataFrame, levels: int, small: int, made: list) -> DataFrame:
+    """reps (rep, l1, l2, l3) -> (rep, key, size): the buckets they meet in; tables on the way are added to ``made``."""
+    buckets = []
     paths = reps.select("rep", F.explode("l1").alias("key"))
     for level in range(1, levels + 1):
         paths = written(paths, "paths")
@@ -273,29 +272,107 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     met = buckets[0]
     for x in buckets[1:]:
         met = met.unionByName(x)
-    met = met.join(reps.select("rep", "n", "s0", "s1"), "rep")
-    tiles = _tiled(met, F.ceil(F.col("size") / small).cast("long"), ["key"]).groupBy("key", "x", "y").agg(F.collect_list(F.struct("rep", "n", "s0", "s1")).alias("members"))
-    edges = written(tiles.select("members").mapInArrow(_near(similarity), "u long, v long").distinct(), "near")
+    return met
+
+
+def _candidates(reps: DataFrame, sketches: DataFrame, columns: tuple, near, levels: int, small: int) -> DataFrame:
+    """(node, label): components of what may be similar, by ``near`` over the buckets that reps meet in."""
+    made: list = []
+    met = _meetings(reps, levels, small, made).join(sketches, "rep")
+    tiles = _tiled(met, F.ceil(F.col("size") / small).cast("long"), ["key"]).groupBy("key", "x", "y").agg(F.collect_list(F.struct(*columns)).alias("members"))
+    edges = written(tiles.select("members").mapInArrow(near, "u long, v long").distinct(), "near")
     for x in made:
         forget(x)
-    comp = written(components(edges), "components")
-
-    active = comp.select(F.col("node").alias("rep"), F.col("label").alias("comp")).join(reps.select("rep", "copies", "n"), "rep")
-    whole = active.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
-    blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("long")
-    active = active.join(whole.select("comp", blocks.alias("blocks")), "comp")
-    texts = docs.join(active.select(F.col("rep").alias("doc_id"), "comp", "copies", "blocks"), "doc_id").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(_sets(words), "rep long, comp long, copies long, blocks long, shingles binary")
+    return written(components(edges), "components")
+
+
+def _joined(docs: DataFrame, words: int, similarity: float, recall: float, levels: int, spread: float, small: int) -> DataFrame:
+    """docs (doc_id, version, text) -> doc_id, version, head (doc_id and version of the class's first row), n_links, n_class_links."""
+    runs = max(1, math.ceil(round(math.log(max(1 - recall, 1e-300)) / math.log(MISS), 6)))
+    if runs > MOST_RUNS or levels > 3:
+        raise ValueError(f"at most {MOST_RUNS} runs (here {runs}) and three levels")
+    feats = written(docs.mapInArrow(_features(runs, spread, words), _FEATURES), "features")
+    of_set = ("n", "s0", "s1", "l1", "l2", "l3")  # equal for equal sets
+    reps = feats.where("n > 0").groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "version")).alias("head"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in of_set))
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    comp = _candidates(reps, reps.select("rep", "n", "s0", "s1"), ("rep", "n", "s0", "s1"), _near(similarity), levels, small)
+
+    def sized(comp):
+        """rep, comp, copies, n, head, and the number of blocks that its component takes."""
+        active = comp.select(F.col("node").alias("rep"), F.col("label").alias("comp")).join(reps.select("rep", "copies", "n", "head"), "rep")
+        whole = active.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"))
+        blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("long")
+        return written(active.join(whole.select("comp", blocks.alias("blocks")), "comp"), "active")
+
+    def texts(rows):
+        """The rows (rep, head and more) with the text of their head."""
+        return docs.join(rows.withColumn("doc_id", F.col("head.doc_id")).withColumn("version", F.col("head.version")), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+
+    active = sized(comp)
+    large = active.where("blocks > 1")
+    if not large.isEmpty():
+        wide = written(texts(large.select("rep", "n", "head")).mapInArrow(_wide(words), "rep long, n int, s binary"), "wide")
+        again = _candidates(reps.join(wide.select("rep"), "rep", "left_semi"), wide, ("rep", "n", "s"), _near(similarity, WIDE_BITS), levels, small)
+        active = sized(active.where("blocks = 1").select(F.col("rep").alias("node"), F.col("comp").alias("label")).unionByName(again))
+    sets = texts(active.drop("n")).mapInArrow(_sets(words), "rep long, comp long, copies long, blocks long, shingles binary")
     tiles = _tiled(sets, F.col("blocks"), ["comp"]).groupBy("comp", "blocks", "x", "y").agg(F.collect_list(F.struct("rep", "copies", "block", "shingles")).alias("members"))
     found = written(tiles.select("blocks", "x", "y", "members").mapInArrow(_exact_keep(similarity), "rep long, label long, links long, class_links long, one boolean"), "links")
     wide = found.where("not one")
     label = found.where("one").select("rep", "label").unionByName(components(wide.select(F.col("rep").alias("u"), F.col("label").alias("v"))).select(F.col("node").alias("rep"), "label"))
+    label = written(label, "labels")
+    first = written(label.join(reps.select("rep", "head"), "rep").groupBy("label").agg(F.min("head").alias("first")), "first")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("class_links").alias("class_links"))
-    of_class = classes.join(links.join(label, "rep"), "rep", "left").select("d0", "d1", F.coalesce("label", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_links", F.lit(0)).cast("long").alias("n_class_links"))
-    of_class = written(of_class, "classes")
-    out = feats.select("doc_id", "d0", "d1", "n").join(of_class, ["d0", "d1"], "left")
-    has = F.col("n") > 0
-    return out.select("doc_id", F.when(has, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(has, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(has, F.col("n_class_links")).otherwise(F.lit(0)).cast("long").alias("n_class_links"))
+    linked = links.join(label.join(first, "label").select("rep", "first"), "rep")
+    of_class = reps.select("rep", "d0", "d1", "head", "copies").join(linked, "rep", "left")
+    of_class = written(of_class.select("d0", "d1", F.coalesce("first", "head").alias("head"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class_links", F.lit(0)).cast("long").alias("n_class_links")), "classes")
+    out = feats.where("n > 0").select("doc_id", "version", "d0", "d1").join(of_class, ["d0", "d1"]).drop("d0", "d1")
+    alone = feats.where("n = 0").select("doc_id", "version", F.struct("doc_id", "version").alias("head"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_class_links"))
+    return out.unionByName(alone)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").where("doc_id is not null")
+
+
+def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, levels: int = LEVELS, spread: float = SPREAD, small: int = SMALL) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, class_id, n_links, n_class_links; a row per row with a doc_id.
+
+    class_id: the lowest doc_id of its connected group of links (its own, if it
+    has none); n_links: other rows at or above ``similarity``, copies counted
+    each; n_class_links: other distinct sets. Null ids are left out. Rows that
+    repeat an id count as documents of their own, whatever their texts. Other
+    columns are ignored.
+    """
+    out = _joined(_rows(docs), words, similarity, recall, levels, spread, small)
+    return out.select("doc_id", F.col("head.doc_id").alias("class_id"), "n_links", "n_class_links")
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, levels: int = LEVELS, spread: float = SPREAD, small: int = SMALL) -> DataFrame:
+    """docs, all columns: of each connected group of links the rows of one text, that of lowest (doc_id, hash of the text).
+
+    Rows are told apart by id and text: another text under a removed row's id
+    stays. Rows without an id stay. Of rows that repeat both id and text one
+    stays, with the columns of any of them.
+    """
+    out = _joined(_rows(docs), words, similarity, recall, levels, spread, small)
+    i, v = unused(docs, "_gone_id"), unused(docs, "_gone_version")
+    gone = out.where((F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.version") != F.col("version"))).select(F.col("doc_id").alias(i), F.col("version").alias(v)).distinct()
+    kept = docs.join(gone, (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(docs["text"]) == F.col(v)), "left_anti")
+    own = unused(docs, "_own")
+    kept = kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["doc_id", "text", own]).drop(own)
+
+
+def _wide(words: int):
+    schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("s", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for c in tk.chunks(b.column("text"), "unicode"):
+                s = _sketch(*shingle_sets(c, words), WIDE_BITS)
+                yield tk.rows_to_batch({"rep": b.column("rep").slice(c.row, c.n), "n": b.column("n").slice(c.row, c.n), "s": pa.array([x.tobytes() for x in s], pa.binary())}, schema)
+
+    return run
 
 
 def _sets(words: int):
@@ -307,7 +384,7 @@ def _sets(words: int):
                 x, off = shingle_sets(c, words)
                 blob = pa.Array.from_buffers(pa.binary(), c.n, [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
                 keep = {k: b.column(k).slice(c.row, c.n) for k in ("comp", "copies", "blocks")}
-                yield tk.rows_to_batch({"rep": b.column("doc_id").slice(c.row, c.n), **keep, "shingles": blob}, schema)
+                yield tk.rows_to_batch({"rep": b.column("rep").slice(c.row, c.n), **keep, "shingles": blob}, schema)
 
     return run
 
