@@ -13,21 +13,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.fit(language_id.learnable(docs))
     if model is None:  # nothing to learn from: no text can be told, and those with a letter stay
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    rows = language_id.predict(docs, model)
-    return rows.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    label, score = shared.unused(docs, "_language"), shared.unused(docs, "_likelihood")
+    rows = language_id.predict(docs, model, label, score)
+    return rows.where(F.col(label) != language_id.UNDETERMINED).drop(label, score)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the lowest doc_id, of each group of near duplicates, once if its row is repeated; rows without an id stay."""
-    found = jaccard_join.jaccard_join(docs)
-    gone = found.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return jaccard_join.keep_first(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return decontaminate.decontaminate(docs, shared.table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.decontaminate(docs, shared.table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
