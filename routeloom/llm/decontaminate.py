@@ -11,10 +11,14 @@ counted in diagonal bands that overlap by the edit budget; a stretch of a band
 that reaches the bound is verified by banded alignment of every item window that
 falls into it. Nothing that meets the definition is filtered out.
 
+Where the bound would fall below one (windows too short for their budget at
+this q), the items are indexed with the largest q at which it does not, so the
+definition holds at every length. Contamination is not defined by items of fewer
+than ``shortest`` characters, which ordinary prose holds by chance.
+
 The items are broadcast in blocks of at most ``block_chars`` characters, one
-scan of the documents for each block, so any number of items can be given.
-Items of fewer than ``q`` characters cannot be told from ordinary prose and take
-no part.
+scan of the documents for each block, and a block's broadcast is released before
+the next is sent; so any number of items can be given.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import table
+from .shared import table, written
 
-Q, LENGTH, RATE, BAND, BLOCK_CHARS = 12, 60, 0.05, 16, 16_000_000
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
-_TYPE = "doc_id long, item_id long, start int, end int, edits int"
+Q, LENGTH, RATE, BAND, SHORTEST, BLOCK_CHARS = 12, 60, 0.05, 16, 12, 2_000_000
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())])
+_TYPE = "doc_id long, version long, item_id long, start int, end int, edits int"
 _lower: list[np.ndarray] = []
 
 
@@ -59,19 +63,16 @@ def squeeze(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """q-grams of a block of items: sorted distinct hashes, and item and offset of each occurrence."""
+    """q-grams of items of one q: sorted distinct hashes, and item and offset of each occurrence."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, length: int, rate: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, length: int, rate: float):
         self.q = q
         self.ids, self.texts, hashes, item, pos = [], [], [], [], []
-        for item_id, text in items:
-            p, _ = squeeze(text.strip())
-            if len(p) < q:
-                continue
+        for item_id, p in items:
             h, _ = qgrams(p, np.array([0, len(p)]), q)
             hashes.append(h)
-            item.append(np.full(len(h), len(self.ids)))
-            pos.append(np.arange(len(h)))
+            item.append(np.full(len(h), len(self.ids), np.int32))
+            pos.append(np.arange(len(h), dtype=np.int32))
             self.ids.append(item_id)
             self.texts.append(p)
         h = np.concatenate(hashes) if hashes else np.zeros(0, tk.U64)
@@ -84,11 +85,26 @@ class Index:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.hash >> tk.U64(64 - self.bits)] = True
         self.size = np.minimum(length, [len(t) for t in self.texts]).astype(np.int64) if self.texts else np.zeros(0, np.int64)
-        # The largest budget for which the lemma's bound is at least one.
-        self.edits = np.minimum((self.size * rate).astype(np.int64), self.size // q - 1)
+        self.edits = budget(self.size, rate)
         self.bound = self.size + 1 - q * (self.edits + 1)
 
 
+def budget(size, rate: float):
+    """Edits that a window of ``size`` characters may take."""
+    return np.floor(np.asarray(size) * rate + 1e-9).astype(np.int64)
+
+
+def indexes(items: list[tuple[int, str]], q: int, length: int, rate: float, shortest: int) -> list[Index]:
+    """An index for each q that the items need, so that the lemma's bound is at least one for all of them."""
+    by_q: dict[int, list] = {}
+    for item_id, text in items:
+        p, _ = squeeze(text.strip())
+        size = min(length, len(p))
+        if len(p) >= max(1, shortest):
+            by_q.setdefault(max(1, min(q, size // (int(budget(size, rate)) + 1))), []).append((item_id, p))
+    return [Index(part, k, length, rate) for k, part in sorted(by_q.items())]
+
+
 def qgrams(points: np.ndarray, off: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the q-gram at each position that has one inside its document, and the positions."""
     n = len(points) - q + 1
@@ -190,54 +206,78 @@ def regions(index: Index, points: np.ndarray, off: np.ndarray, band: int):
             yield int(d), int(it), left + start, left + int(ends[t]), int(cost[good].min())
 
 
-def _scan(index: Index, band: int):
+def _found(every: list[Index], band: int, texts: pa.Array):
+    """(row, item_id, start, end, edits) of each verified region; places in code points of the row's text."""
+    for c in tk.chunks(texts):
+        points = fold(np.frombuffer(bytes(c.buf).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32))
+        off = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])[c.off]
+        keep = np.ones(len(points), bool)
+        keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
+        keep[off[:-1][off[:-1] < len(points)]] = True
+        at = np.flatnonzero(keep)
+        short = np.searchsorted(at, off)
+        for index in every:
+            for d, i, s, t, e in regions(index, points[at], short, band):
+                yield c.row + d, index.ids[i], int(at[short[d] + s] - off[d]), int(at[short[d] + t - 1] - off[d] + 1), e
+
+
+def _scan(every: list[Index], band: int):
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for c in tk.chunks(b.column("text")):
-                if not len(index.hash):
-                    continue
-                points = fold(np.frombuffer(bytes(c.buf).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32))
-                place = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])
-                off = place[c.off]
-                keep = np.ones(len(points), bool)
-                keep[1:] = (points[1:] != 32) | (points[:-1] != 32)
-                keep[off[:-1][off[:-1] < len(points)]] = True
-                at = np.flatnonzero(keep)
-                short = np.searchsorted(at, off)
-                rows = [(ids[c.row + d], index.ids[i], at[short[d] + s] - off[d], at[short[d] + t - 1] - off[d] + 1, e) for d, i, s, t, e in regions(index, points[at], short, band)]
-                if rows:
-                    yield tk.rows_to_batch({f.name: np.array(x) for f, x in zip(_SCHEMA, zip(*rows))}, _SCHEMA)
+            ids, versions = (b.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "version"))
+            rows = [(ids[d], versions[d], *x) for d, *x in _found(every, band, b.column("text"))]
+            if rows:
+                yield tk.rows_to_batch({f.name: np.array(x) for f, x in zip(_SCHEMA, zip(*rows))}, _SCHEMA)
 
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, q: int = Q, length: int = LENGTH, rate: float = RATE, band: int = BAND, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """documents (doc_id, text), items (item_id, text) -> doc_id, item_id, start, end, edits: a row per document and item.
+def _blocks(items: DataFrame, q: int, length: int, rate: float, shortest: int, block_chars: int):
+    """The items (item_id, text) as broadcast indexes, block after block; each is released when the next is asked for."""
+    spark = items.sparkSession
+    items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
+    blocks = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
+        shared = spark.sparkContext.broadcast(indexes([(r.item_id, r.text) for r in block.toLocalIterator()], q, length, rate, shortest))
+        yield shared, blocks
+        if blocks > 1:
+            shared.unpersist()
+
+
+def contamination(docs: DataFrame, items: DataFrame, q: int = Q, length: int = LENGTH, rate: float = RATE, band: int = BAND, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """documents (doc_id, text), items (item_id, text) -> doc_id, item_id, start, end, edits: a row per document text and item.
 
     start and end: the first and last place found, in code points of the
     document's text, end exclusive; edits: of the best window. Null ids and
-    texts, and empty texts, take no part; repeated rows give one row. Other
-    columns are ignored.
+    texts, and empty texts, take no part; repeated rows give one row, different
+    texts under one id a row each. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    items = items.select(F.col("item_id").cast("long"), "text").where("item_id is not null and text is not null")
-    spark = docs.sparkSession
-    blocks = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // block_chars))
+    docs = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").where("doc_id is not null and text is not null")
     found = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = Index([(r.item_id, r.text) for r in block.toLocalIterator()], q, length, rate)
-        shared = spark.sparkContext.broadcast(index)
+    for shared, blocks in _blocks(items, q, length, rate, shortest, block_chars):
         part = docs.mapInArrow(lambda batches, shared=shared: _scan(shared.value, band)(batches), _TYPE)
+        part = written(part, "regions") if blocks > 1 else part
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("doc_id", "item_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("edits").alias("edits"))
+    best = found.groupBy("doc_id", "version", "item_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("edits").alias("edits"))
+    return best.drop("version")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, q: int = Q, length: int = LENGTH, rate: float = RATE, band: int = BAND, shortest: int = SHORTEST, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, whose own text holds no passage of the items; rows without an id too, in one pass without a shuffle."""
+    place, kind = docs.columns.index("text"), docs.schema
+    for shared, blocks in _blocks(items, q, length, rate, shortest, block_chars):
 
+        def run(batches, shared=shared):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for d, *_ in _found(shared.value, band, b.column(place)):
+                    keep[d] = False
+                yield b.filter(pa.array(keep))
 
-def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents, all columns, that hold no passage of the items."""
-    bad = contamination(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+        docs = docs.mapInArrow(run, kind)
+        docs = written(docs, "clean") if blocks > 1 else docs
+    return docs
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,6 +128,26 @@ def test_decontamination(spark):
     assert got == want and 10 < len(want) < 60
 
 
+def test_decontamination_short_items(spark):
+    """Items of every short length, where the bound needs a smaller q: all places within the budget, none beyond."""
+    r, bench, rows = random.Random(19), [(k, prose(600 + k, 20)[:k].strip() or "x") for k in (3, 7, 11, 12, 19, 20, 21, 22, 23, 24, 39, 41)], []
+    for k in (3, 7, 11, 12, 19, 20, 21, 22, 23, 24, 39, 41):
+        part = list(dict(bench)[k])
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(part))
+            part[at : at + 1] = r.choice([[], [part[at], "z"], ["Q"]])
+        rows.append((k, prose(700 + k, 12) + " " + "".join(part) + " " + prose(800 + k, 12)))
+    df, it = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    fold = lambda t: re.sub(r"\s+", " ", t.strip().lower())
+    for shortest in (1, 12):
+        got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(df, it, shortest=shortest).collect()}
+        want = {(d, i) for d, t in rows for i, b in bench if len(fold(b)) >= shortest and distance(fold(b), fold(t)) <= len(fold(b)) // 20}
+        assert got == want
+        kept = {x.doc_id for x in decontaminate.decontaminate(df, it, shortest=shortest, block_chars=200).collect()}
+        assert kept == {d for d, _ in rows} - {d for d, _ in want}
+    assert any(20 <= len(fold(dict(bench)[i])) <= 23 for _, i in want)
+
+
 def test_decontamination_blocks(spark):
     bench = spark.createDataFrame([(k, prose(300 + k, 25)) for k in range(6)], "item_id long, text string")
     docs = spark.createDataFrame([(k, prose(1, 9) + " " + prose(300 + k, 25)) for k in range(6)], "doc_id long, text string")

@@ -23,7 +23,11 @@ def test_decontamination(spark):
     assert decontaminate.contamination(docs, items(spark)).count() == 0
     assert decontaminate.contamination(empty(spark), bench).count() == 0
     kept = decontaminate.decontaminate(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == 16 - 5
+    assert kept.columns == docs.columns and kept.count() == 16 - 6  # the row without an id holds the passage too
+    rows = [(1, base), (1, "something else that is clean"), (None, None), (2, "")]
+    kept = decontaminate.decontaminate(spark.createDataFrame([(*x, 0, 1) for x in rows], "doc_id long, text string, version long, item_id int"), bench)
+    assert [(r.doc_id, r.text) for r in kept.collect()] == rows[1:]
+    assert decontaminate.decontaminate(docs, items(spark)).count() == 16
 
 
 def test_kneser_ney(spark):
