@@ -3,16 +3,24 @@
 Strong parts are reported wherever they stand (fixed patterns below). Weak
 parts, each too common to report alone, are reported only beside complementary
 ones: an identifier, a secret and an endpoint are complementary roles. A scope
-is a block of lines between blank lines; two parts of a scope belong together if
-at most ``reach`` code points lie between them. Spans are code points, ends
-exclusive.
+is a block of lines between blank lines; two disjoint parts of it belong
+together, if ``reach`` is given, when at most that many code points lie between
+them. The join is by sorted ends: the partners of a part are the intervals that
+begin early enough less those that end too early, so it counts every pair in
+n log n steps and makes none. Spans are code points, ends exclusive.
+
+Weak candidates are: values of names such as client_id, login or account
+(identifier); runs of 24 characters or more of the base64 alphabets with both
+cases and digits, and hexadecimal runs of 24 to 31 digits with letters and
+figures (weak_secret); URLs with a scheme and values of names such as host or
+server (endpoint). Of overlapping candidates the strong one stays, then the
+identifier, then the endpoint.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +35,20 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
-KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
-REACH = 400
+KINDS = ("assign", "access", "hex", "identifier", "endpoint", "weak_secret")
 
 _ASSIGN = re.compile(ASSIGN, re.ASCII)
 _ACCESS = re.compile(ACCESS)
 # A greedy run of the class that is long enough is a run that no class member precedes.
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_IDENTIFIER = re.compile(r"""(?i:client_?id|access_?key_?id|account_?(?:id|name)|user_?(?:id|name)|login|tenant_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
+_IDENTIFIER = re.compile(r"""(?i:client_?id|access_?key_?id|account_?(?:id|name)|user_?(?:id|name)|login|tenant_?id|app(?:lication)?_?id|project_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""", re.ASCII)
 _WEAK = re.compile(r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+_-]{24,}={0,2}(?![A-Za-z0-9/+=_-])")
+_WEAK_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _ENDPOINT = re.compile(r"""(?i:[a-z][a-z0-9+.-]{1,20}://[^\s"'<>]{4,}|(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::\d+)?)""", re.ASCII)
 #: Holds of every text that has a strong part, a weak secret or a weak identifier; endpoints alone are never reported.
-_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|[A-Za-z0-9/+_-]{24}|(?i:client_?id|access_?key_?id|account_?(?:id|name)|user_?(?:id|name)|login|tenant_?id)["']?\x20*[:=]"""
+_ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}|AKIA[A-Z0-9]{12}|[0-9a-f]{32}|[A-Za-z0-9/+_-]{24}|(?i:client_?id|access_?key_?id|account_?(?:id|name)|user_?(?:id|name)|login|tenant_?id|app(?:lication)?_?id|project_?id)["']?\x20*[:=]"""
 _ROLE = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
+_ROLES = ("identifier", "secret", "endpoint")
 
 
 def strong(text: str) -> list[tuple[int, int, str]]:
@@ -51,18 +60,24 @@ def strong(text: str) -> list[tuple[int, int, str]]:
 
 
 def _varied(value: str) -> bool:
-    """Letters of both cases and digits: what keys have and prose has not."""
-    return any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)
+    """Letters of both cases and digits, or hexadecimal letters and digits: what keys have and prose has not."""
+    digits, letters = any(c.isdigit() for c in value), any(c.isalpha() for c in value)
+    return digits and letters and (any(c.isupper() for c in value) and any(c.islower() for c in value) or _WEAK_HEX.match(value) is not None)
 
 
 def weak(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    out = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)]
-    out += [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    out += [(m.start(), m.end(), "weak_secret") for m in _WEAK.finditer(text) if _varied(m[0])]
-    ends = np.maximum.accumulate([e for _, e, _ in taken]) if taken else []
-    starts = [s for s, _, _ in taken]
-    free = lambda s, e: (k := bisect_left(starts, e)) == 0 or ends[k - 1] <= s
-    return [x for x in out if free(x[0], x[1])]
+    """Weak candidates that overlap neither ``taken`` nor a candidate of an earlier kind."""
+    out: list[tuple[int, int, str]] = []
+    found = [(m.start(), m.end(), kind) for kind, pattern in (("identifier", _IDENTIFIER), ("endpoint", _ENDPOINT), ("weak_secret", _WEAK)) for m in pattern.finditer(text) if kind != "weak_secret" or _varied(m[0])]
+    if not found:
+        return out
+    for kind in KINDS[3:]:
+        busy = sorted(taken + out)
+        starts, ends = np.array([s for s, _, _ in busy], np.int64), np.maximum.accumulate([e for _, e, _ in busy] or [0])
+        for s, e, k in found:
+            if k == kind and ((at := int(np.searchsorted(starts, e))) == 0 or ends[at - 1] <= s):
+                out.append((s, e, k))
+    return out
 
 
 def scopes(text: str) -> list[int]:
@@ -70,27 +85,34 @@ def scopes(text: str) -> list[int]:
     return [m.end() for m in re.finditer(r"\n[ \t\r]*\n", text)]
 
 
-def linked(text: str, reach: int = REACH) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
+def partners(start: np.ndarray, end: np.ndarray, role: np.ndarray, scope: np.ndarray, reach: int | None = None) -> np.ndarray:
+    """The number of disjoint intervals of other roles in each one's scope, within ``reach`` of it if given."""
+    far = int(end.max(initial=0)) + 1
+    near = far if reach is None else min(reach, far)
+    base = scope * (2 * far + near + 2)  # scopes side by side, out of each other's reach
+    s, e = base + start, base + end
+    found = np.zeros(len(start), np.int64)
+    for r in np.unique(role):
+        mine, other = role == r, role != r
+        a, b = np.sort(s[mine]), np.sort(e[mine])
+        x, y = s[other], e[other]
+        within = np.searchsorted(a, np.minimum(y + near, base[other] + far), "right") - np.searchsorted(b, np.maximum(x - near, base[other]), "left")
+        over = np.searchsorted(a, y, "left") - np.searchsorted(b, x, "right")
+        found[other] += within - over
+    return found
+
+
+def linked(text: str, reach: int | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
     """Strong spans; all spans; linked pairs of complementary parts."""
     base = strong(text)
     parts = sorted(base + weak(text, base))
-    cuts, links, partner = scopes(text), 0, [False] * len(parts)
-    scope = [bisect_left(cuts, s + 1) for s, _, _ in parts]
-    # Interval join: parts are swept by start; each meets those of its scope that begin within its reach, nearest of each role.
-    for way in (1, -1):
-        last: dict[str, int] = {}
-        order = range(len(parts)) if way == 1 else range(len(parts) - 1, -1, -1)
-        for i in order:
-            for role, j in last.items():
-                if role == _ROLE[parts[i][2]] or scope[j] != scope[i]:
-                    continue
-                a, b = (j, i) if way == 1 else (i, j)
-                if parts[b][0] - parts[a][1] <= reach:
-                    partner[i] = partner[j] = True
-                    links += way == 1
-            last[_ROLE[parts[i][2]]] = i
-    spans = base + [x for x, ok in zip(parts, partner) if ok and x[2] not in KINDS[:3]]
-    return base, sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))), links
+    count = np.zeros(len(parts), np.int64)
+    if len(parts) > 1:
+        start, end = (np.array(x, np.int64) for x in zip(*((s, e) for s, e, _ in parts)))
+        role = np.array([_ROLES.index(_ROLE[k]) for _, _, k in parts])
+        count = partners(start, end, role, np.searchsorted(scopes(text), start, "right"), reach)
+    spans = base + [x for x, n in zip(parts, count) if n and x[2] not in KINDS[:3]]
+    return base, sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]))), int(count.sum()) // 2
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -115,7 +137,7 @@ def _suspects(texts: pa.Array) -> np.ndarray:
     return np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, _ANY), False).to_numpy(zero_copy_only=False))
 
 
-def _scan(reach: int):
+def _scan(reach: int | None):
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_links", pa.int64())])
     none = hashlib.sha256(b"").hexdigest()
 
@@ -135,7 +157,7 @@ def _scan(reach: int):
     return run
 
 
-def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_links; a row per row.
 
     Null and empty texts have no spans. Null ids stay null. Other columns are ignored.
@@ -143,7 +165,7 @@ def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan(reach), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_links long")
 
 
-def mask_secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
+def mask_secrets(docs: DataFrame, reach: int | None = None) -> DataFrame:
     """docs, all columns, with every span of ``text`` masked."""
     place = docs.columns.index("text")
 
