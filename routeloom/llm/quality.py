@@ -7,9 +7,11 @@ model is fitted to them by dual coordinate descent and mixed with its mean
 weight, and a logistic curve fitted on rows held back from that turns margins
 into probabilities.
 
-The fit uses at most about ``fit_rows`` labelled rows of each class, at most
-``fit_words`` features of a text (a hash-chosen subset for longer ones); only
-the 2**bits weights are broadcast. Scoring reads every whole text.
+The fit uses a sample of the labelled rows: of each class at most about
+``fit_rows`` rows and ``fit_chars`` characters in all, taken by a hash of the
+id, whole texts each. That bounds what the driver holds; only the 2**bits
+weights are broadcast. Scoring reads every whole text, with the features that
+the fit uses.
 """
 
 from __future__ import annotations
@@ -22,28 +24,27 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .shared import remainder, table
 
-BITS, FIT_ROWS, FIT_WORDS, EPOCHS, COST, MIXTURE, THRESHOLD = 20, 6000, 4096, 15, 1.0, 0.25, 0.7
+BITS, FIT_ROWS, FIT_CHARS, EPOCHS, COST, MIXTURE, THRESHOLD = 20, 6000, 40_000_000, 15, 1.0, 0.25, 0.7
 
 
 def features(c: tk.Chunk, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed indicators of each document (as 54-bit hashes, sorted) and their offsets."""
+    """Sorted distinct places of each document's indicators, and the offsets of documents in them."""
     w = tk.Words(c)
     two, doc = tk.ngrams(w.hash, w.off, 2)
     x, off, _ = tk.by_doc(np.concatenate([w.doc(), doc]), np.concatenate([w.hash, two]), c.n)
-    return x >> tk.U64(54 - bits), off
+    x = x >> tk.U64(54 - bits)
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    new[off[:-1][off[:-1] < len(x)]] = True  # the first of a document, whatever the one before ended with
+    return x[new], np.concatenate([[0], np.cumsum(new)])[off]
 
 
-def _collect(bits: int, most: int):
+def _collect(bits: int):
     def run(batches):
         for b in batches:
             for c in tk.chunks(b.column("text"), "unicode"):
                 x, off = features(c, bits)
-                blobs = []
-                for i in range(c.n):
-                    f = np.unique(x[off[i] : off[i + 1]]).astype(np.int32)
-                    if len(f) > most:  # an even subset: places are hashes already, scrambled once more
-                        f = f[np.argsort(tk.mix(f.astype(tk.U64)), kind="stable")[:most]]
-                    blobs.append(f.tobytes())
+                blobs = [x[off[i] : off[i + 1]].astype(np.int32).tobytes() for i in range(c.n)]
                 yield pa.record_batch({"quality": b.column("quality").slice(c.row, c.n), "pick": b.column("pick").slice(c.row, c.n), "f": pa.array(blobs, pa.binary())})
 
     return run
@@ -68,7 +69,11 @@ def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y:
                 alpha[i] = new
         if moved < 1e-4:
             break
-    return w, bias
+    # Summed anew: steps that were taken back leave roundings, which must not count as weights.
+    w[:] = 0.0
+    for i in np.flatnonzero(alpha):
+        w[rows[i]] += alpha[i] * y[i] * values[i]
+    return w, float(alpha @ y)
 
 
 def _sigmoid(m: np.ndarray, a: float, b: float) -> np.ndarray:
@@ -102,16 +107,17 @@ class Model:
         return _sigmoid((total[off[1:]] - total[off[:-1]]) / np.sqrt(np.maximum(n, 1)) + self.bias, *self.curve)
 
 
-def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS, fit_words: int = FIT_WORDS, epochs: int = EPOCHS, cost: float = COST, mixture: float = MIXTURE) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, epochs: int = EPOCHS, cost: float = COST, mixture: float = MIXTURE) -> Model | float:
     """docs: doc_id, text; labels: doc_id (distinct), quality (0 or 1). With one class only: its probability."""
-    counts = {r.quality: r.n for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    known = docs.where("text is not null").join(labels.withColumn("pick", pick), "doc_id")
+    counts = {r.quality: r for r in known.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
     if len(counts) < 2:
         return 0.5 if not counts else float(next(iter(counts)))
-    rate = {k: min(1.0, fit_rows / n) for k, n in counts.items()}
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = labels.withColumn("pick", pick).where(F.col("pick") < F.when(F.col("quality") == 1, int(1e6 * rate[1]) + 1).otherwise(int(1e6 * rate[0]) + 1))
-    # About 2 * fit_rows rows of three numbers: the rates bound what is broadcast.
-    got = docs.where("text is not null").join(F.broadcast(some), "doc_id").select("quality", F.col("pick").cast("long").alias("pick"), "text").mapInArrow(_collect(bits, fit_words), "quality int, pick long, f binary").toArrow().sort_by([("pick", "ascending"), ("f", "ascending")])
+    rate = {k: min(1.0, fit_rows / r.n, fit_chars / max(r.chars, 1)) for k, r in counts.items()}
+    some = known.where(F.col("pick") < F.when(F.col("quality") == 1, int(1e6 * rate[1]) + 1).otherwise(int(1e6 * rate[0]) + 1))
+    # Bounded by fit_rows and fit_chars for each class.
+    got = some.select("quality", F.col("pick").cast("long").alias("pick"), "text").mapInArrow(_collect(bits), "quality int, pick long, f binary").toArrow().sort_by([("pick", "ascending"), ("f", "ascending")])
     if got.num_rows == 0:
         return 0.5
     y = np.where(got.column("quality").to_numpy() == 1, 1.0, -1.0)
@@ -123,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
         if not b:
             count[k][f] += 1
     ratio = np.log(count[1.0] / count[1.0].sum()) - np.log(count[-1.0] / count[-1.0].sum())
-    values = [ratio[f] / np.sqrt(max(len(f), 1)) for f in rows]
+    values = [(ratio[f] / np.sqrt(max(len(f), 1))).astype(np.float32) for f in rows]
     fore = np.flatnonzero(~back)
     share = {k: max(1, (y[fore] == k).sum()) for k in (1.0, -1.0)}
     costs = np.array([cost * len(fore) / 2 / share[k] for k in y[fore]])

@@ -259,6 +259,60 @@ def test_quality(spark):
     assert auc > 0.9 and np.mean([r.predicted == truth[r.doc_id] for r in rows]) > 0.85
 
 
+def test_quality_brute_force(spark):
+    """Fit and scores again with words and word pairs as they are, and a projected-gradient solver in place of coordinate descent."""
+    r = random.Random(21)
+    vocab = [f"w{k}" for k in range(40)]
+    rows, lab = [], {}
+    for k in range(90):
+        lab[k] = int(k % 3 > 0)
+        words = [r.choice(vocab[:30] if lab[k] else vocab[10:]) for _ in range(r.choice([0, 3, 12, 60, 9000 if k == 5 else 30]))]
+        rows.append((k, " ".join(words)))
+    rows += [(200, None), (201, "never seen words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in quality.score(df, spark.createDataFrame(list(lab.items()), "doc_id long, quality int"), bits=22, epochs=3000).collect()}
+
+    def feats(t):
+        w = (t or "").split()
+        return {*w, *zip(w, w[1:])}
+
+    names = sorted({f for _, t in rows for f in feats(t)}, key=str)
+    at = {f: i for i, f in enumerate(names)}
+    train = [k for k in lab if zlib.crc32(str(k).encode()) % 4 != 2]
+    pick = {x.doc_id: x.p for x in df.selectExpr("doc_id", "pmod(xxhash64(doc_id), 1000000) as p").collect()}
+    train.sort(key=lambda k: pick[k])
+    back = [i % 5 == 0 for i in range(len(train))]
+    fore, held = [k for k, b in zip(train, back) if not b], [k for k, b in zip(train, back) if b]
+    text = dict(rows)
+    count = {1: np.ones(len(names)), 0: np.ones(len(names))}
+    for k in fore:
+        for f in feats(text[k]):
+            count[lab[k]][at[f]] += 1
+    size = 1 << 22  # unseen places count once each, too
+    ratio = np.log(count[1] / (count[1].sum() + size - len(names))) - np.log(count[0] / (count[0].sum() + size - len(names)))
+
+    def vector(t):
+        x = np.zeros(len(names))
+        x[[at[f] for f in feats(t)]] = 1
+        return x * ratio / np.sqrt(max(x.sum(), 1))
+
+    x = np.stack([np.append(vector(text[k]), 1.0) for k in fore])
+    y = np.array([1.0 if lab[k] else -1.0 for k in fore])
+    cost = np.array([len(fore) / 2 / (y == v).sum() for v in y])
+    q, a = (x * y[:, None]) @ (x * y[:, None]).T, np.zeros(len(fore))
+    step = 1 / np.linalg.norm(q, 2)
+    for _ in range(200_000):
+        a = np.clip(a - (q @ a - 1) * step, 0, cost)
+    w = (a * y) @ x
+    w, b = w[:-1], w[-1]
+    used = np.abs(w) > 1e-9
+    w = 0.25 * w + 0.75 * np.abs(w[used]).mean() * used
+    margin = lambda t: w @ vector(t) + b
+    a, c = quality._curve(np.array([margin(text[k]) for k in held]), np.array([1.0 if lab[k] else -1.0 for k in held]), np.ones(len(held)))
+    for k, t in rows:
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(a * margin(t) + c))), abs=2e-2), k
+
+
 def test_dual_coordinate_descent():
     """Against subgradient descent on the same objective."""
     r = np.random.default_rng(1)
