@@ -32,10 +32,10 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(_lowest(sym), "least")
         large = written(sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = written(_lowest(large), "low")  # the lowest of each node's lower neighbours
+        low = _lowest(large)  # the lowest of each node's lower neighbours
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
-        for x in (now, least, large, low):
+        for x in (now, least, large):
             forget(x)
         now, after = new, _state(new)
         if after == before:

@@ -13,8 +13,8 @@ Words are lower-cased runs between ASCII white space.
    the target ``recall`` takes.
 3. Buckets are brute-forced on 128-bit one-bit minwise sketches, large ones in
    tiles of bounded size. What may be similar is joined to components. Members
-   of components that do not fit one tile are compared again in their buckets
-   on 1024-bit sketches, so that chains of loosely similar sets fall apart.
+   of components of more than ``LOOSE`` tiles' rows are compared again in their
+   buckets on 1024-bit sketches, so that chains of loosely similar sets fall apart.
 4. Inside a component every pair is compared by exact Jaccard, in tiles; a pair
    that no run had brought together is found here too. Tiles give each member
    its number of links and the lowest member it reaches, never a row per pair.
@@ -39,7 +39,7 @@ from .shared import forget, unused, written
 
 WORDS, SIMILARITY, RECALL, LEVELS, SPREAD, SMALL = 5, 0.8, 1 - 2e-7, 3, 0.4, 4096
 MISS, MOST_RUNS = 0.14, 16  # of one run, at the similarity; the run is four bits of a key
-SKETCH_BITS, WIDE_BITS, TILE, TILE_TOKENS = 128, 1024, 512, 400_000
+SKETCH_BITS, WIDE_BITS, TILE, TILE_TOKENS, LOOSE = 128, 1024, 512, 400_000, 16
 _RNG = np.random.default_rng(20240117)
 _A = _RNG.integers(1 << 31, 1 << 32, WIDE_BITS, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, WIDE_BITS, dtype=np.uint32)
@@ -304,17 +304,18 @@ def _joined(docs: DataFrame, words: int, similarity: float, recall: float, level
         blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("long")
         return written(active.join(whole.select("comp", blocks.alias("blocks")), "comp"), "active")
 
-    def texts(rows):
-        """The rows (rep, head and more) with the text of their head."""
-        return docs.join(rows.withColumn("doc_id", F.col("head.doc_id")).withColumn("version", F.col("head.version")), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-
     active = sized(comp)
-    large = active.where("blocks > 1")
+    heads = active.select(F.col("head.doc_id").alias("doc_id"), F.col("head.version").alias("version"), "rep", "comp", "copies", "blocks")
+    # Both sides grow with the table, so the join is by sorting at every size.
+    texts = docs.hint("merge").join(heads, ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    sets = texts.mapInArrow(_sets(words), "rep long, comp long, copies long, blocks long, shingles binary")
+    large = active.where(F.col("blocks") > LOOSE).select("rep", "n")
     if not large.isEmpty():
-        wide = written(texts(large.select("rep", "n", "head")).mapInArrow(_wide(words), "rep long, n int, s binary"), "wide")
+        sets = written(sets, "sets")
+        wide = written(sets.join(large, "rep").select("rep", "n", "shingles").mapInArrow(_wide, "rep long, n int, s binary"), "wide")
         again = _candidates(reps.join(wide.select("rep"), "rep", "left_semi"), wide, ("rep", "n", "s"), _near(similarity, WIDE_BITS), levels, small)
-        active = sized(active.where("blocks = 1").select(F.col("rep").alias("node"), F.col("comp").alias("label")).unionByName(again))
-    sets = texts(active.drop("n")).mapInArrow(_sets(words), "rep long, comp long, copies long, blocks long, shingles binary")
+        active = sized(active.where(F.col("blocks") <= LOOSE).select(F.col("rep").alias("node"), F.col("comp").alias("label")).unionByName(again))
+        sets = sets.select("rep", "shingles").join(active.select("rep", "comp", "copies", "blocks"), "rep")
     tiles = _tiled(sets, F.col("blocks"), ["comp"]).groupBy("comp", "blocks", "x", "y").agg(F.collect_list(F.struct("rep", "copies", "block", "shingles")).alias("members"))
     found = written(tiles.select("blocks", "x", "y", "members").mapInArrow(_exact_keep(similarity), "rep long, label long, links long, class_links long, one boolean"), "links")
     wide = found.where("not one")
@@ -363,16 +364,14 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     return kept.dropDuplicates(["doc_id", "text", own]).drop(own)
 
 
-def _wide(words: int):
-    schema = pa.schema([("rep", pa.int64()), ("n", pa.int32()), ("s", pa.binary())])
-
-    def run(batches):
-        for b in batches:
-            for c in tk.chunks(b.column("text"), "unicode"):
-                s = _sketch(*shingle_sets(c, words), WIDE_BITS)
-                yield tk.rows_to_batch({"rep": b.column("rep").slice(c.row, c.n), "n": b.column("n").slice(c.row, c.n), "s": pa.array([x.tobytes() for x in s], pa.binary())}, schema)
-
-    return run
+def _wide(batches):
+    """Wide sketches of sets of shingles."""
+    for b in batches:
+        sets = [np.frombuffer(x, tk.U64) for x in b.column("shingles").to_pylist()]
+        for k in range(0, len(sets), 256):
+            part = sets[k : k + 256]
+            s = _sketch(np.concatenate(part), np.concatenate([[0], np.cumsum([len(x) for x in part])]), WIDE_BITS)
+            yield pa.record_batch([b.column("rep").slice(k, len(part)), b.column("n").slice(k, len(part)), pa.array([x.tobytes() for x in s], pa.binary())], ["rep", "n", "s"])
 
 
 def _sets(words: int):

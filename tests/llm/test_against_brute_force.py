@@ -82,6 +82,7 @@ def test_jaccard_join_loose_chains(spark, monkeypatch):
     texts = {k: " ".join(words[6 * k : 6 * k + 30]) for k in range(200)}
     texts |= {1000 + k: texts[k] + f" more{k}" for k in r.sample(range(200), 30)}
     monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "LOOSE", 1)
     got = {x.doc_id: x for x in jaccard_join.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     want = links(texts)
     assert {k: len(want[k]) for k in texts} == {k: x.n_links for k, x in got.items()} and sum(map(len, want.values())) >= 60
