@@ -212,7 +212,7 @@ def _passages(rows: DataFrame, lines: DataFrame, passage: int) -> DataFrame:
     hits = written(samples.join(twice, "h"), "hits")
     # Samples whose later surroundings went with their lines need no digests.
     gone = F.aggregate("removed", F.lit(0), lambda n, x: n + F.greatest(F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start")), F.lit(0)))
-    live = hits.where(doc > F.col("first")).join(lines, ["doc_id", "version"], "left").where(F.coalesce(gone, F.lit(0)) < F.col("end") - F.col("start")).select("h").distinct()
+    live = written(hits.where(doc > F.col("first")).join(lines, ["doc_id", "version"], "left").where(F.coalesce(gone, F.lit(0)) < F.col("end") - F.col("start")).select("h").distinct(), "live")
     places = hits.join(live, "h", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("at").alias("places"))
     runs = written(rows.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(_around(passage), "doc_id long, version long, start int, end int, h0 long, h1 long"), "runs")
     first = written(runs.groupBy("h0", "h1").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h0", "h1", "first"), "first")
