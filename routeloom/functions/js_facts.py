@@ -9,7 +9,10 @@ from .rows import fact
 
 # Verbs and how route objects are named.
 VERBS = ("get", "post", "put", "delete", "patch", "options", "head", "all")
-ROUTE_NAMES = {"app", "router", "route", "routes", "api", "server", "fastify"}
+ROUTE_NAMES = {"app", "router", "route", "api", "controller", "server"}
+ROUTE_ENDS = ("router", "routes", "route", "app", "server", "controller", "api")
+ROUTE_STARTS = ("app", "api")
+NO_ROUTE_ENDS = ("client", "service")
 _CALL = re.compile(rf"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\.\s*({'|'.join(VERBS)})\s*(?=\()")
 _CHAIN = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*\.\s*route\s*(?=\()")
 _NEXT = re.compile(rf"\s*\.\s*({'|'.join(VERBS)})\s*(?=\()")
@@ -22,7 +25,7 @@ _NEST_METHOD = re.compile(r"@(Get|Post|Put|Delete|Patch|Options|Head|All)\s*(?=\
 
 def looks_like_routes(name: str) -> bool:
     low = name.lower()
-    return not low.endswith(("client", "service")) and (low in ROUTE_NAMES or low.endswith(("router", "routes", "app", "api")))
+    return not low.endswith(NO_ROUTE_ENDS) and (low in ROUTE_NAMES or low.endswith(ROUTE_ENDS) or low.startswith(ROUTE_STARTS))
 
 
 def extract(text: str, path: str):

@@ -45,39 +45,17 @@ def normalize_java(route: Column) -> Column:
     return F.when(route.isNull() | (route == ""), "").otherwise(one_slash(rooted(strip(route))))
 
 
-def normalize_express_text(route: str | None) -> str | None:
-    """``:id(\\d+)?`` to ``{id}``: constraints are consumed with nested parentheses; an unbalanced one stays as written."""
-    import re
-
-    if not route:
-        return route
-    out, at = [], 0
-    for m in re.finditer(r":([A-Za-z_]\w*)", route, re.ASCII):
-        if m.start() < at:
-            continue
-        out.append(route[at : m.start()])
-        end = m.end()
-        if route[end : end + 1] == "(":
-            depth, k = 0, end
-            while k < len(route):
-                ch = route[k]
-                k += 2 if ch == "\\" else 1
-                depth += (ch == "(") - (ch == ")")
-                if ch == ")" and depth == 0:
-                    break
-            if depth:
-                out.append(m[0])
-                at = end
-                continue
-            end = k
-        at = end + (route[end : end + 1] == "?")
-        out.append("{" + m[1] + "}")
-    return "".join([*out, route[at:]])
-
-
-def normalize_express(route: Column) -> Column:
-    """Nested constraints are beyond regular expressions: an Arrow-batched function."""
-    return F.pandas_udf(lambda routes: routes.map(normalize_express_text, na_action="ignore"), "string", F.PandasUDFType.SCALAR)(route)
+def _parentheses(depth: int) -> str:
+    """A regular expression for balanced parentheses, nested to ``depth``; a backslash takes the next character along."""
+    inside = r"(?:[^()\\]|\\.)*+"
+    for _ in range(depth):
+        inside = rf"(?:[^()\\]|\\.|\({inside}\))*+"
+    return rf"\({inside}\)"
+
+
+def normalize_express(route: Column, depth: int = 6) -> Column:
+    """``:id(\\d+)?`` to ``{id}``: a constraint goes with its parentheses, nested to ``depth``; an unbalanced one stays as written."""
+    return F.regexp_replace(route, rf":([A-Za-z_][A-Za-z0-9_]*+)(?:{_parentheses(depth)}|(?!\())\??", "{$1}")
 
 
 def normalize(framework: Column, route: Column) -> Column:
@@ -198,6 +176,49 @@ def json_block(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
 
 
+# --- texts of source and build files ---------------------------------------------------------
+
+
+def contained(folder: Column, raw: Column) -> Column:
+    """A reference from a folder as a path inside the repository; null for schemes, absolute paths and what leads out of it."""
+    ref = strip(raw)
+    outside = ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | ref.rlike(r"^[/\\\\]")
+    parts = F.filter(F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), ref), "/"), lambda p: ~p.isin("", "."))
+
+    def step(done, p):
+        up = p == ".."
+        # Once outside, outside for good: a null stays null.
+        return F.when(done.isNull() | (up & (F.size(done) == 0)), F.lit(None).cast("array<string>")).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+
+    walked = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(~outside, F.nullif(F.array_join(walked, "/"), F.lit("")))
+
+
+def uncommented(line: Column) -> Column:
+    """A line up to its first ``#`` with an even number of quotes of either kind before it."""
+    pieces = F.split(line, "#", -1)
+    odd = lambda text, quote: F.length(F.regexp_replace(text, f"[^{quote}]", "")) % 2 == 1
+    start = F.struct(F.get(pieces, F.lit(0)).alias("text"), F.lit(False).alias("done"))
+
+    def step(state, piece):
+        open_ = odd(state["text"], '"') | odd(state["text"], "'")
+        more = ~state["done"] & open_
+        return F.struct(F.when(more, F.concat_ws("#", state["text"], piece)).otherwise(state["text"]).alias("text"), (state["done"] | ~open_).alias("done"))
+
+    return F.aggregate(F.slice(pieces, 2, 1 << 30), start, step)["text"]
+
+
+def options(text: Column, keys) -> Column:
+    """The first value of each option in a build text; options that do not occur are left out."""
+    pairs = [x for k in keys for x in (F.lit(k), F.nullif(F.regexp_extract(text, rf"{k}\s*[=>:]+\s*['\"]?([A-Za-z0-9_-]+)", 1), F.lit("")))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+
+
+def hints(text: Column, pattern: str) -> Column:
+    """Distinct matches of a pattern's group, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1)))
+
+
 # --- hashes ---------------------------------------------------------------------------------
 
 

@@ -28,6 +28,18 @@ def fit_context(df: DataFrame, group: str, order: str, cost: str, budget: int =
     return total.join(kept, group, "left").select(group, F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), (F.col("_all") - F.coalesce("kept", F.lit(0))).alias("dropped"))
 
 
+def within(df: DataFrame, by: list[str], order: str, size: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """Rows of each group until ``max_rows`` rows or ``max_bytes`` are taken; the one that passes the bytes is the last.
+
+    Only key, order and size are sorted, cut to ``max_rows`` before the shuffle; wide columns are joined back to what is left.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    front = df.select(*by, order, size).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max_rows)
+    before = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = front.withColumn("_b", before).where(F.col("_b") < max_bytes).select(*by, order)
+    return df.join(kept, [*by, order], "left_semi")
+
+
 def _walk(costs: list[int], count: int, used: int, max_items: int, budget: int) -> tuple[list[int], int, int]:
     """Batch number of each row (0: the batch open before them), then items and tokens of the batch left open."""
     number, out = 0, []

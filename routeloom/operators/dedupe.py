@@ -19,6 +19,11 @@ def last_wins(df: DataFrame, keys: list[str], pos: str, payload: list[str]) -> D
     return df.groupBy(*keys).agg(F.max(F.struct(pos, *payload)).alias("_w")).select(*keys, *(F.col(f"_w.{c}").alias(c) for c in (pos, *payload)))
 
 
+def grouped(df: DataFrame, keys: list[str], pos: str, payload: list[str]) -> DataFrame:
+    """Per key its rows in order of position. A group is one row, so only for keys whose groups are bounded: an endpoint's or a file's."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(pos, *(c for c in payload if c != pos)))).alias("rows"))
+
+
 def exact_dedupe(df: DataFrame, text: str, key: str) -> DataFrame:
     """Groups of equal text by sha256: the lowest key and the group's size; null texts take no part."""
     rows = df.where(F.col(text).isNotNull())

@@ -73,6 +73,43 @@ def nearest_before(events: DataFrame, by: list[str], order: list[str], is_anchor
     return seen.where(is_anchor)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 in order, over range partitions: each partition's number of rows is all that the driver sees."""
+    from .closure import settled
+
+    spark = df.sparkSession
+    parts = settled(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_p", F.spark_partition_id()))
+    sizes = {r["_p"]: r["n"] for r in parts.groupBy("_p").agg(F.count("*").alias("n")).collect()}
+    before, base = 0, {}
+    for p in sorted(sizes):
+        base[p], before = before, before + sizes[p]
+    start = spark.createDataFrame([(p, n) for p, n in base.items()], "_p int, _before long")
+    w = Window.partitionBy("_p").orderBy(*order)
+    return parts.join(F.broadcast(start), "_p").withColumn(name, F.col("_before") + F.row_number().over(w)).drop("_p", "_before")
+
+
+def top_n(df: DataFrame, by: list[str], order: list[str], n: int, place: str) -> DataFrame:
+    """The first n rows of each group with their place; cut to n in each partition before the shuffle."""
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= n)
+
+
+def with_count(df: DataFrame, by: list[str], which: Column, name: str) -> DataFrame:
+    """Rows with how many rows of their group meet a condition: an aggregate, combined before the shuffle, joined back."""
+    return df.join(df.groupBy(*by).agg(F.count_if(which).alias(name)), by)
+
+
+def first_existing(rows: DataFrame, key: str, probes: Column, files: DataFrame, path: str, name: str) -> DataFrame:
+    """Of each row's probes, in their order, the first that is among the files; rows without one are left out."""
+    tried = rows.select(key, F.posexplode(probes).alias("_pos", path))
+    return tried.join(files.select(path).distinct(), path).groupBy(key).agg(F.min_by(path, "_pos").alias(name))
+
+
+def longest_prefix(rows: DataFrame, key: str, parts: str, mark: str, known: DataFrame, name: str) -> DataFrame:
+    """Each row with the longest prefix of its parts, joined by ``mark``, that is known, and that prefix's length."""
+    tried = rows.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("length"), F.array_join(F.slice(F.col(parts), F.lit(1), n), mark).alias(name)))).alias("_t")).select(key, "_t.*")
+    return tried.join(known.select(name).distinct(), name).groupBy(key).agg(F.max("length").alias("length"), F.max_by(name, "length").alias(name))
+
+
 def bare_words(texts: DataFrame, key: str, text: str, names: DataFrame, name: str) -> DataFrame:
     """(key, name) for the names that occur in the text as whole words: texts are split to words once, then an equi-join."""
     tokens = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias(name))

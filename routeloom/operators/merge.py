@@ -32,6 +32,14 @@ def remove_keys(rows: DataFrame, removed: DataFrame, path: str, verb: str) -> Da
     return rows.join(whole, path, "left_anti").join(one, [path, verb], "left_anti")
 
 
+def union_paths(parts: list[DataFrame]) -> DataFrame:
+    """Every path of several one-column tables, once."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def action_algebra(base: Column, only: Column, excluded: Column) -> Column:
     """base, cut to ``only`` where given, without ``excluded``."""
     return F.array_except(F.when(only.isNull(), base).otherwise(F.array_intersect(base, only)), F.coalesce(excluded, F.array().cast("array<string>")))

@@ -30,6 +30,11 @@ def missing_paths(indexed: DataFrame, files: DataFrame, path: str) -> DataFrame:
     return indexed.select(path).distinct().join(files.select(path).distinct(), path, "left_anti")
 
 
+def ordered_hash(df: DataFrame, keys: list[str], part, name: str) -> DataFrame:
+    """Per key sha256 of its parts in sorted order, one after the other."""
+    return df.groupBy(*keys).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(part)), ""), 256).alias(name))
+
+
 def cache_misses(current: DataFrame, cache: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows whose content is cached, and rows to parse."""
     known = cache.select(*keys).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as s
-from ..operators import budget, joins, merge, state
+from ..operators import budget, context, joins, merge, state
 
 RETRIES, WAITS = 2, (1, 4)
 
@@ -42,8 +42,9 @@ def plan(endpoints: DataFrame, stored: DataFrame, dependencies: DataFrame, chang
 
 
 def batches(jobs: DataFrame, tokens) -> DataFrame:
-    """jobs (rel_path, pos, section) with a batch number per file: greedy, by the token price of each section."""
-    rows = jobs.withColumn("cost", F.least(tokens(F.col("section")), F.lit(budget.HANDLER_TOKENS)).cast("long"))
+    """jobs (rel_path, pos, section) with a batch number per file: sections cut to the cap of a handler, then greedy by their token prices."""
+    cut = context.truncate(F.col("section"), budget.HANDLER_TOKENS, tokens)
+    rows = jobs.withColumn("section", cut).withColumn("cost", tokens(F.col("section")).cast("long"))
     packed = budget.pack_batches(rows, "rel_path", "pos", "cost")
     spans = packed.select("rel_path", "batch", "first")
     best = rows.join(spans, "rel_path").where(F.col("first") <= F.col("pos")).groupBy("rel_path", "pos").agg(F.max("batch").alias("batch"))
