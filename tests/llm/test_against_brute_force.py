@@ -416,6 +416,55 @@ def test_language(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_language_brute_force(spark, sf, docs):
+    """The whole query again with dictionaries of strings: known words first, then letter n-grams from five down to one."""
+    rows = [*docs.values()]
+    learn = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    langs = sorted({r.lang for r in learn})
+
+    def words(text):
+        return [w for w in re.findall(r"[^\W\d_]+", "".join(c.lower() if len(c.lower()) == 1 else c for c in text))]
+
+    def grams(w, n):
+        w = w if n == 1 else f" {w} "
+        return [w[i : i + n] for i in range(len(w) - n + 1)]
+
+    count = {k: {x: Counter() for x in langs} for k in range(6)}
+    for r in learn:
+        for w in words(r.text):
+            count[0][r.lang][w] += 1
+            for n in range(1, 6):
+                count[n][r.lang].update(grams(w, n))
+
+    total = {(k, x): sum(count[k][x].values()) for k in count for x in langs}
+    known = {k: {key for x in langs for key in count[k][x]} for k in count}
+
+    def cost(kind, key):
+        return np.array([min(language_id.PENALTY, -math.log10(count[kind][x][key] / total[kind, x])) if key in count[kind][x] else language_id.PENALTY for x in langs])
+
+    prior = np.array([sum(r.lang == x for r in learn) for x in langs]) / len(learn)
+    got = {r.doc_id: r for r in language_id.op9(spark, sf).collect()}
+    texts = {k: r.text for k, r in docs.items()}
+    for k, text in texts.items():
+        sums, seen = np.zeros(len(langs)), 0
+        for w in words(text):
+            if w in known[0]:
+                sums, seen = sums + cost(0, w), seen + 1
+                continue
+            for n in range(5, 0, -1):
+                hits = [g for g in grams(w, n) if g in known[n]]
+                if hits:
+                    sums, seen = sums + sum(cost(n, g) for g in hits) / len(hits), seen + 1
+                    break
+        if not words(text):
+            assert got[k].lang_pred == "und" and got[k].score == 0
+            continue
+        z = sums / max(seen, 1) * min(seen, 20) * math.log(10) - (1e-6 if seen else 1.0) * np.log(prior)
+        like = np.exp(z.min() - z)
+        like /= like.sum()
+        assert got[k].lang_pred == langs[int(like.argmax())] and got[k].score == pytest.approx(like.max(), rel=1e-4), k
+
+
 def test_line_dedup(spark, sf, docs):
     first, want = {}, {}
     for k in sorted(docs):
