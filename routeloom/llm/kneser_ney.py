@@ -26,6 +26,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,23 @@ def mapped(uri: str, dtype) -> np.ndarray:
     return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
 
 
+class Mapped:
+    """Arrays of a model's folder, each mapped when it is first asked for; the least recently used go beyond ``most``."""
+
+    def __init__(self, folder: str, most: int = 8192):
+        self.get = lru_cache(most)(lambda name, dtype: mapped(f"{folder}/{name}", dtype))
+
+    def counts(self, name: str, size: int) -> np.ndarray:
+        """Counts of ``size`` entries, as wide as ``save_counts`` wrote them."""
+        x = self.get(name, np.uint8)
+        return x.view(np.int64 if len(x) == 8 * size else np.uint32)
+
+
+def save_counts(uri: str, array: np.ndarray) -> None:
+    """Counts in four bytes each, in eight where one of them needs it."""
+    save(uri, array.astype(np.uint32 if array.max(initial=0) < 2**32 else np.int64))
+
+
 # --- tokens ----------------------------------------------------------------------------------
 
 
@@ -156,7 +174,7 @@ def _shards(folder: str):
 
         def close():
             save(f"{folder}/words-{now}", np.concatenate(keys).view(tk.U64))
-            save(f"{folder}/counts-{now}", np.concatenate(counts))
+            save_counts(f"{folder}/counts-{now}", np.concatenate(counts))
             return pa.record_batch({"shard": pa.array([now], pa.int32()), "size": pa.array([sum(map(len, keys))], pa.int64())})
 
         for b in batches:
@@ -187,7 +205,7 @@ def _blocks(folder: str, sizes: list[int], dealer: Dealer):
             x, k = np.unique(np.concatenate(held), return_counts=True)
             p = dealer.of(x)
             order = np.argsort(p, kind="stable")
-            x, k = x[order], k[order].astype(np.uint32)
+            x, k = x[order], k[order].astype(np.uint32)  # a run is far below 2**32 tokens
             cut = np.searchsorted(p[order], np.arange(dealer.parts + 1))
             some = np.flatnonzero(np.diff(cut))
             # Most counts are 1: a byte each, with the rest (255 or more) apart.
@@ -236,7 +254,7 @@ def _merge(folder: str, span: int):
             at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
             x, k = x[at], np.add.reduceat(k.astype(np.int64), at)
             save(f"{folder}/pairs-{part}", x)
-            save(f"{folder}/times-{part}", np.minimum(k, 2**32 - 1).astype(np.uint32))
+            save_counts(f"{folder}/times-{part}", k)
             v, w = (x >> tk.U64(32)).astype(np.int64), (x & tk.U64(0xFFFFFFFF)).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
             sums = np.stack([np.add.reduceat(a, first) for a in (k, (k == 1).astype(np.int64), (k == 2).astype(np.int64), (k > 2).astype(np.int64))], 1)
@@ -272,7 +290,7 @@ def _dense(folder: str, span: int):
                     a[i, 4] += x[:, 0]
         for r, a in held.items():
             for k, name in enumerate(("total", "n1", "n2", "n3", "cont")):
-                save(f"{folder}/{name}-{r}", np.ascontiguousarray(a[:, k]))
+                save_counts(f"{folder}/{name}-{r}", a[:, k])
             of = np.bincount(np.minimum(a[:, 4], 5), minlength=6)
             yield pa.record_batch({"range": pa.array([r], pa.int32()), "of": pa.array([of.astype(np.int64).tobytes()], pa.binary()), "sum": pa.array([int(a[:, 4].sum())], pa.int64())})
 
@@ -299,9 +317,7 @@ class Model:
 
     def open(self) -> Model:
         self._words = Vocabulary(self.folder, self.sizes)
-        self._counts = [mapped(f"{self.folder}/counts-{k}", np.int64) for k in range(len(self.sizes))]
-        self._arrays = [[mapped(f"{self.folder}/{name}-{r}", np.int64) for name in ("total", "n1", "n2", "n3", "cont")] for r in range(-(-(self._words.size + 1) // self.span))]
-        self._pairs = [(mapped(f"{self.folder}/pairs-{p}", tk.U64), mapped(f"{self.folder}/times-{p}", np.uint32)) for p in range(self.dealer.parts)]
+        self._files = Mapped(self.folder)
         return self
 
     def _word(self, ids: np.ndarray) -> np.ndarray:
@@ -310,8 +326,8 @@ class Model:
         r = ids // self.span
         for k in np.unique(r[ids >= 0]):
             at = np.flatnonzero(r == k)
-            for j in range(5):
-                out[at, j] = self._arrays[k][j][ids[at] % self.span]
+            for j, name in enumerate(("total", "n1", "n2", "n3", "cont")):
+                out[at, j] = self._files.counts(f"{name}-{k}", self.span)[ids[at] % self.span]
         return out
 
     def times(self, x: np.ndarray) -> np.ndarray:
@@ -321,7 +337,8 @@ class Model:
         order = np.argsort(p, kind="stable")
         cut = np.searchsorted(p[order], np.arange(self.dealer.parts + 1))
         for k in np.flatnonzero(np.diff(cut)):
-            keys, n = self._pairs[k]
+            keys = self._files.get(f"pairs-{k}", tk.U64)
+            n = self._files.counts(f"times-{k}", len(keys))
             at = order[cut[k] : cut[k + 1]]
             if len(keys):
                 slot = np.minimum(np.searchsorted(keys, x[at]), len(keys) - 1)
@@ -356,7 +373,7 @@ class Model:
         got = np.zeros(len(r))
         for j in np.unique(r):
             at = r == j
-            got[at] = self._counts[j][ids[known][at] - self._words.base[j]]
+            got[at] = self._files.counts(f"counts-{j}", self.sizes[j])[ids[known][at] - self._words.base[j]]
         count[known] = got
         base = np.log10((count + 1) / (self.tokens + (begin + 1)))  # add-one, one more type for the unknown
         add = lambda a: np.add.reduceat(a, off[:-1]) if len(a) else np.zeros(0)  # noqa: E731  every document has its end token
@@ -385,7 +402,7 @@ def train(texts: DataFrame) -> Model:
     for k, n in enumerate(sizes):
         if not n:
             save(f"{folder}/words-{k}", np.zeros(0, tk.U64))
-            save(f"{folder}/counts-{k}", np.zeros(0, np.int64))
+            save(f"{folder}/counts-{k}", np.zeros(0, np.uint32))
     if size >= 2**32 - 1:
         raise ValueError("word ids have 32 bits")
     vocabulary = Vocabulary(folder, sizes)
@@ -410,7 +427,7 @@ def train(texts: DataFrame) -> Model:
     dense = sums.where("range >= 0").repartition(min(ranges, tasks), "range").mapInArrow(_dense(folder, span), "range int, of binary, sum long").collect()
     for r in set(range(ranges)) - {x["range"] for x in dense}:
         for name in ("total", "n1", "n2", "n3", "cont"):
-            save(f"{folder}/{name}-{r}", np.zeros(span, np.int64))
+            save(f"{folder}/{name}-{r}", np.zeros(span, np.uint32))
     of1 = sum((np.frombuffer(r["of"], np.int64) for r in dense), np.zeros(6, np.int64))
     model = Model(folder, sizes, dealer, span, discounts(of1), discounts(of2), sum(r["sum"] for r in dense), int(total))
     model.of1 = of1
@@ -422,8 +439,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
-        m.open()
+        m = shared.value.open()
         for b in batches:
             for c in tk.chunks(b.column("text"), "ascii"):
                 n, known, base, log = m.score(c)
