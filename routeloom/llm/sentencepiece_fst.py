@@ -277,11 +277,13 @@ class Transducer:
         return ids, np.concatenate([[0], np.cumsum(per)])
 
     def encode(self, texts: pa.Array):
-        """Per chunk of texts: first row, ids, offsets of rows in them, bytes and their offsets."""
+        """Per chunk of texts: the chunk as normalised, ids, and offsets of rows in them."""
         for c in tk.chunks(texts):
+            row = c.row
             if self.squeeze:
                 plain = [" ".join(filter(None, bytes(c.buf[a:b]).decode("utf-8", "replace").split(" "))) for a, b in zip(c.off[:-1], c.off[1:])]
                 c = next(tk.chunks(pa.array(plain, pa.large_string()), "", 1 << 62, 1 << 30), c)
+                c.row = row
             q = np.frombuffer(bytes(c.buf).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             points = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])[c.off]
             full = np.flatnonzero(np.diff(points))
@@ -395,7 +397,6 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches):
         fst = _compiled(shared.value)
         for b in batches:
-            values, off, trips = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
             for c, ids, o in fst.encode(b.column(place)):
                 data, at = fst.decode(ids, o)
                 size = np.diff(c.off)
@@ -405,11 +406,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                     same = wrong[c.off[1:]] == wrong[c.off[:-1]]
                 else:
                     same = np.array([np.array_equal(data[at[k] : at[k + 1]], c.buf[c.off[k] : c.off[k + 1]]) for k in range(c.n)], bool)
-                values.append(ids)
-                off.append(o[1:] + off[-1][-1])
-                trips.append(same)
-            off = np.concatenate(off)
-            yield pa.RecordBatch.from_arrays([*b.columns, tk.lists(np.concatenate(values).astype(np.int32), off, pa.int32()), pa.array(np.diff(off).astype(np.int32)), pa.array(np.concatenate(trips) if trips else np.zeros(0, bool))], names=[*b.schema.names, "ids", "n_pieces", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*b.slice(c.row, c.n).columns, tk.lists(ids.astype(np.int32), o, pa.int32()), pa.array(np.diff(o).astype(np.int32)), pa.array(same)], names=[*b.schema.names, "ids", "n_pieces", "round_trip"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
     return docs.mapInArrow(run, schema)

@@ -7,6 +7,7 @@ length. Words are maximal runs of bytes other than ASCII white space.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  where the C library is another one, it keeps its own counsel
+except (OSError, AttributeError):
+    _libc = None
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -24,6 +30,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def release() -> None:
+    """Give memory that the last batch needed back to the system: a worker lives on through later stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and _INVERSE**i for i in 0..n."""
     if len(_powers[0]) <= n:
@@ -69,6 +82,7 @@ def chunks(texts: pa.Array, lower: str = "", max_bytes: int = 1 << 20, max_docs:
             buf = _FOLD[buf]
         yield Chunk(buf, off - off[0], i)
         i = j
+    release()
 
 
 class Words:

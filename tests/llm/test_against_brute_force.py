@@ -195,6 +195,14 @@ def test_kneser_ney(spark, sf, docs):
         assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
 
 
+def test_kneser_ney_wide_counts(tmp_path):
+    """Counts beyond 32 bits are kept as they are."""
+    for a in (np.array([1, 2**32 - 1, 5]), np.array([1, 2**32, 2**40]), np.zeros(0, np.int64)):
+        kneser_ney.save_counts(f"{tmp_path}/x-{len(a)}-{a.max(initial=0)}", a)
+        got = kneser_ney.Mapped(str(tmp_path)).counts(f"x-{len(a)}-{a.max(initial=0)}", len(a))
+        assert got.tolist() == a.tolist()
+
+
 def test_secrets_base(spark, sf, docs):
     got = {r.doc_id: r for r in secrets.op4(spark, sf).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
