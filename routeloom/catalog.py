@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as s
 from .operators import budget, closure, dedupe, joins, merge, state, votes
+from .plans import incremental
+from .plans.code_lane import framework
+from .sources.repo_tree import sniff
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -130,22 +133,21 @@ def name_forms(spark, sf_dir):
     return p.select("p_partkey", s.camelize(F.col("p_name")).alias("camel"), s.singular(F.col("p_name")).alias("singular"))
 
 
-@query(r"""SELECT doc_id, regexp_matches(substr(text, 1, 65536), '(?i)licen[sc]ed?') AS license, regexp_matches(substr(text, 1, 65536), '(?i)(password|token)\s*[:=]') AS secret FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)licen[sc]ed?') AS license, regexp_matches(text, '(?i)(password|token)\s*[:=]') AS secret FROM documents""")
 def sniff_filter(spark, sf_dir):
-    head = F.substring("text", 1, 65536)
-    return table(spark, sf_dir, "documents").select("doc_id", head.rlike("(?i)licen[sc]ed?").alias("license"), head.rlike(r"(?i)(password|token)\s*[:=]").alias("secret"))
+    content = F.encode(F.col("text"), "UTF-8")
+    return table(spark, sf_dir, "documents").select("doc_id", sniff(content, "(?i)licen[sc]ed?").alias("license"), sniff(content, r"(?i)(password|token)\s*[:=]").alias("secret"))
 
 
 _PATTERNS = [("django", "(?i)(path|url)\\("), ("express", "(?i)<nav"), ("rails", "(?i)<p>"), ("spring", "(?i)<(h1|h2)")]
 
 
 @query(f"""WITH p(framework, pattern, pos) AS (VALUES {", ".join(f"('{a}', '{b}', {k})" for k, (a, b) in enumerate(_PATTERNS))}),
-h AS (SELECT page_id, framework, pos FROM pages JOIN p ON regexp_matches(html, pattern))
-SELECT framework, count(*) AS hits, row_number() OVER (ORDER BY count(*) DESC, min(pos)) AS rank FROM h GROUP BY framework""")
+h AS (SELECT page_id % 7 AS repo, framework, pos, count(*) AS hits FROM pages JOIN p ON regexp_matches(html, pattern) GROUP BY 1, 2, 3)
+SELECT CAST(repo AS VARCHAR) AS repo, framework FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY hits DESC, pos) AS k FROM h) WHERE k = 1""")
 def framework_argmax(spark, sf_dir):
-    hits = F.filter(F.array(*(F.when(F.col("html").rlike(p), F.struct(F.lit(n).alias("framework"), F.lit(k).alias("pos"))) for k, (n, p) in enumerate(_PATTERNS))), lambda x: x.isNotNull())
-    got = table(spark, sf_dir, "pages").select(F.explode(hits).alias("h")).groupBy("h.framework").agg(F.count("*").alias("hits"), F.min("h.pos").alias("pos"))
-    return got.select("framework", "hits", F.row_number().over(Window.orderBy(F.desc("hits"), "pos")).cast("long").alias("rank"))  # a row for each framework
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 7).cast("string").alias("repo"), F.col("html").alias("text"))
+    return framework(pages, _PATTERNS)
 
 
 @query("""SELECT user_id, event_type, min(event_id) AS won_by, arg_min(extract('day' FROM ts), event_id) AS winner, count(DISTINCT extract('day' FROM ts)) - 1 AS losers FROM events GROUP BY 1, 2""")
@@ -231,8 +233,9 @@ SELECT key, 'any' AS rule FROM d GROUP BY key HAVING bool_and(h = stored) UNION
 def hash_skip(spark, sf_dir):
     jobs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", F.col("l_returnflag").alias("h"))
     stored = dedupe.first_wins(jobs, ["key"], "l_linenumber", ["h"]).select("key", "h")
-    rule = lambda single, name: state.unchanged(jobs.select("key", "h"), stored, "key", "h", single).withColumn("rule", F.lit(name))
-    return rule(False, "any").unionByName(rule(True, "single"))
+    same = state.same_hashes(jobs.select("key", "h"), stored, "key", "h")
+    rules = F.when(F.col("jobs") == 1, F.array(F.lit("any"), F.lit("single"))).otherwise(F.array(F.lit("any")))
+    return same.select("key", F.explode(rules).alias("rule"))
 
 
 def _user_days(spark, sf_dir):
@@ -286,7 +289,7 @@ def interval_containment(spark, sf_dir):
 @query("""SELECT event_id, user_id, nearest FROM (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearest FROM events) WHERE event_type = 'purchase'""")
 def nearest_before(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return joins.nearest_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "view", "event_id").select("event_id", "user_id", "nearest")
+    return joins.nearest_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "purchase", F.col("event_type") == "view", "event_id", F.to_date("ts")).select("event_id", "user_id", "nearest")
 
 
 @query(r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM documents), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{7,}')) AS word FROM benchmark)
@@ -302,16 +305,17 @@ def json_block(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object(block, "$.k").cast("long").alias("k"))
 
 
-@query("""SELECT count(*) AS documents, count(quality) AS labelled, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT (SELECT count(DISTINCT doc_id) FROM documents) AS extracted, (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1) AS generated, (SELECT count(DISTINCT doc_id) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unchanged, (SELECT count(DISTINCT doc_id) FROM labels WHERE toxic = 1) AS failed""")
 def coverage_summary(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"))
+    keys = lambda df: df.select(F.col("doc_id").alias("key"))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return incremental.coverage(keys(docs), keys(labels.where("quality = 1")), keys(docs.join(labels, "doc_id", "left_anti")), keys(labels.where("toxic = 1")))
 
 
 @query("SELECT lang, doc_id, n_chars, rank FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents) WHERE rank <= 3")
 def top_n_per_key(spark, sf_dir):
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    return table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
+    return joins.top_n(d, ["lang"], [F.desc("n_chars"), F.col("doc_id")], 3, "rank").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("SELECT (SELECT string_agg(page_id, ',' ORDER BY page_id) FROM (SELECT page_id FROM pages ORDER BY page_id LIMIT 20)) AS listed, greatest((SELECT count(*) FROM pages) - 20, 0) AS more")
@@ -321,11 +325,12 @@ def limit_with_remainder(spark, sf_dir):
     return top.join(F.broadcast(p.agg(F.greatest(F.count("*") - 20, F.lit(0)).alias("more"))))  # one row by one row
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS src, l_partkey % 500 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 10),
-c AS (SELECT CAST(0 AS BIGINT) AS root, CAST(0 AS BIGINT) AS node UNION SELECT c.root, e.dst FROM c JOIN e ON e.src = c.node) SELECT root, node FROM c""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem),
+c AS (SELECT CAST(p_size AS BIGINT) AS root, p_partkey AS node FROM part UNION SELECT c.root, e.dst FROM c JOIN e ON e.src = c.node) SELECT root, node FROM c""")
 def reference_closure(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity < 10").select((F.col("l_orderkey") % 500).alias("src"), (F.col("l_partkey") % 500).alias("dst"))
-    return closure.transitive(spark.range(1).select(F.lit(0).cast("long").alias("root"), F.lit(0).cast("long").alias("node")), e).select("root", "node")
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    roots = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("root"), F.col("p_partkey").alias("node"))
+    return closure.transitive(roots, e).select("root", "node")
 
 
 @query()
@@ -335,12 +340,12 @@ def reference_closure_whole(spark, sf_dir):
     return closure.transitive(e.select(F.col("src").alias("root"), F.col("src").alias("node")), e).select("root", "node")
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * 7) // 11 AS dst FROM customer WHERE c_custkey % 3 <> 0 AND (c_custkey * 7) // 11 <> c_custkey),
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, (c_custkey * 7) // 11 AS dst FROM customer WHERE (c_custkey * 7) // 11 <> c_custkey),
 c AS (SELECT c_custkey AS key, c_custkey AS node FROM customer UNION ALL SELECT c.key, e.dst FROM c JOIN e ON e.src = c.node)
 SELECT key, min(node) AS node FROM c GROUP BY key""")
 def alias_chase(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    e = c.select(F.col("c_custkey").alias("src"), F.expr("(c_custkey * 7) div 11").alias("dst")).where("src % 3 <> 0 and dst <> src")
+    e = c.select(F.col("c_custkey").alias("src"), F.expr("(c_custkey * 7) div 11").alias("dst")).where("dst <> src")
     return closure.chase(c.select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("node")), e).select("key", "node")
 
 
@@ -353,9 +358,9 @@ def alias_chase_whole(spark, sf_dir):
     return closure.chase(c.select(F.col("c_custkey").alias("key"), F.col("c_custkey").alias("node")), e).select("key", "node")
 
 
-@query("""SELECT o_orderkey, coalesce(n, '-') AS prefix FROM orders LEFT JOIN (SELECT DISTINCT c_custkey, n_name AS n FROM customer JOIN nation ON c_nationkey % 5 = n_regionkey WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey""")
+@query("""SELECT o_orderkey, coalesce(n, '-') AS prefix FROM orders LEFT JOIN (SELECT DISTINCT c_custkey, n_name AS n FROM customer JOIN nation ON c_nationkey % 5 = n_regionkey) ON o_custkey = c_custkey""")
 def mount_fan_out(spark, sf_dir):
-    mounts = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey % 5 = n_regionkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("prefix"))
+    mounts = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("c_nationkey % 5 = n_regionkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("prefix"))
     return joins.fan_out(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), mounts, "o_custkey", "prefix").select("o_orderkey", F.coalesce("prefix", F.lit("-")).alias("prefix"))
 
 

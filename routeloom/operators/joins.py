@@ -66,11 +66,25 @@ def innermost(points: DataFrame, spans: DataFrame, by: list[str], point: str, po
     return points.join(best.select(point_key, F.col("_s.a").alias(start), (-F.col("_s.b")).alias(end)), point_key, "left")
 
 
-def nearest_before(events: DataFrame, by: list[str], order: list[str], is_anchor: Column, is_source: Column, payload: str) -> DataFrame:
-    """Each anchor row with the payload of the last source row at or before it, in one window pass."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = events.withColumn("nearest", F.last(F.when(is_source, F.col(payload)), ignorenulls=True).over(w))
-    return seen.where(is_anchor)
+def nearest_before(events: DataFrame, by: list[str], order: list[str], is_anchor: Column, is_source: Column, payload: str, bucket: Column | None = None) -> DataFrame:
+    """Each anchor row with the payload of the last source row before it.
+
+    With ``bucket``, a column that never falls as ``order`` rises, rows are sorted
+    within a bucket only, and what the buckets before leave behind is carried in
+    by a join: a group of any size is then sorted in as many parts as it has buckets.
+    """
+    source = F.when(is_source, F.col(payload))
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return events.withColumn("nearest", F.last(source, ignorenulls=True).over(w)).where(is_anchor)
+    rows = events.withColumn("_b", bucket)
+    w = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("nearest", F.last(source, ignorenulls=True).over(w)).where(is_anchor)
+    ends = rows.groupBy(*by, "_b").agg(F.max(F.when(is_source & F.col(payload).isNotNull(), F.struct(*order, F.col(payload).alias("_value")))).alias("_end"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_b", F.last("_end._value", ignorenulls=True).over(earlier).alias("_carried"))
+    same = [near[c].eqNullSafe(carried[c]) for c in (*by, "_b")]
+    return near.join(carried, same, "left").select(*(near[c] for c in near.columns if c not in ("_b", "nearest")), F.coalesce(near["nearest"], carried["_carried"]).alias("nearest"))
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:

@@ -18,11 +18,17 @@ def must_regenerate(dirty: DataFrame, total: DataFrame) -> DataFrame:
     return d.join(F.broadcast(t)).select("dirty", "total", (2 * F.col("dirty") > F.col("total")).alias("full"))  # one row by one row
 
 
+def same_hashes(jobs: DataFrame, stored: DataFrame, key: str, hash_: str) -> DataFrame:
+    """Keys whose context hashes all equal the stored one, with the number of their jobs."""
+    both = jobs.join(stored.select(key, F.col(hash_).alias("_stored")), key)
+    same = both.groupBy(key).agg(F.count("*").alias("jobs"), F.bool_and(F.coalesce(F.col(hash_) == F.col("_stored"), F.lit(False))).alias("_same"))
+    return same.where("_same").select(key, "jobs")
+
+
 def unchanged(jobs: DataFrame, stored: DataFrame, key: str, hash_: str, single_only: bool) -> DataFrame:
     """Keys whose context hashes all equal the stored one; with ``single_only``, of one job at most."""
-    both = jobs.join(stored.select(key, F.col(hash_).alias("_stored")), key)
-    same = both.groupBy(key).agg(F.count("*").alias("_n"), F.bool_and(F.coalesce(F.col(hash_) == F.col("_stored"), F.lit(False))).alias("_same"))
-    return same.where(F.col("_same") & ((F.col("_n") == 1) if single_only else F.lit(True))).select(key)
+    same = same_hashes(jobs, stored, key, hash_)
+    return (same.where("jobs = 1") if single_only else same).select(key)
 
 
 def missing_paths(indexed: DataFrame, files: DataFrame, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,7 +23,10 @@ def plurality(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def poisoned_intersection(df: DataFrame, key: str, member: str, value: str) -> DataFrame:
     """Per key the values that every member has; null if any value of the key is null (unreadable)."""
-    pairs = df.groupBy(key, value).agg(F.count_distinct(member).alias("_m"), F.max(F.col(value).isNull()).alias("_p"))
-    total = df.groupBy(key).agg(F.count_distinct(member).alias("_t"))
-    got = pairs.join(total, key).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_m") == F.col("_t"), F.col(value)))).alias("_s"), F.bool_or("_p").alias("_p"))
-    return got.select(key, F.when(F.col("_p"), None).otherwise(F.array_join("_s", ",")).alias("common"))
+    # One exchange by key and member serves both the distinct rows and the mark on one row of each member.
+    rows = df.select(key, member, value).repartition(key, member).dropDuplicates([key, member, value])
+    one = F.row_number().over(Window.partitionBy(key, member).orderBy(value)) == 1
+    pairs = rows.withColumn("_one", one.cast("int")).groupBy(key, value).agg(F.count("*").alias("_m"), F.sum("_one").alias("_t"))
+    got = pairs.groupBy(key).agg(F.collect_list(F.struct(F.col("_m").alias("m"), F.col(value).alias("v"))).alias("_s"), F.sum("_t").alias("_t"), F.bool_or(F.col(value).isNull()).alias("_p"))
+    common = F.array_sort(F.transform(F.filter("_s", lambda x: x["m"] == F.col("_t")), lambda x: x["v"]))
+    return got.select(key, F.when(F.col("_p"), None).otherwise(F.array_join(common, ",")).alias("common"))

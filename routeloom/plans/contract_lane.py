@@ -17,6 +17,7 @@ from ..functions import contract_facts as cf
 from ..functions import scalars as s
 from ..functions import spring_facts
 from ..functions.rows import extracted
+from ..operators import budget
 from ..operators.closure import propagate, settled, transitive
 from ..sources.repo_tree import BUILD_IGNORED, CONTRACT_IGNORED, sniffed
 
@@ -30,11 +31,9 @@ def discover(tree: DataFrame, own_outputs=(), max_files: int = cf.MAX_FILES, max
     """repo, rel_path, doc_index, bucket, version, operations, doc, error, contracts_in_file; a ``truncated`` row where a repo's budget ends."""
     rows = outside(tree, CONTRACT_IGNORED).where(F.col("rel_path").rlike(r"(?i)\.(ya?ml|json)$") & ~F.col("rel_path").isin(list(own_outputs)))
     rows = sniffed(rows, cf.SNIFF)
-    # The budget bounds a repo's files, so its window is bounded too.
-    w = Window.partitionBy("repo").orderBy("rel_path")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_n", F.row_number().over(w) - 1).withColumn("_b", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    over = (F.col("_n") >= max_files) | (F.col("_b") >= max_bytes)
+    # Paths and sizes alone are ordered; contents are joined to what is left.
+    known = rows.select("repo", "rel_path", "size")
+    kept = settled(budget.within(known, ["repo"], "rel_path", "size", max_files, max_bytes).select("repo", "rel_path"))
 
     def parse(parts):
         for p in parts:
@@ -45,14 +44,14 @@ def discover(tree: DataFrame, own_outputs=(), max_files: int = cf.MAX_FILES, max
             yield pd.DataFrame(out, columns=["repo", "rel_path", "doc_index", "bucket", "version", "operations", "doc", "error"])
 
     kind = "repo string, rel_path string, doc_index int, bucket string, version string, operations int, doc string, error string"
-    docs = rows.where(~over).select("repo", "rel_path", "content", "size").mapInPandas(parse, kind)
-    cut = rows.where(over).groupBy("repo").agg(F.min("rel_path").alias("rel_path")).select("repo", "rel_path", F.lit(0).alias("doc_index"), F.lit("truncated").alias("bucket"), F.lit(None).cast("string").alias("version"), F.lit(0).alias("operations"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("error"))
+    docs = rows.join(kept, ["repo", "rel_path"], "left_semi").select("repo", "rel_path", "content", "size").mapInPandas(parse, kind)
+    cut = known.join(kept, ["repo", "rel_path"], "left_anti").groupBy("repo").agg(F.min("rel_path").alias("rel_path")).select("repo", "rel_path", F.lit(0).alias("doc_index"), F.lit("truncated").alias("bucket"), F.lit(None).cast("string").alias("version"), F.lit(0).alias("operations"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("error"))
     per_file = Window.partitionBy("repo", "rel_path")
     return docs.unionByName(cut).withColumn("contracts_in_file", F.sum((F.col("bucket") == "contracts").cast("int")).over(per_file))
 
 
-def with_fragments(tree: DataFrame, docs: DataFrame, most: int = 8) -> DataFrame:
-    """docs and, as fragments, the files of the repository that they refer to, directly or through one another."""
+def with_fragments(tree: DataFrame, docs: DataFrame, most: int = cf.MAX_DEPTH) -> DataFrame:
+    """docs and, as fragments, the files of the repository that they refer to, directly or through one another; raises beyond ``most`` steps."""
 
     def goals(parts):
         for p in parts:
@@ -70,9 +69,9 @@ def with_fragments(tree: DataFrame, docs: DataFrame, most: int = 8) -> DataFrame
         wanted = wanted.join(docs.select("repo", "rel_path").distinct(), ["repo", "rel_path"], "left_anti")
         new = settled(files.join(wanted, ["repo", "rel_path"], "left_semi").select("repo", "rel_path", "content").mapInPandas(parse, docs.schema))
         if new.isEmpty():
-            break
+            return docs
         docs = docs.unionByName(new)
-    return docs
+    raise RecursionError(f"references lead through more than {most} files")
 
 
 def loaded_operations(docs: DataFrame) -> DataFrame:
@@ -160,7 +159,7 @@ def votes(df: DataFrame, key: list[str]) -> DataFrame:
     """key, chosen: what all prefix sets share; else the set of a strict majority; null if unreadable, or tied. df: key, prefixes (null: unreadable)."""
     n = df.groupBy(*key).agg(F.count("*").alias("n"), F.max(F.col("prefixes").isNull()).alias("bad"))
     each = df.where("prefixes is not null").select(*key, F.explode("prefixes").alias("p")).groupBy(*key, "p").agg(F.count("*").alias("m")).join(n, key).where("m = n").groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("common"))
-    sets = df.where("prefixes is not null").groupBy(*key, "prefixes").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("prefixes", "m").alias("top"), F.max("m").alias("m"))
+    sets = df.where("prefixes is not null").groupBy(*key, "prefixes").agg(F.count("*").alias("m")).groupBy(*key).agg(F.max_by("prefixes", "m").alias("top"), F.max("m").alias("m"))  # a tie has no strict majority below, so any of them will do
     out = n.join(each, key, "left").join(sets, key, "left")
     chosen = F.when(F.col("bad"), None).when(F.col("common").isNotNull(), F.col("common")).when(2 * F.col("m") > F.col("n"), F.col("top"))
     return out.select(*key, chosen.alias("chosen"), (F.col("common").isNull() & chosen.isNotNull()).alias("by_majority"))
@@ -223,7 +222,8 @@ def hashes(tree: DataFrame, ops: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def apply_overrides(v: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
     """overrides (rel_path, action, eligibility_hash, prefix): an exclude always holds; an include lifts a candidate whose hash is unchanged. The report names every override's state."""
-    o = overrides.groupBy("rel_path").agg(F.max(F.col("action") == "exclude").alias("_ex"), F.last("eligibility_hash").alias("_h"), F.last("prefix").alias("_p")).withColumn("_has", F.lit(True))
+    # The last entry of a path counts, in the order of the file.
+    o = overrides.withColumn("_pos", F.monotonically_increasing_id()).groupBy("rel_path").agg(F.max(F.col("action") == "exclude").alias("_ex"), F.max_by("eligibility_hash", "_pos").alias("_h"), F.max_by("prefix", "_pos").alias("_p")).withColumn("_has", F.lit(True))
     j = v.join(o, "rel_path", "left")
     has = F.coalesce("_has", F.lit(False))
     include = has & ~F.col("_ex") & (F.col("status") == "candidate")
@@ -272,4 +272,32 @@ def run_lane(tree: DataFrame, overrides: DataFrame | None = None, tracked: DataF
     good = good.withColumn("prefixes", F.when(F.col("override_prefix").isNotNull(), F.array("override_prefix")).otherwise(F.col("prefixes"))).where("prefixes is not null")
     rows = good.select("repo", "rel_path", "position", "method", F.explode("prefixes").alias("prefix"), "spec_path", "operation", "closure")
     rows = rows.withColumn("route", s.join_route(F.col("prefix"), F.col("spec_path"))).dropDuplicates(["repo", "rel_path", "method", "route"])
-    return {"docs": docs, "operations": ops, "evidence": evidence, "verdicts": v, "rows": rows, "overrides": report}
+    parts = components(docs, rows)
+    return {"docs": docs, "operations": ops, "evidence": evidence, "verdicts": v, "rows": rebased(rows), "overrides": report, "components": parts}
+
+
+def components(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """repo, category, name, body: what the published rows refer to, directly or through one another, under names that carry their file's."""
+    wanted = rows.select("repo", F.explode("closure").alias("k")).distinct().select("repo", F.substring_index("k", "#", 1).alias("rel_path"), F.substring_index("k", "#", -1).alias("pointer"))
+    asked = wanted.groupBy("repo", "rel_path").agg(F.array_sort(F.collect_set("pointer")).alias("pointers"))
+
+    def cut(parts):
+        for p in parts:
+            out = []
+            for repo, path, doc, pointers in zip(p["repo"], p["rel_path"], p["doc"], p["pointers"]):
+                for where in pointers:
+                    category, name = cf.component(f"{path}#{where}")
+                    out.append((repo, category, name, json.dumps(cf.rebased(cf.pointer(json.loads(doc), where), path))))
+            yield pd.DataFrame(out, columns=["repo", "category", "name", "body"])
+
+    return docs.where("doc is not null and doc_index = 0").join(asked, ["repo", "rel_path"]).select("repo", "rel_path", "doc", "pointers").mapInPandas(cut, "repo string, category string, name string, body string")
+
+
+def rebased(rows: DataFrame) -> DataFrame:
+    """rows with the references of their operations led to the published components."""
+
+    def run(parts):
+        for p in parts:
+            yield p.assign(operation=[json.dumps(cf.rebased(json.loads(o), path)) for o, path in zip(p["operation"], p["rel_path"])])
+
+    return rows.mapInPandas(run, rows.schema)

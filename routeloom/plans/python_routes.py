@@ -83,6 +83,8 @@ def django(facts: DataFrame, files: DataFrame, most: int = 64) -> DataFrame:
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
+    else:
+        raise RecursionError(f"includes nest deeper than {most}")
     at = reached.select("repo", "rel_path", "prefix").distinct()
     view = p.where("kind = 'view'").select("repo", "rel_path", "pos", "step", "target", F.lit("view").alias("as_"))
     registered = facts.where("what = 'router'").select("repo", "rel_path", "pos", F.col("owner").alias("_o"), F.col("route").alias("_r"), F.col("target").alias("_t"))

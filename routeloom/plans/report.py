@@ -10,15 +10,15 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.repo_tree import CODE_IGNORED, code_files, read_tree
+from ..sources.repo_tree import CODE_IGNORED, code_files, read_tree, tracked_files
 from .code_lane import code_endpoints
 from .contract_lane import reconcile, run_lane
 
 EXIT_OK, EXIT_ERROR, EXIT_PARTIAL = 0, 1, 2
 
 
-def openapi(title: str, host: str, operations: DataFrame, generated_at: str, commit: str = "") -> dict:
-    """operations (route, method, operation json, source_id, conflict, conditions) as one document: written for a reader, so gathered."""
+def openapi(title: str, host: str, operations: DataFrame, generated_at: str, commit: str = "", components: DataFrame | None = None) -> dict:
+    """operations (route, method, operation json, source_id, conflict, conditions) and components (category, name, body) as one document: written for a reader, so gathered."""
     paths: dict = {}
     for r in operations.orderBy("route", "method").toLocalIterator():
         if r.route in ("/*", "*"):
@@ -31,7 +31,10 @@ def openapi(title: str, host: str, operations: DataFrame, generated_at: str, com
         if r.conditions:
             op["x-routing-conditions"] = json.loads(r.conditions)
         paths.setdefault(r.route, {})[r.method.lower()] = op
-    return {"openapi": "3.0.0", "info": {"title": title, "version": "1.0.0", "generated_at": generated_at, "commit": commit}, "servers": [{"url": host}], "paths": paths}
+    doc = {"openapi": "3.0.0", "info": {"title": title, "version": "1.0.0", "x-generated-at": generated_at, "x-commit-reference": commit}, "servers": [{"url": host}], "paths": paths}
+    for r in components.orderBy("category", "name").toLocalIterator() if components is not None else ():
+        doc.setdefault("components", {}).setdefault(r.category, {})[r.name] = json.loads(r.body)
+    return doc
 
 
 def write_json(path: str, value: dict) -> None:
@@ -45,9 +48,23 @@ def analyse(spark: SparkSession, root: str) -> dict:
     """Both lanes of one tree: merged operations, what is superseded, what is left to document, rejects and verdicts."""
     tree = read_tree(spark, root).cache()
     endpoints, rejects = code_endpoints(code_files(tree, CODE_IGNORED))
-    lane = run_lane(tree)
+    lane = run_lane(tree, overrides=overrides(spark, root), tracked=tracked_files(spark, root))
     merged = reconcile(lane["rows"], endpoints)
-    return merged | {"rejects": rejects, "verdicts": lane["verdicts"], "endpoints": endpoints}
+    return merged | {"rejects": rejects, "verdicts": lane["verdicts"], "endpoints": endpoints, "components": lane["components"], "overrides": lane["overrides"]}
+
+
+def overrides(spark: SparkSession, root: str, name: str = "contract_overrides.yaml") -> DataFrame | None:
+    """The entries of a tree's overrides file, in its order; None without one or where it is not a list of specs."""
+    import yaml
+
+    try:
+        with open(os.path.join(root, name)) as f:
+            doc = yaml.safe_load(f)
+    except (OSError, yaml.YAMLError):
+        return None
+    specs = doc.get("specs") if isinstance(doc, dict) else None
+    rows = [(str(x["path"]), str(x["action"]), x.get("eligibility_hash"), x.get("prefix")) for x in specs or () if isinstance(x, dict) and x.get("action") in ("include", "exclude") and x.get("path")]
+    return spark.createDataFrame(rows, "rel_path string, action string, eligibility_hash string, prefix string").coalesce(1) if rows else None
 
 
 def profile(found: dict) -> dict:
@@ -70,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
     every = found["operations"].select("route", "method", "operation", "source_id", "conflict", "conditions").unionByName(code)
     from datetime import datetime, timezone
 
-    doc = openapi(os.path.basename(os.path.abspath(a.path)), a.host, every, datetime.now(timezone.utc).isoformat())
+    doc = openapi(os.path.basename(os.path.abspath(a.path)), a.host, every, datetime.now(timezone.utc).isoformat(), components=found["components"])
     write_json(a.output, doc)
     write_json(os.path.join(os.path.dirname(os.path.abspath(a.output)), "repo_profile.json"), profile(found))
     print(f"{sum(map(len, doc['paths'].values()))} operations on {len(doc['paths'])} routes")

@@ -86,9 +86,14 @@ def code_files(tree: DataFrame, ignored=CODE_IGNORED) -> DataFrame:
     return rows.where(~F.col("rel_path").rlike(r"_test\.go$")).select("repo", "rel_path", "language", F.decode("content", "UTF-8").alias("text"))
 
 
+def sniff(content, pattern: str, window: int | None = None):
+    """Whether a pattern occurs in the bytes (the first ``window`` of them, if given), read as Latin-1, so that offsets are bytes."""
+    return F.decode(content if window is None else F.substring(content, 1, window), "ISO-8859-1").rlike(pattern)
+
+
 def sniffed(files: DataFrame, pattern: str, window: int = 65536) -> DataFrame:
-    """Rows whose first bytes match: bytes read as Latin-1, so that offsets are bytes."""
-    return files.where(F.decode(F.substring("content", 1, window), "ISO-8859-1").rlike(pattern))
+    """Rows whose first bytes match."""
+    return files.where(sniff(F.col("content"), pattern, window))
 
 
 def changed_files(spark: SparkSession, repo: str, base: str | None) -> DataFrame | None:

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from routeloom.functions import contract_facts as cf
 from routeloom.plans.contract_lane import reconcile, run_lane
 from routeloom.sources.repo_tree import read_tree
 
@@ -45,6 +46,10 @@ def test_lane(spark, tmp_path):
     assert set(errors) == {"/bad", "/out", "/sec"}
     closure = next(r.closure for r in got["rows"].where("repo = 'refs'").collect())
     assert "parts.yaml#/C" in closure and len(closure) == 3
+    # Every reference of a published operation, and of what it refers to, meets a published component.
+    named = {(r.repo, f"#/components/{r.category}/{r["name"]}"): r.body for r in got["components"].collect()}
+    used = {(r.repo, ref) for r in got["rows"].collect() for ref in cf.references(json.loads(r.operation))} | {(repo, ref) for (repo, _), body in named.items() for ref in cf.references(json.loads(body))}
+    assert used <= set(named) and len([k for k in named if k[0] == "refs"]) == 3
     buckets = {(r.repo, r.bucket) for r in got["docs"].where("repo = 'nothing'").collect()}
     assert buckets == {("nothing", "contracts"), ("nothing", "swagger2"), ("nothing", "parse_errors")}
     # Overrides: by the hash just computed, an include lifts the candidate; a stale one does not; an exclude always holds.
