@@ -109,15 +109,15 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS, epochs: int = EPOCHS, cost: float = COST, mixture: float = MIXTURE) -> Model | float:
     """docs: doc_id, text; labels: doc_id (distinct), quality (0 or 1). With one class only: its probability."""
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    known = docs.where("text is not null").join(labels.withColumn("pick", pick), "doc_id")
-    counts = {r.quality: r for r in known.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()}
+    # Ids and lengths alone meet the labels; texts meet the sample, which the rates bound, and which is broadcast.
+    known = docs.where("text is not null").select("doc_id", F.length("text").alias("chars")).join(labels, "doc_id")
+    counts = {r.quality: r for r in known.groupBy("quality").agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).collect()}
     if len(counts) < 2:
         return 0.5 if not counts else float(next(iter(counts)))
     rate = {k: min(1.0, fit_rows / r.n, fit_chars / max(r.chars, 1)) for k, r in counts.items()}
-    some = known.where(F.col("pick") < F.when(F.col("quality") == 1, int(1e6 * rate[1]) + 1).otherwise(int(1e6 * rate[0]) + 1))
-    # Bounded by fit_rows and fit_chars for each class.
-    got = some.select("quality", F.col("pick").cast("long").alias("pick"), "text").mapInArrow(_collect(bits), "quality int, pick long, f binary").toArrow().sort_by([("pick", "ascending"), ("f", "ascending")])
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    some = labels.withColumn("pick", pick).where(F.col("pick") < F.when(F.col("quality") == 1, int(1e6 * rate[1]) + 1).otherwise(int(1e6 * rate[0]) + 1))
+    got = docs.where("text is not null").join(F.broadcast(some), "doc_id").select("quality", F.col("pick").cast("long").alias("pick"), "text").mapInArrow(_collect(bits), "quality int, pick long, f binary").toArrow().sort_by([("pick", "ascending"), ("f", "ascending")])
     if got.num_rows == 0:
         return 0.5
     y = np.where(got.column("quality").to_numpy() == 1, 1.0, -1.0)
