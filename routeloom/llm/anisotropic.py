@@ -13,9 +13,16 @@ their entries; a row whose bound exceeds the query's current last distance is
 left out, nothing else is. So the result is that of comparing all rows, however
 dense they lie; dense groups cost comparisons, not neighbours.
 
-The code book is fitted on at most about ``fit_rows`` vectors (taken by hash);
-every vector is encoded and scanned. Queries are broadcast in blocks of at most
-``block`` vectors, one pass over the codes for each.
+Tables of more than ``cell_rows`` rows are divided into cells of about that many
+by coarse centroids (at most 4096). A query visits the cells of its nearest
+centroids, as many as it takes for ``recall`` of the neighbours of a part of the
+sample, measured when the cells are fitted; inside a cell nothing is lost. So the
+work grows with queries times visited rows, not times all rows. Cells are cut to
+segments, so a dense group is many tasks. The queries of each cell lie in a file
+of the shared folder, which the tasks of that cell map.
+
+Code book and centroids are fitted on at most about ``fit_rows`` vectors (taken
+by hash); every vector is encoded, and every cell can be visited.
 """
 
 from __future__ import annotations
@@ -25,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import table, written
+from .kneser_ney import mapped, save
+from .shared import scratch, table, written
 
-FIT_ROWS, NEAREST, RERANK, BLOCK, ROWS, THRESHOLD, ROUNDS = 16_384, 10, 64, 32_768, 8192, 0.2, 4
+FIT_ROWS, NEAREST, RERANK, ROWS, THRESHOLD, ROUNDS = 16_384, 10, 64, 8192, 0.2, 4
+CELL_ROWS, MOST_CELLS, SEGMENT, RECALL = 131_072, 4096, 262_144, 0.98
 
 
 class CodeBook:
@@ -111,78 +120,170 @@ class CodeBook:
         return np.ascontiguousarray(pairs.reshape(len(queries), -1, 256).transpose(1, 0, 2)), scale, low.sum((1, 2))
 
 
-def _search(book: CodeBook, ids: np.ndarray, vectors: np.ndarray, nearest: int, rerank: int):
-    size = len(ids)
+class Cells:
+    """Coarse centroids, and how many of the nearest ones a query visits."""
 
-    def run(batches):
-        if not size:
+    def __init__(self, sample: np.ndarray, count: int, nearest: int, recall: float, seed: int = 7):
+        x = sample.astype(np.float32)
+        rng = np.random.default_rng(seed)
+        self.centroids = x[rng.choice(len(x), min(count, len(x)), replace=False)]
+        self.visits = 1
+        if len(self.centroids) == 1:
             return
-        best_d = np.full((size, nearest), np.inf)
-        best_i = np.full((size, nearest), np.iinfo(np.int64).max)
-
-        def merge(k, d, i, own):
-            """Rows i at distances d join the nearest of the queries from k on."""
-            to = slice(k, k + len(own))
-            d = np.where(i == own[:, None], np.inf, d)
-            d = np.concatenate([best_d[to], d], 1)
-            i = np.concatenate([best_i[to], np.where(np.isinf(d[:, nearest:]), np.iinfo(np.int64).max, i)], 1)
-            o = np.lexsort((i, d))[:, :nearest]
-            best_d[to], best_i[to] = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+        for _ in range(8):
+            cell = self.order(x, 1)[:, 0]
+            sums = np.zeros_like(self.centroids)
+            np.add.at(sums, cell, x)
+            n = np.bincount(cell, minlength=len(sums))
+            self.centroids[n > 0] = (sums / np.maximum(n, 1)[:, None])[n > 0]
+        cell = self.order(x, 1)[:, 0]
+        some = rng.choice(len(x), min(len(x), 512), replace=False)
+        found = np.zeros(len(self.centroids) + 1)
+        for k in range(0, len(some), 64):
+            q = some[k : k + 64]
+            d = ((x[q] ** 2).sum(1)[:, None] + (x**2).sum(1)[None, :]) - 2 * x[q] @ x.T
+            d[np.arange(len(q)), q] = np.inf
+            near = np.argpartition(d, min(nearest, len(x) - 1) - 1, axis=1)[:, : min(nearest, len(x) - 1)]
+            rank = np.argsort(self.order(x[q], len(self.centroids)), axis=1)
+            found[: len(self.centroids)] += np.bincount(rank[np.arange(len(q))[:, None], cell[near]].ravel(), minlength=len(self.centroids))
+        share = np.cumsum(found) / max(found.sum(), 1)
+        self.visits = min(len(self.centroids), max(2, int(np.searchsorted(share, recall)) + 1))
+
+    def order(self, vectors: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` nearest centroids of each vector, nearest first."""
+        out = np.zeros((len(vectors), count), np.int32)
+        half = (self.centroids**2).sum(1) / 2
+        for s in range(0, len(vectors), 2048):
+            d = half[None, :] - vectors[s : s + 2048].astype(np.float32) @ self.centroids.T
+            best = np.argpartition(d, count - 1, axis=1)[:, :count] if count < d.shape[1] else np.broadcast_to(np.arange(count), d.shape)
+            out[s : s + 2048] = np.take_along_axis(best, np.argsort(np.take_along_axis(d, best, 1), axis=1, kind="stable"), 1)
+        return out
+
+
+class _Search:
+    """The nearest rows so far of some queries."""
+
+    def __init__(self, book: CodeBook, ids: np.ndarray, vectors: np.ndarray, nearest: int, rerank: int):
+        self.book, self.ids, self.vectors, self.nearest, self.rerank = book, ids, vectors, nearest, rerank
+        self.d = np.full((len(ids), nearest), np.inf)
+        self.i = np.full((len(ids), nearest), np.iinfo(np.int64).max)
+
+    def merge(self, k: int, d: np.ndarray, i: np.ndarray, own: np.ndarray) -> None:
+        """Rows i at distances d join the nearest of the queries from k on."""
+        to = slice(k, k + len(own))
+        d = np.where(i == own[:, None], np.inf, d)
+        d = np.concatenate([self.d[to], d], 1)
+        i = np.concatenate([self.i[to], np.where(np.isinf(d[:, self.nearest :]), np.iinfo(np.int64).max, i)], 1)
+        o = np.lexsort((i, d))[:, : self.nearest]
+        self.d[to], self.i[to] = np.take_along_axis(d, o, 1), np.take_along_axis(i, o, 1)
+
+    def add(self, rows: np.ndarray, x: np.ndarray, codes: np.ndarray) -> None:
+        """Compare rows (by ascending id) with every query."""
+        half = (x * x).sum(1) / 2
+        for s in range(0, len(rows), ROWS):
+            r, v, c, h = (a[s : s + ROWS] for a in (rows, x, codes, half))
+            keep = min(len(r), self.rerank)
+            y = self.book.decode(c).astype(np.float64)
+            norm, gap = (y * y).sum(1), np.sqrt(((np.pad(v, ((0, 0), (0, y.shape[1] - v.shape[1]))) - y) ** 2).sum(1))
+            for k in range(0, len(self.ids), 256):
+                q, own = self.vectors[k : k + 256], self.ids[k : k + 256]
+                t, scale, low = self.book.tables(q)
+                acc = np.zeros((len(q), len(r)), np.uint16)
+                for j in range(c.shape[1]):
+                    acc += np.take(t[j], c[:, j], axis=1)
+                product = acc * scale[:, None] + low[:, None]
+                far = h[None, :] - product
+                # Ties go to smaller ids: rows are in their order, and so are equal keys of a stable cut.
+                if keep < len(r):
+                    edge = np.partition(far, keep - 1, axis=1)[:, keep - 1 : keep]
+                    rank = np.where(far < edge, -1, np.where(far == edge, np.arange(len(r))[None, :], len(r)))
+                    cand = np.argpartition(rank, keep - 1, axis=1)[:, :keep]
+                else:
+                    cand = np.broadcast_to(np.arange(len(r)), (len(q), len(r)))
+                d = np.sqrt(((v[cand] - q[:, None, :]) ** 2).sum(2))
+                self.merge(k, d, r[cand], own)
+                if keep == len(r):
+                    continue
+                # Every other row that the bound does not rule out. Roundings: half a step for each table entry,
+                # and what single precision in the tables and the sums below may lose.
+                qq = (q * q).sum(1)
+                length, longest = np.sqrt(qq), np.sqrt(norm)
+                lost = y.shape[1] / 4 * scale[:, None] + 1e-5 * (length[:, None] * longest[None, :] + np.abs(low)[:, None] + 255 * c.shape[1] * scale[:, None])
+                least = np.sqrt(np.maximum(qq[:, None] + norm[None, :] - 2 * (product + lost), 0)) - gap[None, :]
+                last = self.d[k : k + 256, -1]
+                may = least <= last[:, None] + 1e-9 * (length[:, None] + np.sqrt(2 * h)[None, :])
+                np.put_along_axis(may, cand, False, axis=1)
+                at = np.flatnonzero(may.any(0))
+                if not len(at):
+                    continue
+                # Squared distances by one product, whose rounding is allowed for; then the exact ones of what is left.
+                x2, h2 = v[at], 2 * h[at]
+                sq = qq[:, None] + h2[None, :] - 2 * (q @ x2.T)
+                may = may[:, at] & (sq <= last[:, None] ** 2 + 1e-12 * (qq[:, None] + h2[None, :]))
+                for n in np.flatnonzero(may.any(1)):
+                    near = at[may[n]]
+                    self.merge(k + n, np.sqrt(((v[near] - q[n]) ** 2).sum(1))[None, :], r[near][None, :], own[n : n + 1])
+
+    def result(self) -> pa.RecordBatch:
+        some = np.isfinite(self.d)
+        return pa.record_batch({"query_id": pa.array(np.repeat(self.ids, some.sum(1))), "vec_id": pa.array(self.i[some]), "score": pa.array(self.d[some])})
+
+
+def _matrix(column: pa.Array, dtype) -> np.ndarray:
+    """Equally long binary values as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def _scan(book: CodeBook, folder: str, size: int, nearest: int, rerank: int):
+    """Rows (cell, vec_id, v, code), a cell's rows together, against the queries of their cell."""
 
+    def run(batches):
+        now, search = None, None
         for b in batches:
-            rows = b.column("vec_id").to_numpy()
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            x = np.frombuffer(b.column("v").cast(pa.large_binary()).buffers()[2], np.float64)
-            at = np.frombuffer(b.column("v").cast(pa.large_binary()).buffers()[1], np.int64)[b.column("v").offset :]
-            x = x[at[0] // 8 : at[b.num_rows] // 8].reshape(b.num_rows, -1)[order]
-            codes = np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(b.num_rows, -1)[order]
-            half = (x * x).sum(1) / 2
-            for s in range(0, len(rows), ROWS):
-                r, v, c, h = (a[s : s + ROWS] for a in (rows, x, codes, half))
-                keep = min(len(r), rerank)
-                y = book.decode(c).astype(np.float64)
-                norm, gap = (y * y).sum(1), np.sqrt(((np.pad(v, ((0, 0), (0, y.shape[1] - v.shape[1]))) - y) ** 2).sum(1))
-                for k in range(0, size, 256):
-                    q, own = vectors[k : k + 256], ids[k : k + 256]
-                    t, scale, low = book.tables(q)
-                    acc = np.zeros((len(q), len(r)), np.uint16)
-                    for j in range(c.shape[1]):
-                        acc += np.take(t[j], c[:, j], axis=1)
-                    product = acc * scale[:, None] + low[:, None]
-                    far = h[None, :] - product
-                    # Ties go to smaller ids: rows are in their order, and so are equal keys of a stable cut.
-                    if keep < len(r):
-                        edge = np.partition(far, keep - 1, axis=1)[:, keep - 1 : keep]
-                        rank = np.where(far < edge, -1, np.where(far == edge, np.arange(len(r))[None, :], len(r)))
-                        cand = np.argpartition(rank, keep - 1, axis=1)[:, :keep]
-                    else:
-                        cand = np.broadcast_to(np.arange(len(r)), (len(q), len(r)))
-                    d = np.sqrt(((v[cand] - q[:, None, :]) ** 2).sum(2))
-                    merge(k, d, r[cand], own)
-                    if keep == len(r):
-                        continue
-                    # Every other row that the bound does not rule out. Roundings: half a step for each table entry,
-                    # and what single precision in the tables and the sums below may lose.
-                    qq = (q * q).sum(1)
-                    length, longest = np.sqrt(qq), np.sqrt(norm)
-                    lost = y.shape[1] / 4 * scale[:, None] + 1e-5 * (length[:, None] * longest[None, :] + np.abs(low)[:, None] + 255 * c.shape[1] * scale[:, None])
-                    least = np.sqrt(np.maximum(qq[:, None] + norm[None, :] - 2 * (product + lost), 0)) - gap[None, :]
-                    last = best_d[k : k + 256, -1]
-                    may = least <= last[:, None] + 1e-9 * (length[:, None] + np.sqrt(2 * h)[None, :])
-                    np.put_along_axis(may, cand, False, axis=1)
-                    at = np.flatnonzero(may.any(0))
-                    if not len(at):
-                        continue
-                    # Squared distances by one product, whose rounding is allowed for; then the exact ones of what is left.
-                    x2, h2 = v[at], 2 * h[at]
-                    sq = qq[:, None] + h2[None, :] - 2 * (q @ x2.T)
-                    may = may[:, at] & (sq <= last[:, None] ** 2 + 1e-12 * (qq[:, None] + h2[None, :]))
-                    for n in np.flatnonzero(may.any(1)):
-                        near = at[may[n]]
-                        merge(k + n, np.sqrt(((v[near] - q[n]) ** 2).sum(1))[None, :], r[near][None, :], own[n : n + 1])
-        some = np.isfinite(best_d)
-        yield pa.record_batch({"query_id": pa.array(np.repeat(ids, some.sum(1))), "vec_id": pa.array(best_i[some]), "score": pa.array(best_d[some])})
+            cells = b.column("cell").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]) if len(cells) else []
+            for a, z in zip(edge[:-1], edge[1:]):
+                if cells[a] != now:
+                    if search is not None:
+                        yield search.result()
+                    now, search = cells[a], None
+                    ids = mapped(f"{folder}/ids-{now}", np.int64)
+                    if len(ids):
+                        search = _Search(book, np.array(ids), np.array(mapped(f"{folder}/vectors-{now}", np.float64)).reshape(-1, size), nearest, rerank)
+                if search is not None:
+                    part = b.slice(a, z - a)
+                    rows = part.column("vec_id").to_numpy()
+                    order = np.argsort(rows, kind="stable")
+                    search.add(rows[order], _matrix(part.column("v"), np.float64)[order], _matrix(part.column("code"), np.uint8)[order])
+        if search is not None:
+            yield search.result()
+
+    return run
+
+
+def _questions(folder: str):
+    """Rows (cell, vec_id, v), a cell's rows together, into a file of ids and one of vectors for each cell."""
+
+    def run(batches):
+        now, ids, vectors = None, [], []
+
+        def close():
+            save(f"{folder}/ids-{now}", np.concatenate(ids))
+            save(f"{folder}/vectors-{now}", np.concatenate(vectors))
+            return pa.record_batch({"cell": pa.array([now], pa.int32())})
+
+        for b in batches:
+            cells = b.column("cell").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]) if len(cells) else []
+            for a, z in zip(edge[:-1], edge[1:]):
+                if now is not None and cells[a] != now:
+                    yield close()
+                    ids, vectors = [], []
+                now = int(cells[a])
+                ids.append(b.column("vec_id").slice(a, z - a).to_numpy().copy())
+                vectors.append(_matrix(b.column("v").slice(a, z - a), np.float64).copy())
+        if now is not None:
+            yield close()
 
     return run
 
@@ -196,7 +297,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0].n if sizes else 0))
 
 
-def nearest(vectors: DataFrame, queries=lambda i: i % 100 == 0, k: int = NEAREST, rerank: int = RERANK, fit_rows: int = FIT_ROWS, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries=lambda i: i % 100 == 0, k: int = NEAREST, rerank: int = RERANK, fit_rows: int = FIT_ROWS, cell_rows: int = CELL_ROWS, recall: float = RECALL, segment: int = SEGMENT) -> DataFrame:
     """embeddings (vec_id, embedding) -> query_id, rank, vec_id, score for the rows whose id ``queries`` selects.
 
     Each query's k nearest other ids (all, if fewer), ties to smaller ids. An
@@ -211,33 +312,43 @@ def nearest(vectors: DataFrame, queries=lambda i: i % 100 == 0, k: int = NEAREST
         return spark.createDataFrame([], kind).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     pick = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, fit_rows / n)) + 1
     sample = np.array([r.v for r in rows.where(pick).select("vec_id", "v").orderBy("vec_id").collect()] or [r.v for r in rows.limit(1).collect()])
-    book = CodeBook(sample)
-    shared = spark.sparkContext.broadcast(book)
+    book, cells = CodeBook(sample), Cells(sample, max(1, min(MOST_CELLS, len(sample) // 4, n // cell_rows)), k, recall)
+    shared = spark.sparkContext.broadcast((book, cells))
+    folder, parts = scratch(spark, "queries"), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
+        book, cells = shared.value
         for b in batches:
-            lists = b.column("v")
-            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            codes = np.concatenate([shared.value.pack(shared.value.encode(x[s : s + 4096])) for s in range(0, len(x), 4096)]) if len(x) else np.zeros((0, 1), np.uint8)
-            yield pa.record_batch({"vec_id": b.column("vec_id"), "v": pa.array([y.tobytes() for y in x], pa.binary()), "code": pa.array([y.tobytes() for y in codes], pa.binary())})
-
-    codes = written(rows.mapInArrow(encode, "vec_id long, v binary, code binary"), "codes")
-    asked = rows.where(queries(F.col("vec_id"))).dropDuplicates(["vec_id"])
-    blocks = max(1, -(-asked.count() // block))
-    found = None
-    for j in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(j * 0 + 3)), F.lit(blocks)) == j).orderBy("vec_id").collect() if blocks > 1 else asked.orderBy("vec_id").collect()
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r.vec_id for r in part]), np.array([r.v for r in part])))
-
-        def scan(batches, sent=sent):
-            return _search(shared.value, *sent.value, k, rerank)(batches)
-
-        got = codes.mapInArrow(scan, kind)
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        return spark.createDataFrame([], kind).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            codes = np.concatenate([book.pack(book.encode(x[s : s + 4096])) for s in range(0, len(x), 4096)]) if len(x) else np.zeros((0, 1), np.uint8)
+            yield pa.record_batch({"cell": pa.array(cells.order(x, 1)[:, 0]), "vec_id": b.column("vec_id"), "v": pa.array([y.tobytes() for y in x], pa.binary()), "code": pa.array([y.tobytes() for y in codes], pa.binary())})
+
+    def visit(batches):
+        cells = shared.value[1]
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            to = cells.order(x, cells.visits)
+            of = np.repeat(np.arange(len(x)), cells.visits)
+            yield pa.record_batch({"cell": pa.array(to.ravel()), "vec_id": b.column("vec_id").take(pa.array(of)), "v": pa.array([x[i].tobytes() for i in of], pa.binary())})
+
+    codes = written(rows.mapInArrow(encode, "cell int, vec_id long, v binary, code binary"), "codes")
+    asked = rows.where(queries(F.col("vec_id"))).dropDuplicates(["vec_id"]).mapInArrow(visit, "cell int, vec_id long, v binary")
+    asked = asked.repartition(min(parts, len(cells.centroids)), "cell").sortWithinPartitions("cell", "vec_id")
+    visited = {r.cell for r in asked.mapInArrow(_questions(folder), "cell int").collect()}
+    for c in set(range(len(cells.centroids))) - visited:
+        save(f"{folder}/ids-{c}", np.zeros(0, np.int64))
+    if len(cells.centroids) > 1:
+        # A cell of many rows is several segments, each a task's worth.
+        sizes = {r.cell: r.n for r in codes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        cuts = spark.createDataFrame([(c, -(-m // segment)) for c, m in sizes.items()], "cell int, cuts int")
+        held = codes.join(F.broadcast(cuts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("cuts")))
+        codes = held.repartition(max(parts, min(100_000, sum(-(-m // segment) for m in sizes.values()))), "cell", "part").sortWithinPartitions("cell", "part").drop("cuts", "part")
+    size = sample.shape[1]
+
+    def scan(batches):
+        return _scan(shared.value[0], folder, size, k, rerank)(batches)
+
+    found = codes.mapInArrow(scan, kind)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows: int = FI
         return 0.5 if not counts else float(next(iter(counts)))
     rate = {k: min(1.0, fit_rows / r.n, fit_chars / max(r.chars, 1)) for k, r in counts.items()}
     pick = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    some = labels.withColumn("pick", pick).where(F.col("pick") < F.when(F.col("quality") == 1, int(1e6 * rate[1]) + 1).otherwise(int(1e6 * rate[0]) + 1))
+    some = known.select("doc_id", "quality", pick.alias("pick")).distinct().where(F.col("pick") < F.when(F.col("quality") == 1, int(1e6 * rate[1]) + 1).otherwise(int(1e6 * rate[0]) + 1))
     got = docs.where("text is not null").join(F.broadcast(some), "doc_id").select("quality", F.col("pick").cast("long").alias("pick"), "text").mapInArrow(_collect(bits), "quality int, pick long, f binary").toArrow().sort_by([("pick", "ascending"), ("f", "ascending")])
     if got.num_rows == 0:
         return 0.5

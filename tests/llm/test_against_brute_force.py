@@ -489,6 +489,34 @@ def test_line_dedup(spark, sf, docs):
     assert got == want and any(g for _, g in want.values())
 
 
+def test_nearest_in_cells(spark):
+    """Clustered and even vectors in many cells, one cell in segments: recall against brute force, distances exact."""
+    r = np.random.default_rng(8)
+    for even in (False, True):
+        x = r.normal(size=(6000, 32)) if even else r.normal(size=(40, 32))[r.integers(0, 40, 6000)] + 0.15 * r.normal(size=(6000, 32))
+        x[:2000] = x[0] + 0.01 * r.normal(size=(2000, 32))
+        df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        got = defaultdict(dict)
+        for row in anisotropic.nearest(df, cell_rows=300, segment=500).collect():
+            got[row.query_id][row.vec_id] = row.score
+        shares = []
+        for q in range(0, 6000, 100):
+            d = np.sqrt(((x - x[q]) ** 2).sum(1))
+            d[q] = np.inf
+            shares.append(len(set(got[q]) & set(np.argsort(d, kind="stable")[:10].tolist())) / 10)
+            assert len(got[q]) == 10 and all(s == pytest.approx(d[v], rel=1e-12) for v, s in got[q].items())
+        print("recall", even, np.mean(shares))
+        assert np.mean(shares) >= 0.93
+
+
+def test_cells_visits():
+    r = np.random.default_rng(9)
+    apart = anisotropic.Cells(np.repeat(r.normal(size=(16, 8)) * 20, 64, 0) + r.normal(size=(1024, 8)), 16, 10, 0.98)
+    assert apart.visits <= 3
+    even = anisotropic.Cells(r.normal(size=(1024, 64)), 16, 10, 0.98)
+    assert even.visits > 4
+
+
 def test_nearest_in_dense_group(spark):
     """A full block in which near copies of one vector hold a third of the rows: no neighbour is lost, inside or outside."""
     r = np.random.default_rng(6)
