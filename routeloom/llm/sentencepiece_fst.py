@@ -2,9 +2,11 @@
 
 Compiled once from a model file:
 
-* the normaliser: a dummy blank in front, blanks as U+2581, repeated blanks
-  removed if the model says so (identity otherwise; models with a compiled
-  character map are refused);
+* the normaliser: the model's character map, if it has one (an arc for each of
+  its keys, longest first), then repeated blanks removed if the model says so, a
+  dummy blank in front, blanks as U+2581;
+* user-defined symbols of BPE models: arcs that nothing may cross (unigram models
+  with such symbols are refused: the weight depends on the library's version);
 * the piece transducer: an arc for each piece from its code points to its id;
 * byte fallback: an arc for a code point that no piece holds, to its UTF-8 bytes.
 
@@ -26,6 +28,7 @@ merged directly, leftmost first.
 from __future__ import annotations
 
 import heapq
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -72,6 +75,34 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The keys of a compiled character map and what they become.
+
+    The blob is a length, a double-array trie of that many bytes over the keys'
+    UTF-8, and the replacements, each closed by a zero byte; a key's value is its
+    replacement's place. A trie unit holds a label in its low byte (the top bit
+    marks values), whether a value follows (bit 8) and the offset to its children.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, words = np.frombuffer(blob[4 : 4 + size], np.uint32).astype(np.int64), blob[4 + size :]
+    base = lambda unit: (unit >> 10) << ((unit & (1 << 9)) >> 6)
+    labels, out, todo = np.arange(1, 256), {}, [(int(base(units[0])), b"")]
+    while todo:
+        place, key = todo.pop()
+        at = place ^ labels
+        at, found = at[at < len(units)], labels[at < len(units)]
+        for child, label in zip(*(x[(units[at] & 0x800000FF) == found].tolist() for x in (at, found))):
+            unit, name = int(units[child]), key + bytes([label])
+            below = child ^ base(unit)
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                out[name.decode("utf-8", "replace")] = words[start : words.index(0, start)].decode("utf-8", "replace")
+            todo.append((below, name))
+    return out
+
+
 class Transducer:
     def __init__(self, data: bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -79,15 +110,21 @@ class Transducer:
         proto = pb.ModelProto()
         proto.ParseFromString(data)
         norm, kind = proto.normalizer_spec, proto.trainer_spec.model_type
-        if norm.precompiled_charsmap:
-            raise ValueError("models with a compiled character map are not supported")
         if kind not in (1, 2) or proto.trainer_spec.treat_whitespace_as_suffix or not norm.escape_whitespaces:
             raise ValueError("only unigram and BPE models with blanks as prefixes")
         self.bpe = kind == 2
         self.dummy, self.squeeze = norm.add_dummy_prefix, norm.remove_extra_whitespaces
         pieces = list(proto.pieces)
-        if any(p.type == USER for p in pieces):
-            raise ValueError("user-defined symbols are not supported")
+        users = {p.piece: i for i, p in enumerate(pieces) if p.type == USER}
+        if users and not self.bpe:
+            raise ValueError("unigram models with user-defined symbols are not supported")
+        longest_first = lambda some: re.compile("|".join(map(re.escape, sorted(some, key=len, reverse=True))))
+        self.users = longest_first(users) if users else None
+        self.user_keys, self.user_ids = [self._key(_points(u)) for u in users], list(users.values())
+        self.chars = character_map(norm.precompiled_charsmap)
+        self.starts = re.compile("[" + "".join(map(re.escape, sorted({k[0] for k in self.chars}))) + "]") if self.chars else None
+        self.reach = max(map(len, self.chars), default=0)
+        self.raw_users = longest_first({u.replace(chr(BLANK), " ") for u in users} | set(users)) if users else None
         self.unk = next(i for i, p in enumerate(pieces) if p.type == UNKNOWN)
         self.byte_ids = np.full(256, self.unk, np.int64)
         for i, p in enumerate(pieces):
@@ -98,7 +135,7 @@ class Transducer:
         normal = {p.piece: i for i, p in enumerate(pieces) if p.type == NORMAL}
         self.score = np.array([p.score for p in pieces])
         # What an id writes: blanks for U+2581, its byte for byte pieces, nothing for control symbols.
-        out = [p.piece.replace("▁", " ").encode() if p.type == NORMAL else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in pieces]
+        out = [p.piece.replace("▁", " ").encode() if p.type in (NORMAL, USER) else bytes([int(p.piece[1:-1], 16)]) if p.type == BYTE else " ⁇ ".encode() if p.type == UNKNOWN else b"" for p in pieces]
         self.out_off = np.concatenate([[0], np.cumsum([len(x) for x in out])])
         self.out = np.frombuffer(b"".join(out), np.uint8)
 
@@ -132,7 +169,29 @@ class Transducer:
         return int(tk.span_hash(p, np.array([0]), np.array([len(p)]))[0])
 
     def clear(self) -> None:
-        self.cached, self.cached_off, self.cached_ids = np.zeros(0, tk.U64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        """Only user-defined symbols are known from the start."""
+        order = np.argsort(np.array(self.user_keys, tk.U64))
+        self.cached, self.cached_ids = np.array(self.user_keys, tk.U64)[order], np.array(self.user_ids, np.int64)[order]
+        self.cached_off = np.arange(len(order) + 1)
+
+    def normalise(self, text: str) -> str:
+        """Each place's longest key of the character map replaced, user-defined symbols left alone; then blanks, as the model says."""
+        if self.starts is not None and self.starts.search(text):
+            out, at = [], 0
+            kept = [m.span() for m in self.raw_users.finditer(text)] if self.raw_users else []
+            for m in self.starts.finditer(text):
+                i = m.start()
+                while kept and kept[0][1] <= i:
+                    kept.pop(0)
+                if i < at or (kept and kept[0][0] <= i):
+                    continue
+                for n in range(min(self.reach, len(text) - i), 0, -1):
+                    if (new := self.chars.get(text[i : i + n])) is not None:
+                        out += [text[at:i], new]
+                        at = i + n
+                        break
+            text = "".join([*out, text[at:]])
+        return " ".join(filter(None, text.split(" "))) if self.squeeze else text
 
     # --- merges of one string, as the model defines them: for compiling, and for runs of blanks ---
 
@@ -277,13 +336,12 @@ class Transducer:
         return ids, np.concatenate([[0], np.cumsum(per)])
 
     def encode(self, texts: pa.Array):
-        """Per chunk of texts: the chunk as normalised, ids, and offsets of rows in them."""
-        for c in tk.chunks(texts):
-            row = c.row
-            if self.squeeze:
-                plain = [" ".join(filter(None, bytes(c.buf[a:b]).decode("utf-8", "replace").split(" "))) for a, b in zip(c.off[:-1], c.off[1:])]
+        """Per chunk of texts: the chunk, ids, and offsets of rows in them."""
+        for whole in tk.chunks(texts):
+            c = whole
+            if self.squeeze or self.chars:
+                plain = [self.normalise(bytes(c.buf[a:b]).decode("utf-8", "replace")) for a, b in zip(c.off[:-1], c.off[1:])]
                 c = next(tk.chunks(pa.array(plain, pa.large_string()), "", 1 << 62, 1 << 30), c)
-                c.row = row
             q = np.frombuffer(bytes(c.buf).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             points = np.concatenate([[0], np.cumsum((c.buf & 0xC0) != 0x80)])[c.off]
             full = np.flatnonzero(np.diff(points))
@@ -298,15 +356,20 @@ class Transducer:
             off = points + shift
             p[own] = np.where(q == 32, BLANK, q)
             if not len(p):
-                yield c, np.zeros(0, np.int64), np.zeros(c.n + 1, np.int64)
+                yield whole, np.zeros(0, np.int64), np.zeros(c.n + 1, np.int64)
                 continue
             cut = np.ones(len(p) + 1, bool)
             known, _ = self.inside.find((p[:-1].astype(tk.U64) << tk.U64(32)) | p[1:].astype(tk.U64))
             cut[known + 1] = False
             cut[off] = True
+            if self.users is not None:
+                for a, b in zip(off[:-1], off[1:]):
+                    for m in self.users.finditer(p[a:b].tobytes().decode("utf-32-le", "surrogatepass")):
+                        cut[a + m.start() + 1 : a + m.end()] = False
+                        cut[[a + m.start(), a + m.end()]] = True
             edge = np.flatnonzero(cut)
             ids, at = self.segments(p, edge[:-1], edge[1:])
-            yield c, ids, at[np.searchsorted(edge, off)]
+            yield whole, ids, at[np.searchsorted(edge, off)]
 
     def segments(self, p: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = tk.span_hash(p, start, end)
@@ -387,7 +450,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     Null and empty texts have no ids and round_trip true. ``model`` is read once
     on the driver; a vocabulary file's size bounds what is broadcast. Texts that
-    hold U+2581, or blanks that the model removes, do not come back unchanged.
+    hold U+2581, or what the model's normaliser changes, do not come back unchanged.
     Columns of docs that already have one of the three names are replaced.
     """
     docs = without(docs, "ids", "n_pieces", "round_trip")

@@ -356,6 +356,32 @@ def test_sentencepiece_strings():
             assert ids[off[i] : off[i + 1]].tolist() == m.encode(texts[c.row + i])
 
 
+def test_sentencepiece_character_map_and_symbols():
+    """A model with a compiled character map, blanks removed and user-defined symbols: ids are the library's."""
+    import pyarrow as pa
+    import sentencepiece as sp
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rules = pb.ModelProto()
+    rules.ParseFromString(sp.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    assert rules.normalizer_spec.precompiled_charsmap
+    r = random.Random(15)
+    for squeeze in (False, True):
+        for users in ((), ("<sep>", "<sepia>", "@x")):
+            proto = pb.ModelProto()
+            proto.ParseFromString(open(sentencepiece_fst.MODEL, "rb").read())
+            proto.normalizer_spec.precompiled_charsmap = rules.normalizer_spec.precompiled_charsmap
+            proto.normalizer_spec.remove_extra_whitespaces = squeeze
+            for u in users:
+                proto.pieces.add(piece=u, score=0.0, type=4)
+            data = proto.SerializeToString()
+            m, fst = sp.SentencePieceProcessor(model_proto=data), sentencepiece_fst.Transducer(data)
+            texts = ["".join(r.choice(["the ", "ing", "ﬁ", "①", "Ａ", "é", "e\u0301", "\u3000", "\t", "\n", " ", "日本", "ｶﾞ", "½", "😀", "<sep>", "<sepia>", "@x", "a", "\u200b"]) for _ in range(r.randint(0, 25))) for _ in range(300)]
+            for c, ids, off in fst.encode(pa.array(texts)):
+                for i in range(c.n):
+                    assert ids[off[i] : off[i + 1]].tolist() == m.encode(texts[c.row + i]), (squeeze, users, texts[c.row + i])
+
+
 def test_sentencepiece_unigram():
     """A hand-made unigram model: the shortest path is the library's."""
     import pyarrow as pa
