@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .shared import table, written
+from .shared import forget, table, written
 
 MIN_WORDS, RUN_WORDS, PASSAGE = 5, 50, 50
 _LINES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("place", pa.int32()), ("words", pa.int32()), ("h0", pa.int64()), ("h1", pa.int64())])
@@ -204,22 +204,32 @@ def _together(run_words: int):
 
 
 def _passages(rows: DataFrame, lines: DataFrame, passage: int) -> DataFrame:
-    """rows (doc_id, text, version), lines (doc_id, version, removed) -> doc_id, version, removed with repeated passages too."""
+    """rows (doc_id, text, version), lines (doc_id, version, removed) -> doc_id, version, removed with repeated passages too.
+
+    Tables on the way are deleted as soon as what they led to is written.
+    """
     doc = F.struct("doc_id", "version")
     samples = written(rows.mapInArrow(_samples(passage), "doc_id long, version long, at int, start int, end int, h long"), "samples")
     # As tables, so that adaptive execution may split the joins where a sample or a run is frequent.
     twice = written(samples.groupBy("h").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h", "first"), "twice")
     hits = written(samples.join(twice, "h"), "hits")
+    forget(samples)
+    forget(twice)
     # Samples whose later surroundings went with their lines need no digests.
     gone = F.aggregate("removed", F.lit(0), lambda n, x: n + F.greatest(F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start")), F.lit(0)))
     live = written(hits.where(doc > F.col("first")).join(lines, ["doc_id", "version"], "left").where(F.coalesce(gone, F.lit(0)) < F.col("end") - F.col("start")).select("h").distinct(), "live")
     places = hits.join(live, "h", "left_semi").groupBy("doc_id", "version").agg(F.collect_set("at").alias("places"))
     runs = written(rows.join(places, ["doc_id", "version"]).select("doc_id", "version", "text", "places").mapInArrow(_around(passage), "doc_id long, version long, start int, end int, h0 long, h1 long"), "runs")
+    forget(hits)
+    forget(live)
     first = written(runs.groupBy("h0", "h1").agg(F.min(doc).alias("first"), F.max(doc).alias("last")).where("first < last").select("h0", "h1", "first"), "first")
     late = runs.join(first, ["h0", "h1"]).where(doc > F.col("first")).select("doc_id", "version", F.struct("start", "end").alias("x"))
     both = late.unionByName(lines.select("doc_id", "version", F.explode("removed").alias("x")))
     spans = both.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("x")).alias("removed"))
-    return spans.mapInArrow(_merged, "doc_id long, version long, removed array<struct<start:int,end:int>>")
+    out = written(spans.mapInArrow(_merged, "doc_id long, version long, removed array<struct<start:int,end:int>>"), "passages")
+    for x in (runs, first, lines):
+        forget(x)
+    return out
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = False, passage: int = PASSAGE, run_words: int = RUN_WORDS) -> DataFrame:
@@ -237,8 +247,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, paragraphs: bool = F
     gone = units.join(first, ["h0", "h1"]).where(at > F.col("first"))
     spans = gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set(F.struct("start", "end", "place", "words"))).alias("removed"))
     spans = written(spans.mapInArrow(_together(run_words), "doc_id long, version long, removed array<struct<start:int,end:int>>"), "spans")
+    forget(units)
+    forget(first)
     if passage:
-        spans = written(_passages(docs.where("doc_id is not null and text is not null"), spans, passage), "passages")
+        spans = _passages(docs.where("doc_id is not null and text is not null"), spans, passage)
     out = docs.join(spans, ["doc_id", "version"], "left")
     before = F.transform("removed", lambda x, i: F.when(i == 0, F.lit(0)).otherwise(F.get("removed", i - 1)["end"]))
     kept = F.zip_with("removed", before, lambda x, s: F.col("text").substr(s + 1, x["start"] - s))
