@@ -164,10 +164,21 @@ def _in_string(plain: str, raw: str, k: int) -> bool:
     return any(q in plain[:k] and plain[:k].count(q) % 2 for q in "\"'")
 
 
-def extract(text: str, path_: str, shared: dict | None = None):
-    if re.search(r"(^|/)(config/)?routes(/.*)?\.rb$", path_):
+ROUTE_FILE = r"(^|/)(config/)?routes(/.*)?\.rb$"
+
+
+def concern_rows(text: str, path_: str):
+    """The concerns that a route file defines, for the other files of its repository."""
+    for name, body in concerns_of(joined_lines(text), {}).items():
+        yield fact("concern", name=name, detail=json.dumps(body))
+
+
+def extract(text: str, path_: str, shared: str | None = None):
+    """``shared``: concerns of the repository's other route files, name to JSON lines, as JSON; a file's own ones go first."""
+    if re.search(ROUTE_FILE, path_):
         lines = joined_lines(text)
-        yield from walk(lines, Scope(), (shared or {}) | concerns_of(lines, {}))
+        others = {name: [tuple(x) for x in json.loads(body)] for name, body in json.loads(shared or "{}").items()}
+        yield from walk(lines, Scope(), others | concerns_of(lines, {}))
         return
     stack: list = []
     private = False

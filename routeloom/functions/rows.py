@@ -15,15 +15,15 @@ def fact(what: str, **more) -> dict:
     return dict.fromkeys(COLUMNS) | {"what": what} | more
 
 
-def extracted(files: DataFrame, extract) -> DataFrame:
-    """facts of each file: ``extract(text, rel_path)`` yields ``fact`` rows; an error becomes a reject row."""
+def extracted(files: DataFrame, extract, also: str | None = None) -> DataFrame:
+    """facts of each file: ``extract(text, rel_path)`` yields ``fact`` rows, given column ``also`` too if named; an error becomes a reject row."""
 
     def run(parts):
         for p in parts:
             out = []
-            for repo, path, text in zip(p["repo"], p["rel_path"], p["text"]):
+            for repo, path, text, *more in zip(p["repo"], p["rel_path"], p["text"], *([p[also]] if also else [])):
                 try:
-                    rows = list(extract(text or "", path))
+                    rows = list(extract(text or "", path, *more))
                 except Exception as e:  # one broken file is a row, not a failed task
                     rows = [fact("reject", detail=f"{type(e).__name__}: {e}"[:200])]
                 out += [r | {"repo": repo, "rel_path": path, "pos": k} for k, r in enumerate(rows)]
@@ -33,4 +33,4 @@ def extracted(files: DataFrame, extract) -> DataFrame:
                     d[c] = d[c].astype("Int32")
                 yield d
 
-    return files.select("repo", "rel_path", "text").mapInPandas(run, FACT)
+    return files.select("repo", "rel_path", "text", *([also] if also else [])).mapInPandas(run, FACT)

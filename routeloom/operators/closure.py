@@ -84,6 +84,23 @@ def chase(start: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFram
     return ends.join(stuck, ends["node"] == stuck["_s"], "left").select("key", F.when(F.col("_s").isNull(), F.col("node")).alias("node"), F.when(F.col("_s").isNotNull(), "cycle").alias("error"))
 
 
+def in_order(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+    """roots (root, node), edges (src, dst, rank) -> (root, node, place): what is reachable, by the ranks of the edges on the way there.
+
+    Places order as a walk does that takes edges by rank and each one's own before
+    the next; a node reached twice has the earlier place. Chains beyond ``most`` raise.
+    """
+    front = settled(roots.select("root", "node", F.array().cast("array<int>").alias("place"), F.array("node").alias("seen")))
+    every = front
+    for _ in range(most):
+        step = front.join(edges, front["node"] == edges["src"]).where(~F.array_contains("seen", F.col("dst")))
+        front = settled(step.select("root", F.col("dst").alias("node"), F.concat("place", F.array(F.col("rank").cast("int"))).alias("place"), F.concat("seen", F.array("dst")).alias("seen")))
+        if front.isEmpty():
+            return every.groupBy("root", "node").agg(F.min("place").alias("place"))
+        every = every.unionByName(front)
+    raise RecursionError(f"chains longer than {most}")
+
+
 def propagate(facts: DataFrame, uses: DataFrame, most: int = 64) -> DataFrame:
     """Macro propagation to a fixpoint: facts (name, value), uses (caller, callee) -> (name, value): a caller takes on its callees' values."""
     roots = facts.select(F.concat_ws("\x00", "name", "value").alias("root"), F.col("name").alias("node"), "value")

@@ -13,7 +13,7 @@ from ..functions import go_facts, js_facts, rails_facts, spring_facts
 from ..functions import scalars as s
 from ..functions.rows import extracted
 from ..operators import dedupe
-from ..operators.closure import settled, transitive
+from ..operators.closure import in_order, settled, transitive
 from .python_routes import python_endpoints
 
 COLUMNS = ["repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line", "conditions"]
@@ -86,20 +86,29 @@ def golang(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rails(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Routes with the controller action that serves them, own or of an ancestor (nearest first); routes without one are rejected."""
-    facts = settled(extracted(files, rails_facts.extract))
+    """Routes with the controller action that serves them, own or of an ancestor; routes without one are rejected.
+
+    Ancestors are asked as Ruby asks them: a class's modules, the one of the last
+    include statement first and in order of arguments within one, each with its
+    own, then its superclass. Concerns of a repository's route files are shared.
+    """
+    routes = files.where(F.col("rel_path").rlike(rails_facts.ROUTE_FILE) & F.contains("text", F.lit("concern")))
+    found = extracted(routes, rails_facts.concern_rows).where("what = 'concern'")
+    shared = found.groupBy("repo", "name").agg(F.min_by("detail", F.struct("rel_path", "pos")).alias("detail")).groupBy("repo").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "detail")))).alias("shared"))
+    facts = settled(extracted(files.join(shared, "repo", "left"), rails_facts.extract, "shared"))
     routes = facts.where("what = 'endpoint'").withColumn("a", s.split_action(F.col("target")))
     classes = facts.where("what = 'ruby_class'")
-    parents = classes.where("target is not null").select("repo", F.col("name").alias("src"), F.col("target").alias("dst"))
-    mixed = facts.where("what = 'ruby_include'").select("repo", F.col("owner").alias("src"), F.explode(F.from_json("target", "array<string>")).alias("dst"))
+    parents = classes.where("target is not null").select("repo", F.col("name").alias("src"), F.col("target").alias("dst"), F.lit(1 << 30).alias("rank"))
+    mixed = facts.where("what = 'ruby_include'").select("repo", F.col("owner").alias("src"), F.posexplode(F.from_json("target", "array<string>")).alias("_arg", "dst"), "start_line")
+    mixed = mixed.select("repo", "src", "dst", ((F.lit(1_000_000) - F.col("start_line")) * 100 + F.col("_arg")).cast("int").alias("rank"))
     key = lambda c: F.concat_ws("\x00", "repo", c)
-    edges = parents.unionByName(mixed).select(key("src").alias("src"), key("dst").alias("dst"))
+    edges = parents.unionByName(mixed).groupBy(key("src").alias("src"), key("dst").alias("dst")).agg(F.min("rank").alias("rank"))
     # app/controllers/api/posts_controller.rb serves api/posts; the class name is the camelised path.
     wanted = F.concat(F.array_join(F.transform(F.split(F.col("a.controller"), "/"), lambda x: F.array_join(F.transform(F.split(x, "_"), F.initcap), "")), "::"), F.lit("Controller"))
     routes = routes.withColumn("class", wanted)
-    reach = transitive(routes.where("class is not null").select(key("class").alias("root"), key("class").alias("node")), edges)
+    reach = in_order(routes.where("class is not null").select(key("class").alias("root"), key("class").alias("node")).distinct(), edges)
     actions = facts.where("what = 'ruby_method' and kind = 'instance'").select(key("owner").alias("node"), F.col("name").alias("action"), F.col("rel_path").alias("file"), F.col("start_line").alias("_s"))
-    served = reach.join(actions, "node").groupBy("root", "action").agg(F.min_by(F.struct("file", "_s"), F.struct("depth", "file", "_s")).alias("h"))
+    served = reach.join(actions, "node").groupBy("root", "action").agg(F.min_by(F.struct("file", "_s"), F.struct("place", "file", "_s")).alias("h"))
     rows = routes.withColumn("root", key("class")).withColumn("action", F.col("a.action")).join(served, ["root", "action"], "left")
     good = rows.where("h is not null").select("repo", F.col("h.file").alias("rel_path"), "pos", "kind", F.col("target").alias("name"), "method", s.normalize_colon(F.col("route")).alias("route"), F.col("h._s").alias("start_line"), F.col("h._s").alias("end_line"))
     lost = rows.where("h is null").select(*facts.columns).withColumn("detail", F.lit("no action serves the route"))

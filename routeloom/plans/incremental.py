@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as s
-from ..operators import budget, context, joins, merge, state
+from ..operators import budget, context, joins, merge, specs, state
 
 RETRIES, WAITS = 2, (1, 4)
 
@@ -51,6 +51,19 @@ def batches(jobs: DataFrame, tokens) -> DataFrame:
     return rows.join(best, ["rel_path", "pos"])
 
 
+def mirrors(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(jobs to ask for, PUT jobs that take the result of the PATCH job of the same file and route)."""
+    twin = specs.mirrored(jobs, ["rel_path", "route"], "method", "PATCH", "PUT")
+    return jobs.join(twin.select("key", "rel_path").distinct(), ["key", "rel_path"], "left_anti"), twin
+
+
+def with_mirrors(done: DataFrame, twins: DataFrame) -> DataFrame:
+    """done (key, route, method, operation) with the operations of mirrored jobs, copied from their PATCH."""
+    source = done.where(F.upper("method") == "PATCH").select("route", "operation")
+    copied = twins.select("key", "route", F.upper("method").alias("method")).distinct().join(source, "route").select("key", "route", "method", "operation")
+    return done.unionByName(copied.join(done.select("key"), "key", "left_anti"))
+
+
 def prompts(jobs: DataFrame, blocks: DataFrame, tokens) -> DataFrame:
     """One prompt a batch: its sections, then the file's context blocks (distinct, in order) as far as the budget goes."""
     sections = jobs.groupBy("rel_path", "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "section"))), lambda x: x["section"]), "\n\n").alias("body"), F.sum("cost").alias("used"), F.array_sort(F.collect_list("key")).alias("keys"))

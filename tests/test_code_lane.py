@@ -34,6 +34,23 @@ def test_all_languages(spark, tmp_path):
     assert {(r.language, r.reason): r.n for r in rejects.collect()} == {("golang", "handler not found"): 1}
 
 
+def test_rails_ancestors_and_concerns(spark, tmp_path):
+    """A concern of another route file; of two modules the one of the later include statement serves, before the superclass."""
+    files = {
+        "config/routes.rb": "Rails.application.routes.draw do\n  resources :posts, only: [:show], concerns: :likeable\nend\n",
+        "config/routes/shared.rb": "Rails.application.routes.draw do\n  concern :likeable do\n    member do\n      get :likes\n    end\n  end\nend\n",
+        "app/controllers/posts_controller.rb": "class PostsController < BaseController\n  include Early\n  include Late, Last\nend\n",
+        "app/controllers/base_controller.rb": "class BaseController\n  def show\n  end\n  def likes\n  end\nend\n",
+        "app/controllers/early.rb": "module Early\n  def show\n  end\nend\n",
+        "app/controllers/late.rb": "module Late\n  include Deep\nend\n",
+        "app/controllers/deep.rb": "module Deep\n  def show\n  end\nend\n",
+        "app/controllers/last.rb": "module Last\n  def show\n  end\nend\n",
+    }
+    rows, _ = code_endpoints(code_files(tree(spark, tmp_path, files)))
+    got = {(r.method, r.route): r.rel_path for r in rows.collect()}
+    assert got == {("GET", "/posts/{id}"): "app/controllers/deep.rb", ("GET", "/posts/{id}/likes"): "app/controllers/base_controller.rb"}
+
+
 def test_framework(spark, tmp_path):
     df = code_files(tree(spark, tmp_path, FILES))
     assert framework(df, [("express", "express"), ("spring", "@RestController")]).first().framework == "express"

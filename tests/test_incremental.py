@@ -26,6 +26,14 @@ def test_plan(spark):
     assert inc.plan(stored, stored, deps, None)["mode"] == "full"
 
 
+def test_mirrors(spark):
+    jobs = spark.createDataFrame([("PATCH /a", "PATCH", "/a", "x.rb"), ("PUT /a", "PUT", "/a", "x.rb"), ("PUT /b", "PUT", "/b", "x.rb"), ("PUT /c", "PUT", "/c", "y.rb"), ("PATCH /c", "PATCH", "/c", "x.rb")], "key string, method string, route string, rel_path string")
+    asked, twins = inc.mirrors(jobs)
+    assert {r.key for r in asked.collect()} == {"PATCH /a", "PUT /b", "PUT /c", "PATCH /c"} and [r.key for r in twins.collect()] == ["PUT /a"]
+    done = spark.createDataFrame([("PATCH /a", "/a", "PATCH", "A"), ("PUT /b", "/b", "PUT", "B")], "key string, route string, method string, operation string")
+    assert {(r.key, r.operation) for r in inc.with_mirrors(done, twins).collect()} == {("PATCH /a", "A"), ("PUT /b", "B"), ("PUT /a", "A")}
+
+
 def test_generation(spark):
     jobs = spark.createDataFrame([(f"GET /r{k}", "GET", f"/r{k}", "a.py", k, "x" * 400) for k in range(25)], "key string, method string, route string, rel_path string, pos long, section string")
     packed = inc.batches(jobs, inc.approximate_tokens)
