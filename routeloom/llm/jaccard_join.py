@@ -356,12 +356,11 @@ def keep_first(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     stays, with the columns of any of them.
     """
     out = _joined(_rows(docs), words, similarity, recall, levels, spread, small)
-    i, v = unused(docs, "_gone_id"), unused(docs, "_gone_version")
+    i, v, own = (unused(docs, name) for name in ("_row_id", "_row_version", "_own"))
     gone = out.where((F.col("head.doc_id") != F.col("doc_id")) | (F.col("head.version") != F.col("version"))).select(F.col("doc_id").alias(i), F.col("version").alias(v)).distinct()
-    kept = docs.join(gone, (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(docs["text"]) == F.col(v)), "left_anti")
-    own = unused(docs, "_own")
-    kept = kept.withColumn(own, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates(["doc_id", "text", own]).drop(own)
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), v: F.xxhash64("text"), own: F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())})
+    # Repeated rows fall together on the partitioning of the join: texts are shuffled once.
+    return rows.join(gone, [i, v], "left_anti").dropDuplicates([i, v, "doc_id", "text", own]).drop(i, v, own).select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns))
 
 
 def _wide(batches):
