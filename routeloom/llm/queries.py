@@ -17,6 +17,7 @@ QUERIES = {
     "op7_license_dice": ("licenses", "op7"),
     "op7_license_windows": ("licenses", "op7_windows"),
     "op8_anisotropic_ann": ("anisotropic", "op8"),
+    "op12_mix_sources": ("mixing", "op12"),
 }
 
 
@@ -25,6 +26,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses
+    from . import licenses, mixing
 
-    return {"op7_license_dice": licenses.oracle()}
+    return {"op7_license_dice": licenses.oracle(), "op12_mix_sources": mixing.ORACLE}
