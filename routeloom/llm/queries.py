@@ -17,6 +17,7 @@ QUERIES = {
     "op7_license_dice": ("licenses", "op7"),
     "op7_license_windows": ("licenses", "op7_windows"),
     "op8_anisotropic_ann": ("anisotropic", "op8"),
+    "op11_token_alignment": ("token_alignment", "op11"),
     "op12_mix_sources": ("mixing", "op12"),
     "op13_conversation_repair": ("conversation_repair", "op13"),
 }
