@@ -108,7 +108,7 @@ def with_rates(docs: DataFrame, source: str, found: DataFrame) -> DataFrame:
         return docs.join(F.broadcast(found), F.col(source).eqNullSafe(F.col(other)), "left").drop(other)
     salt, key = unused(docs, "salt"), unused(docs, "source_key")
     dealt = docs.withColumn(salt, F.pmod(F.xxhash64(*(c for c in docs.columns if not isinstance(docs.schema[c].dataType, T.MapType))), F.lit(SALTS)))
-    copies = found.withColumn(key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    copies = found.withColumn(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return dealt.join(copies, (F.col(salt) == F.col(key)) & F.col(source).eqNullSafe(F.col(other)), "left").drop(other, salt, key)
 
 
