@@ -17,6 +17,9 @@ Not all runs are grouped. Words are first sampled by the least hash of half-runs
 in every run (winnowing), so equal runs share a sample; only runs around samples
 that two documents share, and that lines did not remove already, are digested
 and grouped like units. This loses no run.
+
+Registered are the line method by itself (op10_repeated_lines: every repeat goes)
+and lines in runs with passages (op10_line_dedup).
 """
 
 from __future__ import annotations
@@ -47,6 +50,18 @@ def _cuts(c: tk.Chunk, paragraphs: bool) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1], edge[1:]
 
 
+def _own_words(plain: tk.Chunk, folded: tk.Words) -> tk.Words:
+    """The words of the original text: lower-casing may change the bytes of a letter, but neither words nor their order.
+
+    Their places in the two texts are the same only where all is ASCII: letters
+    that grow and letters that shrink may make up for one another.
+    """
+    own = tk.Words(plain) if (plain.buf & 0x80).any() else folded
+    if own.n != folded.n:
+        raise AssertionError("lower-casing changed words")
+    return own
+
+
 def _units(min_words: int, paragraphs: bool):
     def run(batches):
         for b in batches:
@@ -54,16 +69,10 @@ def _units(min_words: int, paragraphs: bool):
             ids = ids.to_numpy(zero_copy_only=False)
             for c in tk.chunks(b.column("text"), "unicode"):
                 plain = next(tk.chunks(b.column("text").slice(c.row, c.n), "", 1 << 62, 1 << 30))
-                # Lower-casing may change byte lengths; spans come from the original, words from the folded text.
-                start, end = _cuts(plain, paragraphs)
-                if len(plain.buf) == len(c.buf):
-                    fold_start, fold_end = start, end
-                else:
-                    fold_start, fold_end = _cuts(c, paragraphs)
-                    if len(fold_start) != len(start):
-                        raise AssertionError("lower-casing changed line breaks")
                 w = tk.Words(c)
-                first, last = np.searchsorted(w.start, fold_start), np.searchsorted(w.start, fold_end)
+                own = _own_words(plain, w)
+                start, end = _cuts(plain, paragraphs)
+                first, last = np.searchsorted(own.start, start), np.searchsorted(own.start, end)
                 full = np.flatnonzero(last - first >= min_words)
                 if not len(full):
                     continue
@@ -91,9 +100,7 @@ def _words(batch):
     for c in tk.chunks(batch.column("text"), "unicode"):
         w = tk.Words(c)
         plain = next(tk.chunks(batch.column("text").slice(c.row, c.n), "", 1 << 62, 1 << 30))
-        own = w if len(plain.buf) == len(c.buf) else tk.Words(plain)
-        if own.n != w.n:
-            raise AssertionError("lower-casing changed words")
+        own = _own_words(plain, w)
         doc = w.doc()
         points = np.concatenate([[0], np.cumsum((plain.buf & 0xC0) != 0x80)])
         base = points[plain.off[doc]]
@@ -264,16 +271,21 @@ def _query(spark: SparkSession, sf_dir: str, passage: int, run_words: int) -> Da
     return out.select("doc_id", "n_removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"), "removed", F.col("text").alias("kept_text"))
 
 
-def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated line, and nothing else."""
-    return _query(spark, sf_dir, 0, 0)
-
-
-def op10_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated line, and passages within lines."""
-    return _query(spark, sf_dir, PASSAGE, 0)
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated line of five words or more: the earliest stays, wherever the others stand."""
+    return _query(spark, sf_dir, 0, 0).select("doc_id", "n_removed", "kept_chars", "kept_sha256")
 
 
 def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of repeated lines of fifty words or more, and passages within lines."""
     return _query(spark, sf_dir, PASSAGE, RUN_WORDS)
+
+
+#: The line method: digests are of no concern here, lines are grouped as they are.
+ORACLE = r"""
+WITH l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS lines FROM documents)),
+w AS (SELECT *, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS words FROM l),
+r AS (SELECT *, len(words) >= 5 AND row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1 AS gone FROM w),
+k AS (SELECT doc_id, count_if(gone)::INTEGER AS n_removed, coalesce(string_agg(line, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n_removed, 0) AS n_removed, length(coalesce(k.kept, d.text))::INTEGER AS kept_chars, sha256(coalesce(k.kept, d.text)) AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)
+"""

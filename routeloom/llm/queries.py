@@ -13,6 +13,7 @@ QUERIES = {
     "op5_nb_svm_quality": ("quality", "op5"),
     "op9_word_backoff_language": ("language_id", "op9"),
     "op10_line_dedup": ("line_dedup", "op10_runs"),
+    "op10_repeated_lines": ("line_dedup", "op10_lines"),
     "op6_sentencepiece_fst": ("sentencepiece_fst", "op6"),
     "op7_license_dice": ("licenses", "op7"),
     "op7_license_windows": ("licenses", "op7_windows"),
@@ -28,6 +29,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, mixing
+    from . import licenses, line_dedup, mixing
 
-    return {"op7_license_dice": licenses.oracle(), "op12_mix_sources": mixing.ORACLE}
+    return {"op7_license_dice": licenses.oracle(), "op10_repeated_lines": line_dedup.ORACLE, "op12_mix_sources": mixing.ORACLE}

@@ -511,7 +511,7 @@ def test_line_dedup(spark, sf, docs):
                 out.append(line)
             at += len(line)
         want[k] = ("".join(out), gone)
-    got = {r.doc_id: (r.kept_text, [tuple(s) for s in r.removed]) for r in line_dedup.op10(spark, sf).collect()}
+    got = {r.doc_id: (r.kept_text, [tuple(s) for s in r.removed]) for r in line_dedup._query(spark, sf, 0, 0).collect()}
     assert got == want and any(g for _, g in want.values())
 
 
@@ -583,7 +583,7 @@ def test_line_runs(spark, sf, docs):
     """The registered query: runs of repeated lines of fifty words, in place of every repeated line; then passages."""
     from routeloom.llm import queries
 
-    lines = {r.doc_id: {tuple(x) for x in r.removed} for r in line_dedup.op10(spark, sf).collect()}
+    lines = {r.doc_id: {tuple(x) for x in r.removed} for r in line_dedup._query(spark, sf, 0, 0).collect()}
     got = {r.doc_id: r for r in queries.queries()["op10_line_dedup"](spark, sf).collect()}
     seen, some = set(), 0
     for k in sorted(docs):
@@ -623,6 +623,32 @@ def test_line_runs_small(spark):
     assert blocks == {1: 0, 2: 0, 3: 0, 4: 1}
 
 
+def test_repeated_lines_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    got = line_dedup.op10_lines(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"select {', '.join(got.columns)} from ({line_dedup.ORACLE})").fetchall())
+
+
+def test_letters_that_change_length(spark):
+    """Letters that grow (U+023A) and shrink (U+1E9E) when lower-cased, in one text and in neighbours: spans are of the original."""
+    body = prose(90, 60)
+    grow, shrink = "\u023a", "\u1e9e"
+    for rows in (
+        [(1, body), (2, f"{shrink} x\n{body}\n{grow} y")],
+        [(1, f"{shrink} x\n{body}\n{grow} y"), (2, body)],
+        [(1, f"{grow * 3} x\n{body}\n{shrink * 3} y"), (2, f"{shrink * 2}{grow * 2}\n\n{body.upper()}\n")],
+        [(1, f"{shrink * 9}\n{body}"), (2, f"{grow * 9}\n{body}"), (3, body)],
+    ):
+        df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        for paragraphs in (False, True):
+            spans = {}
+            for r in line_dedup.line_dedup(df, paragraphs=paragraphs).collect():
+                spans[r.doc_id] = "".join(dict(rows)[r.doc_id][x.start : x.end] for x in r.removed)
+                assert len(r.text) + len(spans[r.doc_id]) == len(dict(rows)[r.doc_id])
+            assert spans[1] == "" and all(spans[k].strip().lower() == body for k in spans if k > 1), (rows, spans, paragraphs)
+
+
 def test_paragraphs(spark, sf, docs):
     first = {}
     got = {r.doc_id: r for r in line_dedup.line_dedup(table(spark, sf, "documents"), paragraphs=True, passage=0, run_words=0).collect()}
@@ -637,8 +663,8 @@ def test_paragraphs(spark, sf, docs):
 
 
 def test_passage_dedup_whole(spark, sf, docs):
-    lines = {r.doc_id: [tuple(x) for x in r.removed] for r in line_dedup.op10(spark, sf).collect()}
-    got = {r.doc_id: r for r in line_dedup.op10_whole(spark, sf).collect()}
+    lines = {r.doc_id: [tuple(x) for x in r.removed] for r in line_dedup._query(spark, sf, 0, 0).collect()}
+    got = {r.doc_id: r for r in line_dedup._query(spark, sf, line_dedup.PASSAGE, 0).collect()}
     seen, more = set(), 0
     for k in sorted(docs):
         text = docs[k].text
