@@ -8,28 +8,24 @@ from functools import lru_cache
 OPEN, CLOSE = "([{", ")]}"
 
 
-@lru_cache(64)
-def mask(text: str, language: str) -> str:
-    """text with comments and the insides of strings as blanks; line breaks stay, so every offset does."""
-    hash_, slash = language in ("ruby", "python"), language not in ("ruby", "python")
-    quotes = {"go": "\"`'", "java": "\"'", "js": "\"'`", "ruby": "\"'", "python": "\"'"}[language]
-    out, i, n = list(text), 0, len(text)
+_QUOTES = {"go": "\"`'", "java": "\"'", "js": "\"'`", "ruby": "\"'", "python": "\"'", "groovy": "\"'"}
 
-    def blank(a, b):
-        for k in range(a, min(b, n)):
-            if out[k] != "\n":
-                out[k] = " "
 
+def spans(text: str, language: str):
+    """(kind, start, end) of comments and of the insides of strings, in order; an unclosed string ends with its line where the language has none over lines, kind ``open``."""
+    hash_ = language in ("ruby", "python")
+    quotes = _QUOTES[language]
+    i, n = 0, len(text)
     while i < n:
         c = text[i]
-        if slash and text.startswith("//", i) or hash_ and c == "#":
+        if not hash_ and text.startswith("//", i) or hash_ and c == "#":
             j = text.find("\n", i)
             j = n if j < 0 else j
-            blank(i, j)
-        elif slash and text.startswith("/*", i):
+            yield "comment", i, j
+        elif not hash_ and text.startswith("/*", i):
             j = text.find("*/", i)
             j = n if j < 0 else j + 2
-            blank(i, j)
+            yield "comment", i, j
         elif c in quotes:
             j = i + 1
             while j < n and text[j] != c:
@@ -38,14 +34,31 @@ def mask(text: str, language: str) -> str:
                 elif text[j] == "\n" and c in "\"'" and language != "ruby":
                     break
                 j += 1
-            blank(i + 1, j)
+            yield "string" if j < n and text[j] == c else "open", i + 1, min(j, n)
             j += 1
         else:
             j = i + 1
         i = j
+
+
+def _blanked(text: str, places) -> str:
+    out = list(text)
+    for start, end in places:
+        out[start:end] = [c if c == "\n" else " " for c in text[start:end]]
     return "".join(out)
 
 
+@lru_cache(64)
+def mask(text: str, language: str) -> str:
+    """text with comments and the insides of strings as blanks; line breaks stay, so every offset does."""
+    return _blanked(text, ((start, end) for _, start, end in spans(text, language)))
+
+
+def without_comments(text: str, language: str) -> str:
+    """text with comments as blanks; what looks like one inside a string stays."""
+    return _blanked(text, ((start, end) for kind, start, end in spans(text, language) if kind == "comment"))
+
+
 def closing(masked: str, at: int) -> int:
     """Place of the bracket that closes the one at ``at``; the text's length if none does."""
     depth = 0

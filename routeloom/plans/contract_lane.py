@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from yaml import YAMLError
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,9 @@ from ..functions import scalars as s
 from ..functions import spring_facts
 from ..functions.rows import extracted
 from ..operators import budget
-from ..operators.closure import propagate, settled, transitive
+from ..operators.closure import settled, transitive
 from ..sources.repo_tree import BUILD_IGNORED, CONTRACT_IGNORED, sniffed
+from . import bazel_macros
 
 
 def outside(tree: DataFrame, ignored) -> DataFrame:
@@ -104,13 +106,20 @@ def loaded_operations(docs: DataFrame) -> DataFrame:
     return ops.join(per, ["repo", "rel_path", "doc_index", "position"]).withColumn("error", F.coalesce("error", "why")).drop("goals", "why")
 
 
-def build_evidence(tree: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
-    """repo, rel_path, build_file, tool, generator, kind, api_package, provisional, base_path: generator runs by the spec they read."""
+def build_files(tree: DataFrame) -> DataFrame:
+    """repo, rel_path, text of files that may say how code is generated."""
     name = F.regexp_extract("rel_path", r"([^/]*)$", 1)
     rows = outside(tree, BUILD_IGNORED).where(F.col("content").isNotNull())
     builds = name.isin("pom.xml", "build.gradle", "build.gradle.kts", "BUILD", "BUILD.bazel") | name.endswith(".bzl") | name.rlike(r"\.ya?ml$")
     rows = rows.where((builds & (F.col("size") <= cf.MAX_BUILD)) | (name.rlike(r"\.(go|py)$") & (F.col("size") <= cf.MAX_SOURCE) & ~F.col("rel_path").rlike(r"(^|/)tests?/|_test\.(go|py)$|(^|/)test_[^/]*\.py$")))
-    rows = rows.select("repo", "rel_path", F.decode("content", "UTF-8").alias("text")).where(F.col("text").rlike("openapi-generator|swagger-codegen|generatorName|oapi-codegen|add_api|generate|spec"))
+    return rows.select("repo", "rel_path", F.decode("content", "UTF-8").alias("text"))
+
+
+def evidence_and_rejects(tree: DataFrame, tracked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Generator runs by the spec they read: repo, rel_path, build_file, tool, generator, kind, api_package, provisional, base_path, proof (the files that say so); and build files that could not be read (repo, rel_path, error)."""
+    files = build_files(tree)
+    starlark = F.col("rel_path").rlike(r"(^|/)(BUILD|BUILD\.bazel|[^/]*\.bzl)$")
+    rows = files.where(~starlark & F.col("text").rlike("openapi-generator|swagger-codegen|generatorName|oapi-codegen|add_api|generate|spec"))
     columns = ["tool", "generator", "kind", "spec", "api_package", "provisional", "base_path", "output", "config"]
 
     def parse(parts):
@@ -118,25 +127,31 @@ def build_evidence(tree: DataFrame, tracked: DataFrame | None = None) -> DataFra
             out = []
             for repo, path, text in zip(p["repo"], p["rel_path"], p["text"]):
                 try:
-                    out += [(repo, path, *(e[c] for c in columns)) for e in cf.evidence(text, path)]
-                except Exception:  # an unreadable build file proves nothing
-                    continue
-            yield pd.DataFrame(out, columns=["repo", "build_file", *columns])
-
-    found = settled(rows.mapInPandas(parse, "repo string, build_file string, tool string, generator string, kind string, spec string, api_package string, provisional boolean, base_path string, output string, config string"))
-    plain = found.where("tool in ('maven', 'gradle', 'bazel', 'connexion')")
-    # Macros: a generator's name travels from the function that runs it to every function that calls that one.
-    facts = found.where("tool = 'bazel_def'").select(F.concat_ws("\x00", "repo", "config").alias("name"), F.concat_ws("\x00", "generator", "kind").alias("value"))
-    uses = found.where("tool = 'bazel_use'").select(F.concat_ws("\x00", "repo", "config").alias("caller"), F.concat_ws("\x00", "repo", "generator").alias("callee"))
-    macros = propagate(facts, uses).groupBy("name").agg(F.min("value").alias("value"))
-    calls = found.where("tool = 'bazel_call'").withColumn("name", F.concat_ws("\x00", "repo", "config")).join(macros, "name").withColumn("generator", F.substring_index("value", "\x00", 1)).withColumn("kind", F.substring_index("value", "\x00", -1)).withColumn("tool", F.lit("bazel")).select(*found.columns)
+                    out += [(repo, path, *(e[c] for c in columns), None) for e in cf.evidence(text, path)]
+                except (SyntaxError, ValueError, YAMLError) as e:  # malformed XML, YAML or text: an unreadable file proves nothing, and is named
+                    out.append((repo, path, "unread", *[None] * 8, str(e) or type(e).__name__))
+            yield pd.DataFrame(out, columns=["repo", "build_file", *columns, "error"])
+
+    found = settled(rows.mapInPandas(parse, "repo string, build_file string, tool string, generator string, kind string, spec string, api_package string, provisional boolean, base_path string, output string, config string, error string"))
+    plain = found.where("tool in ('maven', 'gradle', 'connexion')")
     conf = found.where("tool = 'oapi-config'").groupBy("repo", "config").agg(F.max(F.struct(F.when(F.col("kind") == "server", 2).when(F.col("kind") == "client", 1).otherwise(0).alias("r"), F.col("kind").alias("k"))).alias("c")).select("repo", "config", F.col("c.k").alias("_kind"))
     go = found.where("tool = 'go-generate'").join(conf, ["repo", "config"], "left").withColumn("kind", F.when((F.col("kind") == "server") | (F.col("_kind") == "server"), "server").otherwise(F.when(F.col("kind") == "unknown", F.coalesce("_kind", "kind")).otherwise(F.col("kind")))).drop("_kind")
-    files = tree.select("repo", F.col("rel_path").alias("output")).distinct()
+    there = tree.select("repo", F.col("rel_path").alias("output")).distinct()
     if tracked is not None:
-        files = files.join(tracked.select(F.col("rel_path").alias("output")), "output", "left_semi")
-    live = go.join(files.withColumn("_there", F.lit(True)), ["repo", "output"], "left").withColumn("provisional", F.col("_there").isNull()).select(*found.columns)
-    return plain.unionByName(calls).unionByName(live).where("spec is not null").withColumnRenamed("spec", "rel_path")
+        key = ["repo", "output"] if "repo" in tracked.columns else ["output"]
+        there = there.join(tracked.withColumnRenamed("rel_path", "output").select(*key), key, "left_semi")
+    live = go.join(there.withColumn("_there", F.lit(True)), ["repo", "output"], "left").withColumn("provisional", F.col("_there").isNull()).select(*found.columns)
+    kept = ["repo", "rel_path", "build_file", "tool", "generator", "kind", "api_package", "provisional", "base_path", "proof"]
+    proofs = F.array_compact(F.array("build_file", "config"))
+    out = plain.unionByName(live).where("spec is not null").withColumn("proof", proofs).withColumnRenamed("spec", "rel_path").select(kept)
+    macros, unread = bazel_macros.evidence(files.where(starlark), tree)
+    bazel = macros.withColumn("tool", F.lit("bazel")).withColumn("provisional", F.lit(False)).withColumn("base_path", F.lit(None).cast("string")).select(kept)
+    rejects = found.where("tool = 'unread'").select("repo", F.col("build_file").alias("rel_path"), "error").unionByName(unread)
+    return out.unionByName(bazel), rejects
+
+
+def build_evidence(tree: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
+    return evidence_and_rejects(tree, tracked)[0]
 
 
 def class_facts(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,10 +185,12 @@ def verdicts(docs: DataFrame, ops: DataFrame, evidence: DataFrame, classes: Data
     spec = ["repo", "rel_path"]
     contracts = docs.where("bucket = 'contracts'").select(*spec, "doc_index", "contracts_in_file")
     live = (F.col("kind") == "server") & ~F.col("provisional")
-    flags = evidence.groupBy(*spec).agg(F.bool_or(F.col("kind") == "server").alias("server"), F.bool_or(live).alias("live"), F.bool_or(F.col("kind") == "client").alias("client"), F.first("base_path", True).alias("base_path"), F.collect_set(F.when(live, F.col("api_package"))).alias("packages"))
+    flags = evidence.groupBy(*spec).agg(F.bool_or(F.col("kind") == "server").alias("server"), F.bool_or(live).alias("live"), F.bool_or(F.col("kind") == "client").alias("client"), F.min("base_path").alias("base_path"), F.collect_set(F.when(live, F.col("api_package"))).alias("packages"))
     ops = ops.where("error is null")
     tried = ops.select(*spec, "doc_index", "position", F.posexplode("names").alias("_k", "method_name"))
-    matched = tried.join(methods.withColumnRenamed("method", "method_name"), "method_name").join(classes.select("class_id", "repo"), ["class_id", "repo"])
+    # Names like get and list are many: they meet inside a repository only.
+    owned = methods.withColumnRenamed("method", "method_name").join(classes.select("class_id", "repo"), "class_id")
+    matched = tried.join(owned, ["repo", "method_name"])
     first = matched.groupBy(*spec, "doc_index", "position").agg(F.min_by("routed", F.struct("_k", "class_id")).alias("routed"))
     hits = first.groupBy(*spec, "doc_index").agg(F.count("*").alias("matched"), F.count_if(~F.col("routed")).alias("unannotated"), F.count_if("routed").alias("routed"))
     sizes = ops.groupBy(*spec, "doc_index").agg(F.count("*").alias("n_operations"))
@@ -212,7 +229,7 @@ def hashes(tree: DataFrame, ops: DataFrame, evidence: DataFrame) -> DataFrame:
     """repo, rel_path, eligibility (spec, proof and closure files with their contents), payload (operations)."""
     spec = ["repo", "rel_path"]
     closure = ops.select(*spec, F.explode("closure").alias("k")).select(*spec, F.substring_index("k", "#", 1).alias("file"))
-    proof = evidence.select(*spec, F.col("build_file").alias("file"))
+    proof = evidence.select(*spec, F.explode("proof").alias("file"))
     files = ops.select(*spec, F.col("rel_path").alias("file")).unionByName(closure).unionByName(proof).distinct()
     held = files.join(tree.where("content is not null").select("repo", F.col("rel_path").alias("file"), F.sha2("content", 256).alias("h")), ["repo", "file"])
     eligibility = held.groupBy(*spec).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "file", "h"))), "\n"), 256).alias("eligibility"))
@@ -221,10 +238,14 @@ def hashes(tree: DataFrame, ops: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def apply_overrides(v: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """overrides (rel_path, action, eligibility_hash, prefix): an exclude always holds; an include lifts a candidate whose hash is unchanged. The report names every override's state."""
+    """overrides (repo, rel_path, action, eligibility_hash, prefix): an exclude always holds; an include lifts a candidate whose hash is unchanged. The report names every override's state.
+
+    An entry speaks of its own repository; a table without the column repo, of every one.
+    """
+    key = ["repo", "rel_path"] if "repo" in overrides.columns else ["rel_path"]
     # The last entry of a path counts, in the order of the file.
-    o = overrides.withColumn("_pos", F.monotonically_increasing_id()).groupBy("rel_path").agg(F.max(F.col("action") == "exclude").alias("_ex"), F.max_by("eligibility_hash", "_pos").alias("_h"), F.max_by("prefix", "_pos").alias("_p")).withColumn("_has", F.lit(True))
-    j = v.join(o, "rel_path", "left")
+    o = overrides.withColumn("_pos", F.monotonically_increasing_id()).groupBy(*key).agg(F.max(F.col("action") == "exclude").alias("_ex"), F.max_by("eligibility_hash", "_pos").alias("_h"), F.max_by("prefix", "_pos").alias("_p")).withColumn("_has", F.lit(True))
+    j = v.join(o, key, "left")
     has = F.coalesce("_has", F.lit(False))
     include = has & ~F.col("_ex") & (F.col("status") == "candidate")
     state = F.when(has & F.col("_ex"), "applied").when(include & (F.col("_h") == F.col("eligibility")), "applied").when(include, "dormant").when(has & (F.col("status") == "excluded"), "inapplicable").when(has, "redundant")
@@ -232,8 +253,8 @@ def apply_overrides(v: DataFrame, overrides: DataFrame) -> tuple[DataFrame, Data
     status = F.when(has & F.col("_ex"), "excluded").when(include & (F.col("_state") == "applied"), "served").otherwise(F.col("status"))
     reason = F.when(has & F.col("_ex"), "override_exclude").when(include & (F.col("_state") == "applied"), "override_include").otherwise(F.col("reason"))
     out = j.withColumn("reason", reason).withColumn("override_prefix", F.when(F.col("reason") == "override_include", F.coalesce("_p", F.lit("")))).withColumn("status", status)
-    report = out.where(has).select("rel_path", F.when(F.col("_ex"), "exclude").otherwise("include").alias("action"), F.col("_state").alias("state"))
-    lost = overrides.join(v.select("rel_path"), "rel_path", "left_anti").groupBy("rel_path").agg(F.max("action").alias("action")).withColumn("state", F.lit("unmatched"))
+    report = out.where(has).select(*key, F.when(F.col("_ex"), "exclude").otherwise("include").alias("action"), F.col("_state").alias("state"))
+    lost = overrides.join(v.select(*key), key, "left_anti").groupBy(*key).agg(F.max("action").alias("action")).withColumn("state", F.lit("unmatched"))
     return out.drop("_ex", "_h", "_p", "_has", "_state"), report.unionByName(lost)
 
 
@@ -257,10 +278,11 @@ def reconcile(contract: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
 
 
 def run_lane(tree: DataFrame, overrides: DataFrame | None = None, tracked: DataFrame | None = None) -> dict[str, DataFrame]:
-    """docs, operations, verdicts, rows (one a served operation and prefix), overrides."""
+    """docs, operations, evidence, verdicts, rows (one a served operation and prefix), overrides, components, unread build files."""
     docs = settled(with_fragments(tree, settled(discover(tree))))
     ops = settled(loaded_operations(docs))
-    evidence = settled(build_evidence(tree, tracked))
+    evidence, unread = evidence_and_rejects(tree, tracked)
+    evidence = settled(evidence)
     classes, methods = class_facts(tree)
     v, prefixes = verdicts(docs, ops, evidence, settled(classes), settled(methods))
     v = v.join(hashes(tree, ops, evidence), ["repo", "rel_path"], "left")
@@ -273,7 +295,7 @@ def run_lane(tree: DataFrame, overrides: DataFrame | None = None, tracked: DataF
     rows = good.select("repo", "rel_path", "position", "method", F.explode("prefixes").alias("prefix"), "spec_path", "operation", "closure")
     rows = rows.withColumn("route", s.join_route(F.col("prefix"), F.col("spec_path"))).dropDuplicates(["repo", "rel_path", "method", "route"])
     parts = components(docs, rows)
-    return {"docs": docs, "operations": ops, "evidence": evidence, "verdicts": v, "rows": rebased(rows), "overrides": report, "components": parts}
+    return {"docs": docs, "operations": ops, "evidence": evidence, "verdicts": v, "rows": rebased(rows), "overrides": report, "components": parts, "unread": unread}
 
 
 def components(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.repo_tree import CODE_IGNORED, code_files, read_tree, tracked_files
+from ..sources.repo_tree import CODE_IGNORED, code_files, read_tree, repo_name, tracked_files
 from .code_lane import code_endpoints
 from .contract_lane import reconcile, run_lane
 
@@ -48,11 +48,16 @@ def analyse(spark: SparkSession, root: str) -> dict:
     """Both lanes of one tree: merged operations, what is superseded, what is left to document, rejects and verdicts."""
     tree = read_tree(spark, root).cache()
     endpoints, rejects = code_endpoints(code_files(tree, CODE_IGNORED))
-    lane = run_lane(tree, overrides=overrides(spark, root), tracked=tracked_files(spark, root))
+    lane = run_lane(tree, overrides=own(overrides(spark, root), root), tracked=own(tracked_files(spark, root), root))
     merged = reconcile(lane["rows"], endpoints)
     return merged | {"rejects": rejects, "verdicts": lane["verdicts"], "endpoints": endpoints, "components": lane["components"], "overrides": lane["overrides"]}
 
 
+def own(rows: DataFrame | None, root: str) -> DataFrame | None:
+    """rows as those of the tree's repository."""
+    return None if rows is None else rows.withColumn("repo", F.lit(repo_name(root)))
+
+
 def overrides(spark: SparkSession, root: str, name: str = "contract_overrides.yaml") -> DataFrame | None:
     """The entries of a tree's overrides file, in its order; None without one or where it is not a list of specs."""
     import yaml

@@ -17,6 +17,10 @@ LANGUAGE = {"py": "python", "js": "nodejs", "ts": "nodejs", "tsx": "nodejs", "js
 PART_BYTES = 32 << 20
 
 
+def repo_name(root: str) -> str:
+    return os.path.basename(os.path.abspath(root))
+
+
 @dataclass
 class Files(InputPartition):
     files: list
@@ -55,7 +59,7 @@ class _Reader(DataSourceReader):
                         content = f.read()
                 except OSError:
                     continue
-            yield os.path.basename(os.path.abspath(root)), os.path.relpath(path, root), content, n, link
+            yield repo_name(root), os.path.relpath(path, root), content, n, link
 
 
 class RepoTree(DataSource):
@@ -101,7 +105,8 @@ def changed_files(spark: SparkSession, repo: str, base: str | None) -> DataFrame
     import subprocess
 
     found = set()
-    calls = ([["diff", "--name-only", f"{base}...HEAD"]] if base else []) + [["diff", "--name-only"], ["diff", "--name-only", "--cached"], ["ls-files", "--others", "--exclude-standard"]]
+    # Names end in a null byte (-z): what git would quote is read as it is.
+    calls = ([["diff", "--name-only", "-z", f"{base}...HEAD"]] if base else []) + [["diff", "--name-only", "-z"], ["diff", "--name-only", "-z", "--cached"], ["ls-files", "-z", "--others", "--exclude-standard"]]
     for args in calls:
         try:
             r = subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True, timeout=5)
@@ -109,7 +114,7 @@ def changed_files(spark: SparkSession, repo: str, base: str | None) -> DataFrame
             return None
         if r.returncode:
             return None
-        found |= set(filter(None, r.stdout.split("\n")))
+        found |= set(filter(None, r.stdout.split("\0")))
     return spark.createDataFrame([(x,) for x in sorted(found)], "rel_path string")
 
 
