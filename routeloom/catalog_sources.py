@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .operators.closure import settled
-from .plans import code_lane, contract_lane
+from .plans import code_lane, contract_lane, syntax
 from .plans.incremental import keyed
 
 _VERBS = ("get", "post", "put", "delete")
@@ -160,3 +160,55 @@ def contract_components(spark, sf_dir):
 @query("""SELECT 'n' || c_nationkey AS repo, CASE c_nationkey % 5 WHEN 0 THEN 'maven' WHEN 1 THEN 'gradle' WHEN 2 THEN 'bazel' WHEN 3 THEN 'connexion' ELSE 'maven' END AS tool, CASE c_nationkey % 5 WHEN 3 THEN 'connexion' WHEN 4 THEN 'java' ELSE 'spring' END AS generator, CASE WHEN c_nationkey % 5 = 4 THEN 'client' ELSE 'server' END AS kind, 'src/api.json' AS rel_path FROM (SELECT DISTINCT c_nationkey FROM customer)""")
 def build_evidence(spark, sf_dir):
     return contract_lane.build_evidence(_contracts(spark, sf_dir)).select("repo", "tool", "generator", "kind", "rel_path")
+
+
+# --- syntax nodes and what joins make of them -----------------------------------------------------
+
+
+def _sources(spark, sf_dir) -> DataFrame:
+    """A file of each language for each 200 customers: a function for each of them that calls another."""
+    c = _customers(spark, sf_dir).withColumn("k", F.floor(F.col("pos") / 200).cast("string"))
+    parts = [
+        _written(c, "nodejs", "n<k>.js", "const a<k> = require('./m<k>');\n", "function f<key>(x) {\n  return g<key>(x, 'it(');\n}\n"),
+        _written(c, "java", "C<k>.java", "package p;\nimport q.R<k>;\nclass C<k> {\n", "  String f<key>(String x) {\n    return g<key>(x); // h(x)\n  }\n", "}\n"),
+        _written(c, "golang", "m<k>.go", "package p\nimport \"m<k>\"\n", "func f<key>(x string) {\n\tg<key>(x)\n}\n"),
+        _written(c, "ruby_on_rails", "c<k>.rb", "require 'm<k>'\nclass C<k>\n", "  def f<key>(x)\n    g<key>(x)\n  end\n", "end\n"),
+        _written(c, "python", "p<k>.py", "import m<k>\n", "def f<key>(x):\n    return (\n        g<key>(x))\n"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return settled(out)
+
+
+#: Each customer's place in its file; languages with their file, the lines before the first function, and its kind.
+_PLACES = """c AS (SELECT c_custkey AS key, c_custkey // 200 AS k, row_number() OVER (PARTITION BY c_custkey // 200 ORDER BY c_custkey) AS i FROM customer),
+l(language, before, after, lead, kind, inner_line) AS (VALUES ('nodejs', 'n', '.js', 1, 'function', 1), ('java', 'C', '.java', 3, 'method', 1), ('golang', 'm', '.go', 2, 'function', 1), ('ruby_on_rails', 'c', '.rb', 2, 'function', 1), ('python', 'p', '.py', 1, 'function', 2)),
+f AS (SELECT k, count(*) AS n FROM c GROUP BY k)"""
+
+
+@query(f"""WITH {_PLACES} SELECT language, before || k || after AS rel_path, kind, 'f' || key AS name, CAST(lead + 3 * i - 2 AS INTEGER) AS start_line, CAST(lead + 3 * i AS INTEGER) AS end_line FROM c, l
+UNION ALL SELECT language, before || k || after, 'class', 'C' || k, lead::INTEGER, CAST(lead + 3 * n + 1 AS INTEGER) FROM f, l WHERE language IN ('java', 'ruby_on_rails')
+UNION ALL SELECT language, before || k || after, CASE language WHEN 'nodejs' THEN 'variable' ELSE 'module' END, CASE language WHEN 'nodejs' THEN 'a' || k ELSE 'p' END, 1, 1 FROM f, l WHERE language IN ('nodejs', 'golang')""")
+def source_symbols(spark, sf_dir):
+    """Classes, functions, methods and variables of five languages with their lines."""
+    return syntax.metadata(_sources(spark, sf_dir))["symbols"].select("language", "rel_path", "kind", "name", "start_line", "end_line")
+
+
+@query(f"""WITH {_PLACES} SELECT language, before || k || after AS rel_path, 'g' || key AS target, CAST(lead + 3 * i - 2 + inner_line AS INTEGER) AS start_line, CASE WHEN language <> 'python' THEN 'f' || key END AS caller FROM c, l
+UNION ALL SELECT 'nodejs', 'n' || k || '.js', 'require', 1, NULL FROM f""")
+def source_calls(spark, sf_dir):
+    """Calls and the innermost symbol around each."""
+    return syntax.metadata(_sources(spark, sf_dir))["calls"].select("language", "rel_path", "target", "start_line", "caller")
+
+
+@query(f"""WITH {_PLACES} SELECT language, before || k || after AS rel_path, CASE language WHEN 'nodejs' THEN './m' WHEN 'java' THEN 'q.R' ELSE 'm' END || k AS module FROM f, l""")
+def source_imports(spark, sf_dir):
+    return syntax.metadata(_sources(spark, sf_dir))["imports"].select("language", "rel_path", "module")
+
+
+@query("""WITH f AS (SELECT count(DISTINCT c_custkey // 200) AS files, count(*) AS lines FROM customer),
+n(language, kind, per_line, per_file) AS (VALUES ('nodejs', 'file', 0, 1), ('nodejs', 'word', 6, 3), ('nodejs', 'mark', 2, 2), ('nodejs', 'paren', 2, 1), ('nodejs', 'string', 1, 1), ('nodejs', 'brace', 1, 0), ('ruby_on_rails', 'file', 0, 1), ('ruby_on_rails', 'word', 4, 2), ('ruby_on_rails', 'paren', 2, 0), ('ruby_on_rails', 'string', 0, 1), ('ruby_on_rails', 'block', 1, 1))
+SELECT language, kind, per_line * lines + per_file * files AS n FROM f, n""")
+def syntax_nodes(spark, sf_dir):
+    return syntax.nodes(_sources(spark, sf_dir).where("language in ('nodejs', 'ruby_on_rails')")).groupBy("language", "kind").agg(F.count("*").alias("n"))

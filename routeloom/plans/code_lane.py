@@ -14,6 +14,7 @@ from ..functions import scalars as s
 from ..functions.rows import extracted
 from ..operators import dedupe
 from ..operators.closure import in_order, settled, transitive
+from . import syntax
 from .python_routes import python_endpoints
 
 COLUMNS = ["repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line", "conditions"]
@@ -28,13 +29,17 @@ def _as_endpoints(rows: DataFrame) -> DataFrame:
 
 def nodejs(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Express routes once for each distinct mount of their router (in this file, or where it is imported), and Nest routes."""
-    facts = settled(extracted(files, js_facts.extract))
+    first = settled(extracted(files, js_facts.extract))
+    # A second tier for files that the first could not read: those with errors are asked for, and only those.
+    silent = files.join(first.where("what = 'endpoint'").select("repo", "rel_path").distinct(), ["repo", "rel_path"], "left_anti").where(F.col("text").rlike(r"(?i)\b(get|post|put|delete|patch|options|head|all)\s*\("))
+    errors = syntax.nodes(silent).where("kind = 'error'").select("repo", "rel_path").distinct()
+    facts = settled(first.unionByName(syntax.fallback(silent, first, errors)))
     mounts = facts.where("what = 'mount'")
     imports = facts.where("what = 'import'").select("repo", "rel_path", F.col("name").alias("target"), F.col("target").alias("module"))
     far = mounts.where("target is not null").join(imports, ["repo", "rel_path", "target"]).select("repo", "rel_path", "route", "module")
     far = far.unionByName(mounts.where("detail is not null").select("repo", "rel_path", "route", F.col("detail").alias("module"))).where("module like '.%'")
     folder = F.regexp_replace("rel_path", "[^/]*$", "")
-    base = F.regexp_replace(F.regexp_replace(F.concat(folder, "module"), r"(^|/)(\./)+", "$1"), r"[^/]+/\.\./", "")
+    base = s.contained(folder, F.col("module"))  # null where it leads out of the repository
     tried = far.distinct().withColumn("_id", F.xxhash64("repo", "rel_path", "route", "module")).select("*", F.posexplode(F.array(*(F.concat(base, F.lit(x)) for x in NODE_SUFFIXES))).alias("_n", "_path"))
     hit = tried.join(files.select("repo", F.col("rel_path").alias("_path")).distinct(), ["repo", "_path"]).groupBy("repo", "_id", F.col("route").alias("prefix")).agg(F.min_by("_path", "_n").alias("rel_path"))
     exported = hit.select("repo", "rel_path", "prefix").distinct()
