@@ -91,6 +91,18 @@ def go_routes(spark, sf_dir):
     return _routes(calls.unionByName(_written(c, "golang", "h<k>.go", "package main\n\n", "func h<key>(c *gin.Context) {\n\tc.JSON(200, nil)\n}\n\n")))
 
 
+@query(f"""WITH p(a, b) AS (VALUES ('/v', '/in'), ('/again/', '/in/deep')) SELECT {_SQL_VERB} || ' ' || a || c_custkey // 200 || b || '/c/{{id}}/' || c_custkey AS key, 'routes/h' || c_custkey // 200 || '.go' AS rel_path FROM customer, p""")
+def go_routes_across_files(spark, sf_dir):
+    """A file for each 200 customers; its router comes from two callers of other folders, once through a function between them that also calls itself."""
+    c = _customers(spark, sf_dir).withColumn("k", F.floor(F.col("pos") / 200).cast("string"))
+    files = c.select("k").distinct()
+    file = lambda path, text: files.select(F.lit("repo").alias("repo"), _said(path).alias("rel_path"), F.lit("golang").alias("language"), _said(text).alias("text"))
+    main = file("cmd/m<k>.go", 'package main\n\nfunc main<k>() {\n\tr := gin.Default()\n\tv := r.Group("/v<k>")\n\tmiddle.Pass<k>(1, v)\n\tg := r.Group("/again/<k>")\n\troutes.Routes<k>(g.Group("/in/deep"), nil)\n}\n')
+    between = file("middle/p<k>.go", 'package middle\n\nfunc Pass<k>(n int, router *gin.RouterGroup) {\n\tinner := router.Group("/in")\n\troutes.Routes<k>(inner, nil)\n\tPass<k>(n, inner)\n}\n')
+    calls = _written(c, "golang", "routes/r<k>.go", "package routes\n\nfunc Routes<k>(g *gin.RouterGroup, db *sql.DB) {\n\tc := g.Group(\"/c\")\n", "\tc.<VERB>(\"/:id/<key>\", h<key>)\n", "}\n")
+    return _routes(main.unionByName(between).unionByName(calls).unionByName(_written(c, "golang", "routes/h<k>.go", "package routes\n\n", "func h<key>(c *gin.Context) {\n\tc.JSON(200, nil)\n}\n\n")))
+
+
 @query(f"SELECT {_SQL_VERB} || ' /n' || c_nationkey || '/c/{{id}}/' || c_custkey AS key, 'j/N' || c_nationkey || 'Controller.java' AS rel_path FROM customer")
 def spring_routes(spark, sf_dir):
     """Mappings stand on an interface; the controller that implements it adds its own prefix by none."""

@@ -1,7 +1,13 @@
-"""Facts of Go: router calls with the prefixes of their groups, handlers and methods."""
+"""Facts of Go: router calls with the prefixes of their groups, routers that are passed on, handlers and methods.
+
+A prefix is known as far as the file says. Where it begins at a parameter of the
+function around it, the row names function and parameter (detail), and what
+callers pass is found by joins.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 
 from .code_text import arguments, closing, line, literal, mask
@@ -12,6 +18,9 @@ VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 _CALL = re.compile(r"(?<![\w.])([A-Za-z_][\w.]*)\s*\.\s*(GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS|Get|Post|Put|Delete|Patch|Head|Options|Any|All|Handle|HandleFunc|HandlerFunc|Match|Method|MethodFunc)\s*(?=\()")
 _GROUP = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\s*:?=\s*([A-Za-z_][\w.]*)\s*\.\s*(Group|Route|PathPrefix|Subrouter)\s*(?=\()")
 _CLOSURE = re.compile(r"(?<![\w.])([A-Za-z_]\w*)\s*\.\s*(Route|Group)\s*(?=\()")
+GROUPS = ("Group", "Route", "PathPrefix", "Subrouter")
+_PASSED = re.compile(r"(?<![\w.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(?=\()")
+_GROUPED = re.compile(rf"([A-Za-z_]\w*)\.(?:{'|'.join(GROUPS)})\(\s*([\"`][^\"`]*[\"`])\s*\)")
 _FUNC = re.compile(r"\bfunc\s*(?:\(\s*\w*\s*\*?\s*([A-Za-z_]\w*)[^)]*\)\s*)?([A-Za-z_]\w*)\s*(?=\()")
 
 
@@ -26,11 +35,13 @@ def extract(text: str, path: str):
     groups: list[tuple[int, int, str, str, str]] = []  # begin, end, name, parent, path
     funcs = []
     for m in _FUNC.finditer(code):
-        brace = code.find("{", closing(code, m.end()))
+        shut = closing(code, m.end())
+        brace = code.find("{", shut)
         end = closing(code, brace) if brace >= 0 else m.end()
-        funcs.append((m.start(), end, m[2]))
+        params = [p.split()[0] for p in arguments(text, code, m.end())[0]]
+        funcs.append((m.start(), end, m[2], params, line(text, m.start())))
         yield fact("go_func", name=m[2], owner=m[1], start_line=line(text, m.start()), end_line=line(text, end))
-    scope = lambda at: next((f for f in reversed(funcs) if f[0] <= at <= f[1]), (0, len(code), ""))
+    scope = lambda at: next((f for f in reversed(funcs) if f[0] <= at <= f[1]), (0, len(code), "", [], 0))
     for m in _GROUP.finditer(code):
         args, _ = arguments(text, code, m.end())
         p = literal(args[0]) if args else None
@@ -43,11 +54,35 @@ def extract(text: str, path: str):
         if inner and p is not None:
             groups.append((m.end(), end, inner[1], m[1], p))
 
-    def prefix(name: str, at: int, seen: frozenset = frozenset()) -> str:
-        """Of the nearest enclosing declaration before the use; '' for what is none, and on a cycle."""
-        best = max((g for g in groups if g[2] == name and g[0] < at <= g[1] and g not in seen), default=None)
-        return "" if best is None else joined(prefix(best[3], best[0], seen | {best}), best[4])
+    def prefix(name: str, at: int, seen: frozenset = frozenset()) -> tuple[str, str | None]:
+        """Of the nearest enclosing declaration before the use, and the name it begins with; '' and none on a cycle."""
+        best = max((g for g in groups if g[2] == name and g[0] < at <= g[1]), default=None)
+        if best in seen:
+            return "", None
+        if best is None:
+            return "", name
+        before, root = prefix(best[3], best[0], seen | {best})
+        return joined(before, best[4]), root
+
+    def origin(root: str | None, at: int) -> dict | None:
+        """The parameter of the function around that a name is, as the function's line and the parameter's place."""
+        _, _, name, params, first = scope(at)
+        return {"func": first, "param": params.index(root)} if name and root in params else None
 
+    for m in _PASSED.finditer(code):
+        if code[: m.start()].rstrip().endswith("func") or m[1].rsplit(".", 1)[-1] in GROUPS:
+            continue
+        for k, a in enumerate(arguments(text, code, m.end())[0]):
+            group = _GROUPED.fullmatch(a)
+            more = literal(group[2]) if group else ""
+            if more is None or not (group or re.fullmatch(r"[A-Za-z_]\w*", a)):
+                continue
+            before, root = prefix(group[1] if group else a, m.start())
+            src = origin(root, m.start())
+            value = joined(before, more) if more else before
+            if value or src:  # a router of its own without a prefix adds nothing
+                qualifier, _, callee = m[1].rpartition(".")
+                yield fact("go_pass", name=callee, owner=qualifier.rsplit(".", 1)[-1] or None, route=value, detail=json.dumps((src or {}) | {"arg": k}), start_line=line(text, m.start()))
     for m in _CALL.finditer(code):
         args, end = arguments(text, code, m.end())
         texts = [literal(a) for a in args]
@@ -74,5 +109,7 @@ def extract(text: str, path: str):
         if chain:
             verbs = [x for x in VERBS if re.search(rf"\b(?:Method)?{x}\b", chain[1], re.I)] or verbs
         handler = args[-1] if re.fullmatch(r"[\w.]+", args[-1]) else None
+        before, root = prefix(m[1], m.start())
+        src = origin(root, m.start())
         for v in verbs or ["GET"]:
-            yield fact("endpoint", kind="go", name=handler, method=v, route=joined(prefix(m[1], m.start()), route), owner=m[1], target=handler, start_line=line(text, m.start()), end_line=line(text, end))
+            yield fact("endpoint", kind="go", name=handler, method=v, route=joined(before, route), owner=m[1], target=handler, start_line=line(text, m.start()), end_line=line(text, end), detail=json.dumps(src) if src else None)

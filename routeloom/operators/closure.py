@@ -101,6 +101,24 @@ def in_order(roots: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
     raise RecursionError(f"chains longer than {most}")
 
 
+def composed(starts: DataFrame, edges: DataFrame, put, most: int = 64) -> DataFrame:
+    """starts (node, value), edges (src, dst, value) -> (node, value): every value that some way to the node composes, edge by edge, with ``put(before, step)``.
+
+    A way that would come to a node again ends there, so cycles add nothing; ways
+    of more than ``most`` edges raise.
+    """
+    front = settled(starts.select("node", "value", F.array("node").alias("seen")).distinct())
+    every = front
+    steps = edges.select("src", "dst", F.col("value").alias("step")).distinct()
+    for _ in range(most):
+        way = front.join(steps, front["node"] == steps["src"]).where(~F.array_contains("seen", F.col("dst")))
+        front = settled(way.select(F.col("dst").alias("node"), put(F.col("value"), F.col("step")).alias("value"), F.concat("seen", F.array("dst")).alias("seen")).distinct())
+        if front.isEmpty():
+            return every.select("node", "value").distinct()
+        every = every.unionByName(front)
+    raise RecursionError(f"ways longer than {most}")
+
+
 def propagate(facts: DataFrame, uses: DataFrame, most: int = 64) -> DataFrame:
     """Macro propagation to a fixpoint: facts (name, value), uses (caller, callee) -> (name, value): a caller takes on its callees' values."""
     roots = facts.select(F.concat_ws("\x00", "name", "value").alias("root"), F.col("name").alias("node"), "value")

@@ -13,7 +13,7 @@ from ..functions import go_facts, js_facts, rails_facts, spring_facts
 from ..functions import scalars as s
 from ..functions.rows import extracted
 from ..operators import dedupe
-from ..operators.closure import in_order, settled, transitive
+from ..operators.closure import composed, in_order, settled, transitive
 from . import syntax
 from .python_routes import python_endpoints
 
@@ -75,18 +75,53 @@ def java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, facts.where("what = 'reject'").unionByName(lost)
 
 
+def passed_prefixes(facts: DataFrame) -> DataFrame:
+    """(node, prefix): the prefixes of the routers that callers, in any file, pass for a function's parameter.
+
+    A call means the function of its name in its own folder, or in the folder that
+    its qualifier names, or else the only one in the repository. From callers
+    whose router is their own the prefix is what their file says; where it begins
+    at their own parameter, what their callers pass comes before it.
+    """
+    folder = F.regexp_replace("rel_path", "/?[^/]*$", "")
+    place = lambda name: F.get_json_object("detail", f"$.{name}")
+    defs = facts.where("what = 'go_func'").select("repo", "name", folder.alias("folder"), F.concat_ws("\x00", "repo", "rel_path", F.col("start_line").cast("string")).alias("func"))
+    defs = defs.withColumn("last", F.regexp_extract("folder", "([^/]*)$", 1))
+    calls = facts.where("what = 'go_pass'").select("repo", "name", "owner", folder.alias("folder"), F.coalesce("route", F.lit("")).alias("value"), place("arg").alias("arg"), F.when(place("func").isNotNull(), F.concat_ws("\x00", "repo", "rel_path", place("func"), place("param"))).alias("src"))
+    calls = calls.withColumn("id", F.xxhash64(*calls.columns))
+    here = defs.groupBy("repo", "folder", "name").agg(F.min("func").alias("func"))
+    named = defs.groupBy("repo", F.col("last").alias("owner"), "name").agg(F.min("func").alias("func"))
+    only = defs.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("func").alias("func")).where("n = 1")
+    columns = [*calls.columns, "func"]
+    ways = calls.where("owner is null").join(here, ["repo", "folder", "name"]).select(*columns, F.lit(0).alias("rank"))
+    ways = ways.unionByName(calls.join(named, ["repo", "owner", "name"]).select(*columns, F.lit(1).alias("rank"))).unionByName(calls.join(only, ["repo", "name"]).select(*columns, F.lit(2).alias("rank")))
+    best = ways.groupBy("id", "src", "value", "arg").agg(F.min_by("func", F.struct("rank", "func")).alias("func"))
+    edges = settled(best.select("src", F.concat_ws("\x00", "func", "arg").alias("dst"), "value"))
+    # What begins at a parameter that nobody passes anything for begins with nothing.
+    fed = edges.select(F.col("dst").alias("src")).distinct()
+    loose = edges.where("src is not null").join(fed, "src", "left_anti").select(F.col("dst").alias("node"), "value")
+    starts = edges.where("src is null").select(F.col("dst").alias("node"), "value").unionByName(loose)
+    return composed(starts, edges.where("src is not null"), s.join_route).select("node", F.col("value").alias("prefix"))
+
+
 def golang(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Router calls with the span of their handler: of the same file first, then the same folder, then by path; unknown handlers are rejected with a reason."""
+    """Router calls, once for each prefix that callers pass for the router, with the span of their handler: of the same file first, then the same folder, then by path; unknown handlers are rejected with a reason."""
     facts = settled(extracted(files, go_facts.extract))
     folder = F.regexp_replace("rel_path", "/?[^/]*$", "")
-    calls = facts.where("what = 'endpoint'").withColumn("symbol", F.regexp_extract("target", r"(\w+)$", 1)).withColumn("folder", folder)
+    node = F.when(F.col("detail").isNotNull(), F.concat_ws("\x00", "repo", "rel_path", F.get_json_object("detail", "$.func"), F.get_json_object("detail", "$.param")))
+    found = facts.where("what = 'endpoint'").withColumn("node", node).join(passed_prefixes(facts), "node", "left")
+    found = found.withColumn("route", F.when(F.coalesce("prefix", F.lit("")) == "", F.col("route")).otherwise(s.join_route(F.col("prefix"), F.col("route"))))
+    calls = found.withColumn("symbol", F.regexp_extract("target", r"(\w+)$", 1)).withColumn("folder", folder)
     defs = facts.where("what = 'go_func'").select("repo", F.col("name").alias("symbol"), F.col("rel_path").alias("file"), folder.alias("_folder"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    both = calls.join(defs, ["repo", "symbol"], "left")
-    rank = F.struct(F.when(F.col("file") == F.col("rel_path"), 0).when(F.col("_folder") == F.col("folder"), 1).otherwise(2), "file", "_s")
-    best = both.groupBy("repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line", "target").agg(F.min_by(F.struct("file", "_s", "_e"), rank).alias("h"))
-    found = F.col("h.file").isNotNull()
-    rows = best.where(found | F.col("target").isNull()).select("repo", F.coalesce("h.file", "rel_path").alias("rel_path"), "pos", "kind", "name", "method", s.normalize_colon(F.col("route")).alias("route"), F.coalesce("h._s", "start_line").alias("start_line"), F.coalesce("h._e", "end_line").alias("end_line"))
-    missing = best.where(~found & F.col("target").isNotNull()).select("repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line").withColumn("detail", F.lit("handler not found")).withColumn("what", F.lit("reject"))
+    # Of each name the first of a file, of a folder, and of the repository: no name meets all its namesakes.
+    first = lambda *key: defs.groupBy(*key, "symbol").agg(F.min(F.struct("file", "_s", "_e")).alias("h"))
+    own = first("repo", "file").withColumnsRenamed({"file": "rel_path", "h": "h0"})
+    near = first("repo", "_folder").withColumnsRenamed({"_folder": "folder", "h": "h1"})
+    far = first("repo").withColumnRenamed("h", "h2")
+    best = calls.join(own, ["repo", "rel_path", "symbol"], "left").join(near, ["repo", "folder", "symbol"], "left").join(far, ["repo", "symbol"], "left").withColumn("h", F.coalesce("h0", "h1", "h2"))
+    known = F.col("h.file").isNotNull()
+    rows = best.where(known | F.col("target").isNull()).select("repo", F.coalesce("h.file", "rel_path").alias("rel_path"), "pos", "kind", "name", "method", s.normalize_colon(F.col("route")).alias("route"), F.coalesce("h._s", "start_line").alias("start_line"), F.coalesce("h._e", "end_line").alias("end_line"))
+    missing = best.where(~known & F.col("target").isNotNull()).select("repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line").withColumn("detail", F.lit("handler not found")).withColumn("what", F.lit("reject"))
     return _as_endpoints(rows), facts.where("what = 'reject'").select("repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line", "detail", "what").unionByName(missing)
 
 
