@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 _own: dict[str, str] = {}
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; where it is unset and all run on this machine, in one of our own."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset and all run on this machine, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
@@ -27,7 +26,13 @@ def settled(df: DataFrame) -> DataFrame:
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="routeloom-")
         where = _own[app]
-    path = f"{where.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_path = path

@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as s
 from ..operators import budget, context, joins, merge, specs, state
@@ -37,7 +36,7 @@ def plan(endpoints: DataFrame, stored: DataFrame, dependencies: DataFrame, chang
         return {"mode": "fast" if state.missing_paths(stored, files, "rel_path").isEmpty() else "full"}
     if state.must_regenerate(dirty, endpoints.select("key").distinct()).first().full:
         return {"mode": "full"}
-    same = state.unchanged(endpoints.select("key", "context_hash"), stored.groupBy("key").agg(F.first("context_hash").alias("context_hash")), "key", "context_hash", True)
+    same = state.unchanged(endpoints.select("key", "context_hash"), stored.groupBy("key").agg(F.max("context_hash").alias("context_hash")), "key", "context_hash", True)
     return {"mode": "partial", "removed": removed, "dirty": dirty.join(same, "key", "left_anti"), "skipped": dirty.join(same, "key", "left_semi")}
 
 
@@ -46,9 +45,11 @@ def batches(jobs: DataFrame, tokens) -> DataFrame:
     cut = context.truncate(F.col("section"), budget.HANDLER_TOKENS, tokens)
     rows = jobs.withColumn("section", cut).withColumn("cost", tokens(F.col("section")).cast("long"))
     packed = budget.pack_batches(rows, "rel_path", "pos", "cost")
-    spans = packed.select("rel_path", "batch", "first")
-    best = rows.join(spans, "rel_path").where(F.col("first") <= F.col("pos")).groupBy("rel_path", "pos").agg(F.max("batch").alias("batch"))
-    return rows.join(best, ["rel_path", "pos"])
+    # Each job takes the number of the last batch that begins at it or before.
+    begins = packed.select("rel_path", F.col("first").cast("long").alias("pos"), F.lit(0).alias("kind"), "batch")
+    jobs_at = rows.select("rel_path", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast(begins.schema["batch"].dataType).alias("batch")).distinct()
+    near = joins.nearest_before(begins.unionByName(jobs_at), ["rel_path"], ["pos", "kind"], F.col("kind") == 1, F.col("kind") == 0, "batch")
+    return rows.join(near.select("rel_path", "pos", F.col("nearest").alias("batch")), ["rel_path", "pos"])
 
 
 def mirrors(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -81,32 +82,10 @@ def prompts(jobs: DataFrame, blocks: DataFrame, tokens) -> DataFrame:
 
 
 def generate(requests: DataFrame, call: Callable[[str], str], wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """requests (rel_path, batch, keys, prompt) with reply: null where no attempt gave a JSON object with a map of paths."""
+    """requests (rel_path, batch, keys, prompt) with reply: null where no attempt gave a JSON object with a map of paths. Each prompt is asked once (``model_calls``)."""
+    from .model_calls import answered
 
-    def usable(text):
-        import json
-
-        a, b = (text or "").find("{"), (text or "").rfind("}")
-        try:
-            doc = json.loads(text[a : b + 1]) if 0 <= a < b else None
-        except ValueError:
-            return None
-        return text[a : b + 1] if isinstance(doc, dict) and isinstance(doc.get("paths"), dict) else None
-
-    def once(prompt):
-        for pause in (*WAITS, None):
-            try:
-                return call(prompt)
-            except Exception:
-                if pause is None:
-                    return None
-                wait(pause)
-
-    def run(parts):
-        for p in parts:
-            yield p.assign(reply=[next((u for _ in range(RETRIES) if (u := usable(once(x)))), None) for x in p["prompt"]])
-
-    return requests.mapInPandas(run, T.StructType([*(f for f in requests.schema.fields if f.name != "reply"), T.StructField("reply", T.StringType())]))
+    return answered(requests, call, wait=wait)
 
 
 def replies(answered: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,9 +93,9 @@ def replies(answered: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]
     kind = "map<string,map<string,string>>"
     paths = answered.where("reply is not null").select("rel_path", "batch", F.explode(F.from_json(F.get_json_object("reply", "$.paths"), kind)).alias("path", "item"))
     ops = paths.select("rel_path", "batch", "path", F.explode("item").alias("verb", "operation"))
-    ops = ops.select("rel_path", "batch", s.normalize_colon(F.col("path")).alias("route"), F.upper("verb").alias("method"), "operation").dropDuplicates(["rel_path", "batch", "route", "method"])
+    ops = ops.select("rel_path", "batch", s.normalize_colon(F.col("path")).alias("route"), F.upper("verb").alias("method"), "operation").groupBy("rel_path", "batch", "route", "method").agg(F.min("operation").alias("operation"))
     got = jobs.select("key", "rel_path", "batch", "route", F.upper("method").alias("method")).join(ops, ["rel_path", "batch", "route", "method"], "left")
-    done = got.where("operation is not null").groupBy("key").agg(F.first("route").alias("route"), F.first("method").alias("method"), F.max("operation").alias("operation"))
+    done = got.where("operation is not null").groupBy("key").agg(F.min("route").alias("route"), F.min("method").alias("method"), F.max("operation").alias("operation"))
     return done, joins.supersede(got.select("key").distinct(), done, ["key"])[1]
 
 

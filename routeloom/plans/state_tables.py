@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s
 from ..operators import dedupe, merge, specs, state
+from ..operators.closure import settled
 
 INDEX = "key string, rel_path string, imports array<struct<rel_path:string,name:string,start_line:int,end_line:int>>, context_hash string"
 OPERATIONS = "key string, route string, method string, operation string"
@@ -48,6 +49,11 @@ def write(df: DataFrame, root: str, name: str, kind: str) -> None:
     out = store.create(path, True)
     out.write(bytearray(version.encode()))
     out.close()
+    # The version before stays for its readers; older ones go.
+    versions = [x for x in store.listStatus(path.getParent()) if x.getPath().getName().startswith(f"{name}-")]
+    for old in sorted(versions, key=lambda x: x.getModificationTime())[:-2]:
+        if not old.getPath().getName().endswith(version):
+            store.delete(old.getPath(), True)
 
 
 def _split(kind: str) -> list[str]:
@@ -106,8 +112,10 @@ def run(spark: SparkSession, root: str, endpoints: DataFrame, imports: DataFrame
     if step["mode"] == "fast":
         return {"mode": "fast", "operations": stored}
     asked = every if step["mode"] == "full" else step["dirty"]
-    made = generate(asked)
-    failed = asked.join(made.select("key"), "key", "left_anti")
+    # Written once: what is stored, returned and counted as failed is the same answer.
+    asked = settled(asked)
+    made = settled(generate(asked))
+    failed = settled(asked.join(made.select("key"), "key", "left_anti"))
     check_generated(asked, made)
     operations = made if step["mode"] == "full" else merge_run(stored, made, step["removed"], failed)
     fresh = build_index(endpoints.join(failed, "key", "left_anti"), imports)
