@@ -12,6 +12,7 @@ from .catalog import query, table
 from .operators.closure import settled
 from .plans import code_lane, contract_lane, syntax
 from .plans.incremental import keyed
+from .plans.origins import origins
 
 _VERBS = ("get", "post", "put", "delete")
 _SQL_VERB = "CASE c_custkey % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END"
@@ -224,3 +225,29 @@ n(language, kind, per_line, per_file) AS (VALUES ('nodejs', 'file', 0, 1), ('nod
 SELECT language, kind, per_line * lines + per_file * files AS n FROM f, n""")
 def syntax_nodes(spark, sf_dir):
     return syntax.nodes(_sources(spark, sf_dir).where("language in ('nodejs', 'ruby_on_rails')")).groupBy("language", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT DISTINCT c_custkey // 200 AS k FROM customer) SELECT 'java' AS language, 'src/main/java/p/Use' || k || '.java' AS rel_path, 'q.R' || k || '.Inner' AS module, 'mod' || k || '/src/main/java/q/R' || k || '.java' AS origin FROM f
+UNION ALL SELECT 'golang', 'cmd/m' || k || '.go', 'example.com/x/internal/db' || k, 'internal/db' || k || '/a.go' FROM f UNION ALL SELECT 'ruby_on_rails', 'app/u' || k || '.rb', 'shop/cart' || k, 'lib/shop/cart' || k || '.rb' FROM f
+UNION ALL SELECT 'ruby_on_rails', 'app/u' || k || '.rb', 'lib/shop/cart' || k, 'lib/shop/cart' || k || '.rb' FROM f UNION ALL SELECT 'python', 'app/u' || k || '.py', 'core.m' || k, 'app/core/m' || k || '/__init__.py' FROM f""")
+def import_origins_of_languages(spark, sf_dir):
+    """Dotted names under source roots that nobody declares, Go packages behind a module's name, Ruby's load path and relative names."""
+    k = _customers(spark, sf_dir).select(F.floor(F.col("pos") / 200).cast("string").alias("k")).distinct()
+    file = lambda language, path, text: k.select(F.lit("repo").alias("repo"), _said(path).alias("rel_path"), F.lit(language).alias("language"), _said(text).alias("text"))
+    files = [
+        file("java", "src/main/java/p/Use<k>.java", "package p;\nimport q.R<k>.Inner;\nimport java.util.List;\nclass Use<k> { }\n"),
+        file("java", "mod<k>/src/main/java/q/R<k>.java", "package q;\nclass R<k> { }\n"),
+        file("golang", "cmd/m<k>.go", "package main\nimport (\n\t\"fmt\"\n\t\"example.com/x/internal/db<k>\"\n)\n"),
+        file("golang", "internal/db<k>/b.go", "package db\n"),
+        file("golang", "internal/db<k>/a.go", "package db\n"),
+        file("ruby_on_rails", "app/u<k>.rb", "require 'shop/cart<k>'\nrequire_relative '../lib/shop/cart<k>'\nrequire 'json'\n"),
+        file("ruby_on_rails", "lib/shop/cart<k>.rb", "class Cart\nend\n"),
+        file("python", "app/u<k>.py", "import os\nfrom core.m<k> import a\n"),
+        file("python", "app/core/m<k>/__init__.py", "a = 1\n"),
+        file("python", "deep/er/app/core/m<k>.py", "a = 2\n"),
+    ]
+    every = files[0]
+    for f in files[1:]:
+        every = every.unionByName(f)
+    every = settled(every)
+    return origins(syntax.metadata(every)["imports"], every).select("language", "rel_path", "module", "origin")

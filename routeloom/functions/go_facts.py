@@ -32,6 +32,10 @@ def extract(text: str, path: str):
     code = mask(text, "go")
     if not re.search(r"\bpackage\s", code):
         return
+    for block in re.finditer(r"\bimport\s*(\([^)]*\)|[\w.]*\s*[\"`])", code):
+        stop = block.end() if "(" in block[0] else text.find("\n", block.start())
+        for alias, module in re.findall(r"([\w.]*)[ \t]*[\"`]([^\"`\n]+)[\"`]", text[block.start() + 6 : len(text) if stop < 0 else stop]):
+            yield fact("import", name=alias or module.rsplit("/", 1)[-1], target=module, start_line=line(text, block.start()))
     groups: list[tuple[int, int, str, str, str]] = []  # begin, end, name, parent, path
     funcs = []
     for m in _FUNC.finditer(code):

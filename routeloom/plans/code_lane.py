@@ -15,6 +15,7 @@ from ..functions.rows import extracted
 from ..operators import dedupe
 from ..operators.closure import composed, in_order, settled, transitive
 from . import syntax
+from .origins import origins
 from .python_routes import python_endpoints
 
 COLUMNS = ["repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line", "conditions"]
@@ -75,11 +76,12 @@ def java(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, facts.where("what = 'reject'").unionByName(lost)
 
 
-def passed_prefixes(facts: DataFrame) -> DataFrame:
+def passed_prefixes(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(node, prefix): the prefixes of the routers that callers, in any file, pass for a function's parameter.
 
     A call means the function of its name in its own folder, or in the folder that
-    its qualifier names, or else the only one in the repository. From callers
+    its qualifier was imported from, or one that has the qualifier's name, or else
+    the only one in the repository. From callers
     whose router is their own the prefix is what their file says; where it begins
     at their own parameter, what their callers pass comes before it.
     """
@@ -87,14 +89,18 @@ def passed_prefixes(facts: DataFrame) -> DataFrame:
     place = lambda name: F.get_json_object("detail", f"$.{name}")
     defs = facts.where("what = 'go_func'").select("repo", "name", folder.alias("folder"), F.concat_ws("\x00", "repo", "rel_path", F.col("start_line").cast("string")).alias("func"))
     defs = defs.withColumn("last", F.regexp_extract("folder", "([^/]*)$", 1))
-    calls = facts.where("what = 'go_pass'").select("repo", "name", "owner", folder.alias("folder"), F.coalesce("route", F.lit("")).alias("value"), place("arg").alias("arg"), F.when(place("func").isNotNull(), F.concat_ws("\x00", "repo", "rel_path", place("func"), place("param"))).alias("src"))
+    calls = facts.where("what = 'go_pass'").select("repo", "rel_path", "name", "owner", folder.alias("folder"), F.coalesce("route", F.lit("")).alias("value"), place("arg").alias("arg"), F.when(place("func").isNotNull(), F.concat_ws("\x00", "repo", "rel_path", place("func"), place("param"))).alias("src"))
     calls = calls.withColumn("id", F.xxhash64(*calls.columns))
     here = defs.groupBy("repo", "folder", "name").agg(F.min("func").alias("func"))
     named = defs.groupBy("repo", F.col("last").alias("owner"), "name").agg(F.min("func").alias("func"))
     only = defs.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("func").alias("func")).where("n = 1")
     columns = [*calls.columns, "func"]
     ways = calls.where("owner is null").join(here, ["repo", "folder", "name"]).select(*columns, F.lit(0).alias("rank"))
-    ways = ways.unionByName(calls.join(named, ["repo", "owner", "name"]).select(*columns, F.lit(1).alias("rank"))).unionByName(calls.join(only, ["repo", "name"]).select(*columns, F.lit(2).alias("rank")))
+    taken = facts.where("what = 'import'").select("repo", "rel_path", F.col("name").alias("owner"), F.col("target").alias("module"), F.lit("golang").alias("language"))
+    origin = origins(taken, files).select("repo", "rel_path", "module", F.regexp_replace("origin", "/?[^/]*$", "").alias("from"))
+    package = taken.join(origin, ["repo", "rel_path", "module"]).groupBy("repo", "rel_path", "owner").agg(F.min("from").alias("from"))
+    meant = calls.join(package, ["repo", "rel_path", "owner"]).join(here.withColumnRenamed("folder", "from"), ["repo", "from", "name"])
+    ways = ways.unionByName(meant.select(*columns, F.lit(1).alias("rank"))).unionByName(calls.join(named, ["repo", "owner", "name"]).select(*columns, F.lit(2).alias("rank"))).unionByName(calls.join(only, ["repo", "name"]).select(*columns, F.lit(3).alias("rank")))
     best = ways.groupBy("id", "src", "value", "arg").agg(F.min_by("func", F.struct("rank", "func")).alias("func"))
     edges = settled(best.select("src", F.concat_ws("\x00", "func", "arg").alias("dst"), "value"))
     # What begins at a parameter that nobody passes anything for begins with nothing.
@@ -109,7 +115,7 @@ def golang(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     facts = settled(extracted(files, go_facts.extract))
     folder = F.regexp_replace("rel_path", "/?[^/]*$", "")
     node = F.when(F.col("detail").isNotNull(), F.concat_ws("\x00", "repo", "rel_path", F.get_json_object("detail", "$.func"), F.get_json_object("detail", "$.param")))
-    found = facts.where("what = 'endpoint'").withColumn("node", node).join(passed_prefixes(facts), "node", "left")
+    found = facts.where("what = 'endpoint'").withColumn("node", node).join(passed_prefixes(facts, files), "node", "left")
     found = found.withColumn("route", F.when(F.coalesce("prefix", F.lit("")) == "", F.col("route")).otherwise(s.join_route(F.col("prefix"), F.col("route"))))
     calls = found.withColumn("symbol", F.regexp_extract("target", r"(\w+)$", 1)).withColumn("folder", folder)
     defs = facts.where("what = 'go_func'").select("repo", F.col("name").alias("symbol"), F.col("rel_path").alias("file"), folder.alias("_folder"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import code_nodes, js_facts, python_facts
+from ..functions import code_nodes, js_facts, python_facts, scalars
 from ..functions.rows import COLUMNS as FACTS
 from ..functions.rows import extracted
 from ..operators import joins
@@ -101,6 +101,9 @@ def imports(n: DataFrame, b: DataFrame) -> DataFrame:
     string = b.where("kind = 'string'")
     js = string.where((text == "nodejs") & F.col("t_1").isin("from", "import") & (F.col("k_1") == "word"))
     direct = string.where(((text == "golang") & ((F.col("t_1") == "import") | ((F.col("t_2") == "import") & (F.col("k_1") == "word")))) | ((text == "ruby_on_rails") & F.col("t_1").isin("require", "require_relative", "load")))
+    # A relative name of Ruby is led to the root, so that it reads like the others.
+    relative = (text == "ruby_on_rails") & (F.col("t_1") == "require_relative")
+    direct = direct.withColumn("text", F.when(relative, scalars.contained(F.regexp_replace("rel_path", "/?[^/]*$", ""), F.col("text"))).otherwise(F.col("text"))).where("text is not null")
     java = b.where((text == "java") & (F.col("kind") == "word") & (F.col("text") == "import") & (F.col("k1") == "word")).withColumn("text", F.when(F.col("t1") == "static", F.col("t2")).otherwise(F.col("t1")))
     # In parentheses: require('x'), import ( "a" "b" ).
     openers = b.where(((text == "nodejs") & (F.col("kind") == "paren") & F.col("t_1").isin("require", "import")) | ((text == "golang") & (F.col("kind") == "paren") & (F.col("t_1") == "import"))).select(*_FILE, F.col("node").alias("parent"))
