@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.repo_tree import CODE_IGNORED, code_files, read_tree, repo_name, tracked_files
+from . import incremental as inc
+from . import incremental_run
 from .code_lane import code_endpoints
 from .contract_lane import reconcile, run_lane
 
@@ -50,7 +54,7 @@ def analyse(spark: SparkSession, root: str) -> dict:
     endpoints, rejects = code_endpoints(code_files(tree, CODE_IGNORED))
     lane = run_lane(tree, overrides=own(overrides(spark, root), root), tracked=own(tracked_files(spark, root), root))
     merged = reconcile(lane["rows"], endpoints)
-    return merged | {"rejects": rejects, "verdicts": lane["verdicts"], "endpoints": endpoints, "components": lane["components"], "overrides": lane["overrides"]}
+    return merged | {"files": code_files(tree, CODE_IGNORED), "rejects": rejects, "verdicts": lane["verdicts"], "endpoints": endpoints, "components": lane["components"], "overrides": lane["overrides"]}
 
 
 def own(rows: DataFrame | None, root: str) -> DataFrame | None:
@@ -82,21 +86,38 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("path")
     p.add_argument("--output", default="openapi.json")
     p.add_argument("--host", default="http://localhost")
+    p.add_argument("--incremental", metavar="STATE", help="folder that keeps operations between runs: endpoints are described by the model, those that changed only")
+    p.add_argument("--base", help="with --incremental: what the files are compared with; without it, uncommitted changes count")
+    p.add_argument("--model", metavar="MODULE:FUNCTION", help="what answers a prompt; an offline outline without it")
     a = p.parse_args(argv)
     if not os.path.isdir(a.path):
         print(f"no such folder: {a.path}", file=sys.stderr)
         return EXIT_ERROR
     spark = SparkSession.builder.appName("routeloom").getOrCreate()
     found = analyse(spark, a.path)
-    code = found["to_generate"].select("route", "method", F.lit(None).cast("string").alias("operation"), F.concat(F.lit("code:"), "rel_path").alias("source_id"), F.array().cast("array<string>").alias("conflict"), "conditions")
+    todo = found["to_generate"].withColumn("source_id", F.concat(F.lit("code:"), "rel_path"))
+    status, code = EXIT_OK, todo.withColumn("operation", F.lit(None).cast("string"))
+    if a.incremental:
+        call = incremental_run.outline
+        if a.model:
+            module, _, name = a.model.partition(":")
+            call = getattr(importlib.import_module(module), name)
+        try:
+            made = incremental_run.run(spark, a.path, os.path.abspath(a.incremental), found, found["files"], call, a.base)
+        except RuntimeError as e:  # not one endpoint was described
+            print(e, file=sys.stderr)
+            return EXIT_ERROR
+        told = made["report"].first().asDict() if made["report"] is not None else {}
+        print(f"{made['mode']} run" + "".join(f", {n} {k}" for k, n in told.items()))
+        status = EXIT_PARTIAL if told.get("failed") else EXIT_OK
+        code = inc.keyed(todo).join(made["operations"].select("key", "operation"), "key", "left")
+    code = code.select("route", "method", "operation", "source_id", F.array().cast("array<string>").alias("conflict"), "conditions")
     every = found["operations"].select("route", "method", "operation", "source_id", "conflict", "conditions").unionByName(code)
-    from datetime import datetime, timezone
-
     doc = openapi(os.path.basename(os.path.abspath(a.path)), a.host, every, datetime.now(timezone.utc).isoformat(), components=found["components"])
     write_json(a.output, doc)
     write_json(os.path.join(os.path.dirname(os.path.abspath(a.output)), "repo_profile.json"), profile(found))
     print(f"{sum(map(len, doc['paths'].values()))} operations on {len(doc['paths'])} routes")
-    return EXIT_OK if doc["paths"] else EXIT_PARTIAL
+    return status if doc["paths"] else EXIT_PARTIAL
 
 
 if __name__ == "__main__":
