@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .operators.closure import settled
-from .plans import code_lane, contract_lane, syntax
+from .plans import code_lane, contract_lane, inlining, syntax
 from .plans.incremental import keyed
 from .plans.origins import origins
 
@@ -251,3 +251,26 @@ def import_origins_of_languages(spark, sf_dir):
         every = every.unionByName(f)
     every = settled(every)
     return origins(syntax.metadata(every)["imports"], every).select("language", "rel_path", "module", "origin")
+
+
+@query("""WITH r AS (SELECT r_regionkey AS k, '{"name": "' || r_name || '"}' AS body FROM region), n AS (SELECT n_nationkey AS k, '{"name": "' || n_name || '", "in": [' || body || ']}' AS body FROM nation JOIN r ON n_regionkey = r.k),
+c AS (SELECT c_custkey AS k, '{"nation": ' || body || ', "of": "' || c_custkey || '"}' AS body FROM customer JOIN n ON c_nationkey = n.k), o AS (SELECT o_orderkey AS k, '{"customer": ' || body || '}' AS body FROM orders JOIN c ON o_custkey = c.k)
+SELECT '#/r/' || k AS key, 0 AS level, md5(body) AS digest, NULL AS error FROM r UNION ALL SELECT '#/n/' || k, 1, md5(body), NULL FROM n UNION ALL SELECT '#/c/' || k, 2, md5(body), NULL FROM c UNION ALL SELECT '#/o/' || k, 3, md5(body), NULL FROM o
+UNION ALL SELECT '#/s/' || s_suppkey, NULL, NULL, 'cycle' FROM supplier UNION ALL SELECT '#/p/' || p_partkey, NULL, NULL, 'unresolved' FROM part""")
+def inlined_components(spark, sf_dir):
+    """Orders hold their customer, customers their nation, nations their region; suppliers refer to themselves and parts to nothing."""
+    t = lambda name, key, body: table(spark, sf_dir, name).select(F.lit("repo").alias("repo"), key.alias("key"), body.alias("body"))
+    key = lambda kind, column: F.concat(F.lit(f"#/{kind}/"), F.col(column).cast("string"))
+    ref = lambda kind, column: F.concat(F.lit('{"$ref": "'), key(kind, column), F.lit('"}'))
+    parts = [
+        t("region", key("r", "r_regionkey"), F.concat(F.lit('{"name": "'), "r_name", F.lit('"}'))),
+        t("nation", key("n", "n_nationkey"), F.concat(F.lit('{"name": "'), "n_name", F.lit('", "in": ['), ref("r", "n_regionkey"), F.lit("]}"))),
+        t("customer", key("c", "c_custkey"), F.concat(F.lit('{"nation": '), ref("n", "c_nationkey"), F.lit(', "of": "'), F.col("c_custkey").cast("string"), F.lit('"}'))),
+        t("orders", key("o", "o_orderkey"), F.concat(F.lit('{"customer": '), ref("c", "o_custkey"), F.lit("}"))),
+        t("supplier", key("s", "s_suppkey"), F.concat(F.lit('{"me": '), ref("s", "s_suppkey"), F.lit(', "n": '), ref("n", "s_nationkey"), F.lit("}"))),
+        t("part", key("p", "p_partkey"), F.concat(F.lit('{"x": '), ref("none", "p_partkey"), F.lit("}"))),
+    ]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return inlining.inline(every).select("key", "level", F.md5("body").alias("digest"), "error")

@@ -45,17 +45,52 @@ def normalize_java(route: Column) -> Column:
     return F.when(route.isNull() | (route == ""), "").otherwise(one_slash(rooted(strip(route))))
 
 
-def _parentheses(depth: int) -> str:
-    """A regular expression for balanced parentheses, nested to ``depth``; a backslash takes the next character along."""
-    inside = r"(?:[^()\\]|\\.)*+"
-    for _ in range(depth):
-        inside = rf"(?:[^()\\]|\\.|\({inside}\))*+"
-    return rf"\({inside}\)"
+def normalize_express(route: Column) -> Column:
+    """``:id(\\d+)?`` to ``{id}``: a constraint goes with its parentheses, however deep they nest; an unbalanced one stays as written.
 
-
-def normalize_express(route: Column, depth: int = 6) -> Column:
-    """``:id(\\d+)?`` to ``{id}``: a constraint goes with its parentheses, nested to ``depth``; an unbalanced one stays as written."""
-    return F.regexp_replace(route, rf":([A-Za-z_][A-Za-z0-9_]*+)(?:{_parentheses(depth)}|(?!\())\??", "{$1}")
+    The route is cut where a parameter begins; each part is a name, perhaps a
+    constraint, and what follows. Depth is counted over the characters of the
+    part, in which a backslash takes the next one along.
+    """
+    name = r"^:([A-Za-z_][A-Za-z0-9_]*)"
+
+    def end_of_constraint(rest):
+        """How many characters a balanced constraint at the start of rest has; 0 where there is none."""
+        start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+        def step(state, c):
+            opens, closes = (c == "(") & ~state["escaped"], (c == ")") & ~state["escaped"]
+            depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+            at = state["at"] + 1
+            return F.struct(depth.alias("depth"), ((c == "\\") & ~state["escaped"]).alias("escaped"), at.alias("at"), F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"]).alias("end"))
+
+        return F.when(rest.startswith("("), F.aggregate(F.split(rest, "(?!^)"), start, step)["end"]).otherwise(F.lit(0))
+
+    def part(p):
+        said = F.regexp_extract(p, name, 1)
+        rest = F.substring(p, F.length(said) + 2, F.length(p))
+        end = end_of_constraint(rest)
+        after = F.substring(rest, end + 1, F.length(rest))
+        whole = F.concat(F.lit("{"), said, F.lit("}"), F.when(after.startswith("?"), F.substring(after, F.lit(2), F.length(after))).otherwise(after))
+        return F.when(said == "", p).when(rest.startswith("(") & (end == 0), p).otherwise(whole)
+
+    # A colon inside a constraint begins no parameter: pieces are put together while parentheses are open.
+    pieces = F.split(route, r"(?=:[A-Za-z_])")
+
+    def put(done, p):
+        last = F.element_at(done, -1)
+        bare = F.regexp_replace(F.array_join(last, ""), r"\\.", "")
+        open_ = F.length(F.regexp_replace(bare, r"[^(]", "")) > F.length(F.regexp_replace(bare, r"[^)]", ""))
+        joined = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.array(p))))
+        return F.when(F.size(done) == 0, F.array(F.array(p))).when(open_, joined).otherwise(F.concat(done, F.array(F.array(p))))
+
+    def together(ps):
+        # Where the parentheses never close, each piece is read by itself.
+        whole = part(F.array_join(ps, ""))
+        return F.when(whole == F.array_join(ps, ""), F.array_join(F.transform(ps, part), "")).otherwise(whole)
+
+    plain = F.array_join(F.transform(F.aggregate(pieces, F.array().cast("array<array<string>>"), put), together), "")
+    return F.when(~F.contains(route, F.lit(":")), route).otherwise(plain)
 
 
 def normalize(framework: Column, route: Column) -> Column:

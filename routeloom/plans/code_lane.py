@@ -171,16 +171,17 @@ def merge_variants(endpoints: DataFrame) -> DataFrame:
 
 def code_endpoints(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files (repo, rel_path, language, text) -> endpoints of all languages, one a repo, method and route; reject counts by reason."""
-    parts, rejects = [_as_endpoints(python_endpoints(files.where("language = 'python'")))], []
-    for name, lane in (("nodejs", nodejs), ("java", java), ("golang", golang), ("ruby_on_rails", rails)):
-        rows, bad = lane(files.where(F.col("language") == name))
-        parts.append(rows)
-        rejects.append(bad.select("repo", F.lit(name).alias("language"), F.col("detail").alias("reason")))
-    rows, bad = parts[0], rejects[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    for p in rejects[1:]:
-        bad = bad.unionByName(p)
+    lanes = {"nodejs": nodejs, "java": java, "golang": golang, "ruby_on_rails": rails}
+    # At most a row a language: the lanes of languages without files are left out.
+    present = {r.language for r in files.where(F.col("language").isin("python", *lanes)).select("language").distinct().collect()}
+    none = files.limit(0)
+    rows = _as_endpoints(python_endpoints(files.where("language = 'python'"))) if "python" in present or not present else None
+    bad = none.select("repo", "language", F.lit(None).cast("string").alias("reason"))
+    for name, lane in lanes.items():
+        if name in present:
+            found, lost = lane(files.where(F.col("language") == name))
+            rows = found if rows is None else rows.unionByName(found)
+            bad = bad.unionByName(lost.select("repo", F.lit(name).alias("language"), F.col("detail").alias("reason")))
     unrouted = rows.where("route is null").select("repo", F.lit("any").alias("language"), F.lit("no route").alias("reason"))
     return merge_variants(rows), bad.unionByName(unrouted).groupBy("repo", "language", "reason").agg(F.count("*").alias("n"))
 

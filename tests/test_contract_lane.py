@@ -67,3 +67,20 @@ def test_reconcile(spark):
     ops = {(r.method, r.route): (r.operation, r.conflict, r.conditions) for r in got["operations"].collect()}
     assert ops == {("GET", "/u/{id}"): ("A", ["spec:b.yaml#get /u/{userId}"], "{}"), ("POST", "/u"): ("C", [], None)}
     assert got["superseded"].count() == 2 and [r.method for r in got["to_generate"].collect()] == ["PUT"]
+
+
+def test_inlining(spark):
+    """Diamonds built once, cycles and what leads to them refused, siblings of a reference go with it, a bound on size."""
+    from routeloom.plans.inlining import inline
+
+    ref = lambda k: {"$ref": k}
+    bodies = {"a": {"x": [ref("b"), ref("c")]}, "b": {"d": ref("d")}, "c": {"d": {"$ref": "d", "description": "goes"}}, "d": {"type": "object"}, "e": {"f": ref("f")}, "f": {"e": ref("e")}, "g": ref("e"), "h": {"gone": ref("no")}, "i": {"h": ref("h"), "a": ref("a")}}
+    df = spark.createDataFrame([("r", k, json.dumps(v)) for k, v in bodies.items()], "repo string, key string, body string")
+    got = {r.key: (json.loads(r.body) if r.body else None, r.level, r.error) for r in inline(df).collect()}
+    d = {"type": "object"}
+    assert got["a"] == ({"x": [{"d": d}, {"d": d}]}, 2, None) and got["c"] == ({"d": d}, 1, None) and got["d"] == (d, 0, None)
+    assert {k: v[2] for k, v in got.items() if v[2]} == {"e": "cycle", "f": "cycle", "g": "cycle", "h": "unresolved", "i": "unresolved"}
+    import pytest
+
+    with pytest.raises(Exception, match="bytes"):
+        inline(df, most_bytes=30).count()
