@@ -143,6 +143,10 @@ def evidence(files: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     """runs with rel_path, the specification as a file that the repository has (runs without one are left out); and unreadable files."""
     found, unread = runs(files)
     tried = found.select("*", F.posexplode(places(F.col("raw"), F.col("build_file"))).alias("place", "rel_path"))
-    held = tried.join(tree.select("repo", "rel_path").distinct(), ["repo", "rel_path"])
+    # A file is there under its own path, or under a link to a folder above it.
+    links = tree.where("is_symlink").select("repo", F.col("rel_path").alias("link"))
+    above = tried.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("rel_path", "/"))), lambda n: F.array_join(F.slice(F.split("rel_path", "/"), F.lit(1), n), "/"))).alias("link"))
+    there = tried.join(tree.select("repo", "rel_path").distinct(), ["repo", "rel_path"], "left_semi").unionByName(above.join(links, ["repo", "link"], "left_semi").select(*tried.columns))
+    held = there.distinct()
     best = held.groupBy("repo", "build_file", "generator", "kind", "raw", "api_package", "proof").agg(F.min_by("rel_path", "place").alias("rel_path"))
     return best.drop("raw"), unread

@@ -22,6 +22,7 @@ from ..operators import budget
 from ..operators.closure import settled, transitive
 from ..sources.repo_tree import BUILD_IGNORED, CONTRACT_IGNORED, sniffed
 from . import bazel_macros
+from .real_paths import real_paths
 
 
 def outside(tree: DataFrame, ignored) -> DataFrame:
@@ -147,7 +148,19 @@ def evidence_and_rejects(tree: DataFrame, tracked: DataFrame | None = None) -> t
     macros, unread = bazel_macros.evidence(files.where(starlark), tree)
     bazel = macros.withColumn("tool", F.lit("bazel")).withColumn("provisional", F.lit(False)).withColumn("base_path", F.lit(None).cast("string")).select(kept)
     rejects = found.where("tool = 'unread'").select("repo", F.col("build_file").alias("rel_path"), "error").unionByName(unread)
-    return out.unionByName(bazel), rejects
+    return by_real_path(out.unionByName(bazel), tree, kept), rejects
+
+
+def by_real_path(evidence: DataFrame, tree: DataFrame, columns: list[str]) -> DataFrame:
+    """evidence with specifications named through links under the path they really have; what leaves the repository or runs in circles is no evidence."""
+    links = settled(tree.where("is_symlink and content is not null").select("repo", "rel_path", F.decode("content", "UTF-8").alias("target")))
+    if links.isEmpty():
+        return evidence
+    evidence = settled(evidence)
+    real = real_paths(evidence.select("repo", F.col("rel_path").alias("path")), links).where("real is not null")
+    led = evidence.join(real.withColumnRenamed("path", "rel_path"), ["repo", "rel_path"]).withColumn("through", F.col("real") != F.col("rel_path")).drop("rel_path", "error").withColumnRenamed("real", "rel_path")
+    there = led.where("through").join(tree.select("repo", "rel_path").distinct(), ["repo", "rel_path"], "left_semi")
+    return led.where("not through").select(columns).unionByName(there.select(columns)).distinct()
 
 
 def build_evidence(tree: DataFrame, tracked: DataFrame | None = None) -> DataFrame:
@@ -231,7 +244,7 @@ def hashes(tree: DataFrame, ops: DataFrame, evidence: DataFrame) -> DataFrame:
     closure = ops.select(*spec, F.explode("closure").alias("k")).select(*spec, F.substring_index("k", "#", 1).alias("file"))
     proof = evidence.select(*spec, F.explode("proof").alias("file"))
     files = ops.select(*spec, F.col("rel_path").alias("file")).unionByName(closure).unionByName(proof).distinct()
-    held = files.join(tree.where("content is not null").select("repo", F.col("rel_path").alias("file"), F.sha2("content", 256).alias("h")), ["repo", "file"])
+    held = files.join(tree.where("content is not null and not is_symlink").select("repo", F.col("rel_path").alias("file"), F.sha2("content", 256).alias("h")), ["repo", "file"])
     eligibility = held.groupBy(*spec).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "file", "h"))), "\n"), 256).alias("eligibility"))
     payload = ops.where("error is null").groupBy(*spec).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("\x00", "method", "spec_path", "operation"))), "\n"), 256).alias("payload"))
     return eligibility.join(payload, spec, "left")

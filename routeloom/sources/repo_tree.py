@@ -37,7 +37,8 @@ class _Reader(DataSourceReader):
         for root in self.roots:
             for folder, names, files in os.walk(root):
                 names[:] = sorted(n for n in names if n not in self.ignored)
-                for f in sorted(files):
+                # Links to folders are not walked into; they are rows like links to files.
+                for f in sorted([*files, *(n for n in names if os.path.islink(os.path.join(folder, n)))]):
                     path = os.path.join(folder, f)
                     try:
                         n = os.lstat(path).st_size
@@ -53,17 +54,19 @@ class _Reader(DataSourceReader):
     def read(self, part):
         for root, path, n, link in part.files:
             content = None
-            if not link and n <= self.most:
-                try:
+            try:
+                if link:
+                    content = os.fsencode(os.readlink(path))
+                elif n <= self.most:
                     with open(path, "rb") as f:
                         content = f.read()
-                except OSError:
-                    continue
+            except OSError:
+                continue
             yield repo_name(root), os.path.relpath(path, root), content, n, link
 
 
 class RepoTree(DataSource):
-    """format("repo_tree"): options path (comma-separated roots), ignored (directory names), maxBytes (larger files have null content)."""
+    """format("repo_tree"): options path (comma-separated roots), ignored (directory names), maxBytes (larger files have null content). A link's content is where it points to."""
 
     @classmethod
     def name(cls):

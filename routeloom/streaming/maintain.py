@@ -5,31 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dedupe, merge
+from ..operators import dedupe
+
+
+STATE = "key string, seq long, operation string"
+
+
+def _committed(spark, state_path: str) -> list[int]:
+    """Numbers of the batches whose folder is whole: Spark's own mark is written last."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(state_path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    names = [f.getPath().getName().removeprefix("v=") for f in fs.listStatus(jpath)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v={n}/_SUCCESS")))
 
 
 def merge_batch(state_path: str):
     """foreachBatch function: batch (key, seq, operation; a null operation removes) into parquet state folders numbered by batch.
 
-    A batch that is replayed writes the same folder again, so the merge is
-    exactly-once; readers take the highest number.
+    The highest seq of a key wins, in whichever batch it comes, and of equal ones
+    the later batch. What is removed stays in the state as a row without an
+    operation, so a late row with a lower seq does not bring it back. A batch that
+    is replayed starts from the same whole folder and writes its own again;
+    readers take the highest folder that is whole.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(state_path)
-        fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-        old = None
-        if fs.exists(jpath):
-            done = [int(n) for n in (f.getPath().getName().removeprefix("v=") for f in fs.listStatus(jpath)) if n.isdigit()]
-            last = max((n for n in done if n < number), default=None)
-            old = None if last is None else spark.read.parquet(f"{state_path}/v={last}")
-        new = dedupe.last_wins(batch, ["key"], "seq", ["operation"])
-        if old is None:
-            out = new
-        else:
-            out = merge.upsert(old, new, "key", new.select("key").limit(0))
-        out.where(F.col("operation").isNotNull()).write.mode("overwrite").parquet(f"{state_path}/v={number}")
+        last = max((n for n in _committed(spark, state_path) if n < number), default=None)
+        new = batch.select("key", F.col("seq").cast("long").alias("seq"), "operation", F.lit(1).alias("late"))
+        if last is not None:
+            new = new.unionByName(spark.read.schema(STATE).parquet(f"{state_path}/v={last}").withColumn("late", F.lit(0)))
+        won = dedupe.last_wins(new.withColumn("rank", F.struct("seq", "late")), ["key"], "rank", ["seq", "operation"])
+        won.select("key", "seq", "operation").write.mode("overwrite").parquet(f"{state_path}/v={number}")
 
     return run
 
@@ -39,9 +48,10 @@ def maintain(stream: DataFrame, state_path: str, checkpoint: str):
 
 
 def current(spark, state_path: str) -> DataFrame:
-    names = [p for p in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(state_path).select("path").toLocalIterator()]
-    last = max(int(p.path.split("/v=")[1].split("/")[0]) for p in names)
-    return spark.read.parquet(f"{state_path}/v={last}")
+    """key, operation: the state after the last whole batch; empty before the first."""
+    done = _committed(spark, state_path)
+    rows = spark.read.schema(STATE).parquet(f"{state_path}/v={done[-1]}") if done else spark.createDataFrame([], STATE)
+    return rows.where("operation is not null").select("key", "operation")
 
 
 def windowed_counts(events: DataFrame, size: str = "10 minutes", late: str = "1 hour") -> DataFrame:

@@ -99,3 +99,24 @@ def test_method_names_meet_inside_a_repository(spark):
     v, _ = verdicts(docs, ops, evidence, classes, methods)
     assert {(r.repo, r.matched, r.reason) for r in v.collect()} == {("one", 1, "covers_routed_handlers"), ("two", 0, "no_server_evidence")}
     assert apply_overrides(v.withColumn("eligibility", F.lit("h")), spark.createDataFrame([], "repo string, rel_path string, action string, eligibility_hash string, prefix string"))[0].count() == 2
+
+
+def test_specifications_behind_links(spark, tmp_path):
+    """A specification named through a link is the file that it really is; links out of the tree and in circles prove nothing."""
+    import os
+
+    from routeloom.sources.repo_tree import read_tree
+
+    root = tmp_path / "r"
+    for name, spec in (("ok", "$rootDir/linked/api.json"), ("out", "$rootDir/away/api.json"), ("circle", "$rootDir/ring/api.json")):
+        (root / name).mkdir(parents=True)
+        (root / name / "build.gradle").write_text(GRADLE.replace("$rootDir/api.json", spec))
+    (root / "specs/v1").mkdir(parents=True)
+    (root / "specs/v1/api.json").write_text(SPEC)
+    (root / "BUILD").write_text('genrule(cmd = "generate -g spring -i $(location linked/api.json)")\n')
+    (tmp_path / "away").mkdir()
+    (tmp_path / "away/api.json").write_text(SPEC)
+    for link, target in (("linked", "current"), ("current", "specs/v1"), ("away", "../away"), ("ring", "gnir"), ("gnir", "ring")):
+        os.symlink(target, root / link)
+    got = evidence_and_rejects(read_tree(spark, str(root)))[0]
+    assert {(r.build_file, r.tool, r.rel_path) for r in got.collect()} == {("ok/build.gradle", "gradle", "specs/v1/api.json"), ("BUILD", "bazel", "specs/v1/api.json")}
