@@ -365,3 +365,27 @@ def damage(rows: DataFrame) -> DataFrame:
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(*repair(damage(table(spark, sf_dir, "conversations"))))
+
+
+#: The whole table at once: CRC-32 by its table, a row of the recursion for each conversation, turn and state, messages spelt from the cheapest plan.
+ORACLE = rf"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) x(i)),
+r AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS p, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+d AS (SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind FROM r, crc),
+x AS (SELECT p, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+z AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY p ORDER BY turn NULLS FIRST, role, md5(text), copy) AS k, regexp_extract_all(text, '[^{SPACE}]') AS ink FROM x),
+v AS (SELECT *, len(ink) = 0 AS blank, len(ink) > 0 AND k > min(k) OVER (PARTITION BY p, role, text) AS again, lag(initial) OVER (PARTITION BY p ORDER BY k) AS before FROM z),
+y AS (SELECT *, blank OR again AS must, NOT blank AND NOT again AND ink[-1] NOT IN ('.', '!', '?') AS short FROM v),
+e AS (SELECT y.p, y.k, s.f, s.t, s.cost + CASE WHEN s.op <> 'D' AND y.short THEN 1 ELSE 0 END AS cost, s.plan
+      FROM y JOIN (VALUES {_values(_steps())}) s(f, t, op, initial, cost, plan) ON s.op = 'D' OR (NOT y.must AND (s.op = 'R' OR s.initial = y.initial))),
+w AS (SELECT DISTINCT p, 0::BIGINT AS k, 0 AS s, 0::BIGINT AS cost, '' AS plan FROM y
+      UNION ALL SELECT p, k, s, best.cost, best.plan FROM (SELECT w.p, w.k + 1 AS k, e.t AS s, min(struct_pack(cost := w.cost + e.cost, plan := w.plan || e.plan)) AS best FROM w JOIN e ON e.p = w.p AND e.k = w.k + 1 AND e.f = w.s GROUP BY w.p, w.k, e.t)),
+g AS (SELECT p, best.cost AS cost, best.plan AS plan FROM (SELECT w.p, min(struct_pack(cost := w.cost + c.cost, plan := w.plan || c.plan)) AS best FROM w JOIN (SELECT p, max(k) AS k FROM y GROUP BY p) n ON n.p = w.p AND n.k = w.k JOIN (VALUES {_values(CLOSING)}) c(t, cost, plan) ON c.t = w.s GROUP BY w.p)),
+a AS (SELECT p, unnest(regexp_extract_all(plan, '..')) AS event, generate_subscripts(regexp_extract_all(plan, '..'), 1) AS i FROM g),
+b AS (SELECT *, sum(CASE WHEN event[1] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY p ORDER BY i) AS k FROM a),
+m AS (SELECT b.p, string_agg(CASE event[2] WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' ELSE y.role END || ':' || CASE event[1] WHEN 'I' THEN '' ELSE y.text END, chr(10) ORDER BY i) AS body FROM b LEFT JOIN y ON y.p = b.p AND y.k = b.k WHERE event[1] <> 'D' GROUP BY b.p),
+n AS (SELECT p, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, {COUNTS} FROM y GROUP BY p)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(g.cost, 0)::BIGINT AS cost, coalesce(regexp_replace(g.plan, '(.).', '\1', 'g'), '') AS audit, sha256(coalesce(m.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT p, conv_id FROM r) c LEFT JOIN n ON n.p = c.p LEFT JOIN g ON g.p = c.p LEFT JOIN m ON m.p = c.p
+"""

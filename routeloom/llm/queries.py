@@ -29,6 +29,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import licenses, line_dedup, mixing
+    from . import conversation_repair, licenses, line_dedup, mixing
 
-    return {"op7_license_dice": licenses.oracle(), "op10_repeated_lines": line_dedup.ORACLE, "op12_mix_sources": mixing.ORACLE}
+    return {"op7_license_dice": licenses.oracle(), "op10_repeated_lines": line_dedup.ORACLE, "op12_mix_sources": mixing.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}

@@ -137,3 +137,12 @@ def test_messages_and_empty(spark):
     assert got == list(cheapest(flagged([("user", f"m{k}.") for k in range(5)]))[2])
     none = cr.reports(*cr.repair(df.limit(0)))
     assert none.count() == 0
+
+
+def test_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    got = cr.op13(spark, sf)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"select {', '.join(got.columns)} from ({cr.ORACLE})").fetchall())
