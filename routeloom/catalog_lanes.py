@@ -53,10 +53,12 @@ def effective_methods(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", s.effective_method(own, F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))).alias("method"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents WHERE text IS NOT NULL)
+@query(r"""WITH v AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, name || CASE length(name) % 4 WHEN 0 THEN 'Router' WHEN 1 THEN 'Client' WHEN 2 THEN 'Api' ELSE '' END AS name FROM v)
 SELECT lower(name) AS name, count(*) AS uses FROM w WHERE NOT regexp_matches(lower(name), '(client|service)$') AND (lower(name) IN ('app', 'router', 'route', 'api', 'controller', 'server') OR regexp_matches(lower(name), '(router|routes|route|app|server|controller|api)$') OR regexp_matches(lower(name), '^(app|api)')) GROUP BY 1""")
 def route_object_names(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("name"))
+    """Words of documents as programmers would extend them: some name a router, some a client, some neither."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("word"))
+    words = words.withColumn("name", F.concat("word", F.get(F.array(*map(F.lit, ("Router", "Client", "Api", ""))), F.length("word") % 4)))
     low = F.lower("name")
     ends = lambda c, some: c.rlike(f"({'|'.join(some)})$")
     looks = ~ends(low, js_facts.NO_ROUTE_ENDS) & (low.isin(*sorted(js_facts.ROUTE_NAMES)) | ends(low, js_facts.ROUTE_ENDS) | low.rlike(f"^({'|'.join(js_facts.ROUTE_STARTS)})"))
