@@ -15,6 +15,7 @@ from ..functions import code_nodes, js_facts, python_facts, scalars
 from ..functions.rows import COLUMNS as FACTS
 from ..functions.rows import extracted
 from ..operators import joins
+from ..operators.closure import settled
 
 #: Words that declare what the next word names, by language, and words before a parenthesis that call nothing.
 DECLARES = {
@@ -121,10 +122,11 @@ def _python(files: DataFrame) -> DataFrame:
 
 def metadata(files: DataFrame) -> dict[str, DataFrame]:
     """symbols, calls, imports and errors (files with nodes that do not fit) of files in all five languages."""
-    n = nodes(files)
-    b = beside(n)
+    # Written once: every table below reads them several times.
+    n = settled(nodes(files))
+    b = settled(beside(n))
     found = symbols(n, b)
-    py = _python(files)
+    py = settled(_python(files))
     own = py.where("what = 'symbol'").select(*_FILE, "language", "kind", "name", "start_line", "end_line")
     called = py.where("what = 'call'").select(*_FILE, "language", "name", "target", "start_line")
     taken = py.where("what = 'import'").select(*_FILE, "language", F.coalesce("target", "name").alias("module"), "start_line")
