@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .catalog import query, table
 from .operators.closure import settled
-from .plans import code_lane, contract_lane, inlining, syntax
+from .plans import code_lane, contract_lane, inlining, maven_parents, syntax
 from .plans.incremental import keyed
 from .plans.origins import origins
 
@@ -175,6 +175,23 @@ def build_evidence(spark, sf_dir):
     return contract_lane.build_evidence(_contracts(spark, sf_dir)).select("repo", "tool", "generator", "kind", "rel_path")
 
 
+@query("""SELECT 'n' || c_nationkey AS repo, 'm/c' || c_custkey || '/pom.xml' AS build_file, CASE WHEN c_custkey % 3 = 0 THEN 'm/own' ELSE 'm/shared' END || '/v' || c_nationkey || '.yaml' AS rel_path, 'g.p' || c_nationkey || '.c' || c_custkey AS api_package, 'm/c' || c_custkey || '/pom.xml,m/pom.xml,pom.xml' AS proof FROM customer""")
+def maven_parents_chain(spark, sf_dir):
+    """A module for each customer of a nation's repository; its parent and that one's parent complete the input, every third module sets one property itself."""
+    c = _customers(spark, sf_dir)
+    project = lambda body: F.concat(F.lit("<project xmlns='http://maven.apache.org/POM/4.0.0'>"), body, F.lit("</project>"))
+    top = _said("<groupId>g</groupId><artifactId>top</artifactId><version>1</version><properties><dir>shared</dir><pkg>g.p<k></pkg></properties>")
+    middle = _said("<parent><groupId>g</groupId><artifactId>top</artifactId><version>1</version></parent><artifactId>middle</artifactId><properties><spec>${dir}/v<k>.yaml</spec></properties>")
+    leaf = _said("<parent><groupId>g</groupId><artifactId>middle</artifactId><version>1</version></parent><artifactId>c<key></artifactId><OWN><build><plugins><plugin><artifactId>openapi-generator-maven-plugin</artifactId><configuration><generatorName>spring</generatorName><inputSpec>${project.parent.basedir}/${spec}</inputSpec><apiPackage>${pkg}.${project.artifactId}</apiPackage></configuration></plugin></plugins></build>")
+    leaf = F.replace(leaf, F.lit("<OWN>"), F.when(F.col("pos") % 3 == 0, F.lit("<properties><dir>own</dir></properties>")).otherwise(F.lit("")))
+    nations = c.select("k").distinct()
+    file = lambda df, path, text: df.select(F.concat(F.lit("n"), "k").alias("repo"), path.alias("rel_path"), text.alias("text"))
+    files = file(c, _said("m/c<key>/pom.xml"), project(leaf)).unionByName(file(nations, F.lit("m/pom.xml"), project(middle))).unionByName(file(nations, F.lit("pom.xml"), project(top)))
+    specs = nations.select("k", F.explode(F.array(F.lit("own"), F.lit("shared"))).alias("d")).select(F.concat(F.lit("n"), "k").alias("repo"), F.concat(F.lit("m/"), "d", F.lit("/v"), "k", F.lit(".yaml")).alias("rel_path"))
+    found, _ = maven_parents.evidence(settled(files), specs)
+    return found.select("repo", "build_file", "rel_path", "api_package", F.array_join("proof", ",").alias("proof"))
+
+
 # --- syntax nodes and what joins make of them -----------------------------------------------------
 
 

@@ -21,7 +21,7 @@ from ..functions.rows import extracted
 from ..operators import budget
 from ..operators.closure import settled, transitive
 from ..sources.repo_tree import BUILD_IGNORED, CONTRACT_IGNORED, sniffed
-from . import bazel_macros
+from . import bazel_macros, maven_parents
 from .real_paths import real_paths
 
 
@@ -111,7 +111,7 @@ def build_files(tree: DataFrame) -> DataFrame:
     """repo, rel_path, text of files that may say how code is generated."""
     name = F.regexp_extract("rel_path", r"([^/]*)$", 1)
     rows = outside(tree, BUILD_IGNORED).where(F.col("content").isNotNull())
-    builds = name.isin("pom.xml", "build.gradle", "build.gradle.kts", "BUILD", "BUILD.bazel") | name.endswith(".bzl") | name.rlike(r"\.ya?ml$")
+    builds = name.endswith("pom.xml") | name.isin("build.gradle", "build.gradle.kts", "BUILD", "BUILD.bazel") | name.endswith(".bzl") | name.rlike(r"\.ya?ml$")
     rows = rows.where((builds & (F.col("size") <= cf.MAX_BUILD)) | (name.rlike(r"\.(go|py)$") & (F.col("size") <= cf.MAX_SOURCE) & ~F.col("rel_path").rlike(r"(^|/)tests?/|_test\.(go|py)$|(^|/)test_[^/]*\.py$")))
     return rows.select("repo", "rel_path", F.decode("content", "UTF-8").alias("text"))
 
@@ -120,7 +120,8 @@ def evidence_and_rejects(tree: DataFrame, tracked: DataFrame | None = None) -> t
     """Generator runs by the spec they read: repo, rel_path, build_file, tool, generator, kind, api_package, provisional, base_path, proof (the files that say so); and build files that could not be read (repo, rel_path, error)."""
     files = build_files(tree)
     starlark = F.col("rel_path").rlike(r"(^|/)(BUILD|BUILD\.bazel|[^/]*\.bzl)$")
-    rows = files.where(~starlark & F.col("text").rlike("openapi-generator|swagger-codegen|generatorName|oapi-codegen|add_api|generate|spec"))
+    pom = F.col("rel_path").endswith("pom.xml")
+    rows = files.where(~starlark & ~pom & F.col("text").rlike("openapi-generator|swagger-codegen|generatorName|oapi-codegen|add_api|generate|spec"))
     columns = ["tool", "generator", "kind", "spec", "api_package", "provisional", "base_path", "output", "config"]
 
     def parse(parts):
@@ -129,12 +130,12 @@ def evidence_and_rejects(tree: DataFrame, tracked: DataFrame | None = None) -> t
             for repo, path, text in zip(p["repo"], p["rel_path"], p["text"]):
                 try:
                     out += [(repo, path, *(e[c] for c in columns), None) for e in cf.evidence(text, path)]
-                except (SyntaxError, ValueError, YAMLError) as e:  # malformed XML, YAML or text: an unreadable file proves nothing, and is named
+                except (SyntaxError, ValueError, YAMLError) as e:  # malformed YAML or text: an unreadable file proves nothing, and is named
                     out.append((repo, path, "unread", *[None] * 8, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["repo", "build_file", *columns, "error"])
 
     found = settled(rows.mapInPandas(parse, "repo string, build_file string, tool string, generator string, kind string, spec string, api_package string, provisional boolean, base_path string, output string, config string, error string"))
-    plain = found.where("tool in ('maven', 'gradle', 'connexion')")
+    plain = found.where("tool in ('gradle', 'connexion')")
     conf = found.where("tool = 'oapi-config'").groupBy("repo", "config").agg(F.max(F.struct(F.when(F.col("kind") == "server", 2).when(F.col("kind") == "client", 1).otherwise(0).alias("r"), F.col("kind").alias("k"))).alias("c")).select("repo", "config", F.col("c.k").alias("_kind"))
     go = found.where("tool = 'go-generate'").join(conf, ["repo", "config"], "left").withColumn("kind", F.when((F.col("kind") == "server") | (F.col("_kind") == "server"), "server").otherwise(F.when(F.col("kind") == "unknown", F.coalesce("_kind", "kind")).otherwise(F.col("kind")))).drop("_kind")
     there = tree.select("repo", F.col("rel_path").alias("output")).distinct()
@@ -147,8 +148,10 @@ def evidence_and_rejects(tree: DataFrame, tracked: DataFrame | None = None) -> t
     out = plain.unionByName(live).where("spec is not null").withColumn("proof", proofs).withColumnRenamed("spec", "rel_path").select(kept)
     macros, unread = bazel_macros.evidence(files.where(starlark), tree)
     bazel = macros.withColumn("tool", F.lit("bazel")).withColumn("provisional", F.lit(False)).withColumn("base_path", F.lit(None).cast("string")).select(kept)
-    rejects = found.where("tool = 'unread'").select("repo", F.col("build_file").alias("rel_path"), "error").unionByName(unread)
-    return by_real_path(out.unionByName(bazel), tree, kept), rejects
+    poms, open_ = maven_parents.evidence(files.where(pom), tree)
+    maven = poms.withColumn("tool", F.lit("maven")).withColumn("base_path", F.lit(None).cast("string")).select(kept)
+    rejects = found.where("tool = 'unread'").select("repo", F.col("build_file").alias("rel_path"), "error").unionByName(unread).unionByName(open_)
+    return by_real_path(out.unionByName(bazel).unionByName(maven), tree, kept), rejects
 
 
 def by_real_path(evidence: DataFrame, tree: DataFrame, columns: list[str]) -> DataFrame:
