@@ -120,7 +120,7 @@ def legacy_fields(spark, sf_dir):
     m = F.create_map(F.lit("api_description"), "o_orderstatus", F.lit("auth_tag"), "o_orderstatus")
     m = F.map_concat(m, F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("description"), "o_orderpriority")).otherwise(F.expr("map()").cast("map<string,string>")))
     m = F.map_concat(m, F.when(F.col("o_orderkey") % 3 == 0, F.create_map(F.lit("summary"), "o_orderstatus")).otherwise(F.expr("map()").cast("map<string,string>")))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", specs.rename_fields(m, state_tables.LEGACY_FIELDS).alias("m"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", specs.rename_fields(m, specs.LEGACY_FIELDS).alias("m"))
     return o.select("o_orderkey", F.col("m")["description"].alias("description"), F.col("m")["x-auth-tag"].alias("auth_tag"), F.size("m").alias("fields"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import VERBS, shape
 
+# Operation fields that older runs and models wrote under other names.
+LEGACY_FIELDS = {"api_description": "description", "authorization_tag": "x-authorization-tag", "module_tag": "x-module-tag", "auth_tag": "x-auth-tag", "sensitive_information": "x-sensitive-information"}
 _REFERENCE = r'"\$ref"\s*:\s*"([^"]*)"'
 
 

@@ -12,6 +12,8 @@ from ..functions import scalars as s
 from ..operators import budget, context, joins, merge, specs, state
 
 RETRIES, WAITS = 2, (1, 4)
+# The tag that a model fills with blanks, under its present and its former name.
+AUTH_TAGS = ("x-auth-tag", "auth_tag")
 
 
 def keyed(endpoints: DataFrame) -> DataFrame:
@@ -88,13 +90,40 @@ def generate(requests: DataFrame, call: Callable[[str], str], wait: Callable[[fl
     return answered(requests, call, wait=wait)
 
 
+def cleaned(operation):
+    """An operation's JSON text with its fields under their present names and without a blank auth tag; others come back as they are.
+
+    Where both names of a field stand, the present one wins; null for what is no JSON object.
+    """
+    names = F.json_object_keys(operation)
+    fields = F.from_json(operation, "map<string,variant>")
+    blank = lambda k, v: k.isin(*AUTH_TAGS) & specs.without_blanks(F.array(v.cast("string"))).isNull()
+    told = F.arrays_overlap(names, F.array(*(F.lit(x) for x in dict.fromkeys((*specs.LEGACY_FIELDS, *AUTH_TAGS)))))
+    new = F.to_json(specs.rename_fields(F.map_filter(fields, lambda k, v: ~F.coalesce(blank(k, v), F.lit(False))), specs.LEGACY_FIELDS))
+    return F.when(told, new).when(names.isNotNull(), operation)
+
+
 def replies(answered: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(operations: key, route, method, operation; keys that failed): replies joined to what was asked, extras ignored."""
-    kind = "map<string,map<string,string>>"
-    paths = answered.where("reply is not null").select("rel_path", "batch", F.explode(F.from_json(F.get_json_object("reply", "$.paths"), kind)).alias("path", "item"))
-    ops = paths.select("rel_path", "batch", "path", F.explode("item").alias("verb", "operation"))
-    ops = ops.select("rel_path", "batch", s.normalize_colon(F.col("path")).alias("route"), F.upper("verb").alias("method"), "operation").groupBy("rel_path", "batch", "route", "method").agg(F.min("operation").alias("operation"))
-    got = jobs.select("key", "rel_path", "batch", "route", F.upper("method").alias("method")).join(ops, ["rel_path", "batch", "route", "method"], "left")
+    """(operations: key, route, method, operation; keys that failed): replies joined to what was asked, extras ignored.
+
+    A request takes the operation under its own method and route; else one of the same
+    shape, parameter names aside, that is nobody's own, the first as the reply has them.
+    A prompt with one request takes the reply's first operation, whatever path the
+    model wrote it under.
+    """
+    batch = ["rel_path", "batch"]
+    paths = answered.where("reply is not null").select(*batch, F.posexplode(F.from_json(F.get_json_object("reply", "$.paths"), "map<string,string>")).alias("p", "path", "item"))
+    ops = paths.select(*batch, "p", "path", F.posexplode(F.from_json("item", "map<string,string>")).alias("v", "verb", "operation")).withColumn("operation", cleaned(F.col("operation")))
+    ops = ops.withColumn("at", F.struct("p", "v")).withColumn("route", s.normalize_colon(F.col("path"))).withColumn("method", F.upper("verb"))
+    first = specs.first_operation(ops, batch, "at", "verb", "operation").select(*batch, F.col("operation").alias("only"))
+    ops = ops.where("operation is not null").groupBy(*batch, "route", "method").agg(F.min(F.struct("at", "operation")).alias("said"))
+    asked = jobs.select("key", *batch, "route", F.upper("method").alias("method")).distinct()
+    got = asked.join(ops, [*batch, "route", "method"], "left")
+    free = ops.join(asked.select(*batch, "route", "method").distinct(), [*batch, "route", "method"], "left_anti")
+    shaped = specs.answered(got.where("said is null").drop("said"), free, batch, "route", "method", "said")
+    got = got.where("said is not null").unionByName(shaped)
+    one = asked.groupBy(*batch).agg(F.count_distinct("key").alias("n")).where("n = 1").join(first, batch).select(*batch, "only")
+    got = got.join(one, batch, "left").withColumn("operation", F.coalesce("said.operation", "only"))
     done = got.where("operation is not null").groupBy("key").agg(F.min("route").alias("route"), F.min("method").alias("method"), F.max("operation").alias("operation"))
     return done, joins.supersede(got.select("key").distinct(), done, ["key"])[1]
 

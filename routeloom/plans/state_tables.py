@@ -18,8 +18,7 @@ from ..operators.closure import settled
 INDEX = "key string, rel_path string, imports array<struct<rel_path:string,name:string,start_line:int,end_line:int>>, context_hash string"
 OPERATIONS = "key string, route string, method string, operation string"
 CACHE = "rel_path string, hash string, facts string"
-# Operation fields that older runs wrote under other names.
-LEGACY_FIELDS = {"api_description": "description", "authorization_tag": "x-authorization-tag", "module_tag": "x-module-tag", "auth_tag": "x-auth-tag", "sensitive_information": "x-sensitive-information"}
+# Information fields that older runs wrote under other names.
 LEGACY_INFO = {"generated_at": "x-generated-at", "commit_reference": "x-commit-reference", "github_repo_url": "x-github-repo-url"}
 
 
@@ -64,13 +63,31 @@ def _split(kind: str) -> list[str]:
     return [x.strip() for x in out]
 
 
-def migrate(operations: DataFrame, normalise) -> DataFrame:
-    """Stored operations under canonical keys: a spelling that is canonical already wins, then the first."""
-    rows = operations.withColumn("_pos", F.xxhash64("key", "operation")).withColumn("_m", F.upper(s.split_key(F.col("key"))["method"]))
-    kept = dedupe.canonical_union(rows, "route", normalise(F.col("route")), "_m", "_pos", "operation")
+def _canonical(rows: DataFrame, normalise, current: DataFrame | None) -> DataFrame:
+    """rows (key) with method, route and the canonical route; keys that this run has are canonical as they stand."""
+    rows = rows.withColumn("_m", F.upper(s.split_key(F.col("key"))["method"])).withColumn("_r", s.split_key(F.col("key"))["route"]).withColumn("_c", normalise(F.col("_r")))
+    if current is None:
+        return rows
+    now = current.select("key").distinct().withColumn("_now", F.lit(True))
+    return rows.join(now, "key", "left").withColumn("_c", F.when(F.col("_now"), F.col("_r")).otherwise(F.col("_c"))).drop("_now")
+
+
+def migrate(operations: DataFrame, normalise, current: DataFrame | None = None) -> DataFrame:
+    """Stored operations under canonical keys and with their fields under present names: a spelling that is canonical already wins, then the first by key."""
+    from .incremental import cleaned
+
+    rows = _canonical(operations, normalise, current).withColumn("operation", F.coalesce(cleaned(F.col("operation")), "operation"))
+    kept = dedupe.canonical_union(rows, "_r", F.col("_c"), "_m", "key", "operation")
     return kept.select(s.endpoint_key(F.col("_m"), F.col("canonical")).alias("key"), F.col("canonical").alias("route"), F.col("_m").alias("method"), "operation")
 
 
+def migrate_index(index: DataFrame, normalise, current: DataFrame | None = None) -> DataFrame:
+    """The index likewise, a row for each key and file."""
+    rows = _canonical(index, normalise, current).withColumn("_s", F.struct("_m", "rel_path")).withColumn("_p", F.struct("imports", "context_hash"))
+    kept = dedupe.canonical_union(rows, "_r", F.col("_c"), "_s", "key", "_p")
+    return kept.select(s.endpoint_key(F.col("_s._m"), F.col("canonical")).alias("key"), "_s.rel_path", "_p.imports", "_p.context_hash")
+
+
 def build_index(endpoints: DataFrame, imports: DataFrame) -> DataFrame:
     """endpoints (key, pos, rel_path, context_hash), imports (key, rel_path, import_path, name, start_line, end_line) -> INDEX, a row per key and file.
 
@@ -107,6 +124,9 @@ def run(spark: SparkSession, root: str, endpoints: DataFrame, imports: DataFrame
     from .incremental import merge_run, plan
 
     stored, index = read(spark, root, "operations", OPERATIONS), read(spark, root, "index", INDEX)
+    if stored is not None and index is not None:
+        # What older runs wrote with other spellings of a route is the same endpoint, not one gone and one new.
+        stored, index = settled(migrate(stored, s.normalize_colon, endpoints)), settled(migrate_index(index, s.normalize_colon, endpoints))
     step = {"mode": "full"} if stored is None or index is None else plan(endpoints, index.select("key", "rel_path", "context_hash"), dependencies(index), changed)
     every = endpoints.select("key").distinct()
     if step["mode"] == "fast":

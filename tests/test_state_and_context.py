@@ -107,3 +107,30 @@ def test_sections_are_cut(spark):
     jobs = spark.createDataFrame([("a.py", k, "x" * n, f"k{k}") for k, n in enumerate((10, 40_000, 12))], "rel_path string, pos int, section string, key string")
     got = {r.pos: r.section for r in incremental.batches(jobs, incremental.approximate_tokens).collect()}
     assert got[0] == "x" * 10 and got[1] == "x" * 8000 + context.MARKER and got[2] == "x" * 12
+
+
+def test_migrate_keeps_what_this_run_has(spark):
+    """Keys of this run stay as they are spelt, others become canonical; the index follows; legacy fields go to their present names."""
+    kind = "key string, route string, method string, operation string"
+    old = spark.createDataFrame([("GET /a/:id", "/a/:id", "GET", '{"api_description": "x", "auth_tag": " "}'), ("POST /v/b:cancel", "/v/b:cancel", "POST", '{"z": 1}'), ("GET /c/:x", "/c/:x", "GET", "{}"), ("GET /c/{x}", "/c/{x}", "GET", '{"own": 1}')], kind)
+    now = spark.createDataFrame([("GET /a/{id}",), ("POST /v/b:cancel",)], "key string")
+    got = {r.key: (r.route, r.operation) for r in state_tables.migrate(old, s.normalize_colon, now).collect()}
+    assert got == {"GET /a/{id}": ("/a/{id}", '{"description":"x"}'), "POST /v/b:cancel": ("/v/b:cancel", '{"z": 1}'), "GET /c/{x}": ("/c/{x}", '{"own": 1}')}
+    index = spark.createDataFrame([("GET /a/:id", "x.go", [], "h"), ("POST /v/b:cancel", "y.py", None, None), ("GET /c/:x", "z.go", [], "old"), ("GET /c/{x}", "z.go", [], "own")], state_tables.INDEX)
+    moved = {(r.key, r.rel_path, r.context_hash) for r in state_tables.migrate_index(index, s.normalize_colon, now).collect()}
+    assert moved == {("GET /a/{id}", "x.go", "h"), ("POST /v/b:cancel", "y.py", None), ("GET /c/{x}", "z.go", "own")}
+
+
+def test_run_after_an_older_spelling(spark, tmp_path):
+    """A state whose keys are spelt otherwise needs no new operation."""
+    root = str(tmp_path / "state")
+    state_tables.write(spark.createDataFrame([("GET /a/:id", "/a/:id", "GET", "{}")], state_tables.OPERATIONS), root, "operations", state_tables.OPERATIONS)
+    state_tables.write(spark.createDataFrame([("GET /a/:id", "x.go", [], "h")], state_tables.INDEX), root, "index", state_tables.INDEX)
+    endpoints = spark.createDataFrame([("GET /a/{id}", 1, "x.go", "h")], "key string, pos long, rel_path string, context_hash string")
+    none = spark.createDataFrame([], "rel_path string")
+
+    def never(keys):
+        raise AssertionError("asked")
+
+    got = state_tables.run(spark, root, endpoints, spark.createDataFrame([], "key string, rel_path string, import_path string, name string, start_line int, end_line int"), none, never)
+    assert got["mode"] == "fast" and [r.key for r in got["operations"].collect()] == ["GET /a/{id}"]
