@@ -98,3 +98,13 @@ def test_ruby_classes():
     text = "class A::UsersController < ApplicationController\n  include Auth, Log\n  def index\n    x do\n    end\n  end\n  def self.make; end\n  private\n  def secret\n  end\nend\n"
     got = list(rails_facts.extract(text, "app/controllers/users_controller.rb"))
     assert [(f["name"], f["kind"]) for f in got if f["what"] == "ruby_method"] == [("index", "instance"), ("make", "singleton"), ("secret", "private")]
+
+
+def test_gradle_assignments():
+    """The first string given to a name, by a sign or a setter; comparisons and loose strings are none."""
+    from routeloom.functions import contract_facts as cf
+
+    block = "generatorName = \"spring\"\ninputSpec.set('$rootDir/a.json')\nx == \"no\"\ny != 'n'\nz += \"q\"\n  apiPackage=\n \"p.q\"; generatorName = \"late\"; w.set( \"it's\" ) \"loose\""
+    assert cf.told(block) == {"generatorName": "spring", "inputSpec": "$rootDir/a.json", "apiPackage": "p.q", "w": "it's"}
+    assert [(e["generator"], e["spec"]) for e in cf.gradle("a {\n // generatorName = \"go\"\n generatorName = 'spring'\n inputSpec = \"$rootDir/s.json\"\n}\nb { inputSpec = \"x\" }\n", "m")] == [("spring", "s.json")]
+    assert cf.told("") == {} and cf.told("'x'") == {} and cf.told("= 'x'") == {}
