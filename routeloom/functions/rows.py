@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: what: endpoint, definition, registration, import, include, view, router, mount, reject ...; the other columns by kind.
 FACT = "repo string, rel_path string, pos int, what string, name string, method string, route string, owner string, target string, kind string, start_line int, end_line int, detail string"
 COLUMNS = [c.split()[0] for c in FACT.split(", ")]
+NUMBERS = ("pos", "start_line", "end_line")
 ENDPOINT = ["repo", "rel_path", "pos", "kind", "name", "method", "route", "start_line", "end_line"]
+#: Rows that go back to Spark at once.
+BLOCK = 4096
 
 
 def fact(what: str, **more) -> dict:
     return dict.fromkeys(COLUMNS) | {"what": what} | more
 
 
+def packed(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c in NUMBERS else pa.string()) for c in COLUMNS], COLUMNS)
+
+
 def extracted(files: DataFrame, extract, also: str | None = None) -> DataFrame:
-    """facts of each file: ``extract(text, rel_path)`` yields ``fact`` rows, given column ``also`` too if named; an error becomes a reject row."""
+    """facts of each file: ``extract(text, rel_path)`` yields ``fact`` rows, given column ``also`` too if named; an error becomes a reject row.
+
+    A task holds the packed facts of one file, and those of small files up to a block.
+    """
 
     def run(parts):
         for p in parts:
-            out = []
-            for repo, path, text, *more in zip(p["repo"], p["rel_path"], p["text"], *([p[also]] if also else [])):
+            rows = []
+            for n in range(p.num_rows):
+                repo, path, text, *more = (c[n].as_py() for c in p.columns)
+                full, own = [], []
                 try:
-                    rows = list(extract(text or "", path, *more))
+                    for k, r in enumerate(extract(text or "", path, *more)):
+                        own.append(r | {"repo": repo, "rel_path": path, "pos": k})
+                        if len(own) == BLOCK:
+                            full.append(packed(own))
+                            own = []
                 except Exception as e:  # one broken file is a row, not a failed task
-                    rows = [fact("reject", detail=f"{type(e).__name__}: {e}"[:200])]
-                out += [r | {"repo": repo, "rel_path": path, "pos": k} for k, r in enumerate(rows)]
-            if out:
-                d = pd.DataFrame(out, columns=COLUMNS)
-                for c in ("pos", "start_line", "end_line"):
-                    d[c] = d[c].astype("Int32")
-                yield d
-
-    return files.select("repo", "rel_path", "text", *([also] if also else [])).mapInPandas(run, FACT)
+                    full, own = [], [fact("reject", detail=f"{type(e).__name__}: {e}"[:200]) | {"repo": repo, "rel_path": path, "pos": 0}]
+                yield from full
+                rows += own
+                if len(rows) >= BLOCK:
+                    yield packed(rows)
+                    rows = []
+            if rows:
+                yield packed(rows)
+
+    return files.select("repo", "rel_path", "text", *([also] if also else [])).mapInArrow(run, FACT)
