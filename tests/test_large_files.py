@@ -2,7 +2,7 @@
 
 import time
 
-from routeloom.functions import js_facts
+from routeloom.functions import go_facts, js_facts, spring_facts
 
 
 def _took(f):
@@ -16,3 +16,17 @@ def test_nest_controller_of_many_methods():
     rows, seconds = _took(lambda: [r for r in js_facts.extract("@Controller('n')\nexport class N {\n" + methods + "}\n", "n.ts") if r["what"] == "endpoint"])
     assert [(r["name"], r["route"], r["start_line"]) for r in rows] == [(f"N.f{k}", f"/n/c/:id/{k}", 3 + 2 * k) for k in range(1500)]
     assert seconds < 5
+
+
+def test_go_file_of_many_calls():
+    body = "".join(f"func h{k}(c *gin.Context) {{\n\tok(c)\n}}\n" for k in range(12000)) + 'func routes(r *gin.Engine) {\n\tv := r.Group("/n")\n' + "".join(f'\tv.GET("/{k}", h{k})\n' for k in range(12000)) + "}\n"
+    rows, seconds = _took(lambda: [r for r in go_facts.extract("package main\n\n" + body, "a.go") if r["what"] == "endpoint"])
+    assert [(r["route"], r["start_line"], r["detail"]) for r in rows] == [(f"/n/{k}", 36005 + k, '{"func": 36003, "param": 0}') for k in range(12000)]
+    assert seconds < 10
+
+
+def test_java_file_of_many_methods():
+    body = "".join(f'  @GetMapping("/{k}")\n  String f{k}(String id) {{ return g(id); }}\n' for k in range(20000))
+    rows, seconds = _took(lambda: [r for r in spring_facts.extract("@RestController\nclass A {\n" + body + "}\n", "A.java") if r["what"] == "endpoint"])
+    assert [(r["route"], r["start_line"]) for r in rows] == [(f"/{k}", 3 + 2 * k) for k in range(20000)]
+    assert seconds < 12
