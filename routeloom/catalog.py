@@ -275,7 +275,7 @@ _SPANS = "e AS (SELECT event_id, event_type, extract('day' FROM ts) AS day, CAST
 SELECT e.event_id, h.a AS span_start, h.b AS span_end FROM e LEFT JOIN h ON e.event_id = h.event_id AND h.k = 1""")
 def stab_innermost(spark, sf_dir):
     e, spans = _spans(spark, sf_dir)
-    return joins.innermost(e, spans, ["day"], "sec", "event_id", "a", "b", 900).select("event_id", F.col("a").alias("span_start"), F.col("b").alias("span_end"))
+    return joins.innermost(e, spans, ["day"], "sec", "a", "b", 900).select("event_id", F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
 @query(f"""WITH {_SPANS}, c AS (SELECT day, event_id, sec AS a, sec + 30 AS b FROM e WHERE event_type = 'click')

@@ -88,10 +88,10 @@ def calls(b: DataFrame, found: DataFrame) -> DataFrame:
     here = b.where("kind = 'word' and k1 = 'paren' and l1 = line").withColumn("name", last).where(~F.col("name").isin(*NO_CALLS) & (F.col("name") != "") & ~F.startswith(F.col("text"), F.lit("@")))
     # A declaration is no call: it is named, or it has a body in a class.
     own = found.where("kind in ('function', 'method')").select(*_FILE, "name", F.col("start_line").alias("line")).distinct()
-    rows = here.join(own, [*_FILE, "name", "line"], "left_anti").withColumn("id", F.concat_ws("\x00", *_FILE, F.col("begin").cast("string")))
-    points = rows.select(*_FILE, "language", "name", F.col("text").alias("target"), F.col("line").alias("start_line"), F.col("begin").alias("at"), "id")
+    rows = here.join(own, [*_FILE, "name", "line"], "left_anti")
+    points = rows.select(*_FILE, "language", "name", F.col("text").alias("target"), F.col("line").alias("start_line"), F.col("begin").alias("at"))
     bodies = found.where("kind not in ('variable') and end_line > start_line").select(*_FILE, "begin", "end")
-    around = joins.innermost(points, bodies, _FILE, "at", "id", "begin", "end", 4096)
+    around = joins.innermost(points, bodies, _FILE, "at", "begin", "end", 4096)
     named = found.where("kind not in ('variable') and end_line > start_line").groupBy(*_FILE, "begin", "end").agg(F.min("name").alias("caller"))
     return around.join(named, [*_FILE, "begin", "end"], "left").select(*_FILE, "language", "name", "target", "start_line", F.col("at").alias("begin"), "caller")
 
