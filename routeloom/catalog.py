@@ -389,7 +389,7 @@ def unique_lookup(spark, sf_dir):
 def implementers_theta(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("a"), F.col("c_custkey").alias("b"), F.concat_ws("/", "c_nationkey", F.col("c_custkey") % 50).alias("d"))
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").alias("x"), (F.col("s_suppkey") * 2).alias("y"), F.concat_ws("/", "s_nationkey", F.col("s_suppkey") % 50).alias("z"))
-    return joins.any_of(c, sup, [[("a", "x")], [("b", "y")], [("d", "z")]], ["c_custkey", "s_suppkey"]).select("c_custkey", "s_suppkey")
+    return joins.any_of(c, sup, [[("a", "x")], [("b", "y")], [("d", "z")]]).select("c_custkey", "s_suppkey")
 
 
 @query("""WITH e AS (SELECT event_id, user_id * 100 + extract('day' FROM ts) AS p, event_type AS v FROM events)
