@@ -7,11 +7,12 @@ around a call an interval join. Python's own parser gives its rows directly.
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code_nodes, js_facts, python_facts, scalars
+from ..functions.rows import BLOCK
 from ..functions.rows import COLUMNS as FACTS
 from ..functions.rows import extracted
 from ..operators import joins
@@ -31,16 +32,27 @@ _FILE = ["repo", "rel_path"]
 
 def nodes(files: DataFrame) -> DataFrame:
     """files (repo, rel_path, language, text) -> a row a syntax node; Python is left to its own parser."""
-    names = [c.split()[0] for c in code_nodes.NODE.split(", ")]
+    columns = [c.split() for c in code_nodes.NODE.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32()}
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[kind]) for v, (_, kind) in zip(zip(*rows), columns)], [name for name, _ in columns])
 
     def run(parts):
+        # A task holds the nodes of one file and of less than a block, however many files a batch has.
+        rows = []
         for p in parts:
-            out = []
-            for repo, path, language, text in zip(p["repo"], p["rel_path"], p["language"], p["text"]):
-                out += [(repo, path, language, *n) for n in code_nodes.nodes(text or "", language)]
-            yield pd.DataFrame(out, columns=names)
-
-    return files.where(F.col("language").isin(*code_nodes.SCAN)).select(*_FILE, "language", "text").mapInPandas(run, code_nodes.NODE)
+            for k in range(p.num_rows):
+                repo, path, language, text = (c[k].as_py() for c in p.columns)
+                for n in code_nodes.nodes(text or "", language):
+                    rows.append((repo, path, language, *n))
+                    if len(rows) == BLOCK:
+                        yield packed(rows)
+                        rows = []
+        if rows:
+            yield packed(rows)
+
+    return files.where(F.col("language").isin(*code_nodes.SCAN)).select(*_FILE, "language", "text").mapInArrow(run, code_nodes.NODE)
 
 
 def beside(n: DataFrame, most: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 import time
 
 from routeloom.functions import go_facts, js_facts, spring_facts
+from routeloom.plans import syntax
 
 
 def _took(f):
@@ -30,3 +31,11 @@ def test_java_file_of_many_methods():
     rows, seconds = _took(lambda: [r for r in spring_facts.extract("@RestController\nclass A {\n" + body + "}\n", "A.java") if r["what"] == "endpoint"])
     assert [(r["route"], r["start_line"]) for r in rows] == [(f"/{k}", 3 + 2 * k) for k in range(20000)]
     assert seconds < 12
+
+
+def test_nodes_leave_a_task_in_blocks(spark):
+    files = spark.createDataFrame([("r", f"f{k}.js", "nodejs", "a(b);\n" * 3000) for k in range(3)], "repo string, rel_path string, language string, text string").coalesce(1)
+    n = syntax.nodes(files)
+    sizes = n.mapInArrow(lambda parts: parts, n.schema).mapInPandas(lambda parts: (p[["rel_path"]].groupby("rel_path").size().rename("n").reset_index() for p in parts), "rel_path string, n long").groupBy("rel_path").agg({"n": "sum"}).collect()
+    assert sorted((r[0], r[1]) for r in sizes) == [(f"f{k}.js", 12001) for k in range(3)]
+    assert "MapInPandas" not in n._jdf.queryExecution().executedPlan().toString()
