@@ -27,3 +27,28 @@ def test_pairs_of_any_of_several_equalities_are_not_gathered(spark):
     got = joins.any_of(left, right, [[("a", "x")], [("d", "z")]]).select("c", "s")
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 1), (3, 2), (3, 2)]
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closure_rounds_hold_roots_by_the_word(spark):
+    # 1024 roots on a circle of 5 nodes: 5120 pairs, of which 64 roots share a row.
+    import glob
+
+    from routeloom.operators.closure import shared_folder, transitive
+
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(glob.glob(f"{folder}/round-*"))
+    roots = spark.range(1024).select(F.col("id").alias("root"), F.lit(0).cast("long").alias("node"))
+    edges = spark.range(5).select(F.col("id").alias("src"), F.expr("(id + 1) % 5").alias("dst"))
+    got = transitive(roots, edges)
+    assert got.count() == 5120 and got.where("depth <> node").isEmpty()
+    written = sum(spark.read.parquet(f"file://{p}").count() for p in set(glob.glob(f"{folder}/round-*")) - before)
+    assert written < 2_000
+
+
+def test_closure_of_null_roots_nodes_and_ends(spark):
+    from routeloom.operators.closure import transitive
+
+    roots = spark.createDataFrame([(None, "a"), (None, "a"), ("x", None), ("y", "c"), ("z", "lone")], "root string, node string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", None), ("c", None), (None, "never")], "src string, dst string")
+    got = sorted(map(str, map(tuple, transitive(roots, edges).collect())))
+    assert got == sorted(map(str, [(None, "a", 0), (None, "b", 1), (None, None, 2), ("x", None, 0), ("y", "c", 0), ("y", None, 1), ("z", "lone", 0)]))
