@@ -47,8 +47,8 @@ def _all(rows: DataFrame, language: str, path: str, head: str, line: str, foot:
 
 
 def _routes(files: DataFrame) -> DataFrame:
-    # Written first: a lane reads its files several times.
-    return keyed(code_lane.code_endpoints(settled(files))[0]).select("key", "rel_path")
+    # Written first: a lane reads its files several times; few large files are dealt to all cores.
+    return keyed(code_lane.code_endpoints(settled(files.repartition(files.sparkSession.sparkContext.defaultParallelism)))[0]).select("key", "rel_path")
 
 
 @query(f"SELECT {_SQL_VERB} || ' /n' || c_nationkey || '/c/{{id}}/' || c_custkey AS key, 'n' || c_nationkey || '.py' AS rel_path FROM customer")

@@ -1,8 +1,11 @@
 """Files with very many declarations: read in proportion to their length, in bounded memory, and with the same facts."""
 
 import time
+import tracemalloc
 
-from routeloom.functions import go_facts, js_facts, spring_facts
+import pytest
+
+from routeloom.functions import go_facts, js_facts, python_facts, spring_facts
 from routeloom.plans import syntax
 
 
@@ -39,3 +42,34 @@ def test_nodes_leave_a_task_in_blocks(spark):
     sizes = n.mapInArrow(lambda parts: parts, n.schema).mapInPandas(lambda parts: (p[["rel_path"]].groupby("rel_path").size().rename("n").reset_index() for p in parts), "rel_path string, n long").groupBy("rel_path").agg({"n": "sum"}).collect()
     assert sorted((r[0], r[1]) for r in sizes) == [(f"f{k}.js", 12001) for k in range(3)]
     assert "MapInPandas" not in n._jdf.queryExecution().executedPlan().toString()
+
+
+def _peak(text):
+    """MB that reading a Python file takes at most, its facts not kept; and how many facts there are."""
+    tracemalloc.start()
+    n = sum(1 for _ in python_facts.extract(text, "a.py"))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return peak, n
+
+
+def test_python_file_of_many_functions_is_parsed_in_pieces():
+    text = "from flask import Blueprint\nbp = Blueprint('b', __name__)\n" + "".join(f"\n@bp.route('/{k}', methods=['GET'])\ndef f{k}(id):\n    return 1\n" for k in range(8000))
+    peak, n = _peak(text)
+    assert n == 5 + 4 * 8000 and peak < 15
+
+
+def test_python_list_of_many_patterns_is_parsed_in_runs():
+    text = "from django.urls import path\nfrom n import views\nurlpatterns = [\n" + "".join(f"    path('c/{k}/', views.show{k}),\n" for k in range(8000)) + "] + [path('z', views.z)]\n"
+    peak, n = _peak(text)
+    assert n == 3 + 4 * 8001 and peak < 15
+
+
+def test_python_pieces_have_the_facts_of_the_whole(monkeypatch):
+    text = "import a\nif a:\n  pass\nelse:\n  import b as c\ns = '''\ndef f(): pass\n'''\n@a.get('/x',\n)\ndef f(): return c\nurlpatterns = [\n  path('1', a.v), # ,\n  include_router(c.r,\n prefix='/p'),\n  path('2', a.w),\n] + [path('3', a.u)]\nx = [\n c.d(1),\n c.e(2),\n][0]\n"
+    whole = [r | {"pos": None} for r in python_facts.extract(text, "a.py")]
+    monkeypatch.setattr(python_facts, "PIECE", 1)
+    pieces = [r | {"pos": None} for r in python_facts.extract(text, "a.py")]
+    assert sorted(map(repr, pieces)) == sorted(map(repr, whole)) and len([r for r in whole if r["what"] == "pattern"]) == 3
+    with pytest.raises(SyntaxError, match="line 23"):
+        list(python_facts.extract(text + "ok = 1\ndef (:\n", "a.py"))
