@@ -52,3 +52,12 @@ def test_closure_of_null_roots_nodes_and_ends(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", None), ("c", None), (None, "never")], "src string, dst string")
     got = sorted(map(str, map(tuple, transitive(roots, edges).collect())))
     assert got == sorted(map(str, [(None, "a", 0), (None, "b", 1), (None, None, 2), ("x", None, 0), ("y", "c", 0), ("y", None, 1), ("z", "lone", 0)]))
+
+
+def test_intersections_of_more_rows_take_more_tasks(spark):
+    from routeloom.operators.votes import poisoned_intersection
+
+    rows = spark.range(600).select((F.col("id") % 20).alias("k"), (F.col("id") % 3).alias("m"), F.when(F.col("id") != 7, (F.col("id") % 2).cast("string")).alias("v"))
+    got = poisoned_intersection(rows, "k", "m", "v", rows_per_task=50)
+    assert got.rdd.getNumPartitions() == 13
+    assert {tuple(r) for r in got.collect()} == {(k, None if k == 7 else str(k % 2)) for k in range(20)}
