@@ -33,9 +33,15 @@ def _said(pattern: str):
     return out
 
 
+def _body(rows: DataFrame, line: str, mark: str = "") -> DataFrame:
+    """k, body: a line for each customer of k, in order; a block of lines first, so no group of customers is sorted whole."""
+    blocks = rows.groupBy("k", F.floor(F.col("pos") / 4096).alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _said(line).alias("line")))), lambda x: x["line"]), mark).alias("t"))
+    return blocks.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "t"))), lambda x: x["t"]), mark).alias("body"))
+
+
 def _written(rows: DataFrame, language: str, path: str, head: str, line: str, foot: str = "", mark: str = "") -> DataFrame:
     """A file for each nation: head, a line for each customer in order, foot."""
-    body = rows.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _said(line).alias("line")))), lambda x: x["line"]), mark).alias("body"))
+    body = _body(rows, line, mark)
     text = F.concat(_said(head), F.col("body"), _said(foot))
     return body.select(F.lit("repo").alias("repo"), _said(path).alias("rel_path"), F.lit(language).alias("language"), text.alias("text"))
 
@@ -115,10 +121,9 @@ def spring_routes(spark, sf_dir):
 
 @query(f"SELECT {_SQL_VERB} || ' /n/' || c_nationkey || '/{{id}}/' || c_custkey AS key, 'app/controllers/' || CASE WHEN c_custkey % 2 = 0 THEN 'n' || c_nationkey || '_controller.rb' ELSE 'base_controller.rb' END AS rel_path FROM customer")
 def rails_routes(spark, sf_dir):
-    """Half of the actions are inherited."""
+    """Half of the actions are inherited; a route file for each nation."""
     c = _customers(spark, sf_dir)
-    body = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _said("  <verb> '/n/<k>/:id/<key>', to: 'n<k>#a<key>'\n").alias("l")))), lambda x: x["l"]), "").alias("b"))
-    routes = body.select(F.lit("repo").alias("repo"), F.lit("config/routes.rb").alias("rel_path"), F.lit("ruby_on_rails").alias("language"), F.concat(F.lit("Rails.application.routes.draw do\n"), "b", F.lit("end\n")).alias("text"))
+    routes = _written(c, "ruby_on_rails", "config/routes/n<k>.rb", "Rails.application.routes.draw do\n", "  <verb> '/n/<k>/:id/<key>', to: 'n<k>#a<key>'\n", "end\n")
     own = _written(c.where("pos % 2 = 0"), "ruby_on_rails", "app/controllers/n<k>_controller.rb", "class N<k>Controller < BaseController\n", "  def a<key>\n    1\n  end\n\n", "end\n")
     bare = c.select("k").distinct().join(c.where("pos % 2 = 0").select("k").distinct(), "k", "left_anti").select(F.lit("repo").alias("repo"), _said("app/controllers/n<k>_controller.rb").alias("rel_path"), F.lit("ruby_on_rails").alias("language"), _said("class N<k>Controller < BaseController\nend\n").alias("text"))
     odd = c.where("pos % 2 = 1").withColumn("k", F.lit("base"))
@@ -141,8 +146,8 @@ _PROOFS = {
 def _contracts(spark, sf_dir) -> DataFrame:
     """A repository for each nation: a specification with an operation for each customer, and what proves who serves it."""
     c = _customers(spark, sf_dir)
-    body = c.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", _said('"/c/{id}/<key>": {"<verb>": {"operationId": "op<key>", "responses": {"200": {"$ref": "#/components/responses/R"}}}}').alias("l")))), lambda x: x["l"]), ", ").alias("b"))
-    text = F.concat(F.lit('{"openapi": "3.0.1", "paths": {'), F.col("b"), F.lit('}, "components": {"responses": {"R": {"content": {"$ref": "#/components/schemas/S"}}}, "schemas": {"S": {"$ref": "#/components/schemas/S"}}}}'))
+    body = _body(c, '"/c/{id}/<key>": {"<verb>": {"operationId": "op<key>", "responses": {"200": {"$ref": "#/components/responses/R"}}}}', ", ")
+    text = F.concat(F.lit('{"openapi": "3.0.1", "paths": {'), F.col("body"), F.lit('}, "components": {"responses": {"R": {"content": {"$ref": "#/components/schemas/S"}}}, "schemas": {"S": {"$ref": "#/components/schemas/S"}}}}'))
     files = body.select("k", F.lit("src/api.json").alias("rel_path"), text.alias("text"))
     which = F.create_map(*(F.lit(x) for k, (path, _) in _PROOFS.items() for x in (k, path))), F.create_map(*(F.lit(x) for k, (_, t) in _PROOFS.items() for x in (k, t)))
     fifth = (F.col("k").cast("int") % 5).cast("string")

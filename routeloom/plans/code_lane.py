@@ -154,7 +154,9 @@ def rails(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     routes = routes.withColumn("class", wanted)
     reach = in_order(routes.where("class is not null").select(key("class").alias("root"), key("class").alias("node")).distinct(), edges)
     actions = facts.where("what = 'ruby_method' and kind = 'instance'").select(key("owner").alias("node"), F.col("name").alias("action"), F.col("rel_path").alias("file"), F.col("start_line").alias("_s"))
-    served = reach.join(actions, "node").groupBy("root", "action").agg(F.min_by(F.struct("file", "_s"), F.struct("place", "file", "_s")).alias("h"))
+    # Only what some route asks for: a base's actions do not meet all the classes below it.
+    asked = routes.where("class is not null").select(key("class").alias("root"), F.col("a.action").alias("action")).distinct()
+    served = asked.join(reach, "root").join(actions, ["node", "action"]).groupBy("root", "action").agg(F.min_by(F.struct("file", "_s"), F.struct("place", "file", "_s")).alias("h"))
     rows = routes.withColumn("root", key("class")).withColumn("action", F.col("a.action")).join(served, ["root", "action"], "left")
     good = rows.where("h is not null").select("repo", F.col("h.file").alias("rel_path"), "pos", "kind", F.col("target").alias("name"), "method", s.normalize_colon(F.col("route")).alias("route"), F.col("h._s").alias("start_line"), F.col("h._s").alias("end_line"))
     lost = rows.where("h is null").select(*facts.columns).withColumn("detail", F.lit("no action serves the route"))

@@ -5,7 +5,7 @@ import tracemalloc
 
 import pytest
 
-from routeloom.functions import go_facts, js_facts, python_facts, spring_facts
+from routeloom.functions import code_text, go_facts, js_facts, python_facts, rails_facts, spring_facts
 from routeloom.plans import syntax
 
 
@@ -44,10 +44,10 @@ def test_nodes_leave_a_task_in_blocks(spark):
     assert "MapInPandas" not in n._jdf.queryExecution().executedPlan().toString()
 
 
-def _peak(text):
-    """MB that reading a Python file takes at most, its facts not kept; and how many facts there are."""
+def _peak(text, extract=python_facts.extract, path="a.py"):
+    """MB that reading a file takes at most, its facts not kept; and how many facts there are."""
     tracemalloc.start()
-    n = sum(1 for _ in python_facts.extract(text, "a.py"))
+    n = sum(1 for _ in extract(text, path))
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     return peak, n
@@ -73,3 +73,17 @@ def test_python_pieces_have_the_facts_of_the_whole(monkeypatch):
     assert sorted(map(repr, pieces)) == sorted(map(repr, whole)) and len([r for r in whole if r["what"] == "pattern"]) == 3
     with pytest.raises(SyntaxError, match="line 23"):
         list(python_facts.extract(text + "ok = 1\ndef (:\n", "a.py"))
+
+
+def test_ruby_files_of_many_lines_are_read_a_line_at_a_time():
+    routes = "Rails.application.routes.draw do\n" + "".join(f"  get '/n/:id/{k}', to: 'n#a{k}'\n" for k in range(5000)) + "end\n"
+    base = "class Base\n" + "".join(f"  def a{k}\n    2\n  end\n\n" for k in range(5000)) + "end\n"
+    for text, path, facts in ((routes, "config/routes.rb", 5000), (base, "app/controllers/base.rb", 5001)):
+        peak, n = _peak(text, rails_facts.extract, path)
+        assert n == facts and peak < 1
+
+
+def test_masked_lines_are_the_lines_of_the_mask():
+    for text in ("", "\n", "a 'b\nc' # d\n\n'e", "''\n# f", "x = \"g\n", "'h\n\n  i'\n"):
+        for language in ("ruby", "js", "go", "python"):
+            assert [*code_text.masked_lines(text, language)] == [*zip(text.split("\n"), code_text.mask(text, language).split("\n"))]

@@ -61,3 +61,26 @@ def test_intersections_of_more_rows_take_more_tasks(spark):
     got = poisoned_intersection(rows, "k", "m", "v", rows_per_task=50)
     assert got.rdd.getNumPartitions() == 13
     assert {tuple(r) for r in got.collect()} == {(k, None if k == 7 else str(k % 2)) for k in range(20)}
+
+
+def _most_rows(plan):
+    """The most rows that an operator of a plan that has run put out."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return _most_rows(plan.executedPlan())
+    below = [plan.plan()] if plan.getClass().getSimpleName().endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    out = plan.metrics().get("numOutputRows")
+    return max([out.get().value() if out.isDefined() else 0, *map(_most_rows, below)])
+
+
+def test_actions_of_a_base_controller_do_not_meet_all_classes_below_it(spark):
+    from routeloom.plans.code_lane import rails
+
+    n = 300
+    texts = [("config/routes.rb", "Rails.application.routes.draw do\n" + "".join(f"  get '/{k}', to: 'n{k}#a{k}'\n" for k in range(n)) + "end\n")]
+    texts += [("app/controllers/base_controller.rb", "class BaseController\n" + "".join(f"  def a{k}\n  end\n" for k in range(n)) + "end\n")]
+    texts += [(f"app/controllers/n{k}_controller.rb", f"class N{k}Controller < BaseController\nend\n") for k in range(n)]
+    found, _ = rails(spark.createDataFrame([("r", path, "ruby_on_rails", text) for path, text in texts], "repo string, rel_path string, language string, text string"))
+    query = found._jdf.queryExecution()
+    assert query.executedPlan().executeCollectPublic() is not None
+    assert found.where("rel_path = 'app/controllers/base_controller.rb' and route = concat('/', regexp_extract(name, '[0-9]+$', 0))").count() == n
+    assert _most_rows(query.executedPlan()) < 10 * n
