@@ -22,6 +22,34 @@ def packed(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int32() if c in NUMBERS else pa.string()) for c in COLUMNS], COLUMNS)
 
 
+_TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+#: Characters and list entries that go back to Spark at once.
+HEAVY = 1 << 20
+
+
+def streamed(df: DataFrame, make, kind: str) -> DataFrame:
+    """The rows, of type ``kind``, that ``make`` yields for the values of each row of df; a task holds one row of df, and a block of what is made."""
+    schema = pa.schema([(name, _TYPES[t]) for name, t in (c.split() for c in kind.split(", "))])
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    def run(parts):
+        rows, weight = [], 0
+        for p in parts:
+            for n in range(p.num_rows):
+                for r in make(*(c[n].as_py() for c in p.columns)):
+                    rows.append(r)
+                    weight += sum(len(x) for x in r if isinstance(x, (str, list)))
+                    if len(rows) >= BLOCK or weight >= HEAVY:
+                        yield batch(rows)
+                        rows, weight = [], 0
+        if rows:
+            yield batch(rows)
+
+    return df.mapInArrow(run, kind)
+
+
 def extracted(files: DataFrame, extract, also: str | None = None) -> DataFrame:
     """facts of each file: ``extract(text, rel_path)`` yields ``fact`` rows, given column ``also`` too if named; an error becomes a reject row.
 

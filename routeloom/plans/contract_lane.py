@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import contract_facts as cf
 from ..functions import scalars as s
 from ..functions import spring_facts
-from ..functions.rows import extracted
+from ..functions.rows import extracted, streamed
 from ..operators import budget
 from ..operators.closure import settled, transitive
 from ..sources.repo_tree import BUILD_IGNORED, CONTRACT_IGNORED, sniffed
@@ -30,7 +30,7 @@ def outside(tree: DataFrame, ignored) -> DataFrame:
     return tree.where(~F.arrays_overlap(folders, F.array(*map(F.lit, ignored))) & ~F.col("is_symlink"))
 
 
-def discover(tree: DataFrame, own_outputs=(), max_files: int = cf.MAX_FILES, max_bytes: int = cf.MAX_BYTES) -> DataFrame:
+def discover(tree: DataFrame, own_outputs=(), max_files: int = cf.MAX_FILES, max_bytes: int = cf.MAX_BYTES, max_document: int = cf.MAX_DOCUMENT) -> DataFrame:
     """repo, rel_path, doc_index, bucket, version, operations, doc, error, contracts_in_file; a ``truncated`` row where a repo's budget ends."""
     rows = outside(tree, CONTRACT_IGNORED).where(F.col("rel_path").rlike(r"(?i)\.(ya?ml|json)$") & ~F.col("rel_path").isin(list(own_outputs)))
     rows = sniffed(rows, cf.SNIFF)
@@ -38,39 +38,34 @@ def discover(tree: DataFrame, own_outputs=(), max_files: int = cf.MAX_FILES, max
     known = rows.select("repo", "rel_path", "size")
     kept = settled(budget.within(known, ["repo"], "rel_path", "size", max_files, max_bytes).select("repo", "rel_path"))
 
-    def parse(parts):
-        for p in parts:
-            out = []
-            for repo, path, content, size in zip(p["repo"], p["rel_path"], p["content"], p["size"]):
-                found = [(0, "parse_errors", None, 0, None, "document too large")] if size > cf.MAX_DOCUMENT or content is None else cf.documents(bytes(content), path)
-                out += [(repo, path, *d) for d in found]
-            yield pd.DataFrame(out, columns=["repo", "rel_path", "doc_index", "bucket", "version", "operations", "doc", "error"])
+    def parse(repo, path, content, size):
+        found = [(0, "parse_errors", None, 0, None, "document too large")] if size > max_document or content is None else cf.documents(content, path)
+        return ((repo, path, *d) for d in found)
 
     kind = "repo string, rel_path string, doc_index int, bucket string, version string, operations int, doc string, error string"
-    docs = rows.join(kept, ["repo", "rel_path"], "left_semi").select("repo", "rel_path", "content", "size").mapInPandas(parse, kind)
+    docs = streamed(rows.join(kept, ["repo", "rel_path"], "left_semi").select("repo", "rel_path", "content", "size"), parse, kind)
     cut = known.join(kept, ["repo", "rel_path"], "left_anti").groupBy("repo").agg(F.min("rel_path").alias("rel_path")).select("repo", "rel_path", F.lit(0).alias("doc_index"), F.lit("truncated").alias("bucket"), F.lit(None).cast("string").alias("version"), F.lit(0).alias("operations"), F.lit(None).cast("string").alias("doc"), F.lit(None).cast("string").alias("error"))
     per_file = Window.partitionBy("repo", "rel_path")
     return docs.unionByName(cut).withColumn("contracts_in_file", F.sum((F.col("bucket") == "contracts").cast("int")).over(per_file))
 
 
-def with_fragments(tree: DataFrame, docs: DataFrame, most: int = cf.MAX_DEPTH) -> DataFrame:
+def with_fragments(tree: DataFrame, docs: DataFrame, most: int = cf.MAX_DEPTH, max_document: int = cf.MAX_DOCUMENT) -> DataFrame:
     """docs and, as fragments, the files of the repository that they refer to, directly or through one another; raises beyond ``most`` steps."""
 
-    def goals(parts):
-        for p in parts:
-            out = {(repo, t.partition("#")[0]) for repo, path, doc in zip(p["repo"], p["rel_path"], p["doc"]) for r in cf.references(json.loads(doc)) if (t := cf.target(path, r))}
-            yield pd.DataFrame(sorted(out), columns=["repo", "rel_path"])
+    def goals(repo, path, doc):
+        return sorted({(repo, t.partition("#")[0]) for r in cf.every_reference(doc) if (t := cf.target(path, r))})
 
-    def parse(parts):
-        for p in parts:
-            out = [(repo, path, k, "fragments", None, 0, doc, error, 0) for repo, path, content in zip(p["repo"], p["rel_path"], p["content"]) for k, _, _, _, doc, error in cf.documents(bytes(content), path) if k == 0]
-            yield pd.DataFrame(out, columns=["repo", "rel_path", "doc_index", "bucket", "version", "operations", "doc", "error", "contracts_in_file"])
+    def parse(repo, path, content):
+        return ((repo, path, k, "fragments", None, 0, doc, error) for k, _, _, _, doc, error in cf.documents(content, path) if k == 0)
 
-    new, files = docs, outside(tree, CONTRACT_IGNORED).where(F.col("content").isNotNull() & (F.col("size") <= cf.MAX_DOCUMENT))
+    kind = "repo string, rel_path string, doc_index int, bucket string, version string, operations int, doc string, error string"
+
+    new, files = docs, outside(tree, CONTRACT_IGNORED).where(F.col("content").isNotNull() & (F.col("size") <= max_document))
     for _ in range(most):
-        wanted = new.where("doc is not null").select("repo", "rel_path", "doc").mapInPandas(goals, "repo string, rel_path string").distinct()
+        wanted = streamed(new.where("doc is not null").select("repo", "rel_path", "doc"), goals, "repo string, rel_path string").distinct()
         wanted = wanted.join(docs.select("repo", "rel_path").distinct(), ["repo", "rel_path"], "left_anti")
-        new = settled(files.join(wanted, ["repo", "rel_path"], "left_semi").select("repo", "rel_path", "content").mapInPandas(parse, docs.schema))
+        new = streamed(files.join(wanted, ["repo", "rel_path"], "left_semi").select("repo", "rel_path", "content"), parse, kind)
+        new = settled(new.withColumn("contracts_in_file", F.lit(0).cast(docs.schema["contracts_in_file"].dataType)))
         if new.isEmpty():
             return docs
         docs = docs.unionByName(new)
@@ -80,22 +75,16 @@ def with_fragments(tree: DataFrame, docs: DataFrame, most: int = cf.MAX_DEPTH) -
 def loaded_operations(docs: DataFrame) -> DataFrame:
     """repo, rel_path, doc_index, position, method, spec_path, operation_id, operation, names, closure, error: operations with all their reference targets, or why not."""
 
-    def parse(parts):
-        for p in parts:
-            out = []
-            for repo, path, k, doc in zip(p["repo"], p["rel_path"], p["doc_index"], p["doc"]):
-                for n, (method, spec, oid, tags, op, goals, _, error) in enumerate(cf.operations(json.loads(doc), path)):
-                    out.append((repo, path, k, n, method, spec, oid, op, cf.method_names(oid, method or "", spec), goals, error))
-            yield pd.DataFrame(out, columns=["repo", "rel_path", "doc_index", "position", "method", "spec_path", "operation_id", "operation", "names", "goals", "error"])
+    def parse(repo, path, k, doc):
+        for n, (method, spec, oid, tags, op, goals, _, error) in enumerate(cf.operations_of(doc, path)):
+            yield repo, path, k, n, method, spec, oid, op, cf.method_names(oid, method or "", spec), goals, error
 
-    def links(parts):
-        for p in parts:
-            out = [(repo, *e) for repo, path, doc in zip(p["repo"], p["rel_path"], p["doc"]) for e in cf.edges(json.loads(doc), path)]
-            yield pd.DataFrame(out, columns=["repo", "src", "dst", "error"])
+    def links(repo, path, doc):
+        return ((repo, *e) for e in cf.edges(cf.outline(doc), path))
 
-    ops = settled(docs.where("bucket = 'contracts'").select("repo", "rel_path", "doc_index", "doc").mapInPandas(parse, "repo string, rel_path string, doc_index int, position int, method string, spec_path string, operation_id string, operation string, names array<string>, goals array<string>, error string"))
+    ops = settled(streamed(docs.where("bucket = 'contracts'").select("repo", "rel_path", "doc_index", "doc"), parse, "repo string, rel_path string, doc_index int, position int, method string, spec_path string, operation_id string, operation string, names array<string>, goals array<string>, error string"))
     key = lambda c: F.concat_ws("\x00", "repo", c)
-    edge = settled(docs.where("doc is not null").select("repo", "rel_path", "doc").mapInPandas(links, "repo string, src string, dst string, error string").select(key("src").alias("src"), F.when(F.col("dst").isNotNull(), key("dst")).alias("dst"), "error"))
+    edge = settled(streamed(docs.where("doc is not null").select("repo", "rel_path", "doc"), links, "repo string, src string, dst string, error string").select(key("src").alias("src"), F.when(F.col("dst").isNotNull(), key("dst")).alias("dst"), "error"))
     goals = ops.where("error is null").select("repo", F.explode("goals").alias("g")).select(key("g").alias("root")).distinct()
     reach = transitive(goals.select("root", F.col("root").alias("node")), edge.where("dst is not null").select("src", "dst"), cf.MAX_DEPTH)
     known, bad = edge.select(F.col("src").alias("node")).distinct(), edge.where("error is not null").select(F.col("src").alias("node"), F.lit(True).alias("bad")).distinct()
@@ -293,9 +282,9 @@ def reconcile(contract: DataFrame, code: DataFrame) -> dict[str, DataFrame]:
     return {"operations": ops, "superseded": k.join(keys, key, "left_semi"), "to_generate": k.join(keys, key, "left_anti")}
 
 
-def run_lane(tree: DataFrame, overrides: DataFrame | None = None, tracked: DataFrame | None = None) -> dict[str, DataFrame]:
+def run_lane(tree: DataFrame, overrides: DataFrame | None = None, tracked: DataFrame | None = None, max_bytes: int = cf.MAX_BYTES, max_document: int = cf.MAX_DOCUMENT) -> dict[str, DataFrame]:
     """docs, operations, evidence, verdicts, rows (one a served operation and prefix), overrides, components, unread build files."""
-    docs = settled(with_fragments(tree, settled(discover(tree))))
+    docs = settled(with_fragments(tree, settled(discover(tree, max_bytes=max_bytes, max_document=max_document)), max_document=max_document))
     ops = settled(loaded_operations(docs))
     evidence, unread = evidence_and_rejects(tree, tracked)
     evidence = settled(evidence)

@@ -1,11 +1,12 @@
 """Files with very many declarations: read in proportion to their length, in bounded memory, and with the same facts."""
 
+import json
 import time
 import tracemalloc
 
 import pytest
 
-from routeloom.functions import code_text, go_facts, js_facts, python_facts, rails_facts, spring_facts
+from routeloom.functions import code_text, contract_facts, go_facts, js_facts, python_facts, rails_facts, spring_facts
 from routeloom.plans import syntax
 
 
@@ -87,3 +88,20 @@ def test_masked_lines_are_the_lines_of_the_mask():
     for text in ("", "\n", "a 'b\nc' # d\n\n'e", "''\n# f", "x = \"g\n", "'h\n\n  i'\n"):
         for language in ("ruby", "js", "go", "python"):
             assert [*code_text.masked_lines(text, language)] == [*zip(text.split("\n"), code_text.mask(text, language).split("\n"))]
+
+
+def test_specification_of_many_paths_is_read_a_path_at_a_time():
+    doc = {"openapi": "3.0.1", "paths": {f"/c/{{id}}/{k}": {"get": {"operationId": f"op{k}", "responses": {"200": {"$ref": "#/components/responses/R"}}}} for k in range(10000)}, "components": {"responses": {"R": {}}}}
+    text = json.dumps(doc)
+    assert contract_facts._in_pieces(text) == (0, "contracts", "3.0.1", 10000, text, None) == [*contract_facts.documents(text.encode(), "a.json")][0]
+    assert contract_facts.outline(text) == doc | {"paths": {}}
+    assert _peak(text, contract_facts.operations_of)[1] == 10000 and _peak(text, contract_facts.operations_of)[0] < 4
+    assert _peak(text, lambda t, _: contract_facts.every_reference(t))[0] < 4
+
+
+def test_specifications_that_pieces_do_not_tell_are_read_whole():
+    for text in ('{"paths": {"/a": 1}, "paths": {"/b": {"get": {}}}, "openapi": "3.1"}', '{"openapi": "3", "paths": {"/a": {"get": {}}, "/a": {"put": {}}}}', '[{"openapi": "3"}]', '{"paths": {"$ref": "b.json"}}', '{"a": 1} x', '{"a": 1,}', "{1: 2}"):
+        assert not contract_facts.regular(text)
+    alias = '{"openapi": "3", "paths": {"/a": {"$ref": "#/paths/~1b"}, "/b": {"get": {}}}}'
+    assert [x[:2] for x in contract_facts.operations_of(alias, "a.json")] == [("GET", "/a"), ("GET", "/b")]
+    assert [*contract_facts.documents(b'{"openapi": "3", "paths": {"/a": {"get": {}}, "/a": {"put": {}}}}', "a.json")] == [(0, "contracts", "3", 1, '{"openapi": "3", "paths": {"/a": {"put": {}}}}', None)]
