@@ -20,7 +20,7 @@ from xml.etree.ElementTree import ParseError
 
 from ..functions import maven_facts as mf
 from ..functions.contract_facts import contained, kind_of
-from ..operators.closure import forget, settled
+from ..operators.closure import dealt, forget, settled
 
 _RUN = "struct<generator: string, input: string, skip: string, api_package: string, provisional: boolean>"
 POM = f"repo string, rel_path string, group_id string, artifact_id string, version string, parent_group string, parent_artifact string, parent_version string, parent_path string, properties map<string, string>, runs array<{_RUN}>, error string"
@@ -46,7 +46,7 @@ def poms(files: DataFrame) -> DataFrame:
             d = pd.DataFrame(out, columns=_POM_COLUMNS).astype(object)
             yield d.where(d.notna(), None)
 
-    return files.select("repo", "rel_path", "text").mapInPandas(run, POM)
+    return dealt(files.select("repo", "rel_path", "text"), "repo", "rel_path").mapInPandas(run, POM)
 
 
 def parents(found: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def evidence(files: DataFrame, tree: DataFrame) -> tuple[DataFrame, DataFrame]:
         for p in parts:
             yield pd.DataFrame([x for r in p.astype(object).where(p.notna(), None).to_dict("records") for x in _run(r)], columns=[c.split()[0] for c in RUNS.split(", ")])
 
-    made = settled(builds.mapInPandas(run, RUNS))
+    made = settled(dealt(builds, "repo", "rel_path").mapInPandas(run, RUNS))
     one = made.where("size(places) = 1").withColumn("rel_path", F.col("places")[0])
     tried = made.where("size(places) > 1").select("*", F.monotonically_increasing_id().alias("run")).select("*", F.posexplode("places").alias("place", "rel_path"))
     there = tried.join(tree.select("repo", "rel_path").distinct().withColumn("there", F.lit(True)), ["repo", "rel_path"], "left")

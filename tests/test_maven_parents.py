@@ -115,3 +115,11 @@ def test_substitution():
     assert mf.filled("${a}/${gone}", {"a": "${b}", "b": "x"}) == ("x/${gone}", {"a", "b"})
     assert "${a}" in mf.filled("${a}", {"a": "${a}" * 50})[0]
     assert mf.parent_path("a/b", None) == "a/pom.xml" and mf.parent_path("a", "") is None and mf.parent_path("", None) is None and mf.parent_path("a", "..") == "pom.xml"
+
+
+def test_poms_of_one_small_table_are_read_by_all_cores(spark):
+    from routeloom.plans import maven_parents
+
+    files = spark.createDataFrame([("r", f"m{k}/pom.xml", "<project><artifactId>a</artifactId></project>") for k in range(200)], "repo string, rel_path string, text string").coalesce(1)
+    found = maven_parents.poms(files)
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and found.count() == 200
