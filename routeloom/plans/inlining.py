@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contract_facts as cf
-from ..operators.closure import forget, settled
+from ..operators.closure import dealt, forget, settled
 
 INLINED = "repo string, key string, body string"
 
@@ -50,26 +50,31 @@ def inline(components: DataFrame, most_bytes: int = cf.MAX_DOCUMENT, most: int =
             yield pd.DataFrame(out, columns=["repo", "key", "body"])
 
     components = components.select("repo", "key", "body")
-    edges = settled(components.mapInPandas(refer, "repo string, key string, ref string"))
+    edges = settled(dealt(components, "repo", "key").mapInPandas(refer, "repo string, key string, ref string"))
     wanted = settled(edges.groupBy("repo", "key").agg(F.count("*").alias("n")))
     front = settled(components.join(wanted, ["repo", "key"], "left_anti").withColumn("level", F.lit(0)))
-    done, level = front, 0
+    done, level, met, before = front, 0, None, None
     while not front.isEmpty():
         level += 1
         if level > most:
             raise RecursionError(f"references deeper than {most}")
-        # Ready: all references are done, one of them since the last round.
-        touched = edges.join(front.select("repo", F.col("key").alias("ref")), ["repo", "ref"], "left_semi").select("repo", "key").distinct()
-        finished = done.select("repo", F.col("key").alias("ref"), F.col("body").alias("target"), F.octet_length("body").alias("bytes"))
-        near = edges.join(touched, ["repo", "key"], "left_semi").join(finished.drop("target"), ["repo", "ref"]).groupBy("repo", "key").agg(F.count("*").alias("have"), F.sum("bytes").alias("bytes"))
-        ready = settled(near.join(wanted, ["repo", "key"]).where("have = n").select("repo", "key", "bytes"))
+        # Ready: all references are done, one of them since the last round. Edges meet what is new only; what met before is kept as counts.
+        new = front.select("repo", F.col("key").alias("ref"), F.octet_length("body").alias("bytes"))
+        near = edges.join(new, ["repo", "ref"]).groupBy("repo", "key").agg(F.count("*").alias("have"), F.sum("bytes").alias("bytes"))
+        if met is not None:
+            near = near.unionByName(met).groupBy("repo", "key").agg(F.sum("have").alias("have"), F.sum("bytes").alias("bytes"))
+        near = settled(near.join(wanted, ["repo", "key"]))
+        ready, met = near.where("have = n").select("repo", "key", "bytes"), near.where("have < n").select("repo", "key", "have", "bytes")
+        finished = done.select("repo", F.col("key").alias("ref"), F.col("body").alias("target"))
         large = ready.where(F.col("bytes") > most_bytes).first()
         if large:
             raise ValueError(f"{large.key} of {large.repo} takes in {large.bytes} bytes")
         bodies = edges.join(ready, ["repo", "key"], "left_semi").join(finished, ["repo", "ref"]).groupBy("repo", "key").agg(F.collect_list(F.struct("ref", "target")).alias("found"))
-        front = settled(components.join(bodies, ["repo", "key"]).mapInPandas(build, INLINED).withColumn("level", F.lit(level)))
+        front = settled(dealt(components.join(bodies, ["repo", "key"]), "repo", "key").mapInPandas(build, INLINED).withColumn("level", F.lit(level)))
         done = done.unionByName(front)
-        forget(ready)
+        if before is not None:
+            forget(before)
+        before = near
     left = components.join(done, ["repo", "key"], "left_anti").select("repo", "key")
     gone = edges.join(components.select("repo", F.col("key").alias("ref")), ["repo", "ref"], "left_anti").select("repo", "key").distinct().withColumn("gone", F.lit(True))
     # What refers to something missing, directly or through others, is unresolved; the rest runs in circles.

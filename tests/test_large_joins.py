@@ -84,3 +84,19 @@ def test_actions_of_a_base_controller_do_not_meet_all_classes_below_it(spark):
     assert query.executedPlan().executeCollectPublic() is not None
     assert found.where("rel_path = 'app/controllers/base_controller.rb' and route = concat('/', regexp_extract(name, '[0-9]+$', 0))").count() == n
     assert _most_rows(query.executedPlan()) < 10 * n
+
+
+def test_references_of_one_small_table_are_read_by_all_cores_and_met_over_rounds(spark, monkeypatch):
+    from routeloom.plans import inlining
+
+    tasks, settled = [], inlining.settled
+
+    def counted(df):
+        tasks.append(df.rdd.getNumPartitions() if not tasks else None)
+        return settled(df)
+
+    monkeypatch.setattr(inlining, "settled", counted)
+    rows = [("r", "a", "1"), ("r", "b", '{"$ref": "a"}'), ("r", "c", '[{"$ref": "a"}, {"$ref": "b"}]'), ("r", "d", '[{"$ref": "a"}, {"$ref": "none"}]')]
+    got = inlining.inline(spark.createDataFrame(rows, "repo string, key string, body string").coalesce(1)).select("key", "body", "level", "error")
+    assert sorted(map(tuple, got.collect())) == [("a", "1", 0, None), ("b", "1", 1, None), ("c", "[1, 1]", 2, None), ("d", None, None, "unresolved")]
+    assert tasks[0] == spark.sparkContext.defaultParallelism
