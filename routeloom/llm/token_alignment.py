@@ -6,8 +6,9 @@ both end at the same byte, a group ends: runs of A ids and B ids of the same
 bytes. Every A and B token of a group are linked.
 
 Groups are interned. Whole documents of up to ``BLOCK`` bytes make a block, which
-is encoded once and written as one row: its distinct groups, how many of its
-documents hold each, and which groups each document has how often. Then
+is encoded once and written as small rows: its distinct groups and how many of
+its documents hold each, and which groups each document has how often, ``PIECE``
+of them a row, since readers hold thousands of rows at once. Then
 
 * equal groups of all blocks are one row of the group dictionary, with the number
   of documents that hold it;
@@ -26,8 +27,10 @@ A text is cut before a blank that follows a character other than white space:
 the pre-tokenizer of A always splits there, and no piece of B has a blank after
 another character (both are verified of the files; otherwise texts are encoded
 whole). No group crosses a cut, so equal segments are encoded once in a block,
-and once in a worker while a bounded cache holds them. A worker's memory follows
-the longest run without such a cut, not the text.
+and once in a worker while a cache, bounded in entries and bytes, holds those that
+a block repeats. Tokenizers are handed ``PART`` segments at a time and their ids
+kept packed. A worker's memory follows its block (``BLOCK`` bytes, or one longer
+document) and the longest run without such a cut.
 
 Special tokens' strings are plain text. Texts that are null or empty, and those
 whose tokens do not spell blank and text (a text with U+2581), have no tokens:
@@ -40,8 +43,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +58,10 @@ from .sentencepiece_fst import _model_bytes
 from .shared import forget, table, written
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of a block's texts; segments that a worker remembers.
-BLOCK, CACHE = 6 << 20, 150_000
+#: Bytes of a block's texts; segments that a worker remembers, and bytes of them and their ids.
+BLOCK, CACHE, CACHE_BYTES = 6 << 20, 150_000, 32 << 20
+#: Segments, and bytes of them, that tokenizers get at once; groups of a document in a row.
+PART, PART_BYTES, PIECE = 4096, 256 << 10, 1024
 
 
 def _csr(sizes: np.ndarray) -> np.ndarray:
@@ -105,27 +110,44 @@ class Pair:
         plain = not proto.normalizer_spec.precompiled_charsmap and not proto.normalizer_spec.remove_extra_whitespaces and proto.normalizer_spec.add_dummy_prefix
         self.cuts = split.get("type") == "ByteLevel" and split.get("use_regex", False) and not spec.get("normalizer") and not crossing and plain
         self.blank = self.b.piece_to_id("▁")
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     @staticmethod
     def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return _csr(np.array([len(x) for x in entries])), np.frombuffer(b"".join(entries), np.uint8)
 
-    def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
-        """A ids and B ids of segments, each beginning with a blank."""
+    def encode(self, segments: list[str], keep: list[bool] | None = None) -> list[tuple[bytes, bytes]]:
+        """A ids and B ids of segments, each beginning with a blank, as packed int32; those of ``keep`` (None: all) are remembered."""
         new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
+        if len(self.known) + len(new) > CACHE or self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
             new = segments
-        found = dict(zip(new, zip((e.ids for e in self.a.encode_batch(new, add_special_tokens=False)), self.b.encode([s[1:] for s in new], num_threads=1)))) if new else {}
+        ids = lambda x: array("i", x).tobytes()
+        found = {s: (ids(e.ids), ids(x)) for s, e, x in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([s[1:] for s in new], num_threads=1))} if new else {}
         for s in (" ", ""):
             if s in found:
-                found[s] = (found[s][0], [self.blank] if s else [])
+                found[s] = (found[s][0], ids([self.blank] if s else []))
         out = [found.get(s) or self.known[s] for s in segments]
         if len(self.known) + len(new) <= CACHE:
-            self.known |= found
+            held = {s: found[s] for s, k in zip(segments, keep) if k and s in found} if keep else found
+            self.held += sum(len(s) + len(x) + len(y) for s, (x, y) in held.items())
+            self.known |= held
         return out
 
+    def encoded(self, segments: pa.Array, keep: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """A ids and B ids of all segments, one segment after the other, and where each one's begin."""
+        ends, i = np.cumsum(pc.binary_length(segments).to_numpy(zero_copy_only=False)), 0
+        ids, sizes = ([], []), ([], [])
+        while i < len(segments):
+            j = min(i + PART, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PART_BYTES, "right"))))
+            part = self.encode(segments.slice(i, j - i).to_pylist(), keep[i:j].tolist())
+            for k in (0, 1):
+                ids[k].append(b"".join([x[k] for x in part]))
+                sizes[k].extend([len(x[k]) // 4 for x in part])
+            i = j
+        return [(np.frombuffer(b"".join(ids[k]), np.int32), _csr(np.array(sizes[k], np.int64))) for k in (0, 1)]
+
 
 @lru_cache(1)
 def _pair(a_file: bytes, b_file: bytes) -> Pair:
@@ -190,11 +212,9 @@ class Block:
         self.seg = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         seg_off = np.searchsorted(edge, off)
         distinct = coded.dictionary
-        ids = pair.encode(distinct.to_pylist())
-        n = len(ids)
+        n = len(distinct)
+        (a, a_off), (b, b_off) = pair.encoded(distinct, np.bincount(self.seg, minlength=n) > 1)
         size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-        a, a_off = np.array(list(chain.from_iterable(x for x, _ in ids)), np.int64), _csr(np.array([len(x) for x, _ in ids], np.int64))
-        b, b_off = np.array(list(chain.from_iterable(x for _, x in ids)), np.int64), _csr(np.array([len(x) for _, x in ids], np.int64))
         good = self._spells(pair.a_bytes, a, a_off, distinct, size) & self._spells(pair.b_bytes, b, b_off, distinct, size)
         keep = np.flatnonzero(good)
         at, na = _gather(a_off, keep)
@@ -221,13 +241,14 @@ class Block:
         totals[0, keep], totals[1, keep], totals[2] = na, nb, per_seg
         totals[3] = seg_links[self.group_off[1:]] - seg_links[self.group_off[:-1]]
         # Documents: rows of the block with a text; of those that a segment spoils nothing counts.
-        sums = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(totals[:, self.seg], axis=1)], axis=1)
         spoilt = np.concatenate([[0], np.cumsum(~good[self.seg])])
         fine = spoilt[seg_off[1:]] == spoilt[seg_off[:-1]]
         self.rows = full[fine]
         self.begin, self.end = seg_off[:-1][fine], seg_off[1:][fine]
         self.totals = np.zeros((4, self.n), np.int64)
-        self.totals[:, self.rows] = sums[:, self.end] - sums[:, self.begin]
+        for own, of in zip(self.totals, totals):
+            sums = _csr(of[self.seg])
+            own[self.rows] = sums[self.end] - sums[self.begin]
         self.byte_ends = shared
         self.seg_bytes = size
         self.kept_before = np.concatenate([[0], np.cumsum(np.where(good, size, 0))])
@@ -300,7 +321,10 @@ def _blocks(batches, files, make):
         tk.release()
 
 
-ENCODED = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, digest array<string>, seen_off array<int>, seen array<int>, times array<long>, key array<binary>, docs array<long>, pair array<long>, more array<long>"
+#: Rows of three kinds; what a row is not has nulls. A document's groups may take several, of which the first has its totals.
+ENCODED = "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, digest string, seen array<int>, times array<int>, local int, key binary, docs long, pair long, more long"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
+_FIELDS = {name: _KINDS[kind] for name, kind in (x.split(" ") for x in ENCODED.split(", "))}
 
 
 def _files(spark: SparkSession, a_file: str, b_file: str):
@@ -308,32 +332,39 @@ def _files(spark: SparkSession, a_file: str, b_file: str):
 
 
 def encoded(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
-    """A row a block: its documents and their totals, its dictionary, the documents' groups, and pairs counted too often."""
+    """Small rows of blocks: documents, their totals and groups (place is not null); groups (key is not null); pairs counted too often (pair is not null)."""
     files = _files(docs.sparkSession, a_file, b_file)
 
     def run(batches):
         part, nth = TaskContext.get().partitionId(), 0
-        for columns in _blocks(batches, files, rows):
-            yield pa.RecordBatch.from_pydict({"block": pa.array([part << 32 | nth], pa.int64()), **columns})
+        for kinds in _blocks(batches, files, rows):
+            for columns in kinds:
+                n = len(next(iter(columns.values())))
+                columns["block"] = np.full(n, part << 32 | nth, np.int64)
+                yield pa.RecordBatch.from_pydict({name: (x if isinstance(x := columns[name], pa.Array) else pa.array(x)).cast(kind) if name in columns else pa.nulls(n, kind) for name, kind in _FIELDS.items()})
             nth += 1
 
     def rows(part, block):
         row, group, times = block.seen()
         pair, more = block.excess(row, group)
-        one = lambda values, kind=pa.int64(): pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind))
-        seen_off = np.searchsorted(row, np.arange(block.n + 1))
-        yield {
-            "doc_id": one(part.column("doc_id")), **{name: one(block.totals[k]) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "digest": one(block.digests(), pa.string()),
-            "seen_off": one(seen_off, pa.int32()), "seen": one(group, pa.int32()), "times": one(times), "key": one(block.keys, pa.binary()), "docs": one(np.bincount(group, minlength=len(block.keys))),
-            "pair": one(pair), "more": one(more),
-        }
+        off = np.searchsorted(row, np.arange(block.n + 1))
+        pieces = np.maximum(1, -(-np.diff(off) // PIECE))
+        place, nth = np.repeat(np.arange(block.n), pieces), _runs(np.zeros(block.n, np.int64), pieces)
+        starts = pa.array(np.append(off[:-1][place] + nth * PIECE, len(row)), pa.int32())
+        own = pa.array(place, mask=nth > 0)
+        lists = {name: pa.ListArray.from_arrays(starts, pa.array(x, pa.int32())) for name, x in (("seen", group), ("times", times))}
+        yield (
+            {"place": place, "doc_id": part.column("doc_id").take(own), **{name: pa.array(block.totals[k]).take(own) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}, "digest": pa.array(block.digests(), pa.string()).take(own), **lists},
+            {"local": np.arange(len(block.keys)), "key": block.keys, "docs": np.bincount(group, minlength=len(block.keys))},
+            {"pair": pair, "more": more},
+        )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, ENCODED)
 
 
 def _dictionary(blocks: DataFrame) -> DataFrame:
     """Distinct groups with the number of documents that hold each, numbered."""
-    entries = blocks.select(F.explode(F.arrays_zip("key", "docs")).alias("e")).select("e.key", "e.docs")
+    entries = blocks.where("key is not null").select("key", "docs")
     return written(entries.groupBy("key").agg(F.sum("docs").alias("docs")).withColumn("id", F.monotonically_increasing_id()), "groups")
 
 
@@ -352,7 +383,7 @@ def _links(dictionary: DataFrame) -> DataFrame:
 
 def _counts(links: DataFrame, blocks: DataFrame) -> DataFrame:
     """(pair, docs): how many documents hold each linked pair."""
-    more = blocks.select(F.explode(F.arrays_zip("pair", "more")).alias("e")).select("e.pair", (-F.col("e.more")).alias("docs"))
+    more = blocks.where("pair is not null").select("pair", (-F.col("more")).alias("docs"))
     return links.select("pair", "docs").unionByName(more).groupBy("pair").agg(F.sum("docs").alias("docs"))
 
 
@@ -390,20 +421,21 @@ def groups(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataF
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _summed(key, blocks: pa.Table, found: pa.Table) -> pa.Table:
+def _summed(key, docs: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block, with the sums over their groups."""
-    outs = []
-    for b in blocks.to_batches():
-        for k in range(len(b)):
-            get = lambda name: b.column(name)[k].values
-            size = b.column("n_keys")[k].as_py()
-            best, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            local = found.column("local").to_numpy()
-            best[local], total[local] = found.column("best").to_numpy(), found.column("total").to_numpy()
-            seen, times, off = (get(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("seen", "times", "seen_off"))
-            sums = [np.concatenate([[0], np.cumsum(x[seen] * times)]) for x in (best, total)]
-            outs.append(pa.table({c: get(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"n_best": sums[0][off[1:]] - sums[0][off[:-1]], "count_sum": sums[1][off[1:]] - sums[1][off[:-1]], "groups_sha256": get("digest")}))
-    return pa.concat_tables(outs) if outs else pa.table({c: pa.array([], pa.string() if c == "groups_sha256" else pa.int64()) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")})
+    get = lambda table, name: table.column(name).to_numpy().astype(np.int64)
+    local, place = get(found, "local"), get(docs, "place")
+    seen, times = (docs.column(c).combine_chunks().flatten().to_numpy().astype(np.int64) for c in ("seen", "times"))
+    off = _csr(pc.list_value_length(docs.column("seen")).to_numpy().astype(np.int64))
+    first = docs.filter(pc.is_valid(docs.column("n_a")))
+    out = {c: first.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
+    for name, of in (("n_best", "best"), ("count_sum", "total")):
+        value, sums = np.zeros(max(local.max(initial=-1), seen.max(initial=-1)) + 1, np.int64), np.zeros(place.max(initial=-1) + 1, np.int64)
+        value[local] = get(found, of)
+        before = _csr(value[seen] * times)
+        np.add.at(sums, place, before[off[1:]] - before[off[:-1]])
+        out[name] = sums[get(first, "place")]
+    return pa.table(out | {"groups_sha256": first.column("digest")})
 
 
 def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFrame:
@@ -419,9 +451,8 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE) -> DataFr
     forget(links)
     forget(counts)
     forget(dictionary)
-    entries = blocks.select("block", F.posexplode("key").alias("local", "key"))
-    found = entries.join(results, "key").select(F.col("block").alias("of_block"), "local", "best", "total")
-    kept = blocks.select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "seen_off", "seen", "times", F.size("key").alias("n_keys"))
+    found = blocks.where("key is not null").select("block", "local", "key").join(results, "key").select(F.col("block").alias("of_block"), "local", "best", "total")
+    kept = blocks.where("place is not null").select("block", "place", "doc_id", "n_a", "n_b", "n_groups", "n_links", "digest", "seen", "times")
     return kept.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(_summed, ALIGNED)
 
 

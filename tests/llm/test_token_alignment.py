@@ -111,3 +111,31 @@ def test_groups(spark, plain):
         assert [x[:2] for x in got[k]] == plain(t)
         if got[k]:
             assert got[k][-1][3] == len((" " + t).encode())
+
+
+def test_rows_of_blocks_are_small_and_tokenizers_get_a_part_at_a_time(spark, plain, monkeypatch):
+    """A block of 300 texts, one of them with more groups than a row takes, and 20,000 words that occur once: no row holds a block, no call and no cache all words."""
+    many = " ".join(f"w{k:05d}x" for k in range(20_000))
+    rows = [(k, prose(k, 40)) for k in range(298)] + [(298, many), (299, many[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert max(len(r.seen or ()) + len(r.times or ()) for r in ta.encoded(df).collect()) <= 2 * ta.PIECE
+    monkeypatch.setattr(ta, "PIECE", 50)
+    longest = [len(r.seen or ()) for r in ta.encoded(df).collect()]
+    assert max(longest) <= 50 < sum(longest)
+    assert Counter(map(tuple, ta.align(df).collect())) == expected(rows, plain)[0]
+    pair, sizes = ta.Pair(open(ta.A_FILE, "rb").read(), open(ta.B_FILE, "rb").read()), []
+
+    class Counted:
+        def encode_batch_fast(self, segments, tokenizer=pair.a, **how):
+            sizes.append((len(segments), sum(map(len, segments))))
+            return tokenizer.encode_batch_fast(segments, **how)
+
+        encode_batch = encode_batch_fast
+
+    pair.a = Counted()
+    monkeypatch.setattr(ta, "CACHE_BYTES", 10_000)
+    import pyarrow as pa
+
+    ta.Block(pair, pa.array([many, "so so so"]))
+    assert len(sizes) > 1 and all(n <= 4096 and size <= 256 << 10 for n, size in sizes)
+    assert {" so"} == set(pair.known)
